@@ -229,3 +229,124 @@ def q_render_plain(spark, sf_dir):
     bench = tables.load(spark, sf_dir, "benchmark")
     return bench.select("item_id", chat.render_plain(F.col("text"), "You are a helpful assistant.").alias("text"),
                         chat.render_plain(F.col("text"), "").alias("text_no_system"))
+
+
+# ---------------------------------------------------------------- tokens / collation
+
+from ..functions import tokens as K  # noqa: E402
+from ..operators import collate as C  # noqa: E402
+from ..sources.ordinals import table_ordinal  # noqa: E402
+
+
+def _ids_sql(expr: str, n: int) -> str:
+    return (f"(CASE WHEN {expr} = '' THEN []::INT[] ELSE "
+            f"list_transform(string_split(left({expr}, {n}), ''), lambda c: unicode(c)) END)")
+
+
+_RO_CTE = """
+WITH t AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS mt FROM conversations),
+ro AS (
+  SELECT conv_id,
+         string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text,
+         string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE turn < mt) || chr(10) || 'assistant:' AS prompt_text
+  FROM t GROUP BY conv_id
+  HAVING arg_max(role, turn) = 'assistant' AND count(*) > 1)
+"""
+
+
+def _response_only_conversations(spark, sf_dir):
+    return q_sft_response_only(spark, sf_dir)
+
+
+@register("tokenize_truncate", f"""
+SELECT doc_id, len(ids)::BIGINT AS n_tokens, array_to_string(ids, ',') AS ids
+FROM (SELECT doc_id, {_ids_sql('text', 1024)} AS ids FROM documents)
+""")
+def q_tokenize_truncate(spark, sf_dir):
+    """Code-point tokens of every document, truncated to 1024."""
+    docs = tables.load(spark, sf_dir, "documents")
+    ids = K.CodepointTokenizer().encode(F.col("text"), 1024)
+    return docs.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), K.ids_text(ids).alias("ids"))
+
+
+@register("response_label_mask", _RO_CTE + f""",
+k AS (SELECT conv_id, {_ids_sql('text', 256)} AS ids,
+             CASE WHEN prompt_text = '' THEN 0 ELSE least(length(prompt_text), 256) END AS p FROM ro),
+l AS (SELECT conv_id, p, list_transform(ids, lambda x, i: CASE WHEN i <= p THEN -100 ELSE x END) AS lab FROM k)
+SELECT conv_id, least(p, len(lab))::BIGINT AS n_masked, array_to_string(lab, ',') AS labels,
+       CASE WHEN len(list_filter(lab, lambda x: x <> -100)) = 0 THEN 'NO_RESPONSE_TOKENS' END AS error
+FROM l
+""")
+def q_response_label_mask(spark, sf_dir):
+    """Prompt-masked labels of response-only conversation texts (max length 256)."""
+    ro = _response_only_conversations(spark, sf_dir)
+    lab = C.label_rows(ro, "codepoint", 256)
+    return lab.select("conv_id",
+                      F.size(F.filter("labels", lambda x: x == K.IGNORE_INDEX)).cast("bigint").alias("n_masked"),
+                      K.ids_text(F.col("labels")).alias("labels"), F.col("_error").alias("error"))
+
+
+def _collate_sql(src_cte: str, key: str, n: int, batch: int, side: str, pad: int = 0) -> str:
+    def padded(arr: str, fill: str) -> str:
+        filler = f"list_resize([]::INT[], width - len(ids), {fill})"
+        return f"list_concat({arr}, {filler})" if side == "right" else f"list_concat({filler}, {arr})"
+    return src_cte + f""",
+o AS (SELECT {key}, text, prompt_text, row_number() OVER (ORDER BY {key}) - 1 AS ord FROM src),
+k AS (SELECT {key}, (ord // {batch})::BIGINT AS batch_id, {_ids_sql('text', n)} AS ids,
+             CASE WHEN prompt_text = '' THEN 0 ELSE least(length(prompt_text), {n}) END AS p FROM o),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width,
+             list_transform(ids, lambda x, i: CASE WHEN i <= p THEN -100 ELSE x END) AS lab FROM k)
+SELECT {key}, batch_id,
+       array_to_string({padded('ids', str(pad))}, ',') AS input_ids,
+       array_to_string({padded('list_resize([]::INT[], len(ids), 1)', '0')}, ',') AS attention_mask,
+       array_to_string({padded('lab', '-100')}, ',') AS labels,
+       CASE WHEN len(list_filter(lab, lambda x: x <> -100)) = 0 THEN 'NO_RESPONSE_TOKENS' END AS error
+FROM w
+"""
+
+
+def _tensor_cols(df, key):
+    return df.select(key, "batch_id", K.ids_text(F.col("input_ids")).alias("input_ids"),
+                     K.ids_text(F.col("attention_mask")).alias("attention_mask"),
+                     K.ids_text(F.col("labels")).alias("labels"), F.col("_error").alias("error"))
+
+
+@register("pad_collate", _collate_sql(_RO_CTE + ", src AS (SELECT * FROM ro)", "conv_id", 512, 4, "left"))
+def q_pad_collate(spark, sf_dir):
+    """Response-only conversations in ``conv_id`` order, batches of 4, left padding."""
+    ro = table_ordinal(_response_only_conversations(spark, sf_dir), "conv_id")
+    return _tensor_cols(C.collate(ro, "codepoint", 512, 4, "left"), "conv_id")
+
+
+@register("full_label", f"""
+SELECT doc_id, array_to_string(ids, ',') AS labels,
+       CASE WHEN len(ids) = 0 THEN 'NO_RESPONSE_TOKENS' END AS error
+FROM (SELECT doc_id, {_ids_sql('text', 512)} AS ids FROM documents)
+""")
+def q_full_label(spark, sf_dir):
+    """Loss on the whole sequence: labels are the ids themselves."""
+    docs = tables.load(spark, sf_dir, "documents")
+    lab = C.label_rows(docs, "codepoint", 512, "text", None)
+    return lab.select("doc_id", K.ids_text(F.col("labels")).alias("labels"), F.col("_error").alias("error"))
+
+
+@register("decode_tokens", """
+SELECT doc_id, left(text, 512) AS decoded FROM documents
+""")
+def q_decode_tokens(spark, sf_dir):
+    """Encode (512 code points), append the end-of-sequence id, decode skipping specials."""
+    tok = K.CodepointTokenizer()
+    docs = tables.load(spark, sf_dir, "documents")
+    ids = F.concat(tok.encode(F.col("text"), 512), F.array(F.lit(tok.eos_id)))
+    return docs.select("doc_id", tok.decode(ids).alias("decoded"))
+
+
+@register("training_batches", """
+SELECT doc_id, ord, ord // 8 AS step, (ord % 8) // 2 AS micro, (ord % 2) AS rank
+FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS ord FROM documents)
+""")
+def q_training_batches(spark, sf_dir):
+    """Rows in input order -> optimizer step / micro step / rank (1 x 4 x 2 devices)."""
+    docs = table_ordinal(tables.load(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return C.training_batches(docs, per_device=1, accumulation=4, devices=2).select(
+        "doc_id", "ord", "step", "micro", "rank")
