@@ -350,3 +350,184 @@ def q_training_batches(spark, sf_dir):
     docs = table_ordinal(tables.load(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     return C.training_batches(docs, per_device=1, accumulation=4, devices=2).select(
         "doc_id", "ord", "step", "micro", "rank")
+
+
+# ---------------------------------------------------------------- inference
+
+from ..operators import infer as I  # noqa: E402
+from . import stubs  # noqa: E402
+
+SYSTEM_PROMPT = "You are a helpful assistant."
+SEED = 42
+
+
+def _prompts(spark, sf_dir, with_invalid=False):
+    recs = tables.prompt_records(spark, sf_dir, with_invalid)
+    recs = table_ordinal(recs.select("rid", "kind_rank", "key", "rec"), "kind_rank", "key")
+    return I.prompt_messages(recs, system_prompt=SYSTEM_PROMPT)
+
+
+def _rendered(spark, sf_dir):
+    pm = _prompts(spark, sf_dir)
+    return pm.select("ord", "rid", "rec", I.render_prompt(F.col("messages")).alias("text"))
+
+
+def _items(spark, sf_dir, n, batch=None, seed=None):
+    return I.repeat_items(_rendered(spark, sf_dir).select("ord", "rid", "text"), n, batch, seed)
+
+
+_PROMPTS_CTE = """
+WITH pr AS (
+  SELECT 'bench:' || item_id AS rid, 0 AS kr, item_id AS key,
+         'system: You are a helpful assistant.' || chr(10) || 'user: ' || text AS text FROM benchmark
+  UNION ALL
+  SELECT 'conv:' || conv_id, 1, conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn)
+  FROM conversations GROUP BY conv_id),
+o AS (SELECT rid, text, (row_number() OVER (ORDER BY kr, key) - 1)::BIGINT AS ord FROM pr)
+"""
+
+
+def _items_cte(n: int) -> str:
+    return _PROMPTS_CTE + f""",
+it AS (SELECT o.*, r.rep::BIGINT AS rep, (ord * {n} + r.rep)::BIGINT AS work_idx
+       FROM o CROSS JOIN range({n}) r(rep))
+"""
+
+
+@register("prompts_to_messages", """
+SELECT 'bench:' || item_id AS rid, 2::BIGINT AS n_messages, 'system,user' AS roles, NULL AS error FROM benchmark
+UNION ALL
+SELECT 'conv:' || conv_id, count(*)::BIGINT, string_agg(role, ',' ORDER BY turn), NULL FROM conversations GROUP BY conv_id
+UNION ALL
+SELECT 'label:' || doc_id, NULL, NULL, 'EMPTY_PROMPT' FROM labels
+""")
+def q_prompts_to_messages(spark, sf_dir):
+    """Prompt rows gain a system message; message rows pass unchanged; rows with
+    neither are errors."""
+    pm = _prompts(spark, sf_dir, with_invalid=True)
+    roles = F.transform("messages", lambda e: F.try_variant_get(e, "$.role", "string"))
+    return pm.select("rid", F.size("messages").cast("bigint").alias("n_messages"),
+                     F.array_join(roles, ",").alias("roles"), F.col("_error").alias("error"))
+
+
+@register("render_inference", _PROMPTS_CTE + "SELECT rid, text FROM o")
+def q_render_inference(spark, sf_dir):
+    return _rendered(spark, sf_dir).select("rid", "text")
+
+
+@register("repeat_work_items", _items_cte(3) + "SELECT rid, ord, rep, work_idx FROM it")
+def q_repeat_work_items(spark, sf_dir):
+    return _items(spark, sf_dir, 3).select("rid", "ord", "rep", "work_idx")
+
+
+@register("generation_batches", _items_cte(3) + """,
+b AS (SELECT rid, rep, (work_idx // 4)::BIGINT AS batch_id, length(text) AS n FROM it)
+SELECT rid, rep, batch_id, max(n) OVER (PARTITION BY batch_id)::BIGINT AS width,
+       (max(n) OVER (PARTITION BY batch_id) - n)::BIGINT AS n_pad
+FROM b
+""")
+def q_generation_batches(spark, sf_dir):
+    """Fixed-size batches of 4 over 3 repeats, left-padded to the batch's longest prompt."""
+    padded = I.pad_batches(_items(spark, sf_dir, 3, 4), "codepoint", "left")
+    return padded.select("rid", "rep", "batch_id", F.size("input_ids").cast("bigint").alias("width"),
+                         F.size(F.filter("attention_mask", lambda x: x == 0)).cast("bigint").alias("n_pad"))
+
+
+@register("generation_config", _items_cte(3) + """
+SELECT rid, rep, rep * 0.5 > 0 AS do_sample,
+       CASE WHEN rep * 0.5 > 0 THEN (rep * 0.5)::DOUBLE END AS temperature,
+       CASE WHEN rep * 0.5 > 0 THEN 0.9::DOUBLE END AS top_p
+FROM it
+""")
+def q_generation_config(spark, sf_dir):
+    """Sampling switch per item for a temperature schedule 0.0, 0.5, 1.0 over repeats."""
+    items = _items(spark, sf_dir, 3)
+    cfg = I.generation_config(F.col("rep") * 0.5, 0.9, 256)
+    return items.select("rid", "rep", cfg["do_sample"].alias("do_sample"),
+                        cfg["temperature"].alias("temperature"), cfg["top_p"].alias("top_p"))
+
+
+@register("seeded_items", _items_cte(2) + f"""
+SELECT rid, rep, (({SEED} * {I.SEED_MULTIPLIER} + work_idx) % {I.SEED_MODULUS})::BIGINT AS seed FROM it
+""")
+def q_seeded_items(spark, sf_dir):
+    return _items(spark, sf_dir, 2, seed=SEED).select("rid", "rep", F.col("seed").cast("bigint").alias("seed"))
+
+
+def _generated(spark, sf_dir, n, batch=4):
+    items = _items(spark, sf_dir, n, batch, SEED)
+    padded = I.pad_batches(items, "codepoint", "left")
+    cfg = {"max_new_tokens": 256, "do_sample": True, "temperature": 0.7, "top_p": 0.9}
+    gen = I.generate(padded, stubs.echo_model_factory, cfg)
+    return items.select("ord", "rid", "rep", "work_idx").join(gen, "work_idx")
+
+
+def _gen_sql(n: int) -> str:
+    return _items_cte(n) + f""",
+g AS (SELECT rid, ord, rep, work_idx,
+             regexp_replace('gen:' || length(text) || ':' || (({SEED} * {I.SEED_MULTIPLIER} + work_idx) % {I.SEED_MODULUS})
+                            || ':' || right(text, 8), '{{WS}}+$', '') AS output FROM it)
+"""
+
+
+@register("batch_generate", _gen_sql(2) + "SELECT rid, rep, output FROM g")
+def q_batch_generate(spark, sf_dir):
+    """Model on executors over left-padded batches; new ids decoded and stripped."""
+    return I.decode_outputs(_generated(spark, sf_dir, 2), "codepoint").select("rid", "rep", "output")
+
+
+@register("new_token_ids", _gen_sql(2) + """
+SELECT rid, rep, length(output) + 3 AS n_text FROM (
+  SELECT rid, rep, 'gen:' || length(text) || ':' || ((42 * 1000003 + work_idx) % 2147483647) || ':' || right(text, 8) AS output
+  FROM it)
+""")
+def q_new_token_ids(spark, sf_dir):
+    """Ids after the padded prompt; ``n_text`` counts the non-special ones."""
+    gen = _generated(spark, sf_dir, 2)
+    new = K.new_tokens(F.col("output_ids"), F.col("input_ids"))
+    return gen.select("rid", "rep", F.size(F.filter(new, lambda x: x != 0)).alias("n_text"))
+
+
+@register("gather_repeats", _gen_sql(2) + """
+SELECT rid, string_agg(output, '|' ORDER BY rep) AS outputs, count(*)::BIGINT AS n_outputs FROM g GROUP BY rid
+""")
+def q_gather_repeats(spark, sf_dir):
+    out = I.decode_outputs(_generated(spark, sf_dir, 2), "codepoint")
+    g = I.gather(out.select("ord", "rep", "output"), 2)
+    ids = _rendered(spark, sf_dir).select("ord", "rid")
+    return g.join(ids, "ord").select("rid", F.array_join("output", "|").alias("outputs"),
+                                     F.size("output").cast("bigint").alias("n_outputs"))
+
+
+@register("gather_scalar", _gen_sql(1) + "SELECT rid, output FROM g")
+def q_gather_scalar(spark, sf_dir):
+    out = I.decode_outputs(_generated(spark, sf_dir, 1), "codepoint")
+    g = I.gather(out.select("ord", "rep", "output"), 1)
+    ids = _rendered(spark, sf_dir).select("ord", "rid")
+    return g.join(ids, "ord").select("rid", "output")
+
+
+@register("batch_progress", _items_cte(2) + """
+SELECT (work_idx // 4)::BIGINT AS batch_id, count(*)::BIGINT AS size, (max(work_idx) + 1)::BIGINT AS done
+FROM it GROUP BY 1
+""")
+def q_batch_progress(spark, sf_dir):
+    return I.batch_progress(_items(spark, sf_dir, 2, 4), 4)
+
+
+@register("widen_records", _gen_sql(2) + """
+SELECT rid, 'Output,id,output,prompt' AS keys, string_agg(output, '|' ORDER BY rep) AS output
+FROM g WHERE rid LIKE 'bench:%' GROUP BY rid
+UNION ALL
+SELECT rid, 'id,messages,output', string_agg(output, '|' ORDER BY rep) FROM g WHERE rid LIKE 'conv:%' GROUP BY rid
+""")
+def q_widen_records(spark, sf_dir):
+    """Input rows plus ``output`` (2 repeats): the stale ``output`` is replaced,
+    the differently cased ``Output`` is kept."""
+    out = I.decode_outputs(_generated(spark, sf_dir, 2), "codepoint")
+    g = I.gather(out.select("ord", "rep", "output"), 2)
+    recs = _rendered(spark, sf_dir).select("ord", "rid", "rec")
+    wide = I.widen(recs, g)
+    keys = F.array_join(F.array_sort(F.map_keys(F.col("rec").try_cast("map<string,variant>"))), ",")
+    outs = F.array_join(F.try_variant_get("rec", "$.output", "array<string>"), "|")
+    return wide.join(recs.select("ord", "rid"), "ord").select("rid", keys.alias("keys"), outs.alias("output"))

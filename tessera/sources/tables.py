@@ -57,3 +57,32 @@ def kind_rank():
     for kind, rank in KIND_ORDER.items():
         expr = F.when(F.col("kind") == kind, F.lit(rank)).otherwise(expr)
     return expr
+
+
+PROMPT_KIND_ORDER = {"bench": 0, "conv": 1, "label": 2}
+
+
+def prompt_records(spark: SparkSession, sf_dir: str, with_invalid: bool = False) -> DataFrame:
+    """Inference inputs ``(kind, key, rid, rec)``:
+
+    * ``bench``: ``{"id": item_id, "prompt": text, "Output": "keep"}``
+    * ``conv``: ``{"id": conv_id, "messages": [...], "output": "stale"}``
+    * ``label`` (only with ``with_invalid``): ``{"doc_id", "quality"}``, no prompt
+    """
+    bench = load(spark, sf_dir, "benchmark").select(
+        F.lit("bench").alias("kind"), F.col("item_id").alias("key"),
+        F.to_variant_object(F.struct(F.col("item_id").alias("id"), F.col("text").alias("prompt"),
+                                     F.lit("keep").alias("Output"))).alias("rec"))
+    conv = conversations(spark, sf_dir).select(
+        F.lit("conv").alias("kind"), F.col("conv_id").alias("key"),
+        F.to_variant_object(F.struct(F.col("conv_id").alias("id"), "messages",
+                                     F.lit("stale").alias("output"))).alias("rec"))
+    out = bench.unionByName(conv)
+    if with_invalid:
+        out = out.unionByName(load(spark, sf_dir, "labels").select(
+            F.lit("label").alias("kind"), F.col("doc_id").alias("key"),
+            F.to_variant_object(F.struct("doc_id", "quality")).alias("rec")))
+    rank = F.lit(None).cast("int")
+    for kind, r in PROMPT_KIND_ORDER.items():
+        rank = F.when(F.col("kind") == kind, F.lit(r)).otherwise(rank)
+    return out.withColumns({"rid": F.concat_ws(":", "kind", F.col("key").cast("string")), "kind_rank": rank})
