@@ -291,9 +291,9 @@ def _collate_sql(src_cte: str, key: str, n: int, batch: int, side: str, pad: int
         filler = f"list_resize([]::INT[], width - len(ids), {fill})"
         return f"list_concat({arr}, {filler})" if side == "right" else f"list_concat({filler}, {arr})"
     return src_cte + f""",
-o AS (SELECT {key}, text, prompt_text, row_number() OVER (ORDER BY {key}) - 1 AS ord FROM src),
+oo AS (SELECT {key}, text, prompt_text, row_number() OVER (ORDER BY {key}) - 1 AS ord FROM src),
 k AS (SELECT {key}, (ord // {batch})::BIGINT AS batch_id, {_ids_sql('text', n)} AS ids,
-             CASE WHEN prompt_text = '' THEN 0 ELSE least(length(prompt_text), {n}) END AS p FROM o),
+             CASE WHEN prompt_text = '' THEN 0 ELSE least(length(prompt_text), {n}) END AS p FROM oo),
 w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width,
              list_transform(ids, lambda x, i: CASE WHEN i <= p THEN -100 ELSE x END) AS lab FROM k)
 SELECT {key}, batch_id,
@@ -531,3 +531,260 @@ def q_widen_records(spark, sf_dir):
     keys = F.array_join(F.array_sort(F.map_keys(F.col("rec").try_cast("map<string,variant>"))), ",")
     outs = F.array_join(F.try_variant_get("rec", "$.output", "array<string>"), "|")
     return wide.join(recs.select("ord", "rid"), "ord").select("rid", keys.alias("keys"), outs.alias("output"))
+
+
+# ---------------------------------------------------------------- API
+
+from ..operators import api as A  # noqa: E402
+
+MODEL = "stub-model"
+BASE_URL = "http://127.0.0.1:8000/v1/"
+
+
+def _api_res(spark, sf_dir):
+    pm = _prompts(spark, sf_dir)
+    req = pm.select("ord", A.request_body(F.col("messages"), MODEL).alias("body"))
+    resp = A.call(req, A.endpoint_url(BASE_URL), None, stubs.stub_transport, concurrency=4)
+    return A.results(pm, resp)
+
+
+_API_SQL = """
+WITH pr AS (
+  SELECT 0 AS kr, item_id AS key, item_id::VARCHAR AS id, text AS prompt, text AS last_content FROM benchmark
+  UNION ALL
+  SELECT 1, conv_id, conv_id::VARCHAR, NULL, arg_max(text, turn) FROM conversations GROUP BY conv_id),
+o AS (SELECT *, (row_number() OVER (ORDER BY kr, key) - 1)::BIGINT AS idx, length(last_content) AS n FROM pr),
+r AS (
+  SELECT idx AS index, NOT (n % 11 = 0 OR n % 13 = 0 OR n % 17 = 0) AS ok,
+         CASE WHEN n % 11 = 0 OR n % 13 = 0 OR n % 17 = 0 THEN NULL ELSE 'echo:' || n || ':stub-model' END AS response,
+         CASE WHEN n % 11 = 0 THEN 'HTTP 500: x' WHEN n % 13 = 0 THEN 'KeyError(''choices'')'
+              WHEN n % 17 = 0 THEN 'TimeoutError(''timed out'')' END AS error,
+         id, prompt
+  FROM o)
+"""
+
+
+@register("api_requests", _PROMPTS_CTE.replace("o AS (", "o0 AS (") + """,
+m AS (
+  SELECT 'bench:' || item_id AS rid,
+         '[' || json_object('content', 'You are a helpful assistant.', 'role', 'system')::VARCHAR || ','
+             || json_object('content', text, 'role', 'user')::VARCHAR || ']' AS msgs FROM benchmark
+  UNION ALL
+  SELECT 'conv:' || conv_id, '[' || string_agg(json_object('content', text, 'role', role)::VARCHAR, ',' ORDER BY turn) || ']'
+  FROM conversations GROUP BY conv_id)
+SELECT rid, 'http://127.0.0.1:8000/v1/chat/completions' AS url,
+       '{"model":"stub-model","messages":' || msgs || ',"max_tokens":512,"temperature":0.7,"top_p":0.9}' AS body
+FROM m
+""")
+def q_api_requests(spark, sf_dir):
+    """Request URL and JSON body per row (messages forwarded as VARIANT)."""
+    pm = _prompts(spark, sf_dir)
+    return pm.select("rid", F.lit(A.endpoint_url(BASE_URL)).alias("url"),
+                     A.request_body(F.col("messages"), MODEL).alias("body"))
+
+
+@register("api_results", _API_SQL + "SELECT * FROM r")
+def q_api_results(spark, sf_dir):
+    """One stubbed chat completion per row; errors captured per row; input order."""
+    res = _api_res(spark, sf_dir)
+    return res.select("index", "ok", "response", "error",
+                      F.variant_get("id", "$", "string").alias("id"),
+                      F.variant_get("prompt", "$", "string").alias("prompt"))
+
+
+@register("api_status_summary", _API_SQL + "SELECT ok, count(*)::BIGINT AS n FROM r GROUP BY ok")
+def q_api_status_summary(spark, sf_dir):
+    return A.status_summary(_api_res(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- files: readers, sinks, jobs
+
+from ..session import scratch_path  # noqa: E402
+from ..sinks import json_sink as S  # noqa: E402
+from ..sources.records import read_records  # noqa: E402
+from . import jobs  # noqa: E402
+
+
+def _corpus_file(spark, sf_dir, extra_bad: bool = False) -> str:
+    """Write the mixed corpus as JSONL in (kind, key) order: a blank line before
+    every conversation record and after every label record. With ``extra_bad``,
+    one unterminated object per benchmark row and one array per label row follow."""
+    corpus = tables.sft_corpus(spark, sf_dir).withColumn("kind_rank", tables.kind_rank())
+    js = F.to_json("rec")
+    lines = corpus.select("kind_rank", "key", F.when(F.col("kind") == "conv", F.concat(F.lit("\n"), js))
+                          .when(F.col("kind") == "label", F.concat(js, F.lit("\n"))).otherwise(js).alias("value"))
+    if extra_bad:
+        bench = tables.load(spark, sf_dir, "benchmark").select(
+            F.lit(4).alias("kind_rank"), F.col("item_id").alias("key"),
+            F.concat(F.lit('{"item_id": '), F.col("item_id").cast("string"), F.lit(', "text": '),
+                     F.expr("substr(to_json(named_struct('text', text)), 9, "
+                            "length(to_json(named_struct('text', text))) - 9)")).alias("value"))
+        labels = tables.load(spark, sf_dir, "labels").select(
+            F.lit(5).alias("kind_rank"), F.col("doc_id").alias("key"),
+            F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(", "), F.col("quality").cast("string"),
+                     F.lit("]")).alias("value"))
+        lines = lines.unionByName(bench).unionByName(labels)
+    path = scratch_path(spark, "corpus") + ".jsonl"
+    lines.orderBy("kind_rank", "key").select("value").write.text(path)
+    return path
+
+
+_LINES_CTE = """
+WITH c AS (
+  SELECT 0 AS kr, conv_id AS key, 'conv_id,messages' AS keys FROM conversations GROUP BY conv_id
+  UNION ALL SELECT 1, doc_id, 'doc_id,lang,text' FROM documents
+  UNION ALL SELECT 2, doc_id, 'doc_id,groundtruth,lang,prompt' FROM documents
+  UNION ALL SELECT 3, doc_id, 'doc_id,quality,toxic' FROM labels
+  {EXTRA}),
+o AS (SELECT kr, key, keys, (row_number() OVER (ORDER BY kr, key) - 1)::BIGINT AS ord,
+             (row_number() OVER (PARTITION BY kr ORDER BY key) - 1)::BIGINT AS i,
+             (SELECT count(DISTINCT conv_id) FROM conversations) AS nc,
+             (SELECT count(*) FROM labels) AS nl FROM c),
+p AS (SELECT *, CASE WHEN kr = 0 THEN 2 * i + 2
+                     WHEN kr = 3 THEN ord + nc + 1 + i
+                     WHEN kr > 3 THEN ord + nc + 1 + nl
+                     ELSE ord + nc + 1 END AS phys FROM o)
+"""
+
+_EXTRA = """UNION ALL SELECT 4, item_id, NULL FROM benchmark
+  UNION ALL SELECT 5, doc_id, NULL FROM labels"""
+
+
+def _keys(rec):
+    return F.array_join(F.array_sort(F.map_keys(F.col(rec).try_cast("map<string,variant>"))), ",")
+
+
+@register("read_jsonl_records", _LINES_CTE.replace("{EXTRA}", "") + """
+SELECT ord, phys - 1 AS line, keys FROM p
+""")
+def q_read_jsonl_records(spark, sf_dir):
+    """Mixed records written by Spark as JSONL (with blank lines), read back in
+    the training dialect: position, line number from the first non-blank line, keys."""
+    recs = read_records(spark, _corpus_file(spark, sf_dir), "train")
+    return recs.select("ord", "line", _keys("rec").alias("keys"))
+
+
+@register("record_ordinals", _LINES_CTE.replace("{EXTRA}", "") + """
+SELECT ord, phys AS line FROM p
+""")
+def q_record_ordinals(spark, sf_dir):
+    """Same file in the API dialect: physical line numbers."""
+    recs = read_records(spark, _corpus_file(spark, sf_dir), "api")
+    return recs.select("ord", "line")
+
+
+@register("record_errors", _LINES_CTE.replace("{EXTRA}", _EXTRA) + """
+SELECT ord, phys - 1 AS line,
+       CASE WHEN kr = 4 THEN 'BAD_JSON' WHEN kr = 5 THEN 'NOT_OBJECT' END AS error FROM p
+""")
+def q_record_errors(spark, sf_dir):
+    """Report mode: unterminated objects are BAD_JSON, arrays NOT_OBJECT."""
+    recs = read_records(spark, _corpus_file(spark, sf_dir, extra_bad=True), "infer", on_error="report")
+    return recs.select("ord", "line", F.col("_error").alias("error"))
+
+
+@register("read_json_array_records", _LINES_CTE.replace("{EXTRA}", "") + "SELECT ord, keys FROM p")
+def q_read_json_array_records(spark, sf_dir):
+    """Mixed records written as JSON arrays (one per part file), read back."""
+    corpus = table_ordinal(tables.sft_corpus(spark, sf_dir).withColumn("kind_rank", tables.kind_rank())
+                           .select("kind_rank", "key", "rec"), "kind_rank", "key")
+    path = scratch_path(spark, "corpus-array")
+    S.write_json_array(corpus, path)
+    recs = read_records(spark, path, "train")
+    return recs.select("ord", _keys("rec").alias("keys"))
+
+
+_ROUNDTRIP_SQL = """
+SELECT (row_number() OVER (ORDER BY d.doc_id) - 1)::BIGINT AS ord, d.doc_id, d.text, l.quality::BIGINT AS quality,
+       true AS has_quality
+FROM documents d LEFT JOIN labels l USING (doc_id)
+"""
+
+
+def _roundtrip(spark, sf_dir, writer, suffix):
+    docs = tables.load(spark, sf_dir, "documents").join(tables.load(spark, sf_dir, "labels"), "doc_id", "left")
+    recs = docs.select("doc_id", F.to_variant_object(F.struct("doc_id", "text", "quality")).alias("rec"))
+    path = scratch_path(spark, "roundtrip") + suffix
+    writer(recs.withColumn("ord", F.col("doc_id")), path)
+    back = read_records(spark, path, "train")
+    return back.select("ord", F.variant_get("rec", "$.doc_id", "bigint").alias("doc_id"),
+                       F.variant_get("rec", "$.text", "string").alias("text"),
+                       F.try_variant_get("rec", "$.quality", "bigint").alias("quality"),
+                       V_has_key("rec", "quality").alias("has_quality"))
+
+
+def V_has_key(rec, name):
+    from ..functions import variant as V
+    return V.has_key(F.col(rec), name)
+
+
+@register("jsonl_roundtrip", _ROUNDTRIP_SQL)
+def q_jsonl_roundtrip(spark, sf_dir):
+    """Records with null fields through the JSONL sink and back: nulls kept, order kept."""
+    return _roundtrip(spark, sf_dir, S.write_jsonl, ".jsonl")
+
+
+@register("json_array_roundtrip", _ROUNDTRIP_SQL)
+def q_json_array_roundtrip(spark, sf_dir):
+    """The same through the JSON-array sink (one array per part file)."""
+    return _roundtrip(spark, sf_dir, S.write_json_array, ".json")
+
+
+_SFT_DATASET_SQL = _LINES_CTE.replace("{EXTRA}", "") + """,
+d AS (
+  SELECT 1 AS kr, doc_id AS key, text AS text, '' AS prompt_text FROM documents WHERE lang = 'en'
+  UNION ALL
+  SELECT 2, doc_id, 'user: ' || text || chr(10) || 'assistant: ' || source,
+         'user: ' || text || chr(10) || 'assistant:' FROM documents WHERE lang = 'en')
+"""
+
+
+@register("sft_dataset", _SFT_DATASET_SQL + "SELECT p.ord, d.text, d.prompt_text FROM d JOIN p USING (kr, key)")
+def q_sft_dataset(spark, sf_dir):
+    """J1: corpus file -> split ``lang == "en"`` -> response-only dataset."""
+    return jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en")
+
+
+@register("training_tensors", _collate_sql(
+    _SFT_DATASET_SQL + ", src AS (SELECT p.ord AS pos, d.text, d.prompt_text FROM d JOIN p USING (kr, key))",
+    "pos", 256, 8, "right"))
+def q_training_tensors(spark, sf_dir):
+    """J4: J1's dataset -> code-point ids (256), batches of 8, right padding, masks."""
+    ds = jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en")
+    t = jobs.training_tensors(ds, "codepoint", 256, 8, "right", check=False)
+    return _tensor_cols(t.withColumnRenamed("ord", "pos"), "pos")
+
+
+@register("batch_inference", _gen_sql(2) + """
+SELECT ord, CASE WHEN rid LIKE 'bench:%' THEN 'Output,id,output,prompt' ELSE 'id,messages,output' END AS keys,
+       string_agg(output, '|' ORDER BY rep) AS output
+FROM g GROUP BY ord, rid
+""")
+def q_batch_inference(spark, sf_dir):
+    """J2: prompt records file -> generations (2 repeats, batches of 4) -> widened records file."""
+    recs = tables.prompt_records(spark, sf_dir).select("kind_rank", "key", "rec")
+    src = scratch_path(spark, "prompts") + ".jsonl"
+    recs.orderBy("kind_rank", "key").select(F.to_json("rec").alias("value")).write.text(src)
+    out = scratch_path(spark, "generations") + ".jsonl"
+    wide = jobs.batch_inference(spark, src, out, stubs.echo_model_factory, "codepoint", num_repeats=2,
+                                batch_size=4, seed=SEED)
+    back = read_records(spark, out, "infer")
+    return back.select("ord", _keys("rec").alias("keys"),
+                       F.array_join(F.try_variant_get("rec", "$.output", "array<string>"), "|").alias("output"))
+
+
+@register("api_inference", _API_SQL + "SELECT * FROM r")
+def q_api_inference(spark, sf_dir):
+    """J3: prompt records JSONL -> stubbed endpoint -> results file in input order."""
+    recs = tables.prompt_records(spark, sf_dir).select("kind_rank", "key", "rec")
+    src = scratch_path(spark, "api-prompts") + ".jsonl"
+    recs.orderBy("kind_rank", "key").select(F.to_json("rec").alias("value")).write.text(src)
+    out = scratch_path(spark, "api-results") + ".jsonl"
+    jobs.api_inference(spark, src, out, BASE_URL, MODEL, transport=stubs.stub_transport)
+    back = read_records(spark, out, "api")
+    return back.select(F.variant_get("rec", "$.index", "bigint").alias("index"),
+                       F.variant_get("rec", "$.ok", "boolean").alias("ok"),
+                       F.try_variant_get("rec", "$.response", "string").alias("response"),
+                       F.try_variant_get("rec", "$.error", "string").alias("error"),
+                       F.try_variant_get("rec", "$.id", "string").alias("id"),
+                       F.try_variant_get("rec", "$.prompt", "string").alias("prompt"))
