@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import chat
 from ..functions import variant as V
 from ..functions.chat import Template
+from ..functions.text import is_nonblank
 
 # Error codes (fixed values).
 MESSAGE_FIELDS = "MESSAGE_FIELDS"
@@ -41,40 +42,40 @@ def _unsupported_text(mode: str, prompt_field: str, response_field: str) -> str:
     )
 
 
-def _pair(rec: Column, prompt_field: str, response_field: str):
-    p = V.field(rec, prompt_field)
-    r = V.field(rec, response_field)
-    ok = V.nonblank_string(rec, prompt_field) & V.nonblank_string(rec, response_field)
-    return ok, V.as_string(p), V.as_string(r)
+def _stage_fields(df: DataFrame, rec_col: str, prompt_field: str, response_field: str) -> DataFrame:
+    """Extract each field once into its own column (separate projections keep
+    Catalyst from re-inlining variant extraction into every later reference)."""
+    rec = F.col(rec_col)
+    return df.withColumns({
+        "_m": V.as_array(V.field(rec, "messages")),
+        "_t": V.as_string(V.field(rec, "text")),
+        "_p": V.as_string(V.field(rec, prompt_field)),
+        "_r": V.as_string(V.field(rec, response_field)),
+    }).withColumns({
+        "_m_ok": F.coalesce(F.size("_m") > 0, F.lit(False)),
+        "_t_ok": is_nonblank(F.col("_t")),
+        "_pair_ok": is_nonblank(F.col("_p")) & is_nonblank(F.col("_r")),
+    })
 
 
-def full_text(rec: Column, template: Template | str | None = None,
-              prompt_field: str = "prompt", response_field: str = "groundtruth") -> tuple[Column, Column]:
-    """Full-sequence text: ``text`` first, then ``messages``, then the pair.
+_STAGE_COLS = ["_m", "_t", "_p", "_r", "_m_ok", "_t_ok", "_pair_ok"]
 
-    Returns ``(text, error)``; exactly one of them is NULL.
-    """
+
+def full_text_df(df: DataFrame, template: Template | str | None = None, prompt_field: str = "prompt",
+                 response_field: str = "groundtruth", rec_col: str = "rec") -> DataFrame:
+    """Add ``text`` and ``_error``: ``text`` first, then ``messages``, then the pair."""
     tpl = chat.get_template(template)
-    text_v = V.field(rec, "text")
-    text_ok = V.nonblank_string(rec, "text")
-    arr = V.as_array(V.field(rec, "messages"))
-    msgs_ok = F.coalesce(F.size(arr) > 0, F.lit(False))
-    msgs_valid = chat.all_valid(arr)
-    pair_ok, p, r = _pair(rec, prompt_field, response_field)
-
-    text = (
-        F.when(text_ok, V.as_string(text_v))
-        .when(msgs_ok & msgs_valid, tpl.render(chat.typed_messages(arr), False))
-        .when(~msgs_ok & pair_ok,
-              tpl.render(F.array(chat.message("user", p), chat.message("assistant", r)), False))
-    )
-    error = (
-        F.when(text_ok, F.lit(None))
-        .when(msgs_ok, F.when(~msgs_valid, F.lit(MESSAGE_FIELDS)))
-        .when(pair_ok, F.lit(None))
-        .otherwise(F.lit(UNSUPPORTED_ROW))
-    )
-    return text, error
+    st = _stage_fields(df, rec_col, prompt_field, response_field)
+    st = st.withColumn("_m_valid", chat.all_valid(F.col("_m")))
+    pair = F.array(chat.message("user", F.col("_p")), chat.message("assistant", F.col("_r")))
+    text = (F.when(F.col("_t_ok"), F.col("_t"))
+            .when(F.col("_m_ok") & F.col("_m_valid"), tpl.render(chat.typed_messages(F.col("_m")), False))
+            .when(~F.col("_m_ok") & F.col("_pair_ok"), tpl.render(pair, False)))
+    error = (F.when(F.col("_t_ok"), F.lit(None))
+             .when(F.col("_m_ok"), F.when(~F.col("_m_valid"), F.lit(MESSAGE_FIELDS)))
+             .when(F.col("_pair_ok"), F.lit(None))
+             .otherwise(F.lit(UNSUPPORTED_ROW)))
+    return st.withColumns({"text": text, "_error": error}).drop(*_STAGE_COLS, "_m_valid")
 
 
 def prompt_response_texts(prompt_messages: Column, assistant_content: Column,
@@ -94,44 +95,80 @@ def prompt_response_texts(prompt_messages: Column, assistant_content: Column,
     return text, prompt_text, ~aligned
 
 
-def response_only(rec: Column, template: Template | str | None = None,
-                  prompt_field: str = "prompt", response_field: str = "groundtruth") -> tuple[Column, Column, Column]:
-    """Response-only texts: ``messages`` first, then the pair, then legacy ``text``.
-
-    Returns ``(text, prompt_text, error)``.
-    """
-    arr = V.as_array(V.field(rec, "messages"))
-    n = F.size(arr)
-    msgs_ok = F.coalesce(n > 0, F.lit(False))
-    last = F.element_at(arr, -1)
-    last_role = V.as_string(V.field(last, "role"))
-    last_content = V.as_string(V.field(last, "content"))
-    last_ok = F.coalesce((last_role == "assistant") & last_content.isNotNull(), F.lit(False))
-    prompt_arr = F.slice(arr, F.lit(1), n - 1)
-    prompt_valid = chat.all_valid(prompt_arr)
-
-    m_text, m_prompt, _ = prompt_response_texts(chat.typed_messages(prompt_arr), last_content, template)
-
-    pair_ok, p, r = _pair(rec, prompt_field, response_field)
-    p_text, p_prompt, _ = prompt_response_texts(F.array(chat.message("user", p)), r, template)
-
-    text_ok = V.nonblank_string(rec, "text")
-    t = V.as_string(V.field(rec, "text"))
-
-    msg_error = (
-        F.when(~V.is_object(last), F.lit(MESSAGE_FIELDS))
-        .when(~last_ok, F.lit(LAST_NOT_ASSISTANT))
-        .when(n == 1, F.lit(NO_PROMPT_MESSAGE))
-        .when(~prompt_valid, F.lit(MESSAGE_FIELDS))
-    )
-    error = (
-        F.when(msgs_ok, msg_error)
-        .when(pair_ok | text_ok, F.lit(None))
-        .otherwise(F.lit(UNSUPPORTED_ROW))
-    )
-    text = F.when(error.isNotNull(), F.lit(None)).when(msgs_ok, m_text).when(pair_ok, p_text).otherwise(t)
-    prompt_text = F.when(error.isNotNull(), F.lit(None)).when(msgs_ok, m_prompt).when(pair_ok, p_prompt).otherwise(F.lit(""))
-    return text, prompt_text, error
+def _texts(df: DataFrame, prompt_msgs: str, answer: str, template, prefix: str) -> DataFrame:
+    """Render prompt and full text once each, then apply the prefix repair."""
+    tpl = chat.get_template(template)
+    pm, a = F.col(prompt_msgs), F.col(answer)
+    df = df.withColumns({
+        f"{prefix}_prompt": tpl.render(pm, True),
+        f"{prefix}_full": tpl.render(F.concat(pm, F.array(chat.message("assistant", a))), False),
+    })
+    aligned = F.startswith(F.col(f"{prefix}_full"), F.col(f"{prefix}_prompt"))
+    return df.withColumn(f"{prefix}_text", F.when(aligned, F.col(f"{prefix}_full"))
+                         .otherwise(F.concat(F.col(f"{prefix}_prompt"), a))).drop(f"{prefix}_full")
+
+
+def response_only_df(df: DataFrame, template: Template | str | None = None, prompt_field: str = "prompt",
+                     response_field: str = "groundtruth", rec_col: str = "rec") -> DataFrame:
+    """Add ``text``, ``prompt_text`` and ``_error``: ``messages`` first, then the
+    pair, then legacy ``text`` (which masks nothing)."""
+    st = _stage_fields(df, rec_col, prompt_field, response_field)
+    n = F.size("_m")
+    st = st.withColumns({
+        "_last": F.element_at("_m", -1),
+        "_pm": F.slice("_m", F.lit(1), F.greatest(n - 1, F.lit(0))),
+    }).withColumns({
+        "_last_obj": V.is_object(F.col("_last")),
+        "_last_content": V.as_string(V.field(F.col("_last"), "content")),
+        "_last_role": V.as_string(V.field(F.col("_last"), "role")),
+        "_pm_valid": chat.all_valid(F.col("_pm")),
+    })
+    msg_error = (F.when(~F.col("_last_obj"), F.lit(MESSAGE_FIELDS))
+                 .when(~F.coalesce((F.col("_last_role") == "assistant") & F.col("_last_content").isNotNull(),
+                                   F.lit(False)), F.lit(LAST_NOT_ASSISTANT))
+                 .when(n == 1, F.lit(NO_PROMPT_MESSAGE))
+                 .when(~F.col("_pm_valid"), F.lit(MESSAGE_FIELDS)))
+    st = st.withColumn("_error", F.when(F.col("_m_ok"), msg_error)
+                       .when(F.col("_pair_ok") | F.col("_t_ok"), F.lit(None))
+                       .otherwise(F.lit(UNSUPPORTED_ROW)))
+    # Render only what the row uses: typed prompt messages and the answer.
+    st = st.withColumns({
+        "_tpm": F.when(F.col("_error").isNull(),
+                       F.when(F.col("_m_ok"), chat.typed_messages(F.col("_pm")))
+                       .when(F.col("_pair_ok"), F.array(chat.message("user", F.col("_p"))))),
+        "_ans": F.when(F.col("_m_ok"), F.col("_last_content")).otherwise(F.col("_r")),
+    })
+    st = _texts(st, "_tpm", "_ans", template, "_x")
+    ok = F.col("_error").isNull()
+    use = F.col("_m_ok") | F.col("_pair_ok")
+    st = st.withColumns({
+        "text": F.when(ok, F.when(use, F.col("_x_text")).otherwise(F.col("_t"))),
+        "prompt_text": F.when(ok, F.when(use, F.col("_x_prompt")).otherwise(F.lit(""))),
+    })
+    return st.drop(*_STAGE_COLS, "_last", "_pm", "_last_obj", "_last_content", "_last_role", "_pm_valid",
+                   "_tpm", "_ans", "_x_text", "_x_prompt")
+
+
+def response_only_typed(df: DataFrame, messages_col: str = "messages",
+                        template: Template | str | None = None) -> DataFrame:
+    """Response-only texts for rows that already hold typed messages
+    (``ARRAY<STRUCT<role, content>>``, e.g. built from a table): same checks,
+    no variant work. Adds ``text``, ``prompt_text``, ``_error``."""
+    m = F.col(messages_col)
+    n = F.size(m)
+    last = F.element_at(m, -1)
+    valid = F.coalesce(F.forall(m, lambda x: x["role"].isNotNull() & x["content"].isNotNull()), F.lit(False))
+    error = (F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(UNSUPPORTED_ROW))
+             .when(~F.coalesce((last["role"] == "assistant") & last["content"].isNotNull(), F.lit(False)),
+                   F.lit(LAST_NOT_ASSISTANT))
+             .when(n == 1, F.lit(NO_PROMPT_MESSAGE))
+             .when(~valid, F.lit(MESSAGE_FIELDS)))
+    st = df.withColumn("_error", error).withColumns({
+        "_tpm": F.when(F.col("_error").isNull(), F.slice(m, F.lit(1), n - 1)),
+        "_ans": last["content"],
+    })
+    st = _texts(st, "_tpm", "_ans", template, "_x")
+    return st.withColumnsRenamed({"_x_text": "text", "_x_prompt": "prompt_text"}).drop("_tpm", "_ans")
 
 
 def split_filter(df: DataFrame, split_field: str | None, split, rec_col: str = "rec") -> DataFrame:
@@ -157,12 +194,9 @@ def split_filter(df: DataFrame, split_field: str | None, split, rec_col: str = "
 def project(df: DataFrame, response_only_loss: bool = True, template: Template | str | None = None,
             prompt_field: str = "prompt", response_field: str = "groundtruth", rec_col: str = "rec") -> DataFrame:
     """Add ``text`` (+ ``prompt_text``) and ``_error`` columns to a records DataFrame."""
-    rec = F.col(rec_col)
     if response_only_loss:
-        text, prompt_text, error = response_only(rec, template, prompt_field, response_field)
-        return df.withColumns({"text": text, "prompt_text": prompt_text, "_error": error})
-    text, error = full_text(rec, template, prompt_field, response_field)
-    return df.withColumns({"text": text, "_error": error})
+        return response_only_df(df, template, prompt_field, response_field, rec_col)
+    return full_text_df(df, template, prompt_field, response_field, rec_col)
 
 
 def first_error(df: DataFrame, order_col: str = "ord"):

@@ -49,11 +49,8 @@ HAVING arg_max(role, turn) = 'assistant' AND count(*) > 1
 """)
 def q_sft_response_only(spark, sf_dir):
     """Minimum slice: conversations -> messages -> response-only texts (valid rows)."""
-    conv = tables.conversations(spark, sf_dir)
-    rec = F.to_variant_object(F.struct("conv_id", "messages"))
-    text, prompt_text, error = sft.response_only(rec)
-    return conv.select("conv_id", text.alias("text"), prompt_text.alias("prompt_text"), error.alias("_error")) \
-        .where(F.col("_error").isNull()).drop("_error")
+    conv = sft.response_only_typed(tables.conversations(spark, sf_dir))
+    return conv.where(F.col("_error").isNull()).select("conv_id", "text", "prompt_text")
 
 
 @register("render_role_content", """
@@ -93,11 +90,10 @@ HAVING arg_max(role, turn) = 'assistant' AND count(*) > 1
 def q_prompt_prefix_repair(spark, sf_dir):
     """Response-only texts under a template whose generation prompt is not the
     assistant header: the full text is rebuilt as prompt text + answer."""
-    conv = tables.conversations(spark, sf_dir)
-    rec = F.to_variant_object(F.struct("conv_id", "messages"))
-    text, prompt_text, error = sft.response_only(rec, "instruction")
-    return conv.select("conv_id", text.alias("text"), prompt_text.alias("prompt_text"), error.alias("_error")) \
-        .where(F.col("_error").isNull()).drop("_error")
+    conv = tables.conversations(spark, sf_dir).select(
+        "conv_id", F.to_variant_object(F.struct("conv_id", "messages")).alias("rec"))
+    out = sft.response_only_df(conv, "instruction")
+    return out.where(F.col("_error").isNull()).select("conv_id", "text", "prompt_text")
 
 
 _CORPUS_FULL_SQL = """
@@ -124,9 +120,8 @@ SELECT rid, text, error FROM conv UNION ALL SELECT * FROM doc UNION ALL SELECT *
 @register("sft_full_text", _CORPUS_FULL_SQL.replace("{WSB}", T.WS_CLASS[1:-1]))
 def q_sft_full_text(spark, sf_dir):
     """Full-sequence texts of the mixed corpus (text, messages and pair rows)."""
-    corpus = tables.sft_corpus(spark, sf_dir)
-    text, error = sft.full_text(F.col("rec"))
-    return corpus.select("rid", text.alias("text"), error.alias("error"))
+    corpus = sft.full_text_df(tables.sft_corpus(spark, sf_dir))
+    return corpus.select("rid", "text", F.col("_error").alias("error"))
 
 
 _CORPUS_RO_SQL = """
@@ -163,9 +158,8 @@ UNION ALL SELECT * FROM doc UNION ALL SELECT * FROM pair UNION ALL SELECT * FROM
 @register("sft_validation_report", _CORPUS_RO_SQL.replace("{WSB}", T.WS_CLASS[1:-1]))
 def q_sft_validation_report(spark, sf_dir):
     """Response-only projection of the mixed corpus with an error code per row."""
-    corpus = tables.sft_corpus(spark, sf_dir)
-    text, prompt_text, error = sft.response_only(F.col("rec"))
-    return corpus.select("rid", text.alias("text"), prompt_text.alias("prompt_text"), error.alias("error"))
+    corpus = sft.response_only_df(tables.sft_corpus(spark, sf_dir))
+    return corpus.select("rid", "text", "prompt_text", F.col("_error").alias("error"))
 
 
 @register("sft_from_pairs", """
@@ -177,11 +171,10 @@ WHERE regexp_matches(text, '[^{WSB}]') AND regexp_matches(source, '[^{WSB}]')
 """.replace("{WSB}", T.WS_CLASS[1:-1]))
 def q_sft_from_pairs(spark, sf_dir):
     """Pair rows under custom field names (``question`` / ``answer``)."""
-    docs = tables.load(spark, sf_dir, "documents")
-    rec = F.to_variant_object(F.struct("doc_id", F.col("text").alias("question"), F.col("source").alias("answer")))
-    text, prompt_text, error = sft.response_only(rec, prompt_field="question", response_field="answer")
-    return docs.select("doc_id", text.alias("text"), prompt_text.alias("prompt_text"), error.alias("_error")) \
-        .where(F.col("_error").isNull()).drop("_error")
+    docs = tables.load(spark, sf_dir, "documents").select("doc_id", F.to_variant_object(
+        F.struct("doc_id", F.col("text").alias("question"), F.col("source").alias("answer"))).alias("rec"))
+    out = sft.response_only_df(docs, prompt_field="question", response_field="answer")
+    return out.where(F.col("_error").isNull()).select("doc_id", "text", "prompt_text")
 
 
 @register("split_filter", """
