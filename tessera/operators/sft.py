@@ -115,7 +115,7 @@ def response_only_df(df: DataFrame, template: Template | str | None = None, prom
     st = _stage_fields(df, rec_col, prompt_field, response_field)
     n = F.size("_m")
     st = st.withColumns({
-        "_last": F.element_at("_m", -1),
+        "_last": F.try_element_at("_m", F.lit(-1)),
         "_pm": F.slice("_m", F.lit(1), F.greatest(n - 1, F.lit(0))),
     }).withColumns({
         "_last_obj": V.is_object(F.col("_last")),
@@ -156,7 +156,7 @@ def response_only_typed(df: DataFrame, messages_col: str = "messages",
     no variant work. Adds ``text``, ``prompt_text``, ``_error``."""
     m = F.col(messages_col)
     n = F.size(m)
-    last = F.element_at(m, -1)
+    last = F.try_element_at(m, F.lit(-1))
     valid = F.coalesce(F.forall(m, lambda x: x["role"].isNotNull() & x["content"].isNotNull()), F.lit(False))
     error = (F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(UNSUPPORTED_ROW))
              .when(~F.coalesce((last["role"] == "assistant") & last["content"].isNotNull(), F.lit(False)),

@@ -156,12 +156,13 @@ def _jsonl(spark: SparkSession, path: str, dialect: str) -> DataFrame:
 def _array(spark: SparkSession, path: str) -> DataFrame:
     docs = (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("_file"), "value")
-            .select("_file", F.is_valid_utf8("value").alias("_utf8"),
+            .select("_file", F.is_valid_utf8("value").alias("_utf8"), is_nonblank(F.col("value")).alias("_nb"),
                     F.try_parse_json(ustrip(F.col("value"))).alias("_doc")))
     arr = V.as_array(F.col("_doc"))
-    sized = docs.select("_file", "_utf8", "_doc", arr.alias("_arr"))
+    sized = docs.select("_file", "_utf8", "_nb", "_doc", arr.alias("_arr"))
     files = sized.select("_file", F.coalesce(F.size("_arr"), F.lit(0)).alias("_n"),
                          F.when(~F.col("_utf8"), F.lit(BAD_UTF8))
+                         .when(~F.col("_nb"), F.lit(None))
                          .when(F.col("_doc").isNull(), F.lit(BAD_JSON))
                          .when(F.col("_arr").isNull(), F.lit(NOT_LIST)).alias("_ferr"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
