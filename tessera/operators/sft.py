@@ -179,7 +179,12 @@ def split_filter(df: DataFrame, split_field: str | None, split, rec_col: str = "
     """
     if not split_field or split is None:
         return df
-    v = V.field(F.col(rec_col), split_field)
+    return df.where(split_condition(F.col(rec_col), split_field, split))
+
+
+def split_condition(rec: Column, split_field: str, split) -> Column:
+    """``rec.get(split_field) == split`` with JSON types (never NULL)."""
+    v = V.field(rec, split_field)
     t = V.type_of(v)
     if isinstance(split, str):
         cond = V.is_string(v) & (F.variant_get(v, "$", "string") == F.lit(split))
@@ -188,7 +193,7 @@ def split_filter(df: DataFrame, split_field: str | None, split, rec_col: str = "
         cond = numeric & (F.try_variant_get(v, "$", "double") == F.lit(float(split)))
     else:
         raise TypeError(f"unsupported split value type: {type(split).__name__}")
-    return df.where(F.coalesce(cond, F.lit(False)))
+    return F.coalesce(cond, F.lit(False))
 
 
 def project(df: DataFrame, response_only_loss: bool = True, template: Template | str | None = None,

@@ -177,20 +177,33 @@ def _array(spark: SparkSession, path: str) -> DataFrame:
     return out.unionByName(file_errors)
 
 
-def _raise_first(df: DataFrame, path: str, dialect: str, fmt: str) -> None:
-    errs = df.where(F.col("_error").isNotNull())
-    if dialect == "train" and fmt == "jsonl":
+def check_columns(err: str = "_error", ord_col: str = "ord") -> list:
+    """Aggregates that locate the first bad record of each kind, plus the record count."""
+    e, o = F.col(err), F.col(ord_col)
+    return [
+        F.min(F.when(e == BAD_UTF8, o)).alias("_c_utf8"),
+        F.min(F.when(e.isin(BAD_JSON, NOT_LIST), o)).alias("_c_json"),
+        F.min(F.when(e == NOT_OBJECT, o)).alias("_c_obj"),
+        F.count(F.lit(1)).alias("_c_n"),
+    ]
+
+
+def raise_from_stats(stats, df: DataFrame, path: str, dialect: str, fmt: str, err: str = "_error") -> None:
+    """Raise the error the single-process reader would have raised first, if any."""
+    if stats["_c_utf8"] is not None:
+        first = stats["_c_utf8"]
+    elif dialect == "train" and fmt == "jsonl":
         # Every line is parsed before any type check: parse errors win.
-        prio = F.when(F.col("_error") == NOT_OBJECT, F.lit(1)).otherwise(F.lit(0))
-        errs = errs.withColumn("_prio", prio).orderBy("_prio", "ord")
+        first = stats["_c_json"] if stats["_c_json"] is not None else stats["_c_obj"]
     else:
-        prio = F.when(F.col("_error") == BAD_UTF8, F.lit(0)).otherwise(F.lit(1))
-        errs = errs.withColumn("_prio", prio).orderBy("_prio", "ord")
-    row = errs.limit(1).collect()
-    if not row:
+        cands = [x for x in (stats["_c_json"], stats["_c_obj"]) if x is not None]
+        first = min(cands) if cands else None
+    if first is None:
+        if not stats["_c_n"]:
+            raise ValueError(_empty_message(dialect, path))
         return
-    r = row[0]
-    code, ord_, line = r["_error"], r["ord"], r["line"]
+    r = df.where(F.col("ord") == first).where(F.col(err).isNotNull()).select("ord", "line", err).limit(1).collect()[0]
+    code, ord_, line = r[err], r["ord"], r["line"]
     if code == BAD_UTF8:
         msg = f"{path} is not valid UTF-8"
     elif code == NOT_LIST:
@@ -208,18 +221,10 @@ def _raise_first(df: DataFrame, path: str, dialect: str, fmt: str) -> None:
     raise RecordError(msg, code, ord_, line)
 
 
-def read_records(spark: SparkSession, path: str, dialect: str = "train", on_error: str = "fail",
-                 fmt: str = "auto") -> DataFrame:
-    """Read JSON-array or JSONL records (see module doc).
-
-    ``on_error="fail"`` runs one distributed check and raises ``RecordError``
-    for the first bad record, in the order the single-process reader would
-    have found it; ``"report"`` returns every record with an ``_error`` column.
-    """
+def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: str = "auto"):
+    """``(records with _error, resolved format)``, lazily; no validation action."""
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
-    if on_error not in ("fail", "report"):
-        raise ValueError("on_error must be 'fail' or 'report'")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # last key wins, as in Python
     files = _files(spark, path, dialect)
     if fmt == "auto":
@@ -228,11 +233,21 @@ def read_records(spark: SparkSession, path: str, dialect: str = "train", on_erro
         raise ValueError("fmt must be 'auto', 'array' or 'jsonl'")
     if not files:
         raise ValueError(_empty_message(dialect, path))
-    df = _array(spark, path) if fmt == "array" else _jsonl(spark, path, dialect)
+    return (_array(spark, path) if fmt == "array" else _jsonl(spark, path, dialect)), fmt
+
+
+def read_records(spark: SparkSession, path: str, dialect: str = "train", on_error: str = "fail",
+                 fmt: str = "auto") -> DataFrame:
+    """Read JSON-array or JSONL records (see module doc).
+
+    ``on_error="fail"`` runs one aggregate job and raises ``RecordError`` for
+    the first bad record, in the order the single-process reader would have
+    found it; ``"report"`` returns every record with an ``_error`` column.
+    """
+    if on_error not in ("fail", "report"):
+        raise ValueError("on_error must be 'fail' or 'report'")
+    df, fmt = scan_records(spark, path, dialect, fmt)
     if on_error == "report":
         return df
-    _raise_first(df, path, dialect, fmt)
-    out = df.drop("_error")
-    if out.isEmpty():
-        raise ValueError(_empty_message(dialect, path))
-    return out
+    raise_from_stats(df.agg(*check_columns()).collect()[0], df, path, dialect, fmt)
+    return df.drop("_error")
