@@ -602,8 +602,8 @@ def _corpus_file(spark, sf_dir, extra_bad: bool = False) -> str:
     """Write the mixed corpus as JSONL in (kind, key) order: a blank line before
     every conversation record and after every label record. With ``extra_bad``,
     one unterminated object per benchmark row and one array per label row follow."""
-    corpus = tables.sft_corpus(spark, sf_dir).withColumn("kind_rank", tables.kind_rank())
-    js = F.to_json("rec")
+    corpus = tables.sft_corpus_json(spark, sf_dir)
+    js = F.col("value")
     lines = corpus.select("kind_rank", "key", F.when(F.col("kind") == "conv", F.concat(F.lit("\n"), js))
                           .when(F.col("kind") == "label", F.concat(js, F.lit("\n"))).otherwise(js).alias("value"))
     if extra_bad:

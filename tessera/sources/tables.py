@@ -86,3 +86,19 @@ def prompt_records(spark: SparkSession, sf_dir: str, with_invalid: bool = False)
     for kind, r in PROMPT_KIND_ORDER.items():
         rank = F.when(F.col("kind") == kind, F.lit(r)).otherwise(rank)
     return out.withColumns({"rid": F.concat_ws(":", "kind", F.col("key").cast("string")), "kind_rank": rank})
+
+
+def sft_corpus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sft_corpus`` as JSON text lines ``(kind, key, kind_rank, value)``, built
+    straight from structs (no variant round trip) for writing files."""
+    conv = conversations(spark, sf_dir).select(
+        F.lit("conv").alias("kind"), F.col("conv_id").alias("key"), F.to_json(F.struct("conv_id", "messages")).alias("value"))
+    docs = load(spark, sf_dir, "documents")
+    doc = docs.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("key"),
+                      F.to_json(F.struct("doc_id", "text", "lang")).alias("value"))
+    pair = docs.select(F.lit("pair").alias("kind"), F.col("doc_id").alias("key"), F.to_json(F.struct(
+        "doc_id", F.col("text").alias("prompt"), F.col("source").alias("groundtruth"), "lang")).alias("value"))
+    label = load(spark, sf_dir, "labels").select(
+        F.lit("label").alias("kind"), F.col("doc_id").alias("key"),
+        F.to_json(F.struct("doc_id", "quality", "toxic"), {"ignoreNullFields": "false"}).alias("value"))
+    return conv.unionByName(doc).unionByName(pair).unionByName(label).withColumn("kind_rank", kind_rank())
