@@ -101,11 +101,14 @@ def pad_batches(items: DataFrame, tokenizer: K.Tokenizer | str | None = None, si
     }).drop("_w")
 
 
-_MODELS: dict[int, object] = {}
+_MODELS: dict[str, object] = {}
 
 
 def _model(factory):
-    key = id(factory)
+    """One model per Python worker and factory: reused Python workers keep it
+    across tasks (the factory arrives freshly unpickled with every task, so it
+    is keyed by name, not identity). Use module-level factories."""
+    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
     if key not in _MODELS:
         _MODELS[key] = factory()
     return _MODELS[key]
