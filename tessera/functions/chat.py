@@ -128,6 +128,8 @@ class PythonTemplate(Template):
         self.factory = factory
 
     def render(self, messages, add_generation_prompt):
+        from ..session import ship_package
+        ship_package()
         factory = self.factory
         gen = bool(add_generation_prompt)
         state = {}

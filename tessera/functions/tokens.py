@@ -115,6 +115,8 @@ class PandasTokenizer(Tokenizer):
         self.factory, self.eos_id, self.pad_id, self.special_ids = factory, eos_id, pad_id, tuple(special_ids)
 
     def encode(self, text, max_length=None):
+        from ..session import ship_package
+        ship_package()
         factory, state = self.factory, {}
         limit = None if max_length is None else int(max_length)
 
@@ -127,6 +129,8 @@ class PandasTokenizer(Tokenizer):
         return _enc(text)
 
     def decode(self, ids):
+        from ..session import ship_package
+        ship_package()
         factory, state = self.factory, {}
 
         @F.pandas_udf("string")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variant as V
-from ..session import checkpoint_root
+from ..session import checkpoint_root, ship_package
 
 Transport = Callable[[str, bytes, dict, float], tuple[int, str]]
 
@@ -68,6 +68,7 @@ def call(requests: DataFrame, url: str, api_key: str | None = None, transport: T
     that. No retry: a failure is a row. Checkpointed so the calls happen once
     per successful task.
     """
+    ship_package(requests.sparkSession)
     send = transport or http_transport
     headers = {"Content-Type": "application/json", "Authorization": f"Bearer {resolve_api_key(api_key)}"}
     workers = max(1, int(concurrency))

@@ -20,7 +20,7 @@ from ..functions import chat
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import variant as V
-from ..session import checkpoint_root
+from ..session import checkpoint_root, ship_package
 
 MESSAGES_NOT_LIST = "MESSAGES_NOT_LIST"
 EMPTY_PROMPT = "EMPTY_PROMPT"
@@ -122,6 +122,7 @@ def generate(items: DataFrame, model_factory: Callable[[], object], config: dict
     optionally ``seed``. The model returns full sequences (prompt + new ids) as
     a list of id lists. Output: ``work_idx, input_ids, output_ids``.
     """
+    ship_package(items.sparkSession)
     has_seed = "seed" in items.columns
     cols = ["work_idx", "batch_id", "input_ids", "attention_mask"] + (["seed"] if has_seed else [])
     conf = dict(config)

@@ -55,6 +55,8 @@ def write_jsonl(df: DataFrame, path: str, record: Column | str = "rec", order_co
 def write_json_array(df: DataFrame, path: str, record: Column | str = "rec", order_col: str | None = "ord",
                      overwrite: bool = False) -> None:
     """Each part file is one valid JSON array (compact, one element per line)."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     out = df.orderBy(order_col) if order_col else df
     lines = out.select(_json_col(record).alias("value"))
 
