@@ -35,31 +35,30 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
     """
     if on_error not in ("fail", "report"):
         raise ValueError("on_error must be 'fail' or 'report'")
-    recs, fmt = scan_records(spark, path, "train")
-    recs = recs.withColumnRenamed("_error", "_rec_error")
     use_split = bool(split_field) and split is not None
-    keep = sft.split_condition(F.col("rec"), split_field, split) if use_split else F.lit(True)
-    flagged = recs.withColumn("_keep", keep & F.col("_rec_error").isNull())
-    proj = sft.project(flagged, response_only_loss, template, prompt_field, response_field)
+    select = (lambda rec: sft.split_condition(rec, split_field, split)) if use_split else (lambda rec: F.lit(True))
+    recs, fmt, sel = scan_records(spark, path, "train", select=select)
     cols = ["text", "prompt_text"] if response_only_loss else ["text"]
+    proj = sft.project(sel, response_only_loss, template, prompt_field, response_field)
     if on_error == "report":
-        return proj.where(F.col("_keep") | F.col("_rec_error").isNotNull()).select(
-            "ord", *cols, F.coalesce("_rec_error", "_error").alias("_error"))
-    stats = proj.agg(*check_columns("_rec_error"),
-                     F.count_if("_keep").alias("_n_kept"),
-                     F.min(F.when(F.col("_keep") & F.col("_error").isNotNull(), F.col("ord"))).alias("_bad")).collect()[0]
-    raise_from_stats(stats, recs, path, "train", fmt, err="_rec_error")
-    if stats["_n_kept"] == 0:
+        bad_recs = recs.where(F.col("_error").isNotNull()).select(
+            "ord", F.lit(None).cast("bigint").alias("idx"), *[F.lit(None).cast("string").alias(c) for c in cols],
+            "_error")
+        return proj.select("ord", "idx", *cols, "_error").unionByName(bad_recs)
+    # One job over the records, one over the selected rows; both only aggregate.
+    raise_from_stats(recs.agg(*check_columns()).collect()[0], recs, path, "train", fmt)
+    stats = proj.agg(F.count(F.lit(1)).alias("n"),
+                     F.min(F.when(F.col("_error").isNotNull(), F.col("idx"))).alias("bad")).collect()[0]
+    if stats["n"] == 0:
         if use_split:
             raise ValueError(f"No examples found with {split_field}={split!r} in {path}")
         raise ValueError(f"No training examples found in {path}")
-    if stats["_bad"] is not None:
-        bad = proj.where(F.col("ord") == stats["_bad"]).select("_error").collect()[0]["_error"]
-        idx = flagged.where(F.col("_keep") & (F.col("ord") < stats["_bad"])).count()
+    if stats["bad"] is not None:
+        bad = proj.where(F.col("idx") == stats["bad"]).select("_error").collect()[0]["_error"]
         detail = sft.ERROR_TEXT.get(bad) or sft._unsupported_text(
             "response" if response_only_loss else "full", prompt_field, response_field)
-        raise ValueError(f"Invalid SFT example at index {idx} of {path}: {detail}")
-    return proj.where(F.col("_keep")).select("ord", *cols)
+        raise ValueError(f"Invalid SFT example at index {stats['bad']} of {path}: {detail}")
+    return proj.select("ord", "idx", *cols)
 
 
 def load_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -72,8 +71,9 @@ def training_tensors(dataset: DataFrame, tokenizer: K.Tokenizer | str | None = N
                      check: bool = True) -> DataFrame:
     """J4: dataset ``(ord, text[, prompt_text])`` -> padded ids, mask and labels per row."""
     prompt_col = None if loss_on_prompt or "prompt_text" not in dataset.columns else "prompt_text"
-    # Batches are formed over the rows that survived the split filter.
-    dense = table_ordinal(dataset, "ord", name="idx")
+    # Batches are formed over the rows that survived the split filter: J1
+    # already numbers them (``idx``); other inputs are numbered by ``ord``.
+    dense = dataset if "idx" in dataset.columns else table_ordinal(dataset, "ord", name="idx")
     out = C.collate(dense, tokenizer, max_length, batch_size, side, prompt_col=prompt_col, order_col="idx")
     return C.check_tensors(out, "idx") if check else out
 

@@ -732,9 +732,13 @@ d AS (
 """
 
 
-@register("sft_dataset", _SFT_DATASET_SQL + "SELECT p.ord, d.text, d.prompt_text FROM d JOIN p USING (kr, key)")
+@register("sft_dataset", _SFT_DATASET_SQL + """
+SELECT p.ord, (row_number() OVER (ORDER BY p.ord) - 1)::BIGINT AS idx, d.text, d.prompt_text
+FROM d JOIN p USING (kr, key)
+""")
 def q_sft_dataset(spark, sf_dir):
-    """J1: corpus file -> split ``lang == "en"`` -> response-only dataset."""
+    """J1: corpus file -> split ``lang == "en"`` -> response-only dataset; ``idx`` is
+    the position among the rows that passed the split."""
     return jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en")
 
 

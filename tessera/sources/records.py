@@ -18,7 +18,7 @@ number, NULL for arrays), ``rec`` and, with ``on_error="report"``, ``_error``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -105,76 +105,120 @@ def _line_table(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("_keep", is_nonblank(F.col("value")))
 
 
-def _block_offsets(lines: DataFrame) -> DataFrame:
+def _block_offsets(lines: DataFrame, selected: bool = False) -> DataFrame:
     """One row per (file, block) split with the offsets that number its lines.
 
-    The table has one row per input split, so it is small; it is checkpointed
-    once and broadcast below ``BROADCAST_ROWS`` rows.
+    ``ord`` numbers non-blank lines; with ``selected``, ``idx`` also numbers the
+    lines whose record passes the caller's predicate (``_sel``). Within one
+    task, ids assigned after a narrow filter are consecutive, so per-task sums
+    of earlier splits' counts give each split's first id. The table has one row
+    per input split; it is checkpointed once and broadcast below
+    ``BROADCAST_ROWS`` rows.
     """
-    blocks = lines.groupBy("_file", "_block").agg(
+    aggs = [
         F.min("_mid").alias("_b_mid"),
         F.count(F.lit(1)).alias("_b_lines"),
         F.count_if(F.col("_keep")).alias("_b_kept"),
         F.min(F.when(F.col("_keep"), F.col("_mid"))).alias("_b_first"),
-    )
+    ]
+    if selected:
+        aggs.append(F.count_if(F.col("_sel")).alias("_b_sel"))
+    blocks = lines.groupBy("_file", "_block").agg(*aggs)
     glob = Window.orderBy("_file", "_block")
     before = glob.rowsBetween(Window.unboundedPreceding, -1)
     whole = glob.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Splits packed into the same task are numbered by one running id there.
     same_task = Window.partitionBy(F.shiftright("_b_mid", 33)).orderBy("_b_mid") \
         .rowsBetween(Window.unboundedPreceding, -1)
+    task_base = F.shiftleft(F.shiftright("_b_mid", 33), 33)
     line_off = F.coalesce(F.sum("_b_lines").over(before), F.lit(0))
     first_phys = F.when(F.col("_b_first").isNotNull(), line_off + (F.col("_b_first") - F.col("_b_mid")) + 1)
-    return blocks.select(
+    cols = [
         "_file", "_block", "_b_mid",
         line_off.alias("_line_off"),
         F.coalesce(F.sum("_b_kept").over(before), F.lit(0)).alias("_kept_off"),
-        (F.shiftleft(F.shiftright("_b_mid", 33), 33) + F.coalesce(F.sum("_b_kept").over(same_task), F.lit(0)))
-        .alias("_kmid0"),
+        (task_base + F.coalesce(F.sum("_b_kept").over(same_task), F.lit(0))).alias("_kmid0"),
         F.first(first_phys, ignorenulls=True).over(whole).alias("_first_line"),
-    )
+    ]
+    if selected:
+        cols += [F.coalesce(F.sum("_b_sel").over(before), F.lit(0)).alias("_sel_off"),
+                 (task_base + F.coalesce(F.sum("_b_sel").over(same_task), F.lit(0))).alias("_smid0")]
+    return blocks.select(*cols)
+
+
+def _parse(value: Column) -> Column:
+    return F.try_parse_json(ustrip(value))
+
 
+def _selected(value: Column, select) -> Column:
+    """A valid object record for which ``select(rec)`` holds (never NULL)."""
+    rec = _parse(value)
+    return F.coalesce(F.is_valid_utf8(value) & V.is_object(rec) & select(rec), F.lit(False))
 
-def _jsonl(spark: SparkSession, path: str, dialect: str) -> DataFrame:
+
+def _jsonl(spark: SparkSession, path: str, dialect: str, select=None):
     checkpoint_root(spark)
     lines = _line_table(spark, path)
-    offsets = _block_offsets(lines).checkpoint(eager=True)
-    n_blocks = offsets.count()
+    if select is not None:
+        lines = lines.withColumn("_sel", F.col("_keep") & _selected(F.col("value"), select))
+    offsets = _block_offsets(lines, select is not None).checkpoint(eager=True)
+    offsets_j = maybe_broadcast(offsets, offsets.count())
     kept = lines.where(F.col("_keep")).withColumn("_kmid", F.monotonically_increasing_id())
-    j = kept.join(maybe_broadcast(offsets, n_blocks), ["_file", "_block"])
     phys = F.col("_line_off") + (F.col("_mid") - F.col("_b_mid")) + 1
     line = phys if dialect == "api" else phys - F.col("_first_line") + 1
-    rec = F.try_parse_json(ustrip(F.col("value")))
+    ord_ = F.col("_kept_off") + F.col("_kmid") - F.col("_kmid0")
+    j = kept.join(offsets_j, ["_file", "_block"])
     err = (F.when(~F.is_valid_utf8(F.col("_raw")), F.lit(BAD_UTF8))
            .when(F.col("rec").isNull(), F.lit(BAD_JSON))
            .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
-    return (j.select((F.col("_kept_off") + F.col("_kmid") - F.col("_kmid0")).alias("ord"), line.alias("line"),
-                     rec.alias("rec"), F.col("value").alias("_raw"))
-            .withColumn("_error", err).drop("_raw"))
-
-
-def _array(spark: SparkSession, path: str) -> DataFrame:
+    out = (j.select(ord_.alias("ord"), line.alias("line"), _parse(F.col("value")).alias("rec"),
+                    F.col("value").alias("_raw"))
+           .withColumn("_error", err).drop("_raw"))
+    if select is None:
+        return out, None
+    sel = kept.where(F.col("_sel")).withColumn("_smid", F.monotonically_increasing_id())
+    sel = sel.join(offsets_j, ["_file", "_block"]).select(
+        ord_.alias("ord"), (F.col("_sel_off") + F.col("_smid") - F.col("_smid0")).alias("idx"),
+        line.alias("line"), _parse(F.col("value")).alias("rec"))
+    return out, sel
+
+
+def _array(spark: SparkSession, path: str, n_files: int, select=None):
     docs = (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("_file"), "value")
             .select("_file", F.is_valid_utf8("value").alias("_utf8"), is_nonblank(F.col("value")).alias("_nb"),
-                    F.try_parse_json(ustrip(F.col("value"))).alias("_doc")))
+                    _parse(F.col("value")).alias("_doc")))
     arr = V.as_array(F.col("_doc"))
     sized = docs.select("_file", "_utf8", "_nb", "_doc", arr.alias("_arr"))
+    # (position, element) pairs, then the selected ones, so both numberings
+    # come from one pass over each (unsplittable) file.
+    pairs = F.transform("_arr", lambda e, i: F.struct(i.cast("bigint").alias("p"), e.alias("e")))
+    chosen = (F.filter(pairs, lambda x: F.coalesce(V.is_object(x["e"]) & select(x["e"]), F.lit(False)))
+              if select is not None else F.array())
     files = sized.select("_file", F.coalesce(F.size("_arr"), F.lit(0)).alias("_n"),
+                         F.coalesce(F.size(chosen), F.lit(0)).alias("_ns"),
                          F.when(~F.col("_utf8"), F.lit(BAD_UTF8))
                          .when(~F.col("_nb"), F.lit(None))
                          .when(F.col("_doc").isNull(), F.lit(BAD_JSON))
                          .when(F.col("_arr").isNull(), F.lit(NOT_LIST)).alias("_ferr"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("_file", "_ferr", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = files.select("_file", "_ferr", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                           F.coalesce(F.sum("_ns").over(before), F.lit(0)).alias("_soff"))
+    offsets_j = maybe_broadcast(offsets.drop("_ferr"), n_files)
     elems = sized.select("_file", F.posexplode("_arr").alias("_pos", "rec"))
-    out = elems.join(F.broadcast(offsets.drop("_ferr")), "_file").select(
+    out = elems.join(offsets_j, "_file").select(
         (F.col("_off") + F.col("_pos")).alias("ord"), F.lit(None).cast("bigint").alias("line"), "rec")
     out = out.withColumn("_error", F.when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
     file_errors = offsets.where(F.col("_ferr").isNotNull()).select(
         F.lit(-1).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("line"),
         F.lit(None).cast("variant").alias("rec"), F.col("_ferr").alias("_error"))
-    return out.unionByName(file_errors)
+    out = out.unionByName(file_errors)
+    if select is None:
+        return out, None
+    sel = sized.select("_file", F.posexplode(chosen).alias("_spos", "_pe")).join(offsets_j, "_file").select(
+        (F.col("_off") + F.col("_pe")["p"]).alias("ord"), (F.col("_soff") + F.col("_spos")).alias("idx"),
+        F.lit(None).cast("bigint").alias("line"), F.col("_pe")["e"].alias("rec"))
+    return out, sel
 
 
 def check_columns(err: str = "_error", ord_col: str = "ord") -> list:
@@ -221,8 +265,13 @@ def raise_from_stats(stats, df: DataFrame, path: str, dialect: str, fmt: str, er
     raise RecordError(msg, code, ord_, line)
 
 
-def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: str = "auto"):
-    """``(records with _error, resolved format)``, lazily; no validation action."""
+def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: str = "auto", select=None):
+    """``(records with _error, resolved format, selected)`` lazily; no validation action.
+
+    With ``select`` (a function ``rec -> boolean Column``), ``selected`` holds the
+    valid object records it accepts with ``idx``, their dense position among
+    themselves, computed from the same split offsets (no sort).
+    """
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # last key wins, as in Python
@@ -233,7 +282,8 @@ def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: st
         raise ValueError("fmt must be 'auto', 'array' or 'jsonl'")
     if not files:
         raise ValueError(_empty_message(dialect, path))
-    return (_array(spark, path) if fmt == "array" else _jsonl(spark, path, dialect)), fmt
+    df, sel = _array(spark, path, len(files), select) if fmt == "array" else _jsonl(spark, path, dialect, select)
+    return df, fmt, sel
 
 
 def read_records(spark: SparkSession, path: str, dialect: str = "train", on_error: str = "fail",
@@ -246,7 +296,7 @@ def read_records(spark: SparkSession, path: str, dialect: str = "train", on_erro
     """
     if on_error not in ("fail", "report"):
         raise ValueError("on_error must be 'fail' or 'report'")
-    df, fmt = scan_records(spark, path, dialect, fmt)
+    df, fmt, _ = scan_records(spark, path, dialect, fmt)
     if on_error == "report":
         return df
     raise_from_stats(df.agg(*check_columns()).collect()[0], df, path, dialect, fmt)

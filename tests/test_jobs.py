@@ -38,3 +38,42 @@ def test_training_tensors_from_dataset(spark, tmp):
     assert t[0].labels[: len("user: ab\nassistant:")] == [-100] * len("user: ab\nassistant:")
     assert t[1].labels[:3] == [ord("x"), ord("y"), ord("z")]
     assert len(t[0].input_ids) == len(t[1].input_ids)
+
+
+@pytest.mark.parametrize("fmt", ["jsonl", "json"])
+def test_split_index_is_partition_invariant(spark, tmp, fmt):
+    import json
+    recs = [{"text": "t%d" % i + "x" * (i % 40), "split": "a" if i % 3 else "b"} for i in range(2500)]
+    if fmt == "jsonl":
+        body = "\n".join(json.dumps(r) + ("\n" if i % 11 == 0 else "") for i, r in enumerate(recs)) + "\n"
+    else:
+        body = json.dumps(recs)
+    p = write(tmp / f"s.{fmt}", body)
+    want_ords = [i for i, r in enumerate(recs) if r["split"] == "a"]
+    want = list(zip(want_ords, range(len(want_ords))))
+    for max_bytes in ("8k", "64k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", max_bytes)
+        try:
+            got = sorted((r.ord, r.idx) for r in
+                         jobs.load_sft_dataset(spark, p, split_field="split", split="a").select("ord", "idx").collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == want, max_bytes
+
+
+def test_training_tensors_partition_invariant(spark, tmp):
+    import json
+    recs = [{"prompt": "q%d" % i, "groundtruth": "a" * (1 + i % 9), "split": "s" if i % 4 else "o"}
+            for i in range(600)]
+    p = write(tmp / "t.jsonl", "\n".join(json.dumps(r) for r in recs) + "\n")
+    results = []
+    for max_bytes in ("4k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", max_bytes)
+        try:
+            ds = jobs.load_sft_dataset(spark, p, split_field="split", split="s")
+            t = jobs.training_tensors(ds, "codepoint", 32, 3, "left")
+            results.append(sorted((r.idx, r.batch_id, tuple(r.input_ids), tuple(r.labels)) for r in t.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert results[0] == results[1]
+    assert [r[1] for r in results[0]] == [i // 3 for i in range(len(results[0]))]
