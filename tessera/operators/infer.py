@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,11 +90,19 @@ def repeat_items(df: DataFrame, num_repeats: int, batch_size: int | None = None,
 
 
 def pad_batches(items: DataFrame, tokenizer: K.Tokenizer | str | None = None, side: str = "left",
-                text_col: str = "text") -> DataFrame:
-    """Tokenize prompts and pad each batch to its longest row (left by default)."""
+                text_col: str = "text", group_batches: int = 64) -> DataFrame:
+    """Tokenize prompts and pad each batch to its longest row (left by default).
+
+    Consecutive batches are grouped ``group_batches`` at a time (``_group``);
+    one hash shuffle on ``_group`` serves both the batch-width window and the
+    grouped model call, and every group holds at most
+    ``group_batches * batch_size`` rows.
+    """
     tok = K.get_tokenizer(tokenizer)
-    ids = items.withColumn("input_ids", tok.encode(F.col(text_col)))
-    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
+    grouped = items.withColumn("_group", F.floor(F.col("batch_id") / int(group_batches)).cast("bigint")) \
+        .repartition("_group")
+    ids = grouped.withColumn("input_ids", tok.encode(F.col(text_col)))
+    width = F.max(F.size("input_ids")).over(Window.partitionBy("_group", "batch_id"))
     ids = ids.withColumn("_w", width)
     return ids.withColumns({
         "attention_mask": K.attention_mask(F.size("input_ids"), F.col("_w"), side),
@@ -119,24 +128,30 @@ def generate(items: DataFrame, model_factory: Callable[[], object], config: dict
     """Run ``model.generate(input_ids, attention_mask, config, seeds)`` once per batch.
 
     ``items`` carries ``work_idx, batch_id, input_ids, attention_mask`` and
-    optionally ``seed``. The model returns full sequences (prompt + new ids) as
-    a list of id lists. Output: ``work_idx, input_ids, output_ids``.
+    optionally ``seed`` and ``_group`` (from ``pad_batches``). Ids reach the
+    model as numpy arrays; it returns full sequences (prompt + new ids), one
+    integer sequence per row. Output: ``work_idx, input_ids, output_ids``.
     """
     ship_package(items.sparkSession)
     has_seed = "seed" in items.columns
+    key = "_group" if "_group" in items.columns else "batch_id"
     cols = ["work_idx", "batch_id", "input_ids", "attention_mask"] + (["seed"] if has_seed else [])
+    cols += [key] if key != "batch_id" else []
     conf = dict(config)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("work_idx")
         model = _model(model_factory)
-        seeds = list(pdf["seed"]) if has_seed else None
-        out = model.generate([list(x) for x in pdf["input_ids"]], [list(x) for x in pdf["attention_mask"]],
-                             conf, seeds)
-        return pd.DataFrame({"work_idx": pdf["work_idx"].to_numpy(), "input_ids": pdf["input_ids"],
-                             "output_ids": [list(map(int, o)) for o in out]})
-
-    gen = items.select(*cols).groupBy("batch_id").applyInPandas(
+        pdf = pdf.sort_values("work_idx", kind="stable")
+        outs = []
+        for _, b in pdf.groupby("batch_id", sort=True):
+            seeds = [int(x) for x in b["seed"]] if has_seed else None
+            res = model.generate(list(b["input_ids"]), list(b["attention_mask"]), conf, seeds)
+            outs.append(pd.DataFrame({"work_idx": b["work_idx"].to_numpy(), "input_ids": b["input_ids"].to_numpy(),
+                                      "output_ids": [np.asarray(o, dtype=np.int32) for o in res]}))
+        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(
+            {"work_idx": [], "input_ids": [], "output_ids": []})
+
+    gen = items.select(*cols).groupBy(key).applyInPandas(
         run, "work_idx bigint, input_ids array<int>, output_ids array<int>")
     if checkpoint:
         checkpoint_root(items.sparkSession)

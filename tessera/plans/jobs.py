@@ -78,6 +78,25 @@ def training_tensors(dataset: DataFrame, tokenizer: K.Tokenizer | str | None = N
     return C.check_tensors(out, "idx") if check else out
 
 
+def checked_prompts(spark: SparkSession, path: str, dialect: str, prompt_field: str = "prompt",
+                    messages_field: str = "messages", system_prompt: str | None = DEFAULT_SYSTEM_PROMPT):
+    """Read records and build their messages; bad records and rows without a
+    usable prompt are found by one aggregate job, before any model or endpoint
+    call. Returns ``(records, rows with messages)``."""
+    recs, fmt, _ = scan_records(spark, path, dialect)
+    pm = I.prompt_messages(recs.withColumnRenamed("_error", "_rec_error"), prompt_field, messages_field,
+                           system_prompt)
+    stats = pm.agg(*check_columns("_rec_error"),
+                   F.min(F.when(F.col("_rec_error").isNull() & F.col("_error").isNotNull(), F.col("ord")))
+                   .alias("_bad")).collect()[0]
+    raise_from_stats(stats, recs, path, dialect, fmt)
+    if stats["_bad"] is not None:
+        code = pm.where(F.col("ord") == stats["_bad"]).select("_error").collect()[0]["_error"]
+        raise ValueError(f"Row {stats['_bad']}: each row must contain a non-empty '{prompt_field}' string "
+                         f"or a '{messages_field}' list ({code}).")
+    return recs.drop("_error"), pm.drop("_rec_error", "_error")
+
+
 def generation_items(records: DataFrame, num_repeats: int = 1, batch_size: int = 4,
                      template: Template | str | None = None, prompt_field: str = "prompt",
                      messages_field: str = "messages", system_prompt: str | None = DEFAULT_SYSTEM_PROMPT,
@@ -103,14 +122,20 @@ def batch_inference(spark: SparkSession, input_path: str, output_path: str, mode
     if num_repeats < 1:
         raise ValueError("num_repeats must be >= 1")
     S.check_output(spark, output_path, overwrite)
-    records = read_records(spark, input_path, "infer")
-    items = generation_items(records, num_repeats, batch_size, seed=seed, **kw)
+    template = kw.pop("template", None)
+    records, pm = checked_prompts(spark, input_path, "infer", **kw)
+    rendered = pm.select("ord", I.render_prompt(F.col("messages"), template).alias("text"))
+    items = I.repeat_items(rendered, num_repeats, batch_size, seed)
     padded = I.pad_batches(items, tokenizer, "left")
     sample = temperature > 0
     config = {"max_new_tokens": max_new_tokens, "do_sample": sample,
               "temperature": temperature if sample else None, "top_p": top_p if sample else None}
     gen = I.generate(padded, model_factory, config)
-    outs = I.decode_outputs(gen, tokenizer).join(items.select("work_idx", "ord", "rep"), "work_idx")
+    # Row-major layout: (ord, rep) follow from work_idx, no join back to the items.
+    outs = I.decode_outputs(gen, tokenizer).withColumns({
+        "ord": F.floor(F.col("work_idx") / num_repeats).cast("bigint"),
+        "rep": F.pmod(F.col("work_idx"), F.lit(num_repeats)),
+    })
     gathered = I.gather(outs.select("ord", "rep", "output"), num_repeats, always_list_output)
     wide = I.widen(records, gathered.withColumnRenamed("output", output_field), output_field)
     S.write_records(wide, output_path, output_format, "rec", "ord", overwrite)
@@ -130,12 +155,7 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
     """
     if output_path:
         S.check_output(spark, output_path, overwrite)
-    records = read_records(spark, input_path, "api")
-    pm = I.prompt_messages(records, prompt_field, messages_field, system_prompt)
-    bad = sft.first_error(pm)
-    if bad is not None:
-        raise ValueError(f"Row {bad['ord']}: each row must contain a non-empty '{prompt_field}' string "
-                         f"or '{messages_field}' list ({bad['_error']}).")
+    records, pm = checked_prompts(spark, input_path, "api", prompt_field, messages_field, system_prompt)
     req = pm.select("ord", A.request_body(F.col("messages"), model, max_tokens, temperature, top_p).alias("body"))
     if done is not None:
         req = req.join(done.select(F.col("index").alias("ord")), "ord", "left_anti")

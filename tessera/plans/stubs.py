@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+
 
 class EchoTokenModel:
     """Token-level model: appends the code points of
@@ -20,12 +22,15 @@ class EchoTokenModel:
     def generate(self, input_ids, attention_mask, config, seeds):
         outs = []
         for i, (ids, mask) in enumerate(zip(input_ids, attention_mask)):
-            prompt = "".join(chr(t) for t, m in zip(ids, mask) if m)
+            ids, mask = np.asarray(ids), np.asarray(mask)
+            prompt_ids = ids[mask == 1]
             seed = "-" if seeds is None else str(seeds[i])
-            text = f"  gen:{len(prompt)}:{seed}:{prompt[-8:]}\n"
-            outs.append(list(ids) + [ord(c) for c in text] + [self.eos_id])
+            tail = "".join(map(chr, prompt_ids[-8:].tolist()))
+            text = f"  gen:{len(prompt_ids)}:{seed}:{tail}\n"
+            new = np.fromiter((ord(c) for c in text), dtype=np.int64, count=len(text))
+            outs.append(np.concatenate([ids, new, [self.eos_id]]))
         width = max((len(o) for o in outs), default=0)
-        return [o + [self.eos_id] * (width - len(o)) for o in outs]
+        return [np.pad(o, (0, width - len(o)), constant_values=self.eos_id) for o in outs]
 
 
 def echo_model_factory():
