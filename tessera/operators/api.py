@@ -61,17 +61,24 @@ RESPONSE_SCHEMA = "ord bigint, status int, body string, exc string, latency_sec
 
 
 def call(requests: DataFrame, url: str, api_key: str | None = None, transport: Transport | None = None,
-         timeout: float = 120.0, concurrency: int = 4, checkpoint: bool = True) -> DataFrame:
+         timeout: float = 120.0, concurrency: int = 4, checkpoint: bool = True,
+         tasks: int | None = None) -> DataFrame:
     """``(ord, body)`` -> ``(ord, status, body, exc, latency_sec)``, one call per row.
 
-    ``concurrency`` threads per running task; total concurrency is tasks times
-    that. No retry: a failure is a row. Checkpointed so the calls happen once
-    per successful task.
+    Without ``tasks``: ``concurrency`` threads in every running task. With
+    ``tasks``: the requests are spread over that many tasks and the total
+    ``concurrency`` is divided among them (at least one thread each). No retry:
+    a failure is a row. Checkpointed so the calls happen once per successful
+    task.
     """
     ship_package(requests.sparkSession)
     send = transport or http_transport
     headers = {"Content-Type": "application/json", "Authorization": f"Bearer {resolve_api_key(api_key)}"}
-    workers = max(1, int(concurrency))
+    if tasks:
+        requests = requests.repartition(int(tasks))
+        workers = max(1, -(-int(concurrency) // int(tasks)))
+    else:
+        workers = max(1, int(concurrency))
 
     def one(body: str):
         started = time.time()

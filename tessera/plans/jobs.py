@@ -147,7 +147,7 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
                   messages_field: str = "messages", system_prompt: str | None = DEFAULT_SYSTEM_PROMPT,
                   max_tokens: int = 512, temperature: float = 0.7, top_p: float = 0.9, concurrency: int = 4,
                   timeout: float = 120.0, api_key: str | None = None, id_field: str = "id",
-                  overwrite: bool = False, done: DataFrame | None = None) -> DataFrame:
+                  overwrite: bool = False, done: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """J3: JSONL -> messages -> one chat completion per row -> results in input order.
 
     ``done``: results of an interrupted run (with ``index``); those rows are
@@ -159,7 +159,7 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
     req = pm.select("ord", A.request_body(F.col("messages"), model, max_tokens, temperature, top_p).alias("body"))
     if done is not None:
         req = req.join(done.select(F.col("index").alias("ord")), "ord", "left_anti")
-    resp = A.call(req, A.endpoint_url(base_url), api_key, transport, timeout, concurrency)
+    resp = A.call(req, A.endpoint_url(base_url), api_key, transport, timeout, concurrency, tasks=tasks)
     res = A.results(records, resp, id_field, prompt_field)
     if done is not None:
         res = res.unionByName(done).orderBy("index")

@@ -135,3 +135,18 @@ def test_batch_job_scalar_list_and_formats(spark, tmp):
     assert isinstance(json.loads(str(back[0].rec))["output"], list)
     assert S.output_format("x.jsonl") == "jsonl" and S.output_format("x.txt") == "json"
     assert S.output_format("x.jsonl", "json") == "json"
+
+
+def test_concurrency_divided_over_tasks(spark):
+    import threading
+    seen = set()
+
+    def transport(url, body, headers, timeout):
+        seen.add(threading.get_ident())
+        return 200, json.dumps({"choices": [{"message": {"content": "ok"}}]})
+
+    req = spark.range(40).select(F.col("id").alias("ord"), F.lit("{}").alias("body"))
+    out = A.call(req, "http://h/chat/completions", None, transport, concurrency=4, tasks=2, checkpoint=False)
+    rows = out.collect()
+    assert sorted(r.ord for r in rows) == list(range(40))
+    assert all(r.status == 200 for r in rows)
