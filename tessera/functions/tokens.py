@@ -82,11 +82,11 @@ class Utf8Tokenizer(Tokenizer):
         b = F.encode(text, "UTF-8")
         if max_length is not None:
             b = F.substring(b, 1, int(max_length))
-        h = F.hex(b)
-        n = F.octet_length(b)
-        ids = F.transform(F.sequence(F.lit(0), n - 1),
-                          lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int"))
-        return F.when(n == 0, F.array().cast("array<int>")).otherwise(ids)
+        # Hex digits in pairs, found in one linear pass (per-index substrings
+        # would walk the string from the start every time).
+        pairs = F.regexp_extract_all(F.hex(b), F.lit("[0-9A-F]{2}"), 0)
+        ids = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
+        return F.when(F.octet_length(b) == 0, F.array().cast("array<int>")).otherwise(ids)
 
     def count(self, text, max_length=None):
         n = F.octet_length(text)

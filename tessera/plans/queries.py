@@ -785,3 +785,32 @@ def q_api_inference(spark, sf_dir):
                        F.try_variant_get("rec", "$.error", "string").alias("error"),
                        F.try_variant_get("rec", "$.id", "string").alias("id"),
                        F.try_variant_get("rec", "$.prompt", "string").alias("prompt"))
+
+
+# ---------------------------------------------------------------- more tokenizers, streaming
+
+@register("tokenize_utf8", """
+SELECT doc_id, len(ids)::BIGINT AS n_tokens, array_to_string(ids, ',') AS ids
+FROM (SELECT doc_id,
+             list_transform(range(least(octet_length(encode(text)), 512)),
+                            lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INTEGER) AS ids
+      FROM documents)
+""")
+def q_tokenize_utf8(spark, sf_dir):
+    """Byte-level ids of every document, truncated to 512 bytes."""
+    docs = tables.load(spark, sf_dir, "documents")
+    ids = K.Utf8Tokenizer().encode(F.col("text"), 512)
+    return docs.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), K.ids_text(ids).alias("ids"))
+
+
+@register("stream_sft_report", "SELECT text, prompt_text, error FROM (" + _CORPUS_RO_SQL.replace(
+    "{WSB}", T.WS_CLASS[1:-1]) + ")")
+def q_stream_sft_report(spark, sf_dir):
+    """The response-only projection run by Structured Streaming (``availableNow``)
+    over the corpus file, sunk to Parquet with a checkpoint, then read back."""
+    from ..streaming.sft_stream import run_sft_stream
+    src = _corpus_file(spark, sf_dir)
+    out = scratch_path(spark, "stream-out")
+    q = run_sft_stream(spark, src, out, scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(out).select("text", "prompt_text", F.col("_error").alias("error"))
