@@ -64,40 +64,48 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
 
 
 class Template:
+    """Renders typed messages. *Linear* templates (all built-ins) render each
+    message on its own and join the pieces, so messages stored as rows can be
+    rendered before they are gathered (``message_text`` + ``join``)."""
+
     name = "template"
+    linear = True
+    separator = ""
+    generation_prompt = ""
 
-    def render(self, messages: Column, add_generation_prompt: bool) -> Column:  # pragma: no cover
+    def message_text(self, role: Column, content: Column) -> Column:  # pragma: no cover
         raise NotImplementedError
 
+    def join(self, pieces: Column, add_generation_prompt: bool) -> Column:
+        """Join rendered messages (``ARRAY<STRING>``), optionally adding the generation prompt."""
+        if add_generation_prompt:
+            pieces = F.concat(pieces, F.array(F.lit(self.generation_prompt)))
+        return F.array_join(pieces, self.separator)
+
+    def render(self, messages: Column, add_generation_prompt: bool) -> Column:
+        pieces = F.transform(messages, lambda x: self.message_text(x["role"], x["content"]))
+        return self.join(pieces, add_generation_prompt)
+
 
 class RoleContentTemplate(Template):
     """``role: content`` lines joined by newlines; generation prompt ``assistant:``."""
 
     name = "role_content"
+    separator = "\n"
+    generation_prompt = "assistant:"
 
-    def render(self, messages, add_generation_prompt):
-        lines = F.transform(messages, lambda x: F.concat(x["role"], F.lit(": "), x["content"]))
-        if add_generation_prompt:
-            lines = F.concat(lines, F.array(F.lit("assistant:")))
-        return F.array_join(lines, "\n")
+    def message_text(self, role, content):
+        return F.concat(role, F.lit(": "), content)
 
 
 class ChatMLTemplate(Template):
     """The public ChatML layout."""
 
     name = "chatml"
+    generation_prompt = "<|im_start|>assistant\n"
 
-    def render(self, messages, add_generation_prompt):
-        body = F.array_join(
-            F.transform(
-                messages,
-                lambda x: F.concat(F.lit("<|im_start|>"), x["role"], F.lit("\n"), x["content"], F.lit("<|im_end|>\n")),
-            ),
-            "",
-        )
-        if add_generation_prompt:
-            body = F.concat(body, F.lit("<|im_start|>assistant\n"))
-        return body
+    def message_text(self, role, content):
+        return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit("<|im_end|>\n"))
 
 
 class InstructionTemplate(Template):
@@ -106,15 +114,10 @@ class InstructionTemplate(Template):
     and the prefix repair of response-only rendering is exercised."""
 
     name = "instruction"
+    generation_prompt = "### Response:\n"
 
-    def render(self, messages, add_generation_prompt):
-        body = F.array_join(
-            F.transform(messages, lambda x: F.concat(F.lit("### "), x["role"], F.lit("\n"), x["content"], F.lit("\n\n"))),
-            "",
-        )
-        if add_generation_prompt:
-            body = F.concat(body, F.lit("### Response:\n"))
-        return body
+    def message_text(self, role, content):
+        return F.concat(F.lit("### "), role, F.lit("\n"), content, F.lit("\n\n"))
 
 
 class PythonTemplate(Template):
@@ -123,6 +126,7 @@ class PythonTemplate(Template):
     pandas UDF. The callable is built once per Python worker by ``factory``."""
 
     name = "python"
+    linear = False
 
     def __init__(self, factory: Callable[[], Callable[[list, bool], str]]):
         self.factory = factory

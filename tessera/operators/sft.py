@@ -171,6 +171,50 @@ def response_only_typed(df: DataFrame, messages_col: str = "messages",
     return st.withColumnsRenamed({"_x_text": "text", "_x_prompt": "prompt_text"}).drop("_tpm", "_ans")
 
 
+def response_only_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
+                        content: str = "text", template: Template | str | None = None) -> DataFrame:
+    """Response-only texts straight from a table of turns ``(key, order, role, content)``.
+
+    Each turn is rendered before the gather (a narrow, code-generated
+    projection); the aggregate collects rendered pieces and the last turn; the
+    texts are then slices and joins of those pieces (no lambda functions).
+    Same checks as ``response_only_typed``. Needs a linear template.
+    """
+    tpl = chat.get_template(template)
+    if not tpl.linear:
+        msgs = chat.conversation_messages(turns.select(
+            F.col(key).alias("conv_id"), F.col(order).alias("turn"), F.col(role).alias("role"),
+            F.col(content).alias("text")))
+        return response_only_typed(msgs.withColumnRenamed("conv_id", key), "messages", tpl)
+    r, c, o = F.col(role), F.col(content), F.col(order)
+    pieces = turns.select(key, order, role, content, tpl.message_text(r, c).alias("_piece"),
+                          (r.isNull() | c.isNull()).alias("_invalid"))
+    g = pieces.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(order, "_piece"))).alias("_parts"),
+        F.max_by(F.struct(r.alias("role"), c.alias("content")), o).alias("_last"),
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if("_invalid").alias("_n_invalid"),
+    )
+    n = F.col("_n")
+    error = (F.when(~F.coalesce((F.col("_last.role") == "assistant") & F.col("_last.content").isNotNull(),
+                                F.lit(False)), F.lit(LAST_NOT_ASSISTANT))
+             .when(n == 1, F.lit(NO_PROMPT_MESSAGE))
+             .when(F.col("_n_invalid") > 0, F.lit(MESSAGE_FIELDS)))
+    lines = F.col("_parts._piece")
+    g = g.withColumn("_error", error).withColumns({
+        "_x_prompt": tpl.join(F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(1))), True),
+        "_x_full": tpl.join(lines, False),
+    })
+    aligned = F.startswith(F.col("_x_full"), F.col("_x_prompt"))
+    ok = F.col("_error").isNull()
+    return g.select(
+        key,
+        F.when(ok, F.when(aligned, F.col("_x_full")).otherwise(F.concat("_x_prompt", "_last.content"))).alias("text"),
+        F.when(ok, F.col("_x_prompt")).alias("prompt_text"),
+        "_error",
+    )
+
+
 def split_filter(df: DataFrame, split_field: str | None, split, rec_col: str = "rec") -> DataFrame:
     """Keep rows whose ``split_field`` equals ``split`` (no-op when either is unset).
 

@@ -49,8 +49,9 @@ HAVING arg_max(role, turn) = 'assistant' AND count(*) > 1
 """)
 def q_sft_response_only(spark, sf_dir):
     """Minimum slice: conversations -> messages -> response-only texts (valid rows)."""
-    conv = sft.response_only_typed(tables.conversations(spark, sf_dir))
-    return conv.where(F.col("_error").isNull()).select("conv_id", "text", "prompt_text")
+    turns = tables.load(spark, sf_dir, "conversations")
+    out = sft.response_only_turns(turns, "conv_id", "turn", "role", "text")
+    return out.where(F.col("_error").isNull()).select("conv_id", "text", "prompt_text")
 
 
 @register("render_role_content", """

@@ -97,3 +97,28 @@ def test_fail_fast_index_counts_kept_rows(spark):
         sft.sft_dataset(df, split_field="split", split="z")
     rep = sft.sft_dataset(df, on_error="report").orderBy("ord").collect()
     assert [r._error for r in rep] == [None, None, None, "UNSUPPORTED_ROW"]
+
+
+def test_response_only_turns_table(spark):
+    from tessera.functions.chat import PythonTemplate
+    rows = [(1, 0, "user", "u"), (1, 1, "assistant", "v"),
+            (2, 0, "user", "u"), (2, 1, "assistant", "v"), (2, 2, "user", "w"),
+            (3, 0, "assistant", "v"),
+            (4, 0, "user", None), (4, 1, "assistant", "v"),
+            (5, 1, "assistant", "b"), (5, 0, "system", "s")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.text, r.prompt_text, r._error) for r in sft.response_only_turns(turns).collect()}
+    assert got[1] == ("user: u\nassistant: v", "user: u\nassistant:", None)
+    assert got[2] == (None, None, "LAST_NOT_ASSISTANT")
+    assert got[3] == (None, None, "NO_PROMPT_MESSAGE")
+    assert got[4] == (None, None, "MESSAGE_FIELDS")
+    assert got[5] == ("system: s\nassistant: b", "system: s\nassistant:", None)
+    inst = {r.conv_id: r for r in sft.response_only_turns(turns, template="instruction").collect()}
+    assert inst[1].prompt_text == "### user\nu\n\n### Response:\n" and inst[1].text == inst[1].prompt_text + "v"
+
+    def factory():
+        return lambda msgs, gen: "|".join(m["role"] for m in msgs) + ("|gen" if gen else "")
+
+    py = {r.conv_id: r for r in sft.response_only_turns(turns, template=PythonTemplate(factory)).collect()}
+    assert py[1].prompt_text == "user|gen"
+    assert py[1].text == "user|genv"
