@@ -61,6 +61,11 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
     return proj.select("ord", "idx", *cols)
 
 
+def save_sft_dataset(dataset: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Write J1's dataset (``ord, idx, text[, prompt_text]``) as Parquet."""
+    S.write_dataset(dataset, path, overwrite)
+
+
 def load_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Backward-compatible loader with every default."""
     return load_sft_dataset(spark, path)

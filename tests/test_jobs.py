@@ -77,3 +77,36 @@ def test_training_tensors_partition_invariant(spark, tmp):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert results[0] == results[1]
     assert [r[1] for r in results[0]] == [i // 3 for i in range(len(results[0]))]
+
+
+def test_dataset_parquet_round_trip(spark, tmp):
+    p = write(tmp / "r.jsonl", '{"prompt":"ab","groundtruth":"cd"}\n{"text":"xyz"}\n')
+    ds = jobs.load_sft_dataset(spark, p)
+    out = str(tmp / "ds.parquet")
+    jobs.save_sft_dataset(ds, out)
+    back = sorted(tuple(r) for r in spark.read.parquet(out).select("ord", "idx", "text", "prompt_text").collect())
+    assert back == sorted(tuple(r) for r in ds.select("ord", "idx", "text", "prompt_text").collect())
+    with pytest.raises(Exception):
+        jobs.save_sft_dataset(ds, out)
+
+
+def test_api_resume_skips_answered_rows(spark, tmp):
+    import json
+    from pyspark.sql import functions as F
+    from tessera.plans import stubs
+    p = write(tmp / "q.jsonl", "\n".join(json.dumps({"id": i, "prompt": "p" * (i + 2)}) for i in range(12)) + "\n")
+    first = jobs.api_inference(spark, p, None, "http://h", "m", transport=stubs.stub_transport)
+    done = first.where(F.col("index") < 5)
+    log = str(tmp / "calls.log")
+
+    def counting(url, body, headers, timeout):
+        with open(log, "a") as fh:
+            fh.write("x\n")
+        return stubs.stub_transport(url, body, headers, timeout)
+
+    resumed = jobs.api_inference(spark, p, None, "http://h", "m", transport=counting, done=done)
+    rows = resumed.collect()
+    assert [r["index"] for r in rows] == list(range(12))
+    assert [(r.ok, r.response, r.error) for r in rows] == [(r.ok, r.response, r.error) for r in first.collect()]
+    with open(log) as fh:
+        assert len(fh.readlines()) == 7  # only the rows without a result were called
