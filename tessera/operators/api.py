@@ -10,7 +10,6 @@ building the result envelope are column expressions again.
 
 from __future__ import annotations
 
-import json
 import os
 import time
 from concurrent.futures import ThreadPoolExecutor

@@ -19,7 +19,7 @@ from ..operators import infer as I
 from ..operators import sft
 from ..sinks import json_sink as S
 from ..sources.ordinals import table_ordinal
-from ..sources.records import check_columns, raise_from_stats, read_records, scan_records
+from ..sources.records import check_columns, raise_from_stats, scan_records
 
 DEFAULT_SYSTEM_PROMPT = "You are a helpful assistant."
 
