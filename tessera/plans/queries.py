@@ -325,13 +325,13 @@ def q_full_label(spark, sf_dir):
 
 
 @register("decode_tokens", """
-SELECT doc_id, left(text, 512) AS decoded FROM documents
+SELECT doc_id, text AS decoded FROM documents
 """)
 def q_decode_tokens(spark, sf_dir):
-    """Encode (512 code points), append the end-of-sequence id, decode skipping specials."""
+    """Encode whole documents, append the end-of-sequence id, decode skipping specials."""
     tok = K.CodepointTokenizer()
     docs = tables.load(spark, sf_dir, "documents")
-    ids = F.concat(tok.encode(F.col("text"), 512), F.array(F.lit(tok.eos_id)))
+    ids = F.concat(tok.encode(F.col("text")), F.array(F.lit(tok.eos_id)))
     return docs.select("doc_id", tok.decode(ids).alias("decoded"))
 
 
