@@ -50,3 +50,28 @@ def table_ordinal(df: DataFrame, *order_cols, name: str = "ord") -> DataFrame:
     n_parts = ordered.rdd.getNumPartitions()
     out = tagged.withColumn("_pid", partition_of(F.col("_mid"))).join(maybe_broadcast(offsets, n_parts), "_pid")
     return out.withColumn(name, F.col("_off") + row_in_partition(F.col("_mid"))).drop("_mid", "_pid", "_off")
+
+
+def running_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str], parts: int | None = None) -> DataFrame:
+    """Add ``<c>_before``: the sum of ``c`` over all rows strictly before each
+    row in ``order_cols`` order, without gathering the table in one task.
+
+    Rows are range-partitioned on the order (checkpointed, so the assignment is
+    fixed), each range is summed, the ranges' totals are prefix-summed (one
+    row per range, at most ``parts``), and a window inside each range adds the
+    local prefix.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order_cols).withColumn("_rp", F.spark_partition_id()) \
+        .checkpoint(eager=True)
+    totals = ranged.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    earlier = Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_rp", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_po_{c}")
+                                  for c in sum_cols])
+    local = Window.partitionBy("_rp").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(maybe_broadcast(offs, parts), "_rp")
+    out = out.withColumns({f"{c}_before": F.col(f"_po_{c}") + F.coalesce(F.sum(c).over(local), F.lit(0))
+                           for c in sum_cols})
+    return out.drop("_rp", *[f"_po_{c}" for c in sum_cols])

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from ..functions import variant as V
 from ..functions.text import WHITESPACE, is_nonblank, ustrip
 from ..session import checkpoint_root
-from .ordinals import maybe_broadcast
+from .ordinals import maybe_broadcast, running_sums
 
 # Error codes (fixed values).
 BAD_JSON = "BAD_JSON"
@@ -111,9 +111,9 @@ def _block_offsets(lines: DataFrame, selected: bool = False) -> DataFrame:
     ``ord`` numbers non-blank lines; with ``selected``, ``idx`` also numbers the
     lines whose record passes the caller's predicate (``_sel``). Within one
     task, ids assigned after a narrow filter are consecutive, so per-task sums
-    of earlier splits' counts give each split's first id. The table has one row
-    per input split; it is checkpointed once and broadcast below
-    ``BROADCAST_ROWS`` rows.
+    of earlier splits' counts give each split's first id. Offsets across splits
+    are distributed running sums; the table has one row per input split and is
+    broadcast below ``BROADCAST_ROWS`` rows.
     """
     aggs = [
         F.min("_mid").alias("_b_mid"),
@@ -121,31 +121,36 @@ def _block_offsets(lines: DataFrame, selected: bool = False) -> DataFrame:
         F.count_if(F.col("_keep")).alias("_b_kept"),
         F.min(F.when(F.col("_keep"), F.col("_mid"))).alias("_b_first"),
     ]
+    counts = ["_b_lines", "_b_kept"]
     if selected:
         aggs.append(F.count_if(F.col("_sel")).alias("_b_sel"))
+        counts.append("_b_sel")
     blocks = lines.groupBy("_file", "_block").agg(*aggs)
-    glob = Window.orderBy("_file", "_block")
-    before = glob.rowsBetween(Window.unboundedPreceding, -1)
-    whole = glob.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = running_sums(blocks, ["_file", "_block"], counts)
     # Splits packed into the same task are numbered by one running id there.
     same_task = Window.partitionBy(F.shiftright("_b_mid", 33)).orderBy("_b_mid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     task_base = F.shiftleft(F.shiftright("_b_mid", 33), 33)
-    line_off = F.coalesce(F.sum("_b_lines").over(before), F.lit(0))
-    first_phys = F.when(F.col("_b_first").isNotNull(), line_off + (F.col("_b_first") - F.col("_b_mid")) + 1)
     cols = [
-        "_file", "_block", "_b_mid",
-        line_off.alias("_line_off"),
-        F.coalesce(F.sum("_b_kept").over(before), F.lit(0)).alias("_kept_off"),
+        "_file", "_block", "_b_mid", "_b_first",
+        F.col("_b_lines_before").alias("_line_off"),
+        F.col("_b_kept_before").alias("_kept_off"),
         (task_base + F.coalesce(F.sum("_b_kept").over(same_task), F.lit(0))).alias("_kmid0"),
-        F.first(first_phys, ignorenulls=True).over(whole).alias("_first_line"),
     ]
     if selected:
-        cols += [F.coalesce(F.sum("_b_sel").over(before), F.lit(0)).alias("_sel_off"),
+        cols += [F.col("_b_sel_before").alias("_sel_off"),
                  (task_base + F.coalesce(F.sum("_b_sel").over(same_task), F.lit(0))).alias("_smid0")]
     return blocks.select(*cols)
 
 
+def _first_line(offsets: DataFrame) -> int:
+    """Physical line number of the first non-blank line (one value)."""
+    row = offsets.where(F.col("_b_first").isNotNull()).agg(F.min_by(
+        F.col("_line_off") + (F.col("_b_first") - F.col("_b_mid")) + 1,
+        F.struct("_file", "_block")).alias("first")).collect()[0]
+    return int(row["first"]) if row["first"] is not None else 1
+
+
 def _parse(value: Column) -> Column:
     return F.try_parse_json(ustrip(value))
 
@@ -162,10 +167,10 @@ def _jsonl(spark: SparkSession, path: str, dialect: str, select=None):
     if select is not None:
         lines = lines.withColumn("_sel", F.col("_keep") & _selected(F.col("value"), select))
     offsets = _block_offsets(lines, select is not None).checkpoint(eager=True)
-    offsets_j = maybe_broadcast(offsets, offsets.count())
+    offsets_j = maybe_broadcast(offsets.drop("_b_first"), offsets.count())
     kept = lines.where(F.col("_keep")).withColumn("_kmid", F.monotonically_increasing_id())
     phys = F.col("_line_off") + (F.col("_mid") - F.col("_b_mid")) + 1
-    line = phys if dialect == "api" else phys - F.col("_first_line") + 1
+    line = phys if dialect == "api" else phys - F.lit(_first_line(offsets)) + 1
     ord_ = F.col("_kept_off") + F.col("_kmid") - F.col("_kmid0")
     j = kept.join(offsets_j, ["_file", "_block"])
     err = (F.when(~F.is_valid_utf8(F.col("_raw")), F.lit(BAD_UTF8))
@@ -201,9 +206,8 @@ def _array(spark: SparkSession, path: str, n_files: int, select=None):
                          .when(~F.col("_nb"), F.lit(None))
                          .when(F.col("_doc").isNull(), F.lit(BAD_JSON))
                          .when(F.col("_arr").isNull(), F.lit(NOT_LIST)).alias("_ferr"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("_file", "_ferr", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                           F.coalesce(F.sum("_ns").over(before), F.lit(0)).alias("_soff"))
+    offsets = running_sums(files, ["_file"], ["_n", "_ns"]).select(
+        "_file", "_ferr", F.col("_n_before").alias("_off"), F.col("_ns_before").alias("_soff"))
     offsets_j = maybe_broadcast(offsets.drop("_ferr"), n_files)
     elems = sized.select("_file", F.posexplode("_arr").alias("_pos", "rec"))
     out = elems.join(offsets_j, "_file").select(
