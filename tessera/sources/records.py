@@ -105,15 +105,47 @@ def _line_table(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("_keep", is_nonblank(F.col("value")))
 
 
-def _block_offsets(lines: DataFrame, selected: bool = False) -> DataFrame:
+# Offsets tables of at most this many rows (one per input split) are summed by
+# one window in one task; larger ones by the distributed ``running_sums``.
+SINGLE_TASK_SPLITS = 200_000
+
+_SIZE_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
+               "t": 1 << 40, "tb": 1 << 40}
+
+
+def _bytes(value: str) -> int:
+    v = value.strip().lower()
+    num = v.rstrip("abcdefghijklmnopqrstuvwxyz")
+    return int(float(num) * _SIZE_UNITS.get(v[len(num):] or "b", 1))
+
+
+def split_bound(spark: SparkSession, path: str, n_files: int) -> int:
+    """An upper bound on the number of input splits of ``path``.
+
+    Splits are never smaller than ``min(maxPartitionBytes, openCostInBytes)``
+    (except a file's last one), so files + total bytes / that size bounds them.
+    Total bytes come from one file-system summary call on the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    statuses = fs.globStatus(hpath) or []
+    total = sum(fs.getContentSummary(st.getPath()).getLength() for st in statuses)
+    min_split = max(1, min(_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")),
+                           _bytes(spark.conf.get("spark.sql.files.openCostInBytes", "4m"))))
+    return n_files + total // min_split + 1
+
+
+def _block_offsets(lines: DataFrame, selected: bool = False, small: bool = True) -> DataFrame:
     """One row per (file, block) split with the offsets that number its lines.
 
     ``ord`` numbers non-blank lines; with ``selected``, ``idx`` also numbers the
     lines whose record passes the caller's predicate (``_sel``). Within one
     task, ids assigned after a narrow filter are consecutive, so per-task sums
     of earlier splits' counts give each split's first id. Offsets across splits
-    are distributed running sums; the table has one row per input split and is
-    broadcast below ``BROADCAST_ROWS`` rows.
+    are running sums: one window when the table is ``small`` (a proven bound),
+    the distributed ``running_sums`` otherwise. The table is broadcast below
+    ``BROADCAST_ROWS`` rows.
     """
     aggs = [
         F.min("_mid").alias("_b_mid"),
@@ -126,7 +158,11 @@ def _block_offsets(lines: DataFrame, selected: bool = False) -> DataFrame:
         aggs.append(F.count_if(F.col("_sel")).alias("_b_sel"))
         counts.append("_b_sel")
     blocks = lines.groupBy("_file", "_block").agg(*aggs)
-    blocks = running_sums(blocks, ["_file", "_block"], counts)
+    if small:
+        before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts})
+    else:
+        blocks = running_sums(blocks, ["_file", "_block"], counts)
     # Splits packed into the same task are numbered by one running id there.
     same_task = Window.partitionBy(F.shiftright("_b_mid", 33)).orderBy("_b_mid") \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -161,12 +197,13 @@ def _selected(value: Column, select) -> Column:
     return F.coalesce(F.is_valid_utf8(value) & V.is_object(rec) & select(rec), F.lit(False))
 
 
-def _jsonl(spark: SparkSession, path: str, dialect: str, select=None):
+def _jsonl(spark: SparkSession, path: str, dialect: str, select=None, n_files: int = 1):
     checkpoint_root(spark)
     lines = _line_table(spark, path)
     if select is not None:
         lines = lines.withColumn("_sel", F.col("_keep") & _selected(F.col("value"), select))
-    offsets = _block_offsets(lines, select is not None).checkpoint(eager=True)
+    small = split_bound(spark, path, n_files) <= SINGLE_TASK_SPLITS
+    offsets = _block_offsets(lines, select is not None, small).checkpoint(eager=True)
     offsets_j = maybe_broadcast(offsets.drop("_b_first"), offsets.count())
     kept = lines.where(F.col("_keep")).withColumn("_kmid", F.monotonically_increasing_id())
     phys = F.col("_line_off") + (F.col("_mid") - F.col("_b_mid")) + 1
@@ -206,8 +243,13 @@ def _array(spark: SparkSession, path: str, n_files: int, select=None):
                          .when(~F.col("_nb"), F.lit(None))
                          .when(F.col("_doc").isNull(), F.lit(BAD_JSON))
                          .when(F.col("_arr").isNull(), F.lit(NOT_LIST)).alias("_ferr"))
-    offsets = running_sums(files, ["_file"], ["_n", "_ns"]).select(
-        "_file", "_ferr", F.col("_n_before").alias("_off"), F.col("_ns_before").alias("_soff"))
+    if n_files <= SINGLE_TASK_SPLITS:
+        before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        summed = files.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0))
+                                    for c in ("_n", "_ns")})
+    else:
+        summed = running_sums(files, ["_file"], ["_n", "_ns"])
+    offsets = summed.select("_file", "_ferr", F.col("_n_before").alias("_off"), F.col("_ns_before").alias("_soff"))
     offsets_j = maybe_broadcast(offsets.drop("_ferr"), n_files)
     elems = sized.select("_file", F.posexplode("_arr").alias("_pos", "rec"))
     out = elems.join(offsets_j, "_file").select(
@@ -286,7 +328,8 @@ def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: st
         raise ValueError("fmt must be 'auto', 'array' or 'jsonl'")
     if not files:
         raise ValueError(_empty_message(dialect, path))
-    df, sel = _array(spark, path, len(files), select) if fmt == "array" else _jsonl(spark, path, dialect, select)
+    df, sel = (_array(spark, path, len(files), select) if fmt == "array"
+               else _jsonl(spark, path, dialect, select, len(files)))
     return df, fmt, sel
 
 

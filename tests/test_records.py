@@ -118,3 +118,37 @@ def test_positions_do_not_depend_on_splits(spark, tmp):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert got == want, max_bytes
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_distributed_and_single_window_offsets_agree(spark, tmp, monkeypatch, limit):
+    from tessera.sources import records as R
+    monkeypatch.setattr(R, "SINGLE_TASK_SPLITS", limit)
+    body = "\n".join(('{"i":%d}' % i) + ("\n" if i % 5 == 0 else "") for i in range(2000)) + "\n"
+    p = write(tmp / "m.jsonl", "\n\n" + body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = read_records(spark, p, "train").select("ord", "line", F.variant_get("rec", "$.i", "int").alias("i"))
+        got = sorted((r.ord, r.line, r.i) for r in rows.collect())
+        api = sorted((r.ord, r.line) for r in read_records(spark, p, "api").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want, line = [], 1
+    for i in range(2000):
+        want.append((i, line, i))
+        line += 2 if i % 5 == 0 else 1
+    assert got == want
+    assert api == [(o, l + 2) for o, l, _ in want]
+    arr = write(tmp / "m.json", "[" + ",".join('{"i":%d}' % i for i in range(50)) + "]")
+    assert sorted(r.ord for r in read_records(spark, arr, "train").collect()) == list(range(50))
+
+
+def test_split_bound_is_an_upper_bound(spark, tmp):
+    from tessera.sources.records import split_bound
+    p = write(tmp / "b.jsonl", "x" * 100_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        n_parts = spark.read.text(p).rdd.getNumPartitions()
+        assert split_bound(spark, p, 1) >= n_parts
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
