@@ -815,3 +815,17 @@ def q_stream_sft_report(spark, sf_dir):
     q = run_sft_stream(spark, src, out, scratch_path(spark, "stream-ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out).select("text", "prompt_text", F.col("_error").alias("error"))
+
+
+@register("sft_dataset_full", _LINES_CTE.replace("{EXTRA}", "") + """,
+d AS (
+  SELECT 1 AS kr, doc_id AS key, text AS text FROM documents WHERE lang = 'en'
+  UNION ALL
+  SELECT 2, doc_id, 'user: ' || text || chr(10) || 'assistant: ' || source FROM documents WHERE lang = 'en')
+SELECT p.ord, (row_number() OVER (ORDER BY p.ord) - 1)::BIGINT AS idx, d.text
+FROM d JOIN p USING (kr, key)
+""")
+def q_sft_dataset_full(spark, sf_dir):
+    """J1 in full-sequence mode (loss on the prompt too): text only."""
+    return jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en",
+                                 response_only_loss=False)
