@@ -8,7 +8,7 @@ turns the number ``1`` into the string ``'1'``.
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -136,20 +136,18 @@ class PythonTemplate(Template):
         ship_package()
         factory = self.factory
         gen = bool(add_generation_prompt)
-        state = {}
 
         @F.pandas_udf("string")
-        def _render(col: pd.Series) -> pd.Series:
-            fn = state.get("fn")
-            if fn is None:
-                fn = state["fn"] = factory()
-            out = []
-            for msgs in col:
-                if msgs is None:
-                    out.append(None)
-                    continue
-                out.append(fn([{"role": m["role"], "content": m["content"]} for m in msgs], gen))
-            return pd.Series(out, dtype="object")
+        def _render(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            fn = factory()  # once per task
+            for col in batches:
+                out = []
+                for msgs in col:
+                    if msgs is None:
+                        out.append(None)
+                    else:
+                        out.append(fn([{"role": m["role"], "content": m["content"]} for m in msgs], gen))
+                yield pd.Series(out, dtype="object")
 
         return _render(messages)
 

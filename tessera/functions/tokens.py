@@ -13,7 +13,7 @@ document never becomes a 128k-element array. Model tokenizers plug in through
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -117,26 +117,28 @@ class PandasTokenizer(Tokenizer):
     def encode(self, text, max_length=None):
         from ..session import ship_package
         ship_package()
-        factory, state = self.factory, {}
+        factory = self.factory
         limit = None if max_length is None else int(max_length)
 
         @F.pandas_udf("array<int>")
-        def _enc(s: pd.Series) -> pd.Series:
-            tok = state.get("tok") or state.setdefault("tok", factory())
-            out = tok.encode([x if x is not None else "" for x in s])
-            return pd.Series([list(ids[:limit]) if limit is not None else list(ids) for ids in out])
+        def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tok = factory()  # once per task
+            for s in batches:
+                out = tok.encode([x if x is not None else "" for x in s])
+                yield pd.Series([list(ids[:limit]) if limit is not None else list(ids) for ids in out])
 
         return _enc(text)
 
     def decode(self, ids):
         from ..session import ship_package
         ship_package()
-        factory, state = self.factory, {}
+        factory = self.factory
 
         @F.pandas_udf("string")
-        def _dec(s: pd.Series) -> pd.Series:
-            tok = state.get("tok") or state.setdefault("tok", factory())
-            return pd.Series(tok.decode([list(x) for x in s]))
+        def _dec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tok = factory()  # once per task
+            for s in batches:
+                yield pd.Series(tok.decode([list(x) for x in s]))
 
         return _dec(ids)
 

@@ -32,7 +32,10 @@ def label_rows(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_leng
         n_masked = F.when(F.coalesce(p, F.lit("")) == "", F.lit(0)).otherwise(tok.count(p, max_length))
     else:
         n_masked = F.lit(0)
-    out = df.withColumn("input_ids", ids).withColumn("labels", K.mask_prefix(F.col("input_ids"), n_masked))
+    # Materialize the prompt length first: a user tokenizer is a Python UDF, which
+    # may not appear inside the masking lambda.
+    out = df.withColumns({"input_ids": ids, "_n_masked": n_masked})
+    out = out.withColumn("labels", K.mask_prefix(F.col("input_ids"), F.col("_n_masked"))).drop("_n_masked")
     return out.withColumn("_error", F.when(~F.exists("labels", lambda x: x != K.IGNORE_INDEX),
                                             F.lit(NO_RESPONSE_TOKENS)))
 

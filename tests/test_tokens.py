@@ -70,3 +70,33 @@ def test_training_batches_arithmetic(spark):
     df = spark.range(10).withColumnRenamed("id", "ord")
     got = [(r.step, r.micro, r.rank) for r in C.training_batches(df, 1, 2, 2).orderBy("ord").collect()]
     assert got[:5] == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0)]
+
+
+class _WordTokenizer:
+    """A stand-in model tokenizer: one id per character class run."""
+
+    def encode(self, texts):
+        return [[len(w) for w in t.split()] for t in texts]
+
+    def decode(self, ids):
+        return [" ".join("x" * i for i in row if i != 0) for row in ids]
+
+
+def _word_factory():
+    return _WordTokenizer()
+
+
+def test_pandas_tokenizer_plug(spark):
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import test modules
+    tok = K.PandasTokenizer(_word_factory, eos_id=0)
+    df = spark.createDataFrame([(0, "aa bbb c", "aa"), (1, "dddd", "")], "ord long, text string, prompt_text string")
+    r = df.select("ord", tok.encode(F.col("text"), 2).alias("ids"),
+                  tok.decode(tok.encode(F.col("text"))).alias("back")).orderBy("ord").collect()
+    assert r[0].ids == [2, 3] and r[1].ids == [4]
+    assert r[0].back == "xx xxx x"
+    out = {x.ord: x for x in C.collate(df, tok, 8, 2).collect()}
+    assert out[0].labels == [-100, 3, 1]
+    assert out[1].input_ids == [4, 0, 0] and out[1].labels == [4, -100, -100]
