@@ -122,3 +122,27 @@ def test_response_only_turns_table(spark):
     py = {r.conv_id: r for r in sft.response_only_turns(turns, template=PythonTemplate(factory)).collect()}
     assert py[1].prompt_text == "user|gen"
     assert py[1].text == "user|genv"
+
+
+def _pipe_factory():
+    return lambda msgs, gen: "|".join(f"{m['role']}={m['content']}" for m in msgs) + ("|>" if gen else "")
+
+
+def test_python_template_on_records(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tessera.functions.chat import PythonTemplate
+    from tessera.operators import infer as I
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    tpl = PythonTemplate(_pipe_factory)
+    rows = [(0, json.dumps({"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "v"}]})),
+            (1, json.dumps({"prompt": "p", "groundtruth": "g"}))]
+    df = spark.createDataFrame(rows, "ord long, js string").select("ord", F.parse_json("js").alias("rec"))
+    full = {r.ord: r.text for r in sft.full_text_df(df, tpl).collect()}
+    assert full == {0: "user=u|assistant=v", 1: "user=p|assistant=g"}
+    ro = {r.ord: (r.text, r.prompt_text) for r in sft.response_only_df(df, tpl).collect()}
+    assert ro[0] == ("user=u|>v", "user=u|>")
+    pm = I.prompt_messages(df.where("ord = 0"))
+    assert pm.select(I.render_prompt(F.col("messages"), tpl).alias("t")).collect()[0].t == "user=u|assistant=v|>"
