@@ -62,34 +62,57 @@ def _files(spark: SparkSession, path: str, dialect: str) -> list[str]:
         raise
 
 
+HEAD_LIMIT = 1 << 20  # bytes read from the head of a file to detect its format
+
+
 def _first_char(spark: SparkSession, first_file: str) -> str | None:
-    """First non-whitespace character of a file (reads only its head when local)."""
+    """First non-whitespace character of a file, reading only its head."""
+    strip = WHITESPACE + "\ufeff"
     if first_file.startswith("file:"):
-        local = first_file[len("file:"):]
-        with open(local, "rb") as fh:
+        with open(first_file[len("file:"):], "rb") as fh:
             head = b""
-            while True:
+            while len(head) < HEAD_LIMIT:
                 chunk = fh.read(1 << 16)
                 if not chunk:
-                    break
+                    return None
                 head += chunk
-                text = head.decode("utf-8", errors="ignore").lstrip(WHITESPACE + "\ufeff")
+                text = head.decode("utf-8", errors="ignore").lstrip(strip)
                 if text:
                     return text[0]
-        return None
+    else:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(first_file)
+        stream = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hpath)
+        try:
+            head = bytearray()
+            while len(head) < HEAD_LIMIT:
+                b = stream.read()
+                if b >= 0:
+                    head.append(b)
+                # Check at character boundaries (an incomplete last character
+                # is dropped by the decoder) and at the end of the file.
+                if b < 0x80 or b >= 0xC0:
+                    text = bytes(head).decode("utf-8", errors="ignore").lstrip(strip)
+                    if text:
+                        return text[0]
+                if b < 0:
+                    return None
+        finally:
+            stream.close()
+    # More than HEAD_LIMIT bytes of leading whitespace: ask Spark.
     row = (spark.read.text(first_file)
            .select("value", F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
            .where(is_nonblank(F.col("value"))).orderBy("b", "m").limit(1).collect())
-    return row[0]["value"].strip()[:1] if row else None
+    return row[0]["value"].strip(strip)[:1] if row else None
 
 
-def detect_format(spark: SparkSession, path: str, dialect: str = "train") -> str:
+def detect_format(spark: SparkSession, path: str, dialect: str = "train", files: list[str] | None = None) -> str:
     """``"array"`` or ``"jsonl"``: ``.json`` suffix or a leading ``[`` means array."""
     if dialect == "api":
         return "jsonl"
     if path.rstrip("/").lower().endswith(".json"):
         return "array"
-    files = _files(spark, path, dialect)
+    files = _files(spark, path, dialect) if files is None else files
     if not files:
         return "jsonl"
     return "array" if _first_char(spark, files[0]) == "[" else "jsonl"
@@ -323,7 +346,7 @@ def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: st
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # last key wins, as in Python
     files = _files(spark, path, dialect)
     if fmt == "auto":
-        fmt = detect_format(spark, path, dialect)
+        fmt = detect_format(spark, path, dialect, files)
     if fmt not in ("array", "jsonl"):
         raise ValueError("fmt must be 'auto', 'array' or 'jsonl'")
     if not files:

@@ -152,3 +152,14 @@ def test_split_bound_is_an_upper_bound(spark, tmp):
         assert split_bound(spark, p, 1) >= n_parts
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_first_char_through_hadoop_fs(spark, tmp):
+    from tessera.sources.records import _first_char
+    p = write(tmp / "w.jsonl", "\n 　\t[1]")
+    # a path without the file: prefix goes through the Hadoop FileSystem reader
+    assert _first_char(spark, str(p)) == "["
+    assert _first_char(spark, "file:" + str(p)) == "["
+    q = write(tmp / "w2.jsonl", "   ")
+    assert _first_char(spark, str(q)) is None
+    assert _first_char(spark, write(tmp / "w3.jsonl", " 頁")) == "頁"
