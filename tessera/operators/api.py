@@ -145,11 +145,13 @@ def results(records: DataFrame, responses: DataFrame, id_field: str = "id", prom
     """The per-row result: ``index`` + envelope + copies of ``id`` / ``prompt``
     when the key is present (also for message rows), in input order."""
     env = envelope(responses)
-    j = env.join(records.select("ord", rec_col), "ord")
+    # Only the two copied fields travel through the join, not whole records.
+    copied = records.select("ord", V.field(F.col(rec_col), id_field).alias(id_field),
+                            V.field(F.col(rec_col), prompt_field).alias(prompt_field))
+    j = env.join(copied, "ord")
     return j.select(
         F.col("ord").alias("index"), "ok", "response", "raw_response", "error", "latency_sec",
-        V.field(F.col(rec_col), id_field).alias(id_field),
-        V.field(F.col(rec_col), prompt_field).alias(prompt_field),
+        id_field, prompt_field,
     ).orderBy("index")
 
 
