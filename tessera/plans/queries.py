@@ -829,3 +829,22 @@ def q_sft_dataset_full(spark, sf_dir):
     """J1 in full-sequence mode (loss on the prompt too): text only."""
     return jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en",
                                  response_only_loss=False)
+
+
+_SFT_FULL_SRC = _LINES_CTE.replace("{EXTRA}", "") + """,
+d AS (
+  SELECT 1 AS kr, doc_id AS key, text AS text FROM documents WHERE lang = 'en'
+  UNION ALL
+  SELECT 2, doc_id, 'user: ' || text || chr(10) || 'assistant: ' || source FROM documents WHERE lang = 'en'),
+src AS (SELECT p.ord AS pos, d.text, '' AS prompt_text FROM d JOIN p USING (kr, key))
+"""
+
+
+@register("training_tensors_full", _collate_sql(_SFT_FULL_SRC, "pos", 128, 8, "right"))
+def q_training_tensors_full(spark, sf_dir):
+    """J1 full-sequence mode -> J4 with loss on the prompt: labels are the ids,
+    pads masked (code points, 128, batches of 8, right padding)."""
+    ds = jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en",
+                               response_only_loss=False)
+    t = jobs.training_tensors(ds, "codepoint", 128, 8, "right", loss_on_prompt=True, check=False)
+    return _tensor_cols(t.withColumnRenamed("ord", "pos"), "pos")
