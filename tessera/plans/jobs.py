@@ -45,19 +45,24 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
             "ord", F.lit(None).cast("bigint").alias("idx"), *[F.lit(None).cast("string").alias(c) for c in cols],
             "_error")
         return proj.select("ord", "idx", *cols, "_error").unionByName(bad_recs)
-    # One job over the records, one over the selected rows; both only aggregate.
-    raise_from_stats(recs.agg(*check_columns()).collect()[0], recs, path, "train", fmt)
-    stats = proj.agg(F.count(F.lit(1)).alias("n"),
-                     F.min(F.when(F.col("_error").isNotNull(), F.col("idx"))).alias("bad")).collect()[0]
-    if stats["n"] == 0:
+    # One aggregate job checks records and examples together: the projection
+    # is evaluated on every record, flagged by the split predicate.
+    flagged = recs.withColumnRenamed("_error", "_rec_error")
+    flagged = flagged.withColumn("_sel", F.col("_rec_error").isNull() & select(F.col("rec")))
+    checked = sft.project(flagged, response_only_loss, template, prompt_field, response_field)
+    stats = checked.agg(*check_columns("_rec_error"), F.count_if("_sel").alias("_n_sel"),
+                        F.min(F.when(F.col("_sel") & F.col("_error").isNotNull(), F.col("ord"))).alias("_bad")
+                        ).collect()[0]
+    raise_from_stats(stats, recs, path, "train", fmt)
+    if stats["_n_sel"] == 0:
         if use_split:
             raise ValueError(f"No examples found with {split_field}={split!r} in {path}")
         raise ValueError(f"No training examples found in {path}")
-    if stats["bad"] is not None:
-        bad = proj.where(F.col("idx") == stats["bad"]).select("_error").collect()[0]["_error"]
-        detail = sft.ERROR_TEXT.get(bad) or sft._unsupported_text(
+    if stats["_bad"] is not None:
+        bad = proj.where(F.col("ord") == stats["_bad"]).select("idx", "_error").collect()[0]
+        detail = sft.ERROR_TEXT.get(bad["_error"]) or sft._unsupported_text(
             "response" if response_only_loss else "full", prompt_field, response_field)
-        raise ValueError(f"Invalid SFT example at index {stats['bad']} of {path}: {detail}")
+        raise ValueError(f"Invalid SFT example at index {bad['idx']} of {path}: {detail}")
     return proj.select("ord", "idx", *cols)
 
 

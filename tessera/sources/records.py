@@ -202,12 +202,14 @@ def _block_offsets(lines: DataFrame, selected: bool = False, small: bool = True)
     return blocks.select(*cols)
 
 
-def _first_line(offsets: DataFrame) -> int:
-    """Physical line number of the first non-blank line (one value)."""
-    row = offsets.where(F.col("_b_first").isNotNull()).agg(F.min_by(
-        F.col("_line_off") + (F.col("_b_first") - F.col("_b_mid")) + 1,
-        F.struct("_file", "_block")).alias("first")).collect()[0]
-    return int(row["first"]) if row["first"] is not None else 1
+def _offsets_summary(offsets: DataFrame) -> tuple[int, int]:
+    """Row count of the offsets table and the physical line number of the first
+    non-blank line, in one small job."""
+    first = F.min_by(F.when(F.col("_b_first").isNotNull(),
+                            F.col("_line_off") + (F.col("_b_first") - F.col("_b_mid")) + 1),
+                     F.when(F.col("_b_first").isNotNull(), F.struct("_file", "_block")))
+    row = offsets.agg(F.count(F.lit(1)).alias("n"), first.alias("first")).collect()[0]
+    return int(row["n"]), int(row["first"]) if row["first"] is not None else 1
 
 
 def _parse(value: Column) -> Column:
@@ -227,10 +229,11 @@ def _jsonl(spark: SparkSession, path: str, dialect: str, select=None, n_files: i
         lines = lines.withColumn("_sel", F.col("_keep") & _selected(F.col("value"), select))
     small = split_bound(spark, path, n_files) <= SINGLE_TASK_SPLITS
     offsets = _block_offsets(lines, select is not None, small).checkpoint(eager=True)
-    offsets_j = maybe_broadcast(offsets.drop("_b_first"), offsets.count())
+    n_blocks, first_line = _offsets_summary(offsets)
+    offsets_j = maybe_broadcast(offsets.drop("_b_first"), n_blocks)
     kept = lines.where(F.col("_keep")).withColumn("_kmid", F.monotonically_increasing_id())
     phys = F.col("_line_off") + (F.col("_mid") - F.col("_b_mid")) + 1
-    line = phys if dialect == "api" else phys - F.lit(_first_line(offsets)) + 1
+    line = phys if dialect == "api" else phys - F.lit(first_line) + 1
     ord_ = F.col("_kept_off") + F.col("_kmid") - F.col("_kmid0")
     j = kept.join(offsets_j, ["_file", "_block"])
     err = (F.when(~F.is_valid_utf8(F.col("_raw")), F.lit(BAD_UTF8))
