@@ -78,11 +78,11 @@ def collate(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_length:
 
 def check_tensors(df: DataFrame, order_col: str = "ord") -> DataFrame:
     """Fail on the first row whose response did not survive truncation."""
-    bad = df.where(F.col("_error").isNotNull()).orderBy(order_col).limit(1).collect()
-    if bad:
+    bad = df.agg(F.min(F.when(F.col("_error").isNotNull(), F.col(order_col))).alias("b")).collect()[0]["b"]
+    if bad is not None:
         raise ValueError(
             "A training example has no response tokens left after prompt masking/truncation. "
-            f"Increase max_length or shorten the prompt (row {bad[0][order_col]}).")
+            f"Increase max_length or shorten the prompt (row {bad}).")
     return df.drop("_error")
 
 

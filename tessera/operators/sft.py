@@ -264,24 +264,30 @@ def sft_dataset(records: DataFrame, response_only_loss: bool = True, template: T
     """Load an SFT dataset from a records DataFrame ``(ord, rec, ...)``.
 
     Split filter, projection and validation. ``on_error="fail"`` raises on the
-    first bad row with its index among the rows that passed the split filter;
-    ``"report"`` keeps ``ord``, ``_error`` and returns every row.
+    first bad row with its index among the rows that passed the split filter
+    (one aggregate job; one more only on the error path); ``"report"`` keeps
+    ``ord``, ``_error`` and returns every row that passed the split.
     """
     if on_error not in ("fail", "report"):
         raise ValueError("on_error must be 'fail' or 'report'")
-    kept = split_filter(records, split_field, split)
-    if split_field and split is not None and kept.isEmpty():
-        raise ValueError(f"No examples found with {split_field}={split!r} in {source}")
-    projected = project(kept, response_only_loss, template, prompt_field, response_field)
+    use_split = bool(split_field) and split is not None
+    sel = split_condition(F.col("rec"), split_field, split) if use_split else F.lit(True)
+    projected = project(records.withColumn("_sel", sel), response_only_loss, template, prompt_field,
+                        response_field)
     cols = ["text", "prompt_text"] if response_only_loss else ["text"]
     if on_error == "report":
-        return projected.select("ord", *cols, "_error")
-    bad = first_error(projected)
-    if bad is not None:
-        idx = kept.where(F.col("ord") < bad["ord"]).count()
-        detail = ERROR_TEXT.get(bad["_error"]) or _unsupported_text(
+        return projected.where("_sel").select("ord", *cols, "_error")
+    stats = projected.agg(F.count_if("_sel").alias("n"),
+                          F.min(F.when(F.col("_sel") & F.col("_error").isNotNull(), F.col("ord"))).alias("bad"),
+                          ).collect()[0]
+    if stats["n"] == 0:
+        if use_split:
+            raise ValueError(f"No examples found with {split_field}={split!r} in {source}")
+        raise ValueError(f"No training examples found in {source}")
+    if stats["bad"] is not None:
+        row = projected.where(F.col("ord") == stats["bad"]).select("_error").collect()[0]
+        idx = projected.where(F.col("_sel") & (F.col("ord") < stats["bad"])).count()
+        detail = ERROR_TEXT.get(row["_error"]) or _unsupported_text(
             "response" if response_only_loss else "full", prompt_field, response_field)
         raise ValueError(f"Invalid SFT example at index {idx} of {source}: {detail}")
-    if projected.isEmpty():
-        raise ValueError(f"No training examples found in {source}")
-    return projected.select("ord", *cols)
+    return projected.where("_sel").select("ord", *cols)
