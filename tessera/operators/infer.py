@@ -171,8 +171,8 @@ def gather(outputs: DataFrame, num_repeats: int, always_list: bool = False,
     """``(ord, rep, output)`` -> one row per ``ord`` with outputs in repeat order;
     a scalar when ``num_repeats == 1`` unless ``always_list``. Groups hold
     ``num_repeats`` items."""
-    g = outputs.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("rep", output_col))).alias("_o"))
-    arr = F.transform("_o", lambda x: x[output_col])
+    g = outputs.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("rep", output_col))).alias("_o"))
+    arr = F.col(f"_o.{output_col}")
     value = arr if (num_repeats > 1 or always_list) else F.element_at(arr, 1)
     return g.select("ord", value.alias(output_col))
 
