@@ -172,9 +172,10 @@ def attention_mask(n: Column, width: Column, side: str = "right") -> Column:
     return F.concat(ones, zeros) if side == "right" else F.concat(zeros, ones)
 
 
-def new_tokens(output_ids: Column, input_ids: Column) -> Column:
-    """Generated ids after the (padded) prompt: ``output[len(input):]``."""
-    n_in = F.size(input_ids)
+def new_tokens(output_ids: Column, n_input: Column) -> Column:
+    """Generated ids after the (padded) prompt: ``output[n_input:]``, where
+    ``n_input`` is the padded input length (``size(input_ids)``)."""
+    n_in = n_input
     return F.slice(output_ids, n_in + 1, F.greatest(F.size(output_ids) - n_in, F.lit(0)))
 
 

@@ -90,17 +90,20 @@ def repeat_items(df: DataFrame, num_repeats: int, batch_size: int | None = None,
 
 
 def pad_batches(items: DataFrame, tokenizer: K.Tokenizer | str | None = None, side: str = "left",
-                text_col: str = "text", group_batches: int = 64) -> DataFrame:
+                text_col: str = "text", group_batches: int = 64, partitions: int | None = None) -> DataFrame:
     """Tokenize prompts and pad each batch to its longest row (left by default).
 
     Consecutive batches are grouped ``group_batches`` at a time (``_group``);
     one hash shuffle on ``_group`` serves both the batch-width window and the
     grouped model call, and every group holds at most
-    ``group_batches * batch_size`` rows.
+    ``group_batches * batch_size`` rows. The shuffle has an explicit partition
+    count (default ``spark.sql.shuffle.partitions``) so adaptive execution does
+    not merge small partitions: model work is CPU/GPU-bound, not byte-bound.
     """
     tok = K.get_tokenizer(tokenizer)
+    n = int(partitions or items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = items.withColumn("_group", F.floor(F.col("batch_id") / int(group_batches)).cast("bigint")) \
-        .repartition("_group")
+        .repartition(n, "_group")
     ids = grouped.withColumn("input_ids", tok.encode(F.col(text_col)))
     width = F.max(F.size("input_ids")).over(Window.partitionBy("_group", "batch_id"))
     ids = ids.withColumn("_w", width)
@@ -130,7 +133,8 @@ def generate(items: DataFrame, model_factory: Callable[[], object], config: dict
     ``items`` carries ``work_idx, batch_id, input_ids, attention_mask`` and
     optionally ``seed`` and ``_group`` (from ``pad_batches``). Ids reach the
     model as numpy arrays; it returns full sequences (prompt + new ids), one
-    integer sequence per row. Output: ``work_idx, input_ids, output_ids``.
+    integer sequence per row. Output: ``work_idx, n_input`` (padded prompt
+    length) ``, output_ids``.
     """
     ship_package(items.sparkSession)
     has_seed = "seed" in items.columns
@@ -146,13 +150,14 @@ def generate(items: DataFrame, model_factory: Callable[[], object], config: dict
         for _, b in pdf.groupby("batch_id", sort=True):
             seeds = [int(x) for x in b["seed"]] if has_seed else None
             res = model.generate(list(b["input_ids"]), list(b["attention_mask"]), conf, seeds)
-            outs.append(pd.DataFrame({"work_idx": b["work_idx"].to_numpy(), "input_ids": b["input_ids"].to_numpy(),
+            outs.append(pd.DataFrame({"work_idx": b["work_idx"].to_numpy(),
+                                      "n_input": [len(x) for x in b["input_ids"]],
                                       "output_ids": [np.asarray(o, dtype=np.int32) for o in res]}))
         return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(
-            {"work_idx": [], "input_ids": [], "output_ids": []})
+            {"work_idx": [], "n_input": [], "output_ids": []})
 
     gen = items.select(*cols).groupBy(key).applyInPandas(
-        run, "work_idx bigint, input_ids array<int>, output_ids array<int>")
+        run, "work_idx bigint, n_input int, output_ids array<int>")
     if checkpoint:
         checkpoint_root(items.sparkSession)
         gen = gen.checkpoint(eager=True)
@@ -162,7 +167,7 @@ def generate(items: DataFrame, model_factory: Callable[[], object], config: dict
 def decode_outputs(gen: DataFrame, tokenizer: K.Tokenizer | str | None = None) -> DataFrame:
     """Keep ids after the padded prompt, decode skipping special ids, strip."""
     tok = K.get_tokenizer(tokenizer)
-    new = K.new_tokens(F.col("output_ids"), F.col("input_ids"))
+    new = K.new_tokens(F.col("output_ids"), F.col("n_input"))
     return gen.withColumn("output", T.ustrip(tok.decode(new)))
 
 

@@ -478,7 +478,7 @@ SELECT rid, rep, length(output) + 3 AS n_text FROM (
 def q_new_token_ids(spark, sf_dir):
     """Ids after the padded prompt; ``n_text`` counts the non-special ones."""
     gen = _generated(spark, sf_dir, 2)
-    new = K.new_tokens(F.col("output_ids"), F.col("input_ids"))
+    new = K.new_tokens(F.col("output_ids"), F.col("n_input"))
     return gen.select("rid", "rep", F.size(F.filter(new, lambda x: x != 0)).alias("n_text"))
 
 
