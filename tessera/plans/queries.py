@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat
 from ..functions import text as T
+from ..functions import variant as V
 from ..operators import sft
 from ..sources import tables
 
@@ -704,12 +705,7 @@ def _roundtrip(spark, sf_dir, writer, suffix):
     return back.select("ord", F.variant_get("rec", "$.doc_id", "bigint").alias("doc_id"),
                        F.variant_get("rec", "$.text", "string").alias("text"),
                        F.try_variant_get("rec", "$.quality", "bigint").alias("quality"),
-                       V_has_key("rec", "quality").alias("has_quality"))
-
-
-def V_has_key(rec, name):
-    from ..functions import variant as V
-    return V.has_key(F.col(rec), name)
+                       V.has_key(F.col("rec"), "quality").alias("has_quality"))
 
 
 @register("jsonl_roundtrip", _ROUNDTRIP_SQL)
