@@ -600,7 +600,20 @@ from ..sources.records import read_records  # noqa: E402
 from . import jobs  # noqa: E402
 
 
+_FIXTURES: dict[tuple, str] = {}
+
+
 def _corpus_file(spark, sf_dir, extra_bad: bool = False) -> str:
+    """The mixed corpus as a JSONL file, written once per application and scale
+    directory (a derived fixture, re-written if it disappeared)."""
+    key = (spark.sparkContext.applicationId, sf_dir, extra_bad)
+    path = _FIXTURES.get(key)
+    if path is None or not S.output_exists(spark, path):
+        path = _FIXTURES[key] = _write_corpus_file(spark, sf_dir, extra_bad)
+    return path
+
+
+def _write_corpus_file(spark, sf_dir, extra_bad: bool = False) -> str:
     """Write the mixed corpus as JSONL in (kind, key) order: a blank line before
     every conversation record and after every label record. With ``extra_bad``,
     one unterminated object per benchmark row and one array per label row follow."""
