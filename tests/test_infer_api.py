@@ -150,3 +150,16 @@ def test_concurrency_divided_over_tasks(spark):
     rows = out.collect()
     assert sorted(r.ord for r in rows) == list(range(40))
     assert all(r.status == 200 for r in rows)
+
+
+def test_json_array_sink_with_empty_partitions(spark, tmp):
+    df = spark.range(0, 40, 1, 8).where("id < 5 OR id > 35").select(
+        F.col("id").alias("ord"), F.to_variant_object(F.struct(F.col("id").alias("i"))).alias("rec"))
+    out = str(tmp / "arr")
+    S.write_json_array(df, out)
+    parts = sorted(f for f in os.listdir(out) if f.startswith("part"))
+    for f in parts:
+        json.loads(open(os.path.join(out, f)).read())  # every part is one valid array
+    back = read_records(spark, out, "train").orderBy("ord").collect()
+    assert [json.loads(str(r.rec))["i"] for r in back] == [0, 1, 2, 3, 4, 36, 37, 38, 39]
+    assert [r.ord for r in back] == list(range(9))
