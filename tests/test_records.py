@@ -163,3 +163,17 @@ def test_first_char_through_hadoop_fs(spark, tmp):
     q = write(tmp / "w2.jsonl", "   ")
     assert _first_char(spark, str(q)) is None
     assert _first_char(spark, write(tmp / "w3.jsonl", " 頁")) == "頁"
+
+
+def test_u2028_survives_sink_round_trip(spark, tmp):
+    import json as _json
+
+    from tessera.sinks import json_sink as S
+    text = "line\u2028sep\u0085x\r\ny"
+    df = spark.createDataFrame([(0, _json.dumps({"t": text}))], "ord long, js string").select(
+        "ord", F.parse_json("js").alias("rec"))
+    out = str(tmp / "u.jsonl")
+    S.write_jsonl(df, out)
+    back = read_records(spark, out, "train").collect()
+    assert len(back) == 1
+    assert _json.loads(str(back[0].rec))["t"] == text
