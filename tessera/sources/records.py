@@ -8,7 +8,7 @@ Three dialects mirror the three single-process readers being replaced:
 * ``infer``: same detection; JSONL lines are parsed and type-checked in order.
 * ``api``: always JSONL; line numbers are physical lines.
 
-Each record is parsed once into a VARIANT column ``rec``; nothing is coerced.
+Each record is parsed once per pass into a VARIANT column ``rec``; nothing is coerced.
 Lines split at ``\\n``, ``\\r`` and ``\\r\\n`` (so a raw U+2028 inside a string
 survives a round trip); blank lines are skipped.
 
@@ -216,17 +216,15 @@ def _parse(value: Column) -> Column:
     return F.try_parse_json(ustrip(value))
 
 
-def _selected(value: Column, select) -> Column:
-    """A valid object record for which ``select(rec)`` holds (never NULL)."""
-    rec = _parse(value)
-    return F.coalesce(F.is_valid_utf8(value) & V.is_object(rec) & select(rec), F.lit(False))
-
-
 def _jsonl(spark: SparkSession, path: str, dialect: str, select=None, n_files: int = 1):
     checkpoint_root(spark)
     lines = _line_table(spark, path)
     if select is not None:
-        lines = lines.withColumn("_sel", F.col("_keep") & _selected(F.col("value"), select))
+        # Parse once: the predicate and the output share the parsed record.
+        lines = lines.withColumn("_rec", _parse(F.col("value")))
+        lines = lines.withColumn("_sel", F.col("_keep") & F.coalesce(
+            F.is_valid_utf8(F.col("value")) & V.is_object(F.col("_rec")) & select(F.col("_rec")), F.lit(False)))
+    parsed = F.col("_rec") if select is not None else _parse(F.col("value"))
     small = split_bound(spark, path, n_files) <= SINGLE_TASK_SPLITS
     offsets = _block_offsets(lines, select is not None, small).checkpoint(eager=True)
     n_blocks, first_line = _offsets_summary(offsets)
@@ -239,15 +237,14 @@ def _jsonl(spark: SparkSession, path: str, dialect: str, select=None, n_files: i
     err = (F.when(~F.is_valid_utf8(F.col("_raw")), F.lit(BAD_UTF8))
            .when(F.col("rec").isNull(), F.lit(BAD_JSON))
            .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
-    out = (j.select(ord_.alias("ord"), line.alias("line"), _parse(F.col("value")).alias("rec"),
-                    F.col("value").alias("_raw"))
+    out = (j.select(ord_.alias("ord"), line.alias("line"), parsed.alias("rec"), F.col("value").alias("_raw"))
            .withColumn("_error", err).drop("_raw"))
     if select is None:
         return out, None
     sel = kept.where(F.col("_sel")).withColumn("_smid", F.monotonically_increasing_id())
     sel = sel.join(offsets_j, ["_file", "_block"]).select(
         ord_.alias("ord"), (F.col("_sel_off") + F.col("_smid") - F.col("_smid0")).alias("idx"),
-        line.alias("line"), _parse(F.col("value")).alias("rec"))
+        line.alias("line"), parsed.alias("rec"))
     return out, sel
 
 
