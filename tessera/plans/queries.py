@@ -857,3 +857,18 @@ def q_training_tensors_full(spark, sf_dir):
                                response_only_loss=False)
     t = jobs.training_tensors(ds, "codepoint", 128, 8, "right", loss_on_prompt=True, check=False)
     return _tensor_cols(t.withColumnRenamed("ord", "pos"), "pos")
+
+
+@register("sft_response_only_chatml", _CONV_SQL + """
+SELECT conv_id,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)
+         FILTER (WHERE turn < mt) || '<|im_start|>assistant' || chr(10) AS prompt_text
+FROM t GROUP BY conv_id
+HAVING arg_max(role, turn) = 'assistant' AND count(*) > 1
+""")
+def q_sft_response_only_chatml(spark, sf_dir):
+    """Response-only texts from the turn table under the ChatML template."""
+    turns = tables.load(spark, sf_dir, "conversations")
+    out = sft.response_only_turns(turns, "conv_id", "turn", "role", "text", template="chatml")
+    return out.where(F.col("_error").isNull()).select("conv_id", "text", "prompt_text")
