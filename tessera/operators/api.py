@@ -61,14 +61,14 @@ RESPONSE_SCHEMA = "ord bigint, status int, body string, exc string, latency_sec
 
 def call(requests: DataFrame, url: str, api_key: str | None = None, transport: Transport | None = None,
          timeout: float = 120.0, concurrency: int = 4, checkpoint: bool = True,
-         tasks: int | None = None) -> DataFrame:
+         tasks: int | None = None, carry: list[str] | tuple = ()) -> DataFrame:
     """``(ord, body)`` -> ``(ord, status, body, exc, latency_sec)``, one call per row.
 
     Without ``tasks``: ``concurrency`` threads in every running task. With
     ``tasks``: the requests are spread over that many tasks and the total
     ``concurrency`` is divided among them (at least one thread each). No retry:
     a failure is a row. Checkpointed so the calls happen once per successful
-    task.
+    task. ``carry`` names string columns passed through unchanged.
     """
     ship_package(requests.sparkSession)
     send = transport or http_transport
@@ -87,19 +87,25 @@ def call(requests: DataFrame, url: str, api_key: str | None = None, transport: T
         except Exception as exc:  # noqa: BLE001 - every service error becomes a row
             return None, None, repr(exc), round(time.time() - started, 4)
 
+    carried = list(carry)
+
     def run(batches):
         with ThreadPoolExecutor(max_workers=workers) as pool:
             for pdf in batches:
                 res = list(pool.map(one, pdf["body"].tolist()))
-                yield pd.DataFrame({
+                out = pd.DataFrame({
                     "ord": pdf["ord"].to_numpy(),
                     "status": pd.array([r[0] for r in res], dtype="Int32"),
                     "body": [r[1] for r in res],
                     "exc": [r[2] for r in res],
                     "latency_sec": [r[3] for r in res],
                 })
+                for c in carried:
+                    out[c] = pdf[c].to_numpy()
+                yield out
 
-    out = requests.select("ord", "body").mapInPandas(run, RESPONSE_SCHEMA)
+    schema = RESPONSE_SCHEMA + "".join(f", {c} string" for c in carried)
+    out = requests.select("ord", "body", *carried).mapInPandas(run, schema)
     if checkpoint:
         checkpoint_root(requests.sparkSession)
         out = out.checkpoint(eager=True)
@@ -155,6 +161,24 @@ def results(records: DataFrame, responses: DataFrame, id_field: str = "id", prom
     ).orderBy("index")
 
 
+def carried_fields(rec: Column, id_field: str = "id", prompt_field: str = "prompt") -> list[Column]:
+    """``id`` / ``prompt`` as JSON text for ``call(carry=...)``: NULL when the key
+    is missing, ``"null"`` when it holds JSON null."""
+    return [F.to_json(V.field(rec, id_field)).alias("_carry_id"),
+            F.to_json(V.field(rec, prompt_field)).alias("_carry_prompt")]
+
+
+def results_carried(responses: DataFrame, id_field: str = "id", prompt_field: str = "prompt") -> DataFrame:
+    """The per-row result from responses that carried ``id`` / ``prompt`` along
+    (no join back to the records), in input order."""
+    env = envelope(responses)
+    return env.select(
+        F.col("ord").alias("index"), "ok", "response", "raw_response", "error", "latency_sec",
+        F.parse_json(F.col("_carry_id")).alias(id_field),
+        F.parse_json(F.col("_carry_prompt")).alias(prompt_field),
+    ).orderBy("index")
+
+
 def result_record(res: DataFrame, id_field: str = "id", prompt_field: str = "prompt") -> Column:
     """One VARIANT object per result with the keys the row really has:
     ``response``/``raw_response`` only when ok, ``error`` only when not, ``id`` /

@@ -174,12 +174,15 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
     """
     if output_path:
         S.check_output(spark, output_path, overwrite)
-    records, pm = checked_prompts(spark, input_path, "api", prompt_field, messages_field, system_prompt)
-    req = pm.select("ord", A.request_body(F.col("messages"), model, max_tokens, temperature, top_p).alias("body"))
+    _, pm = checked_prompts(spark, input_path, "api", prompt_field, messages_field, system_prompt)
+    req = pm.select("ord", A.request_body(F.col("messages"), model, max_tokens, temperature, top_p).alias("body"),
+                    *A.carried_fields(F.col("rec"), id_field, prompt_field))
     if done is not None:
         req = req.join(done.select(F.col("index").alias("ord")), "ord", "left_anti")
-    resp = A.call(req, A.endpoint_url(base_url), api_key, transport, timeout, concurrency, tasks=tasks)
-    res = A.results(records, resp, id_field, prompt_field)
+    resp = A.call(req, A.endpoint_url(base_url), api_key, transport, timeout, concurrency, tasks=tasks,
+                  carry=["_carry_id", "_carry_prompt"])
+    # id / prompt travelled with each request: no join back to the input.
+    res = A.results_carried(resp, id_field, prompt_field)
     if done is not None:
         res = res.unionByName(done).orderBy("index")
     if output_path:
