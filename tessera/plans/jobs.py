@@ -189,3 +189,21 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
         out = res.select(F.col("index").alias("ord"), A.result_record(res, id_field, prompt_field).alias("rec"))
         S.write_jsonl(out, output_path, "rec", "ord", overwrite)
     return res
+
+
+def read_results(spark: SparkSession, path: str, id_field: str = "id", prompt_field: str = "prompt") -> DataFrame:
+    """Read a results file written by ``api_inference`` back into the result
+    schema, e.g. to pass its answered rows as ``done`` when resuming."""
+    from ..functions import variant as V
+    from ..sources.records import read_records
+    r = F.col("rec")
+    return read_records(spark, path, "api").select(
+        F.variant_get(r, "$.index", "bigint").alias("index"),
+        F.variant_get(r, "$.ok", "boolean").alias("ok"),
+        F.try_variant_get(r, "$.response", "string").alias("response"),
+        F.try_variant_get(r, "$.raw_response", "variant").alias("raw_response"),
+        F.try_variant_get(r, "$.error", "string").alias("error"),
+        F.try_variant_get(r, "$.latency_sec", "double").alias("latency_sec"),
+        V.field(r, id_field).alias(id_field),
+        V.field(r, prompt_field).alias(prompt_field),
+    )

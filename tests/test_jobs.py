@@ -110,3 +110,26 @@ def test_api_resume_skips_answered_rows(spark, tmp):
     assert [(r.ok, r.response, r.error) for r in rows] == [(r.ok, r.response, r.error) for r in first.collect()]
     with open(log) as fh:
         assert len(fh.readlines()) == 7  # only the rows without a result were called
+
+
+def test_api_resume_from_results_file(spark, tmp):
+    import json
+    from pyspark.sql import functions as F
+    from tessera.plans import stubs
+    p = write(tmp / "q2.jsonl", "\n".join(json.dumps({"id": i, "prompt": "p" * (i + 2)}) for i in range(12)) + "\n")
+    out = str(tmp / "first.jsonl")
+    first = jobs.api_inference(spark, p, out, "http://h", "m", transport=stubs.stub_transport)
+    want = [(r.ok, r.response, r.error) for r in first.collect()]
+    done = jobs.read_results(spark, out).where(F.col("index") < 4)
+    log = str(tmp / "calls2.log")
+
+    def counting(url, body, headers, timeout):
+        with open(log, "a") as fh:
+            fh.write("x\n")
+        return stubs.stub_transport(url, body, headers, timeout)
+
+    resumed = jobs.api_inference(spark, p, None, "http://h", "m", transport=counting, done=done).collect()
+    assert [r["index"] for r in resumed] == list(range(12))
+    assert [(r.ok, r.response, r.error) for r in resumed] == want
+    with open(log) as fh:
+        assert len(fh.readlines()) == 8
