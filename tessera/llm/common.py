@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: joined by shuffle at every size,
+    so that small inputs take the way that large ones need."""
+    return df.hint("merge")
+
+
 def crc32_text(col: Column) -> Column:
     """crc32 of the decimal text of an id; a null id counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

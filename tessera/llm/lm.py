@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, pick, small_batches, written
+from .common import crc32_text, merged, pick, small_batches, written
 
 BLOCK_TOKENS = 400_000
 BUCKET_GRAMS = 1_000_000   # tokens of the corpus per bucket
@@ -257,6 +257,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     # A block's answers are as many bytes as its distinct n-grams: bounded by the block.
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "words", "pairs")).alias("got"))
-    joined = blocks.join(per_block, "block").select("vocab", "tokens", "n_tokens", "train", "doc_ids", "got")
+    joined = blocks.join(merged(per_block), "block").select("vocab", "tokens", "n_tokens", "train", "doc_ids", "got")
     return joined.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, "
                                     "train_tokens long, base_score double, score double")

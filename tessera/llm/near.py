@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, written
+from .common import merged, pick, small_batches, written
 
 SHINGLE = 4
 BANDS, ROWS = 28, 5
@@ -255,9 +255,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(merged(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
+        small = large.join(merged(least), "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
         )).alias("e")).select("e.*").filter("u <> v").distinct()
         tree = written(small, "stars")
@@ -283,7 +283,7 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     classes = signed.filter("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("uid").alias("rep"))
     members = written(
         signed.filter("n_shingles > 0").select("uid", "n_shingles", "set_hash", "sig", "bands")
-        .join(classes, ["n_shingles", "set_hash"])
+        .join(merged(classes), ["n_shingles", "set_hash"])
         .select("uid", "rep", F.when(F.col("uid") == F.col("rep"), F.col("n_shingles")).alias("n"),
                 F.when(F.col("uid") == F.col("rep"), F.col("sig")).alias("sig"),
                 F.when(F.col("uid") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
@@ -293,20 +293,20 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = reps.select("uid", "n", F.explode("bands").alias("band"))
     centers = rows.groupBy("band").agg(F.min(F.struct("uid", "n")).alias("c"), F.count(F.lit(1)).alias("k")) \
         .filter("k > 1").select("band", F.col("c.uid").alias("center"), F.col("c.n").alias("center_n"), "k")
-    buckets = written(rows.join(centers, "band"), "buckets")
+    buckets = written(rows.join(merged(centers), "band"), "buckets")
     fits = 100 * F.least("n", "center_n") >= PERCENT * F.greatest("n", "center_n")
     stars = buckets.filter("uid <> center").filter(fits).select(
         F.col("center").alias("a"), F.col("uid").alias("b")).distinct()
-    texts = signed.select("uid", "ztext").join(buckets.select("uid").distinct(), "uid", "left_semi")
+    texts = signed.select("uid", "ztext").join(merged(buckets.select("uid").distinct()), "uid", "left_semi")
     texts = written(texts, "bucket-texts")
     links = written(_linked(stars, texts), "links")
     roots = components(links)
 
     # Buckets that still hold several groups, in blocks.
-    grouped = buckets.join(roots.withColumnRenamed("u", "uid"), "uid", "left").select(
+    grouped = buckets.join(merged(roots.withColumnRenamed("u", "uid")), "uid", "left").select(
         "band", "uid", "n", "k", F.coalesce("root", "uid").alias("grp"))
     several = grouped.groupBy("band").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi")
-    open_rows = grouped.join(several.select("band"), "band").join(reps.select("uid", "sig"), "uid")
+    open_rows = grouped.join(merged(several.select("band")), "band").join(merged(reps.select("uid", "sig")), "uid")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     open_rows = open_rows.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
     paired = open_rows.select(
@@ -321,15 +321,15 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     # Class, component and the document that stays, for every row.
     ids = members.select("uid", "rep").join(
-        roots.select(F.col("u").alias("rep"), "root"), "rep", "left").select(
+        merged(roots.select(F.col("u").alias("rep"), "root")), "rep", "left").select(
         "uid", "rep", F.coalesce("root", "rep").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
-    named = signed.select("uid", "doc_id").join(ids, "uid")
+    named = signed.select("uid", "doc_id").join(merged(ids), "uid")
     tops = named.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
     class_tops = named.groupBy("rep").agg(F.min(order).alias("class_first"))
-    told = ids.join(tops, "root").join(class_tops, "rep").select("uid", "first", "class_first", "size")
+    told = ids.join(merged(tops), "root").join(merged(class_tops), "rep").select("uid", "first", "class_first", "size")
     full = signed.select("uid", "doc_id", "n_shingles", *[F.col(f"v_{c}") for c in extra],
-                         *(["no_text", "ztext"] if "text" in carry else [])).join(told, "uid", "left")
+                         *(["no_text", "ztext"] if "text" in carry else [])).join(merged(told), "uid", "left")
     alone = F.col("first").isNull()
     return full.select(
         "doc_id", "n_shingles",
@@ -345,7 +345,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     shuffle; a hot ``a`` is split by AQE."""
     left = texts.select(F.col("uid").alias("a"), F.col("ztext").alias("za"))
     right = texts.select(F.col("uid").alias("b"), F.col("ztext").alias("zb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long")
+    return pairs.join(merged(right), "b").join(merged(left), "a").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long")
 
 
 def unzipped(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, written
+from .common import merged, pick, small_batches, written
 
 SEQUENCE = 4096
 END_ID = 1
@@ -221,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE) ->
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     per_salt = per_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     local = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("r", F.row_number().over(local) - 1).join(per_salt, ["length", "salt"]) \
+    ranked = salted.withColumn("r", F.row_number().over(local) - 1).join(merged(per_salt), ["length", "salt"]) \
         .withColumn("rank", F.col("base") + F.col("r"))
     # Slots sorted by (length, rank): one key per slot for the binary search.
     span = int(counts.max()) + 1

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, written
+from .common import merged, pick, small_batches, written
 
 CHUNK = 16384
 GROUP = 64
@@ -336,10 +336,10 @@ def encode(docs: DataFrame, model: str | None = None, size: int = CHUNK) -> Data
         "doc", "grp", "chunk").mapInArrow(join_group, "doc long, grp int, m binary"), "group-matrices")
     ends = groups.repartition("doc").sortWithinPartitions("doc", "grp").mapInArrow(
         group_ends, "doc long, grp int, a int, z int")
-    inner = matrices.join(ends, ["doc", "grp"]).select("doc", "grp", "chunk", "m", "a", "z") \
+    inner = matrices.join(merged(ends), ["doc", "grp"]).select("doc", "grp", "chunk", "m", "a", "z") \
         .repartition("doc", "grp").sortWithinPartitions("doc", "grp", "chunk").mapInArrow(
             chunk_ends, "doc long, chunk int, a int, z int")
-    traced = chunks.join(inner, ["doc", "chunk"]).select("doc_id", "chunk", "n_chunks", "t", "stop", "a", "z") \
+    traced = chunks.join(merged(inner), ["doc", "chunk"]).select("doc_id", "chunk", "n_chunks", "t", "stop", "a", "z") \
         .mapInArrow(trace, result)
     return short.unionByName(traced)
 

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, pick, written
+from .common import SPACE, merged, pick, written
 
 KINDS = ["email", "ip", "card", "phone"]  # fixed order
 
@@ -181,11 +181,11 @@ def pattern_scores(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         pats = state.groupBy("pattern").agg(
             *[F.sum(F.when(F.col("seed") == k, 1).otherwise(0)).alias(f"support_{k}") for k in kinds],
             *[F.avg(f"score_{k}").alias(f"conf_{k}") for k in kinds])
-        values = state.filter("seed is null").select("pattern", "value").join(pats, "pattern").groupBy("value").agg(
+        values = state.filter("seed is null").select("pattern", "value").join(merged(pats), "pattern").groupBy("value").agg(
             *[F.avg(f"conf_{k}").alias(f"new_{k}") for k in kinds])
         if r + 1 == ROUNDS:
             break
-        state = written(state.join(values, "value", "left").select("pattern", "value", "seed", *[
+        state = written(state.join(merged(values), "value", "left").select("pattern", "value", "seed", *[
             F.when(F.col("seed").isNotNull(), F.col(f"score_{k}")).otherwise(F.coalesce(f"new_{k}", F.lit(0.0)))
             .alias(f"score_{k}") for k in kinds]), f"pii-round-{r}")
     return pats, values.select("value", *[F.col(f"new_{k}").alias(f"score_{k}") for k in kinds])
@@ -208,12 +208,12 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     good = values.select("value", F.explode(F.array(*[F.struct(
         F.lit(k).alias("rank"), F.col(f"score_{k}").alias("score")) for k in kinds])).alias("t")).select(
             "value", "t.*").filter(F.col("score") >= MIN_CONFIDENCE)
-    new = seen.filter("seed is null").join(trusted, "pattern").join(good, ["value", "rank"])
+    new = seen.filter("seed is null").join(merged(trusted), "pattern").join(merged(good), ["value", "rank"])
     found = new.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct(
         F.col("start"), F.col("rank").cast("int").alias("rank"), F.col("stop")))).alias("found"))
     base = F.transform("base", lambda o: F.struct(o["start"].alias("start"), o["rank"].alias("rank"), o["stop"].alias("stop")))
     held = [c for c in table.columns if c.startswith("v_")] + (["no_text", "text"] if "text" in carry else [])
-    return table.join(found, "uid", "left").select(
+    return table.join(merged(found), "uid", "left").select(
         "doc_id", base.alias("base"), F.coalesce("found", F.array().cast(_SPAN)).alias("found"),
         *[F.col(c).alias(c.removeprefix("v_")) for c in held])
 

@@ -110,9 +110,9 @@ s AS (
 c AS MATERIALIZED (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM (SELECT doc_id, list_sort(sh) AS sh FROM s)
                    WHERE len(sh) > 0 GROUP BY sh),
 e AS MATERIALIZED (SELECT rep, n, unnest(sh) AS g FROM c),
-p AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS both
+p AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS shared
       FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * both >= 80 * (nx + ny - both)),
+l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * shared >= 80 * (nx + ny - shared)),
 b AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(node, reach) AS (SELECT rep, rep FROM c UNION SELECT r.node, b.y FROM r JOIN b ON r.reach = b.x),
 t AS (SELECT node, min(reach) AS top FROM r GROUP BY node),

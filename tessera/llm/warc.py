@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, scratch_path
-from .common import pick, small_batches, written
+from .common import merged, pick, small_batches, written
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2020-01-01T00:00:00Z"
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, path: str | None = None, min_revisit_bytes:
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     first = rows.filter(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(
         F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).filter("n > 1").drop("n")
-    typed = rows.join(first, "sha", "left").withColumn(
+    typed = rows.join(merged(first), "sha", "left").withColumn(
         "revisit", (F.length("payload") >= min_revisit_bytes) & F.col("first_id").isNotNull()
         & ~F.col("page_id").eqNullSafe(F.col("first_id")))
 
