@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, pick, written
+from .common import SPACE, merged, pick, written
 
 FIRST_DIGIT = 64   # bytes of the first radix digit
 DIGIT_GROWTH = 8   # each digit is this many times longer than the one before
@@ -51,7 +51,7 @@ def exact_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         undecided = result.filter("not done")
         if undecided.isEmpty():
             break
-        level, width = level + 1, width * DIGIT_GROWTH if level else width
+        level, width = level + 1, width * DIGIT_GROWTH
         rows = undecided.select(
             "uid", "doc_id", *[c for c in undecided.columns if c.startswith("v_")], "n_chars", "sha",
             F.col("next_gid").alias("gid"), F.substring("rest", 1, width).alias("digit"),
@@ -79,7 +79,7 @@ def _round(rows: DataFrame, rest: Column, level: int, held: list[str]) -> DataFr
     groups = written(groups.withColumn("next_gid", F.monotonically_increasing_id()), f"radix-groups-{level}")
     done = F.col("n").isNull() | (F.col("ended") if level else F.lit(False))
     keep = [f"v_{c}" for c in held]  # without columns to carry, the text goes after its first cut
-    joined = rows.join(groups, key, "left")
+    joined = rows.join(merged(groups), key, "left")
     return written(joined.select(
         (F.col("uid") if level else F.monotonically_increasing_id()).alias("uid"), "doc_id", *keep, "n_chars", "sha",
         "n", "best", "next_gid", done.alias("done"), F.when(~done, rest).alias("rest")), f"radix-{level}")
