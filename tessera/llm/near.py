@@ -9,20 +9,20 @@ shingle sets, union-find grouping.
 2. Documents with equal sets become one class (by a 128-bit digest of the full
    set); from here on only class representatives count.
 3. Rows (band key, document) meet in buckets by an aggregation and a join, both
-   of which split a hot key. Every member is paired with the smallest document
-   of its bucket, each pair once.
+   of which split a hot key. Every member is paired with the center of its
+   bucket (the member with most company over all its buckets), each pair once.
 4. Pairs are verified on the full sets, rebuilt from the texts, and the links
    are grouped: union-find inside each partition, then rounds of large-star and
    small-star over the trees that are left.
 5. Two members of a bucket can be linked although neither is linked with its
-   smallest document. Buckets that still hold several groups are therefore
+   center. Buckets that still hold several groups are therefore
    looked at in full: their members meet in blocks, where signatures are
    compared in numpy and only likely pairs of different groups come out, to be
    verified like the others. No pairs inside a group are ever made.
 
 With 28 bands of 5 rows a pair at exactly 0.8 shares no bucket with probability
 1.5e-5 (at 0.85: 2e-7); the signature comparison of step 5 admits pairs down to
-an estimate 5 standard deviations under 0.8.
+an estimate 4 standard deviations under 0.8 (missed with probability 3e-5).
 
 Defined cases: null and empty texts have no shingles and are linked with
 nothing; texts shorter than a shingle are one shingle; a null ``doc_id`` sorts
@@ -193,8 +193,8 @@ def _verify(batches):
 def _likely_pairs(batches):
     """Rows sorted by (bucket, left block, right block, uid): members of a pair of
     blocks; yields pairs of different groups whose signatures are close."""
-    # 8-bit slots agree by chance once in 256 times; 5 standard deviations under 0.8.
-    need = int(SLOTS * (0.8 - 5 * (0.8 * 0.2 / SLOTS) ** 0.5))
+    # 8-bit slots agree by chance once in 256 times; 4 standard deviations under 0.8.
+    need = int(SLOTS * (0.8 - 4 * (0.8 * 0.2 / SLOTS) ** 0.5))
 
     def rows():
         for b in batches:
@@ -289,14 +289,20 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 F.when(F.col("uid") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
     reps = members.filter("uid = rep")
 
-    # Buckets of two and more; every member with the smallest one.
+    # Buckets of two and more; every member with the bucket's center, the member that
+    # meets most others over all its buckets. In a group of edited copies that is
+    # the text they were made from, which is nearer to each than they are to each other.
     rows = reps.select("uid", "n", F.explode("bands").alias("band"))
-    centers = rows.groupBy("band").agg(F.min(F.struct("uid", "n")).alias("c"), F.count(F.lit(1)).alias("k")) \
-        .filter("k > 1").select("band", F.col("c.uid").alias("center"), F.col("c.n").alias("center_n"), "k")
-    buckets = written(rows.join(merged(centers), "band"), "buckets")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = written(rows.join(merged(shared), "band"), "met")
+    degrees = met.groupBy("uid").agg(F.sum("k").alias("degree"))
+    ranked = met.join(merged(degrees), "uid")
+    centers = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("uid")).alias("neg"), "n")).alias("c")) \
+        .select("band", (-F.col("c.neg")).alias("center"), F.col("c.n").alias("center_n"))
+    buckets = written(met.join(merged(centers), "band"), "buckets")
     fits = 100 * F.least("n", "center_n") >= PERCENT * F.greatest("n", "center_n")
     stars = buckets.filter("uid <> center").filter(fits).select(
-        F.col("center").alias("a"), F.col("uid").alias("b")).distinct()
+        F.least("center", "uid").alias("a"), F.greatest("center", "uid").alias("b")).distinct()
     texts = signed.select("uid", "ztext").join(merged(buckets.select("uid").distinct()), "uid", "left_semi")
     texts = written(texts, "bucket-texts")
     links = written(_linked(stars, texts), "links")
