@@ -69,7 +69,8 @@ class CodepointTokenizer(Tokenizer):
     def decode(self, ids):
         keep = F.filter(ids, lambda x: ~x.isin(*self.special_ids)) if self.special_ids else ids
         hexed = F.array_join(F.transform(keep, lambda x: F.lpad(F.hex(x), 8, "0")), "")
-        return F.decode(F.unhex(hexed), "UTF-32")
+        # A byte order mark in front: without it the decoder takes a leading U+FEFF for one.
+        return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), hexed)), "UTF-32")
 
 
 class Utf8Tokenizer(Tokenizer):

@@ -7,23 +7,29 @@ Field names are exact top-level keys (bracket paths), never dotted paths.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import is_nonblank
 
 
-def path(name: str) -> str:
-    """Bracket path for one top-level key, safe for dots and spaces."""
-    return "$[" + json.dumps(name) + "]"
+def path(name: str) -> str | None:
+    """Bracket path for one top-level key, safe for dots, spaces and any letters:
+    the path takes the raw name in either kind of quotes. None for a name that
+    holds both kinds (or a backslash), which no path can spell."""
+    if "\\" in name or ('"' in name and "'" in name):
+        return None
+    quote = "'" if '"' in name else '"'
+    return f"$[{quote}{name}{quote}]"
 
 
 def field(rec: Column | str, name: str) -> Column:
     """The raw variant value of ``rec[name]``; SQL NULL when the key is missing."""
     rec = F.col(rec) if isinstance(rec, str) else rec
-    return F.try_variant_get(rec, path(name), "variant")
+    where = path(name)
+    if where is None:
+        return F.try_element_at(rec.try_cast("map<string,variant>"), F.lit(name))
+    return F.try_variant_get(rec, where, "variant")
 
 
 def has_key(rec: Column | str, name: str) -> Column:

@@ -10,6 +10,7 @@ failure afterwards never repeats model work.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
 import numpy as np
@@ -26,8 +27,7 @@ from ..session import checkpoint_root, ship_package
 MESSAGES_NOT_LIST = "MESSAGES_NOT_LIST"
 EMPTY_PROMPT = "EMPTY_PROMPT"
 
-SEED_MULTIPLIER = 1_000_003  # per-item seed = (seed * M + work_idx) mod (2^31 - 1)
-SEED_MODULUS = 2_147_483_647
+SEED_BITS = 31  # per-item seeds are the low bits of a digest of seed and work_idx
 
 
 def prompt_messages(records: DataFrame, prompt_field: str = "prompt", messages_field: str = "messages",
@@ -70,6 +70,14 @@ def generation_config(temperature: float | Column, top_p: float | Column, max_ne
                     F.when(sample, p).alias("top_p"), F.lit(int(max_new_tokens)).alias("max_new_tokens"))
 
 
+def item_seed(seed: int, work_idx: Column) -> Column:
+    """A 31-bit seed per work item, from a digest of ``seed:work_idx``: any size of
+    ``seed`` is accepted, and neighbouring seeds have nothing in common."""
+    text = F.concat(F.lit(f"{int(seed)}:"), work_idx.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint").bitwiseAND(
+        F.lit((1 << SEED_BITS) - 1))
+
+
 def repeat_items(df: DataFrame, num_repeats: int, batch_size: int | None = None, seed: int | None = None,
                  order_col: str = "ord") -> DataFrame:
     """One work item per (row, repeat), row-major: ``work_idx = ord * n + rep``,
@@ -84,8 +92,7 @@ def repeat_items(df: DataFrame, num_repeats: int, batch_size: int | None = None,
             raise ValueError("batch_size must be >= 1")
         out = out.withColumn("batch_id", F.floor(F.col("work_idx") / batch_size).cast("bigint"))
     if seed is not None:
-        out = out.withColumn("seed", F.pmod(F.lit(int(seed)) * SEED_MULTIPLIER + F.col("work_idx"),
-                                            F.lit(SEED_MODULUS)))
+        out = out.withColumn("seed", item_seed(seed, F.col("work_idx")))
     return out
 
 
@@ -113,17 +120,23 @@ def pad_batches(items: DataFrame, tokenizer: K.Tokenizer | str | None = None, si
     }).drop("_w")
 
 
-_MODELS: dict[str, object] = {}
+_MODEL: dict[str, object] = {}
+
+
+def factory_key(factory) -> str:
+    """Digest of the pickled factory, made once on the driver: two closures of one
+    function with different captured values are different models."""
+    from pyspark import cloudpickle
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
 
-def _model(factory):
-    """One model per Python worker and factory: reused Python workers keep it
-    across tasks (the factory arrives freshly unpickled with every task, so it
-    is keyed by name, not identity). Use module-level factories."""
-    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
-    if key not in _MODELS:
-        _MODELS[key] = factory()
-    return _MODELS[key]
+def _model(key: str, factory):
+    """One model per Python worker, kept across tasks while the key is the same;
+    another factory replaces it."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = factory()
+    return _MODEL[key]
 
 
 def generate(items: DataFrame, model_factory: Callable[[], object], config: dict,
@@ -142,9 +155,10 @@ def generate(items: DataFrame, model_factory: Callable[[], object], config: dict
     cols = ["work_idx", "batch_id", "input_ids", "attention_mask"] + (["seed"] if has_seed else [])
     cols += [key] if key != "batch_id" else []
     conf = dict(config)
+    model_key = factory_key(model_factory)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = _model(model_factory)
+        model = _model(model_key, model_factory)
         pdf = pdf.sort_values("work_idx", kind="stable")
         outs = []
         for _, b in pdf.groupby("batch_id", sort=True):

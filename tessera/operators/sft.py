@@ -233,8 +233,13 @@ def split_condition(rec: Column, split_field: str, split) -> Column:
     if isinstance(split, str):
         cond = V.is_string(v) & (F.variant_get(v, "$", "string") == F.lit(split))
     elif isinstance(split, (bool, int, float)):
-        numeric = t.isin("BOOLEAN", "TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | t.startswith("DECIMAL")
+        whole = t.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | t.startswith("DECIMAL")
+        numeric = t.isin("BOOLEAN", "FLOAT", "DOUBLE") | whole
         cond = numeric & (F.try_variant_get(v, "$", "double") == F.lit(float(split)))
+        if isinstance(split, int) and abs(int(split)) < 10**38:
+            # Integers beyond 2^53 are not told apart as doubles.
+            exact = F.try_variant_get(v, "$", "decimal(38,0)") == F.lit(str(int(split))).cast("decimal(38,0)")
+            cond = cond & F.when(whole, F.coalesce(exact, F.lit(False))).otherwise(F.lit(True))
     else:
         raise TypeError(f"unsupported split value type: {type(split).__name__}")
     return F.coalesce(cond, F.lit(False))

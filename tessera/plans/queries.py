@@ -353,7 +353,7 @@ from ..operators import infer as I  # noqa: E402
 from . import stubs  # noqa: E402
 
 SYSTEM_PROMPT = "You are a helpful assistant."
-SEED = 42
+SEED = 42_000_000_001
 
 
 def _prompts(spark, sf_dir, with_invalid=False):
@@ -443,7 +443,7 @@ def q_generation_config(spark, sf_dir):
 
 
 @register("seeded_items", _items_cte(2) + f"""
-SELECT rid, rep, (({SEED} * {I.SEED_MULTIPLIER} + work_idx) % {I.SEED_MODULUS})::BIGINT AS seed FROM it
+SELECT rid, rep, (('0x' || substr(md5('{SEED}:' || work_idx), 1, 8))::BIGINT & 2147483647)::BIGINT AS seed FROM it
 """)
 def q_seeded_items(spark, sf_dir):
     return _items(spark, sf_dir, 2, seed=SEED).select("rid", "rep", F.col("seed").cast("bigint").alias("seed"))
@@ -460,7 +460,7 @@ def _generated(spark, sf_dir, n, batch=4):
 def _gen_sql(n: int) -> str:
     return _items_cte(n) + f""",
 g AS (SELECT rid, ord, rep, work_idx,
-             regexp_replace('gen:' || length(text) || ':' || (({SEED} * {I.SEED_MULTIPLIER} + work_idx) % {I.SEED_MODULUS})
+             regexp_replace('gen:' || length(text) || ':' || (('0x' || substr(md5('{SEED}:' || work_idx), 1, 8))::BIGINT & 2147483647)
                             || ':' || right(text, 8), '{{WS}}+$', '') AS output FROM it)
 """
 
@@ -473,7 +473,7 @@ def q_batch_generate(spark, sf_dir):
 
 @register("new_token_ids", _gen_sql(2) + """
 SELECT rid, rep, length(output) + 3 AS n_text FROM (
-  SELECT rid, rep, 'gen:' || length(text) || ':' || ((42 * 1000003 + work_idx) % 2147483647) || ':' || right(text, 8) AS output
+  SELECT rid, rep, 'gen:' || length(text) || ':' || (('0x' || substr(md5('42000000001:' || work_idx), 1, 8))::BIGINT & 2147483647) || ':' || right(text, 8) AS output
   FROM it)
 """)
 def q_new_token_ids(spark, sf_dir):

@@ -8,7 +8,8 @@ Three dialects mirror the three single-process readers being replaced:
 * ``infer``: same detection; JSONL lines are parsed and type-checked in order.
 * ``api``: always JSONL; line numbers are physical lines.
 
-Each record is parsed once per pass into a VARIANT column ``rec``; nothing is coerced.
+Each line is parsed once into a VARIANT column ``rec`` and written with the ids
+its task gave it; numbers follow from that table. Nothing is coerced.
 Lines split at ``\\n``, ``\\r`` and ``\\r\\n`` (so a raw U+2028 inside a string
 survives a round trip); blank lines are skipped.
 
@@ -18,13 +19,13 @@ number, NULL for arrays), ``rec`` and, with ``on_error="report"``, ``_error``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions import variant as V
 from ..functions.text import WHITESPACE, is_nonblank, ustrip
-from ..session import checkpoint_root
+from ..session import checkpoint_root, scratch_path
 from .ordinals import maybe_broadcast, running_sums
 
 # Error codes (fixed values).
@@ -62,47 +63,35 @@ def _files(spark: SparkSession, path: str, dialect: str) -> list[str]:
         raise
 
 
-HEAD_LIMIT = 1 << 20  # bytes read from the head of a file to detect its format
+HEAD_BYTES = 4096  # of a file's head that the driver reads before it asks Spark
 
 
-def _first_char(spark: SparkSession, first_file: str) -> str | None:
+def _first_char(spark: SparkSession, file: str) -> str | None:
     """First non-whitespace character of a file, reading only its head."""
     strip = WHITESPACE + "\ufeff"
-    if first_file.startswith("file:"):
-        with open(first_file[len("file:"):], "rb") as fh:
-            head = b""
-            while len(head) < HEAD_LIMIT:
-                chunk = fh.read(1 << 16)
-                if not chunk:
-                    return None
-                head += chunk
-                text = head.decode("utf-8", errors="ignore").lstrip(strip)
+    jvm = spark.sparkContext._jvm
+    # The scan lists its files URL-encoded: only a URI gives the path back.
+    hpath = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)) if ":" in file else jvm.org.apache.hadoop.fs.Path(file)
+    stream = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hpath)
+    try:
+        head = bytearray()
+        while len(head) < HEAD_BYTES:
+            b = stream.read()
+            if b >= 0:
+                head.append(b)
+            # Check at character boundaries (an incomplete last character
+            # is dropped by the decoder) and at the end of the file.
+            if b < 0x80 or b >= 0xC0:
+                text = bytes(head).decode("utf-8", errors="ignore").lstrip(strip)
                 if text:
                     return text[0]
-    else:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(first_file)
-        stream = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hpath)
-        try:
-            head = bytearray()
-            while len(head) < HEAD_LIMIT:
-                b = stream.read()
-                if b >= 0:
-                    head.append(b)
-                # Check at character boundaries (an incomplete last character
-                # is dropped by the decoder) and at the end of the file.
-                if b < 0x80 or b >= 0xC0:
-                    text = bytes(head).decode("utf-8", errors="ignore").lstrip(strip)
-                    if text:
-                        return text[0]
-                if b < 0:
-                    return None
-        finally:
-            stream.close()
-    # More than HEAD_LIMIT bytes of leading whitespace: ask Spark.
-    row = (spark.read.text(first_file)
-           .select("value", F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-           .where(is_nonblank(F.col("value"))).orderBy("b", "m").limit(1).collect())
+            if b < 0:
+                return None
+    finally:
+        stream.close()
+    lines = spark.read.text(hpath.toString()).select(
+        "value", F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    row = lines.where(is_nonblank(F.col("value"))).orderBy("b", "m").limit(1).collect()
     return row[0]["value"].strip(strip)[:1] if row else None
 
 
@@ -115,7 +104,9 @@ def detect_format(spark: SparkSession, path: str, dialect: str = "train", files:
     files = _files(spark, path, dialect) if files is None else files
     if not files:
         return "jsonl"
-    return "array" if _first_char(spark, files[0]) == "[" else "jsonl"
+    # The first file that holds anything decides.
+    first = next((c for c in (_first_char(spark, f) for f in files) if c is not None), None)
+    return "array" if first == "[" else "jsonl"
 
 
 def _line_table(spark: SparkSession, path: str) -> DataFrame:
@@ -128,131 +119,81 @@ def _line_table(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("_keep", is_nonblank(F.col("value")))
 
 
-# Offsets tables of at most this many rows (one per input split) are summed by
-# one window in one task; larger ones by the distributed ``running_sums``.
-SINGLE_TASK_SPLITS = 200_000
+_GUARD = "c1d7a0e4-end-of-record"  # any string will do: it must come last in the wrapped line
 
-_SIZE_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
-               "t": 1 << 40, "tb": 1 << 40}
 
+def parse_record(value: Column) -> Column:
+    """The JSON value a line holds, or NULL unless the line is exactly one value.
 
-def _bytes(value: str) -> int:
-    v = value.strip().lower()
-    num = v.rstrip("abcdefghijklmnopqrstuvwxyz")
-    return int(float(num) * _SIZE_UNITS.get(v[len(num):] or "b", 1))
+    ``parse_json`` stops after the first value. Wrapped as ``[line, guard]``, a
+    line with anything after its value, or with several values, no longer parses
+    to the two elements value and guard."""
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), ustrip(value), F.lit(f',"{_GUARD}"]'))),
+                             "$", "array<variant>")
+    strict = (F.size(both) == 2) & (F.try_variant_get(F.get(both, F.lit(1)), "$", "string") == F.lit(_GUARD))
+    return F.when(F.coalesce(strict, F.lit(False)), F.get(both, F.lit(0)))
 
 
-def split_bound(spark: SparkSession, path: str, n_files: int) -> int:
-    """An upper bound on the number of input splits of ``path``.
-
-    Splits are never smaller than ``min(maxPartitionBytes, openCostInBytes)``
-    (except a file's last one), so files + total bytes / that size bounds them.
-    Total bytes come from one file-system summary call on the driver.
-    """
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(hpath) or []
-    total = sum(fs.getContentSummary(st.getPath()).getLength() for st in statuses)
-    min_split = max(1, min(_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")),
-                           _bytes(spark.conf.get("spark.sql.files.openCostInBytes", "4m"))))
-    return n_files + total // min_split + 1
-
-
-def _block_offsets(lines: DataFrame, selected: bool = False, small: bool = True) -> DataFrame:
-    """One row per (file, block) split with the offsets that number its lines.
-
-    ``ord`` numbers non-blank lines; with ``selected``, ``idx`` also numbers the
-    lines whose record passes the caller's predicate (``_sel``). Within one
-    task, ids assigned after a narrow filter are consecutive, so per-task sums
-    of earlier splits' counts give each split's first id. Offsets across splits
-    are running sums: one window when the table is ``small`` (a proven bound),
-    the distributed ``running_sums`` otherwise. The table is broadcast below
-    ``BROADCAST_ROWS`` rows.
-    """
-    aggs = [
-        F.min("_mid").alias("_b_mid"),
-        F.count(F.lit(1)).alias("_b_lines"),
-        F.count_if(F.col("_keep")).alias("_b_kept"),
-        F.min(F.when(F.col("_keep"), F.col("_mid"))).alias("_b_first"),
-    ]
-    counts = ["_b_lines", "_b_kept"]
-    if selected:
-        aggs.append(F.count_if(F.col("_sel")).alias("_b_sel"))
-        counts.append("_b_sel")
-    blocks = lines.groupBy("_file", "_block").agg(*aggs)
-    if small:
-        before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts})
-    else:
-        blocks = running_sums(blocks, ["_file", "_block"], counts)
-    # Splits packed into the same task are numbered by one running id there.
-    same_task = Window.partitionBy(F.shiftright("_b_mid", 33)).orderBy("_b_mid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    task_base = F.shiftleft(F.shiftright("_b_mid", 33), 33)
-    cols = [
-        "_file", "_block", "_b_mid", "_b_first",
-        F.col("_b_lines_before").alias("_line_off"),
-        F.col("_b_kept_before").alias("_kept_off"),
-        (task_base + F.coalesce(F.sum("_b_kept").over(same_task), F.lit(0))).alias("_kmid0"),
-    ]
-    if selected:
-        cols += [F.col("_b_sel_before").alias("_sel_off"),
-                 (task_base + F.coalesce(F.sum("_b_sel").over(same_task), F.lit(0))).alias("_smid0")]
-    return blocks.select(*cols)
+class LayoutError(RuntimeError):
+    """The input's splits changed while its lines were being numbered."""
 
 
-def _offsets_summary(offsets: DataFrame) -> tuple[int, int]:
-    """Row count of the offsets table and the physical line number of the first
-    non-blank line, in one small job."""
-    first = F.min_by(F.when(F.col("_b_first").isNotNull(),
-                            F.col("_line_off") + (F.col("_b_first") - F.col("_b_mid")) + 1),
-                     F.when(F.col("_b_first").isNotNull(), F.struct("_file", "_block")))
-    row = offsets.agg(F.count(F.lit(1)).alias("n"), first.alias("first")).collect()[0]
-    return int(row["n"]), int(row["first"]) if row["first"] is not None else 1
-
-
-def _parse(value: Column) -> Column:
-    return F.try_parse_json(ustrip(value))
+def _kept_table(spark: SparkSession, path: str, dialect: str, select) -> DataFrame:
+    """Every non-blank line, parsed once and written with the ids its task gave it:
+    from here on positions are data, whatever splits later scans use."""
+    err = (F.when(~F.is_valid_utf8(F.col("value")), F.lit(BAD_UTF8))
+           .when(F.col("rec").isNull(), F.lit(BAD_JSON))
+           .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
+    kept = _line_table(spark, path).where("_keep").withColumn("rec", parse_record(F.col("value"))) \
+        .withColumn("_error", err)
+    chosen = F.col("_error").isNull() & F.coalesce(select(F.col("rec")), F.lit(False)) if select is not None else F.lit(False)
+    kept = kept.select("_file", "_block", "_mid", F.monotonically_increasing_id().alias("_kmid"), "rec", "_error",
+                       chosen.alias("_sel"))
+    where = scratch_path(spark, "records")
+    kept.write.parquet(where)
+    return spark.read.schema(kept.schema).parquet(where)
 
 
 def _jsonl(spark: SparkSession, path: str, dialect: str, select=None, n_files: int = 1):
     checkpoint_root(spark)
-    lines = _line_table(spark, path)
-    if select is not None:
-        # Parse once: the predicate and the output share the parsed record.
-        lines = lines.withColumn("_rec", _parse(F.col("value")))
-        lines = lines.withColumn("_sel", F.col("_keep") & F.coalesce(
-            F.is_valid_utf8(F.col("value")) & V.is_object(F.col("_rec")) & select(F.col("_rec")), F.lit(False)))
-    parsed = F.col("_rec") if select is not None else _parse(F.col("value"))
-    small = split_bound(spark, path, n_files) <= SINGLE_TASK_SPLITS
-    offsets = _block_offsets(lines, select is not None, small).checkpoint(eager=True)
-    n_blocks, first_line = _offsets_summary(offsets)
-    offsets_j = maybe_broadcast(offsets.drop("_b_first"), n_blocks)
-    kept = lines.where(F.col("_keep")).withColumn("_kmid", F.monotonically_increasing_id())
+    kept = _kept_table(spark, path, dialect, select)
+    # Numbers of lines and records per split: one row per split and file.
+    seen = _line_table(spark, path).groupBy("_file", "_block").agg(
+        F.min("_mid").alias("_b_mid"), F.count(F.lit(1)).alias("_b_lines"), F.count_if("_keep").alias("_b_seen"))
+    held = kept.groupBy("_file", "_block").agg(
+        F.min("_kmid").alias("_kmid0"), F.count(F.lit(1)).alias("_b_kept"), F.min("_mid").alias("_b_first"))
+    blocks = seen.join(held, ["_file", "_block"], "full_outer").withColumn("_b_kept", F.coalesce("_b_kept", F.lit(0)))
+    offsets = running_sums(blocks.fillna(0, ["_b_lines"]), ["_file", "_block"], ["_b_lines", "_b_kept"]) \
+        .withColumnsRenamed({"_b_lines_before": "_line_off", "_b_kept_before": "_kept_off"}).checkpoint(eager=True)
+    told = offsets.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("_b_seen").eqNullSafe(F.col("_b_kept"))).alias("changed"),
+        F.min_by(F.col("_line_off") + F.col("_b_first") - F.col("_b_mid") + 1,
+                 F.when(F.col("_b_first").isNotNull(), F.struct("_file", "_block"))).alias("first")).first()
+    if told["changed"]:
+        raise LayoutError(f"the splits of {path} changed while it was read; read it again")
+    first_line = told["first"] if told["first"] is not None else 1
+    offsets_j = maybe_broadcast(offsets.select("_file", "_block", "_b_mid", "_kmid0", "_line_off", "_kept_off"), told["n"])
     phys = F.col("_line_off") + (F.col("_mid") - F.col("_b_mid")) + 1
     line = phys if dialect == "api" else phys - F.lit(first_line) + 1
-    ord_ = F.col("_kept_off") + F.col("_kmid") - F.col("_kmid0")
-    j = kept.join(offsets_j, ["_file", "_block"])
-    err = (F.when(~F.is_valid_utf8(F.col("_raw")), F.lit(BAD_UTF8))
-           .when(F.col("rec").isNull(), F.lit(BAD_JSON))
-           .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
-    out = (j.select(ord_.alias("ord"), line.alias("line"), parsed.alias("rec"), F.col("value").alias("_raw"))
-           .withColumn("_error", err).drop("_raw"))
+    j = kept.join(offsets_j, ["_file", "_block"]).withColumn("ord", F.col("_kept_off") + F.col("_kmid") - F.col("_kmid0"))
+    out = j.select("ord", line.alias("line"), "rec", "_error", "_sel")
     if select is None:
-        return out, None
-    sel = kept.where(F.col("_sel")).withColumn("_smid", F.monotonically_increasing_id())
-    sel = sel.join(offsets_j, ["_file", "_block"]).select(
-        ord_.alias("ord"), (F.col("_sel_off") + F.col("_smid") - F.col("_smid0")).alias("idx"),
-        line.alias("line"), parsed.alias("rec"))
-    return out, sel
+        return out.drop("_sel"), None
+    counts = kept.agg(F.count(F.lit(1)).alias("n"), F.count_if("_sel").alias("sel")).first()
+    if counts["n"] == counts["sel"]:  # every record was chosen: its position is its index
+        return out.drop("_sel"), out.select("ord", F.col("ord").alias("idx"), "line", "rec")
+    chosen = out.where("_sel").select("ord", "line", "rec")
+    index = running_sums(chosen.select("ord").withColumn("one", F.lit(1)), ["ord"], ["one"]) \
+        .select("ord", F.col("one_before").alias("idx"))
+    return out.drop("_sel"), chosen.join(index, "ord").select("ord", "idx", "line", "rec")
 
 
 def _array(spark: SparkSession, path: str, n_files: int, select=None):
     docs = (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("_file"), "value")
             .select("_file", F.is_valid_utf8("value").alias("_utf8"), is_nonblank(F.col("value")).alias("_nb"),
-                    _parse(F.col("value")).alias("_doc")))
+                    parse_record(F.col("value")).alias("_doc")))
     arr = V.as_array(F.col("_doc"))
     sized = docs.select("_file", "_utf8", "_nb", "_doc", arr.alias("_arr"))
     # (position, element) pairs, then the selected ones, so both numberings
@@ -266,12 +207,7 @@ def _array(spark: SparkSession, path: str, n_files: int, select=None):
                          .when(~F.col("_nb"), F.lit(None))
                          .when(F.col("_doc").isNull(), F.lit(BAD_JSON))
                          .when(F.col("_arr").isNull(), F.lit(NOT_LIST)).alias("_ferr"))
-    if n_files <= SINGLE_TASK_SPLITS:
-        before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-        summed = files.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0))
-                                    for c in ("_n", "_ns")})
-    else:
-        summed = running_sums(files, ["_file"], ["_n", "_ns"])
+    summed = running_sums(files, ["_file"], ["_n", "_ns"])
     offsets = summed.select("_file", "_ferr", F.col("_n_before").alias("_off"), F.col("_ns_before").alias("_soff"))
     offsets_j = maybe_broadcast(offsets.drop("_ferr"), n_files)
     elems = sized.select("_file", F.posexplode("_arr").alias("_pos", "rec"))
@@ -339,7 +275,7 @@ def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: st
 
     With ``select`` (a function ``rec -> boolean Column``), ``selected`` holds the
     valid object records it accepts with ``idx``, their dense position among
-    themselves, computed from the same split offsets (no sort).
+    themselves.
     """
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import variant as V
 from ..functions.chat import Template
-from ..functions.text import is_nonblank, ustrip
+from ..functions.text import is_nonblank
 from ..operators import sft
 from ..session import scratch_path
+from ..sources.records import BAD_JSON, BAD_UTF8, NOT_OBJECT, parse_record
 
 
 def sft_stream(spark: SparkSession, input_dir: str, response_only_loss: bool = True,
@@ -28,10 +29,13 @@ def sft_stream(spark: SparkSession, input_dir: str, response_only_loss: bool = T
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(input_dir).select("value", F.col("_metadata.file_path").alias("file"))
     recs = lines.where(is_nonblank(F.col("value"))).select(
-        "file", F.try_parse_json(ustrip(F.col("value"))).alias("rec"))
-    recs = recs.withColumn("rec_error", F.when(F.col("rec").isNull(), F.lit("BAD_JSON"))
-                           .when(~V.is_object(F.col("rec")), F.lit("NOT_OBJECT")))
-    recs = sft.split_filter(recs, split_field, split)
+        "file", F.is_valid_utf8(F.col("value")).alias("_utf8"), parse_record(F.col("value")).alias("rec"))
+    recs = recs.withColumn("rec_error", F.when(~F.col("_utf8"), F.lit(BAD_UTF8))
+                           .when(F.col("rec").isNull(), F.lit(BAD_JSON))
+                           .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
+    if split_field and split is not None:
+        # A record that cannot be read has no split: it is reported whatever the split.
+        recs = recs.where(F.col("rec_error").isNotNull() | sft.split_condition(F.col("rec"), split_field, split))
     out = sft.project(recs, response_only_loss, template, prompt_field, response_field)
     cols = ["text", "prompt_text"] if response_only_loss else ["text"]
     return out.select("file", "rec_error", *cols, "_error")

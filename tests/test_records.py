@@ -120,10 +120,48 @@ def test_positions_do_not_depend_on_splits(spark, tmp):
         assert got == want, max_bytes
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_distributed_and_single_window_offsets_agree(spark, tmp, monkeypatch, limit):
-    from tessera.sources import records as R
-    monkeypatch.setattr(R, "SINGLE_TASK_SPLITS", limit)
+@pytest.mark.parametrize("later", ["1", "3", "8"])
+def test_rows_survive_another_split_layout(spark, tmp, later):
+    """Built under one parallelism and read under another: no row is lost or renumbered."""
+    from tessera.plans.jobs import load_sft_dataset
+    n = 20_000
+    p = write(tmp / "split.jsonl", "\n".join(
+        '{"i":%d,"text":"row %d","split":"%s"}' % (i, i, "ab"[i % 2]) + ("\n" if i % 9 == 0 else "") for i in range(n)) + "\n")
+    key = "spark.sql.leafNodeDefaultParallelism"
+    spark.conf.set(key, "2")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        recs = read_records(spark, p, "train")
+        data = load_sft_dataset(spark, p, split_field="split", split="b", response_only_loss=False)
+        spark.conf.set(key, later)
+        got = sorted((r.ord, r.i) for r in recs.select("ord", F.variant_get("rec", "$.i", "int").alias("i")).collect())
+        rows = sorted((r.ord, r.idx, r.text) for r in data.collect())
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i, i) for i in range(n)]
+    assert rows == [(i, i // 2, f"row {i}") for i in range(1, n, 2)]
+
+
+@pytest.mark.parametrize("line", ['{"a":1}{"b":2}', '{"a":1} trailing', '{"a":1},{"b":2}', '{"a":1}]', '{"a":1},"x"', '{"a":1'])
+def test_text_after_a_value_is_bad_json(spark, tmp, line):
+    p = write(tmp / "glued.jsonl", '{"ok":1}\n' + line + "\n")
+    with pytest.raises(RecordError, match="line 2") as e:
+        read_records(spark, p, "train")
+    assert e.value.code == "BAD_JSON"
+
+
+@pytest.mark.parametrize("name", ["问题", 'with "quotes"', "it's", """both ' and \"""", "a.b c", "back\\\\slash"])
+def test_any_field_name(spark, name):
+    import json as _json
+
+    from tessera.functions import variant as V
+    df = spark.createDataFrame([(_json.dumps({name: "v", "x": 1}),)], "js string").select(F.parse_json("js").alias("rec"))
+    row = df.select(V.as_string(V.field("rec", name)).alias("v"), V.has_key("rec", name + "?").alias("n")).first()
+    assert (row.v, row.n) == ("v", False)
+
+
+def test_numbers_and_lines_over_many_splits(spark, tmp):
     body = "\n".join(('{"i":%d}' % i) + ("\n" if i % 5 == 0 else "") for i in range(2000)) + "\n"
     p = write(tmp / "m.jsonl", "\n\n" + body)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
@@ -143,15 +181,13 @@ def test_distributed_and_single_window_offsets_agree(spark, tmp, monkeypatch, li
     assert sorted(r.ord for r in read_records(spark, arr, "train").collect()) == list(range(50))
 
 
-def test_split_bound_is_an_upper_bound(spark, tmp):
-    from tessera.sources.records import split_bound
-    p = write(tmp / "b.jsonl", "x" * 100_000)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
-    try:
-        n_parts = spark.read.text(p).rdd.getNumPartitions()
-        assert split_bound(spark, p, 1) >= n_parts
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+def test_paths_with_blanks_and_percent_signs(spark, tmp):
+    folder = tmp / "a b%20c"
+    folder.mkdir()
+    write(folder / "0 empty.jsonl", " \n\n")
+    write(folder / "1 full.jsonl", '[{"a":1},{"b":2}]')
+    assert read_records(spark, str(folder / "1 full.jsonl"), "train").count() == 2
+    assert read_records(spark, str(folder), "train").count() == 2
 
 
 def test_first_char_through_hadoop_fs(spark, tmp):
