@@ -49,30 +49,72 @@ class ChunkIds(dict):
 
     The tokenizer cuts at white space before it merges and drops it, and neither
     its normaliser nor its special tokens reach across a blank, so a text's ids
-    are those of its stretches one after the other."""
+    are those of its stretches one after the other. It also lowers letters and
+    cuts between letters and punctuation: an ASCII word shares its ids with its
+    other spellings, and a full stop or comma after it is a token of its own."""
 
-    LIMIT = 150_000
+    LIMIT = 400_000
     LONGEST = 200
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
-        self._encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, chunk: str) -> list[int]:
-        ids = self._encode(chunk, add_special_tokens=False).ids
-        if len(chunk) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def text(self, text: str) -> np.ndarray:
-        flat: list[int] = []
-        for chunk in text.split(" "):
-            flat += self[chunk]
-        flat.append(END_ID)
-        return np.array(flat, "<u4")
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode_batch_fast
+        self._ends = {i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")}
+
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, ...]:
+        """The keys whose ids make up the chunk's."""
+        body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
+        if not body.isalpha():
+            return (chunk,)
+        if max(body) < "\u0130":  # up to here every capital has one small letter
+            body = body.lower()
+        return (body,) if len(body) == len(chunk) else (body, chunk[-1])
+
+    def ids_of(self, keys: list[str]) -> dict[str, list[int]]:
+        """Words of letters go through the tokenizer many at a time, as a text: each
+        is one word for it, so its ids reach up to the next word end."""
+        words, rest = [k for k in keys if k.isalpha()], [k for k in keys if not k.isalpha()]
+        out: dict[str, list[int]] = {}
+        runs = [words[i:i + 500] for i in range(0, len(words), 500)]
+        for run, e in zip(runs, self._encode([" ".join(r) for r in runs], add_special_tokens=False)):
+            split, now = [], []
+            for x in e.ids:
+                now.append(x)
+                if x in self._ends:
+                    split.append(now)
+                    now = []
+            if now or len(split) != len(run):
+                rest += run
+            else:
+                out.update(zip(run, split))
+        out.update(zip(rest, (e.ids for e in self._encode(rest, add_special_tokens=False))))
+        return out
+
+    def learn(self, chunks) -> None:
+        """Add the ids of all chunks that are not known yet, in one call."""
+        new = [c for c in chunks if c not in self]
+        ids = self.ids_of(list({p for c in new for p in self.parts(c)}))
+        for c in new:
+            p = self.parts(c)
+            self[c] = ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]]
+
+    def texts(self, texts: list[str]):
+        """The ids of each text with the end id."""
+        split = [t.split(" ") for t in texts]
+        if len(self) > self.LIMIT:
+            self.clear()
+        self.learn({c for chunks in split for c in chunks})
+        for chunks in split:
+            flat: list[int] = []
+            for c in chunks:
+                flat += self[c]
+            flat.append(END_ID)
+            yield np.array(flat, "<u4")
+        for c in [c for chunks in split for c in chunks if len(c) > self.LONGEST]:
+            self.pop(c, None)
 
 
 _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
@@ -88,8 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataF
         ids_of = ChunkIds(tokenizer)
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = ids_of.text(text)
+            for i, ids in enumerate(ids_of.texts(b.column(1).to_pylist())):
                 for k, lo in enumerate(range(0, len(ids), size)):
                     part = ids[lo:lo + size]
                     at.append(i)
