@@ -57,7 +57,7 @@ def default_model() -> str:
 class Pieces:
     """The vocabulary as a prefix table, with the words segmented so far."""
 
-    LIMIT = 200_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -124,14 +124,33 @@ class Pieces:
     def word(self, w: str) -> tuple[float, tuple[int, ...]]:
         got = self._known.get(w)
         if got is None:
-            at, came = self.forward(w, 0, len(w))
-            got = at[-1], tuple(self.traced(w, came, 0, len(w)))
+            got = self._best(w)
             if len(w) <= 64:
                 if len(self._known) >= self.LIMIT:
                     self._known.clear()
                 self._known[w] = got
         return got
 
+    def _best(self, w: str) -> tuple[float, tuple[int, ...]]:
+        """Best sum and ids of a whole word: ``forward`` and ``traced`` in one loop."""
+        n, scores, prefixes, unknown = len(w), self.scores, self.prefixes, self.unknown
+        at, came = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        for i in range(n):
+            here, single = at[i], False
+            for j in range(i + 1, n + 1):
+                p = w[i:j]
+                s = scores.get(p)
+                if s is None:
+                    if p not in prefixes:
+                        break
+                    continue
+                single = single or j == i + 1
+                if here + s > at[j]:
+                    at[j], came[j] = here + s, i
+            if not single and here + unknown > at[i + 1]:
+                at[i + 1], came[i + 1] = here + unknown, i
+        return at[n], tuple(self.traced(w, came, 0, n))
+
     def cuts(self, t: str, lo: int, hi: int) -> list[int]:
         """Sure boundaries in [lo, hi]: before a blank that follows another character."""
         if not self.words_apart:
