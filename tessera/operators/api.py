@@ -64,20 +64,19 @@ def call(requests: DataFrame, url: str, api_key: str | None = None, transport: T
          tasks: int | None = None, carry: list[str] | tuple = ()) -> DataFrame:
     """``(ord, body)`` -> ``(ord, status, body, exc, latency_sec)``, one call per row.
 
-    Without ``tasks``: ``concurrency`` threads in every running task. With
-    ``tasks``: the requests are spread over that many tasks and the total
-    ``concurrency`` is divided among them (at least one thread each). No retry:
-    a failure is a row. Checkpointed so the calls happen once per successful
-    task. ``carry`` names string columns passed through unchanged.
+    ``concurrency`` is the number of calls in flight in all: the requests are
+    spread over ``tasks`` tasks (default: as many as ``concurrency``) and the
+    calls are divided among them, at least one each, so more tasks than calls
+    are not made. No retry: a failure is a row. Checkpointed so the calls happen
+    once per successful task. ``carry`` names string columns passed through
+    unchanged.
     """
     ship_package(requests.sparkSession)
     send = transport or http_transport
     headers = {"Content-Type": "application/json", "Authorization": f"Bearer {resolve_api_key(api_key)}"}
-    if tasks:
-        requests = requests.repartition(int(tasks))
-        workers = max(1, -(-int(concurrency) // int(tasks)))
-    else:
-        workers = max(1, int(concurrency))
+    tasks = min(int(tasks or concurrency), max(1, int(concurrency)))
+    requests = requests.repartition(tasks)
+    workers = max(1, int(concurrency) // tasks)
 
     def one(body: str):
         started = time.time()
@@ -168,6 +167,20 @@ def carried_fields(rec: Column, id_field: str = "id", prompt_field: str = "promp
             F.to_json(V.field(rec, prompt_field)).alias("_carry_prompt")]
 
 
+# Columns of a result besides the copied fields.
+RESULT_KEYS = ("index", "ok", "response", "raw_response", "error", "latency_sec")
+
+
+def check_field_names(id_field: str, prompt_field: str) -> None:
+    """Raise before any call if the copied fields would collide in the results."""
+    taken = {k.lower() for k in RESULT_KEYS}
+    for name in (id_field, prompt_field):
+        if name.lower() in taken:
+            raise ValueError(f"{name!r} is a column of the results and cannot be copied from the input")
+    if id_field.lower() == prompt_field.lower():
+        raise ValueError("id_field and prompt_field must differ")
+
+
 def results_carried(responses: DataFrame, id_field: str = "id", prompt_field: str = "prompt") -> DataFrame:
     """The per-row result from responses that carried ``id`` / ``prompt`` along
     (no join back to the records), in input order."""

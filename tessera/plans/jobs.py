@@ -172,6 +172,7 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
     ``done``: results of an interrupted run (with ``index``); those rows are
     not called again and are unioned into the output.
     """
+    A.check_field_names(id_field, prompt_field)
     if output_path:
         S.check_output(spark, output_path, overwrite)
     _, pm = checked_prompts(spark, input_path, "api", prompt_field, messages_field, system_prompt)

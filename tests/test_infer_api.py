@@ -94,16 +94,40 @@ def test_api_key_resolution(monkeypatch):
 
 
 def test_invalid_row_aborts_before_any_call(spark, tmp):
-    calls = []
+    log = str(tmp / "calls")
 
     def transport(url, body, headers, timeout):
-        calls.append(body)
+        with open(log, "ab") as fh:  # the calls happen in worker processes
+            fh.write(b"x")
         return 200, "{}"
 
     p = write(tmp / "p.jsonl", '{"prompt":"a"}\n{"id":1}\n')
     with pytest.raises(ValueError):
         jobs.api_inference(spark, p, None, "http://h", "m", transport=transport)
-    assert calls == []
+    good = write(tmp / "g.jsonl", '{"prompt":"a"}\n')
+    for names in ({"id_field": "index"}, {"id_field": "prompt"}):
+        with pytest.raises(ValueError):
+            jobs.api_inference(spark, good, None, "http://h", "m", transport=transport, **names)
+    assert not os.path.exists(log)
+    jobs.api_inference(spark, good, None, "http://h", "m", transport=transport)
+    assert os.path.getsize(log) == 1
+
+
+def test_two_factories_of_one_function_are_two_models(spark):
+    from tessera.operators import infer as I
+
+    def make(answer):
+        class Fixed:
+            def generate(self, ids, mask, config, seeds):
+                return [list(x) + [ord(answer)] for x in ids]
+        return Fixed
+
+    items = I.repeat_items(spark.range(6).select(F.col("id").alias("ord"), F.lit("p").alias("text")), 1, 2, 2**31 - 1)
+    for answer in "AB":
+        gen = I.generate(I.pad_batches(items, "codepoint"), make(answer), {})
+        assert {r.output for r in I.decode_outputs(gen, "codepoint").collect()} == {answer}
+    seeds = [r.seed for r in items.collect()]
+    assert len(set(seeds)) == 6 and all(0 <= s < 2**31 for s in seeds)
 
 
 def test_api_job_writes_in_order_with_optional_keys(spark, tmp):
@@ -137,19 +161,27 @@ def test_batch_job_scalar_list_and_formats(spark, tmp):
     assert S.output_format("x.jsonl", "json") == "json"
 
 
-def test_concurrency_divided_over_tasks(spark):
-    import threading
-    seen = set()
+@pytest.mark.parametrize("tasks", [None, 1, 2, 50])
+def test_concurrency_is_the_total(spark, tmp, tasks):
+    """The most calls in flight at once, from the begin and end of every call."""
+    log = str(tmp / "flights")
 
     def transport(url, body, headers, timeout):
-        seen.add(threading.get_ident())
+        import time
+        began = time.time()
+        time.sleep(0.05)
+        with open(log, "a") as fh:
+            fh.write(f"{began} {time.time()}\n")
         return 200, json.dumps({"choices": [{"message": {"content": "ok"}}]})
 
     req = spark.range(40).select(F.col("id").alias("ord"), F.lit("{}").alias("body"))
-    out = A.call(req, "http://h/chat/completions", None, transport, concurrency=4, tasks=2, checkpoint=False)
+    out = A.call(req, "http://h/chat/completions", None, transport, concurrency=3, tasks=tasks, checkpoint=False)
     rows = out.collect()
     assert sorted(r.ord for r in rows) == list(range(40))
     assert all(r.status == 200 for r in rows)
+    spans = [tuple(map(float, x.split())) for x in open(log)]
+    assert len(spans) == 40
+    assert max(sum(a <= t < z for a, z in spans) for t, _ in spans) <= 3
 
 
 def test_json_array_sink_with_empty_partitions(spark, tmp):
