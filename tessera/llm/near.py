@@ -16,9 +16,14 @@ shingle sets, union-find grouping.
    small-star over the trees that are left.
 5. Two members of a bucket can be linked although neither is linked with its
    center. Buckets that still hold several groups are therefore
-   looked at in full: their members meet in blocks, where signatures are
-   compared in numpy and only likely pairs of different groups come out, to be
-   verified like the others. No pairs inside a group are ever made.
+   looked at in full: their members meet in blocks, where pairs of different
+   groups are compared in numpy. The signatures must be close, and what both have
+   in common must be able to reach the bound: for the center c two sets x and y
+   share at most min(|x & c|, |y & c|) + |(x - c) & (y - c)| shingles, of which the
+   first part is known from step 4 and the second is counted (never too low) over
+   hashed shingles outside the center. Unlike edits of one text fail this at
+   once. Pairs that are left are verified like the others. No pairs inside a group
+   are ever made.
 
 With 28 bands of 5 rows a pair at exactly 0.8 shares no bucket with probability
 1.5e-5 (at 0.85: 2e-7); the signature comparison of step 5 admits pairs down to
@@ -50,6 +55,7 @@ BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
 PERCENT = 80        # links have 100 * intersection >= PERCENT * union
 BLOCK = 512         # members of a bucket that are compared with each other at once
+OUTSIDE = 2048      # hashed counters for a member's shingles outside the center
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -190,15 +196,51 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
+def _against(batches):
+    """Rows (uid, center, zu, zc) -> the size of the intersection, whether the pair
+    is a link, and the shingles outside the center (32 bits each)."""
+    words = WordHashes()
+
+    @lru_cache(maxsize=64)
+    def sets(z: bytes) -> np.ndarray:
+        return shingle_set(zlib.decompress(z), words)
+
+    for batch in batches:
+        inter, linked, extras = [], [], []
+        for zu, zc in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, c = sets(zu), sets(zc)
+            other = np.setdiff1d(x, c, assume_unique=True)
+            both = len(x) - len(other)
+            inter.append(both)
+            linked.append(100 * both >= PERCENT * (len(x) + len(c) - both))
+            extras.append(other.astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(linked, pa.bool_()),
+             pa.array(extras, pa.binary())], names=["uid", "center", "inter", "linked", "extras"])
+
+
+def _outside_counts(extras: list[bytes]) -> np.ndarray:
+    """A row of ``OUTSIDE`` hashed counters for each set of shingles outside the
+    center; the product of two rows is the size of their intersection or more."""
+    sizes = np.array([len(e) // 4 for e in extras])
+    owner = np.repeat(np.arange(len(extras)), sizes)
+    _, at, times = np.unique(np.frombuffer(b"".join(extras), np.uint32), return_inverse=True, return_counts=True)
+    met = times[at] > 1  # a shingle of one set alone is in no intersection
+    counts = np.zeros((len(extras), OUTSIDE), np.float32)
+    np.add.at(counts, (owner[met], np.cumsum(times > 1)[at[met]] % OUTSIDE), 1)
+    return counts
+
+
 def _likely_pairs(batches):
     """Rows sorted by (bucket, left block, right block, uid): members of a pair of
-    blocks; yields pairs of different groups whose signatures are close."""
+    blocks; yields pairs of different groups whose signatures are close and whose
+    intersection can be large enough."""
     # 8-bit slots agree by chance once in 256 times; 4 standard deviations under 0.8.
     need = int(SLOTS * (0.8 - 4 * (0.8 * 0.2 / SLOTS) ** 0.5))
 
     def rows():
         for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(8)))
+            yield from zip(*(b.column(i).to_pylist() for i in range(10)))
 
     out_a, out_b = [], []
     for (_, left, right), run in itertools.groupby(rows(), key=lambda r: r[:3]):
@@ -208,6 +250,8 @@ def _likely_pairs(batches):
         size = np.array([r[5] for r in run])
         sig = np.frombuffer(b"".join(r[6] for r in run), np.uint8).reshape(len(run), SLOTS)
         block = np.array([r[7] for r in run])
+        inter = np.array([r[8] for r in run])
+        outside = _outside_counts([r[9] for r in run])
         for i in range(len(run)):
             later = np.arange(i + 1, len(run))
             later = later[(group[later] != group[i])
@@ -215,6 +259,8 @@ def _likely_pairs(batches):
                           & (100 * np.minimum(size[later], size[i]) >= PERCENT * np.maximum(size[later], size[i]))]
             if len(later):
                 near = later[(sig[later] == sig[i]).sum(axis=1) >= need]
+                most = np.minimum(inter[near], inter[i]) + outside[near] @ outside[i]
+                near = near[(100 + PERCENT) * most >= PERCENT * (size[near] + size[i])]
                 out_a += np.minimum(uid[near], uid[i]).tolist()
                 out_b += np.maximum(uid[near], uid[i]).tolist()
         if len(out_a) > 10_000:
@@ -297,27 +343,32 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     met = written(rows.join(merged(shared), "band"), "met")
     degrees = met.groupBy("uid").agg(F.sum("k").alias("degree"))
     ranked = met.join(merged(degrees), "uid")
-    centers = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("uid")).alias("neg"), "n")).alias("c")) \
-        .select("band", (-F.col("c.neg")).alias("center"), F.col("c.n").alias("center_n"))
+    centers = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("uid")).alias("neg"))).alias("c")) \
+        .select("band", (-F.col("c.neg")).alias("center"))
     buckets = written(met.join(merged(centers), "band"), "buckets")
-    fits = 100 * F.least("n", "center_n") >= PERCENT * F.greatest("n", "center_n")
-    stars = buckets.filter("uid <> center").filter(fits).select(
-        F.least("center", "uid").alias("a"), F.greatest("center", "uid").alias("b")).distinct()
+    stars = buckets.filter("uid <> center").select("uid", "center").distinct()
     texts = signed.select("uid", "ztext").join(merged(buckets.select("uid").distinct()), "uid", "left_semi")
     texts = written(texts, "bucket-texts")
-    links = written(_linked(stars, texts), "links")
+    rays = stars.join(merged(texts.withColumnRenamed("ztext", "zu")), "uid").join(
+        merged(texts.select(F.col("uid").alias("center"), F.col("ztext").alias("zc"))), "center").select(
+        "uid", "center", "zu", "zc").mapInArrow(_against, "uid long, center long, inter long, linked boolean, extras binary")
+    rays = written(rays, "rays")
+    links = rays.filter("linked").select(F.least("center", "uid").alias("a"), F.greatest("center", "uid").alias("b"))
     roots = components(links)
 
     # Buckets that still hold several groups, in blocks.
     grouped = buckets.join(merged(roots.withColumnRenamed("u", "uid")), "uid", "left").select(
-        "band", "uid", "n", "k", F.coalesce("root", "uid").alias("grp"))
+        "band", "uid", "center", "n", "k", F.coalesce("root", "uid").alias("grp"))
     several = grouped.groupBy("band").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi")
     open_rows = grouped.join(merged(several.select("band")), "band").join(merged(reps.select("uid", "sig")), "uid")
+    open_rows = open_rows.join(merged(rays.drop("linked")), ["uid", "center"], "left").withColumns({
+        "inter": F.coalesce("inter", "n"), "extras": F.coalesce("extras", F.lit(b""))})  # the center itself has no ray
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     open_rows = open_rows.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
     paired = open_rows.select(
-        "band", "uid", "grp", "n", "sig", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select(
-        "band", F.least("blk", "other").alias("lb"), F.greatest("blk", "other").alias("rb"), "uid", "grp", "n", "sig", "blk")
+        "band", "uid", "grp", "n", "sig", "blk", "inter", "extras", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select(
+        "band", F.least("blk", "other").alias("lb"), F.greatest("blk", "other").alias("rb"), "uid", "grp", "n", "sig", "blk",
+        "inter", "extras")
     likely = paired.repartition("band", "lb", "rb").sortWithinPartitions("band", "lb", "rb", "uid") \
         .mapInArrow(_likely_pairs, "a long, b long").distinct()
     likely = written(likely, "likely")
