@@ -11,8 +11,9 @@ from ..session import checkpoint_root, scratch_path
 SPACE = r"\x20\x09-\x0D"
 
 # Arrow batches of document rows: 10,000 texts in one batch can exceed a Python
-# worker's memory, a thousand do not.
+# worker's memory, and so can a thousand long ones.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -35,6 +36,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
