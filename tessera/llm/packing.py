@@ -24,6 +24,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -44,24 +45,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkIds(dict):
+def gathered(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` one after the other, and their sizes."""
+    sizes = offsets[which + 1] - offsets[which]
+    first = np.cumsum(sizes) - sizes
+    return flat[np.repeat(offsets[which] - first, sizes) + np.arange(sizes.sum())], sizes
+
+
+class ChunkIds:
     """Token ids of the stretches between blanks, remembered up to a bound.
 
     The tokenizer cuts at white space before it merges and drops it, and neither
     its normaliser nor its special tokens reach across a blank, so a text's ids
     are those of its stretches one after the other. It also lowers letters and
     cuts between letters and punctuation: an ASCII word shares its ids with its
-    other spellings, and a full stop or comma after it is a token of its own."""
+    other spellings, and a full stop or comma after it is a token of its own.
+
+    The ids are one array with an offset per stretch, so a text is put together
+    without a loop over its words."""
 
-    LIMIT = 400_000
-    LONGEST = 200
+    LIMIT = 400_000        # stretches
+    LIMIT_IDS = 4_000_000
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         self._encode = tokenizer.encode_batch_fast
-        self._ends = {i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")}
+        vocab = tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._at: dict[str, int] = {}
+        self._flat, self._offsets = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @staticmethod
     def parts(chunk: str) -> tuple[str, ...]:
@@ -73,48 +90,55 @@ class ChunkIds(dict):
             body = body.lower()
         return (body,) if len(body) == len(chunk) else (body, chunk[-1])
 
-    def ids_of(self, keys: list[str]) -> dict[str, list[int]]:
-        """Words of letters go through the tokenizer many at a time, as a text: each
+    def ids_of(self, keys) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The keys in a new order, their ids one after the other, and the offsets.
+        Words of letters go through the tokenizer many at a time, as a text: each
         is one word for it, so its ids reach up to the next word end."""
-        words, rest = [k for k in keys if k.isalpha()], [k for k in keys if not k.isalpha()]
-        out: dict[str, list[int]] = {}
+        words, rest = [], []
+        for k in keys:
+            (words if k.isalpha() else rest).append(k)
+        order, flats, sizes = [], [], []
         runs = [words[i:i + 500] for i in range(0, len(words), 500)]
         for run, e in zip(runs, self._encode([" ".join(r) for r in runs], add_special_tokens=False)):
-            split, now = [], []
-            for x in e.ids:
-                now.append(x)
-                if x in self._ends:
-                    split.append(now)
-                    now = []
-            if now or len(split) != len(run):
-                rest += run
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids])
+            if len(ends) == len(run) and ends[-1] == len(ids) - 1:
+                order += run
+                flats.append(ids)
+                sizes.append(np.diff(ends, prepend=-1))
             else:
-                out.update(zip(run, split))
-        out.update(zip(rest, (e.ids for e in self._encode(rest, add_special_tokens=False))))
-        return out
+                rest += run
+        for e in self._encode(rest, add_special_tokens=False):
+            flats.append(np.array(e.ids, "<u4"))
+            sizes.append([len(flats[-1])])
+        flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
+        return order + rest, flat, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
     def learn(self, chunks) -> None:
         """Add the ids of all chunks that are not known yet, in one call."""
-        new = [c for c in chunks if c not in self]
-        ids = self.ids_of(list({p for c in new for p in self.parts(c)}))
-        for c in new:
-            p = self.parts(c)
-            self[c] = ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]]
+        new = [c for c in chunks if c not in self._at]
+        if not new:
+            return
+        parts = [self.parts(c) for c in new]
+        keys, flat, offsets = self.ids_of(set(itertools.chain.from_iterable(parts)))
+        number = dict(zip(keys, range(len(keys))))
+        of_each = np.fromiter(map(len, parts), np.int64, len(parts))
+        which = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(of_each.sum()))
+        ids, sizes = gathered(flat, offsets, which)
+        sizes = np.add.reduceat(sizes, np.cumsum(of_each) - of_each)
+        self._at.update(zip(new, range(len(self._at), len(self._at) + len(new))))
+        self._offsets = np.concatenate([self._offsets, len(self._flat) + np.cumsum(sizes)])
+        self._flat = np.concatenate([self._flat, ids])
 
     def texts(self, texts: list[str]):
         """The ids of each text with the end id."""
         split = [t.split(" ") for t in texts]
-        if len(self) > self.LIMIT:
-            self.clear()
-        self.learn({c for chunks in split for c in chunks})
+        if len(self._at) > self.LIMIT or len(self._flat) > self.LIMIT_IDS:
+            self._forget()
+        self.learn(set(itertools.chain.from_iterable(split)))
         for chunks in split:
-            flat: list[int] = []
-            for c in chunks:
-                flat += self[c]
-            flat.append(END_ID)
-            yield np.array(flat, "<u4")
-        for c in [c for chunks in split for c in chunks if len(c) > self.LONGEST]:
-            self.pop(c, None)
+            which = np.fromiter(map(self._at.__getitem__, chunks), np.int64, len(chunks))
+            yield np.append(gathered(self._flat, self._offsets, which)[0], np.uint32(END_ID))
 
 
 _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
