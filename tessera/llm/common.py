@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     checkpoint_root(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
