@@ -13,7 +13,7 @@ SPACE = r"\x20\x09-\x0D"
 # Arrow batches of document rows: 10,000 texts in one batch can exceed a Python
 # worker's memory, and so can a thousand long ones.
 BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
