@@ -25,11 +25,14 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,13 @@ def gathered(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[
     return flat[np.repeat(offsets[which] - first, sizes) + np.arange(sizes.sum())], sizes
 
 
+# Printable ASCII and white space without the apostrophe, which begins words of its own;
+# the words that the tokenizer cuts such a text into; one word of it.
+_PLAIN = re.compile(r"[\t-\r -&(-~]*")
+_WORDS = re.compile(r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_WORD = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
 class ChunkIds:
     """Token ids of the stretches between blanks, remembered up to a bound.
 
@@ -61,8 +71,8 @@ class ChunkIds:
     cuts between letters and punctuation: an ASCII word shares its ids with its
     other spellings, and a full stop or comma after it is a token of its own.
 
-    The ids are one array with an offset per stretch, so a text is put together
-    without a loop over its words."""
+    The ids are one array with an offset per stretch, so the texts of a batch are
+    put together without a loop over their words."""
 
     LIMIT = 400_000        # stretches
     LIMIT_IDS = 4_000_000
@@ -70,34 +80,74 @@ class ChunkIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        self._encode = tokenizer.encode_batch_fast
+        self._encode, self._merge = tokenizer.encode_batch_fast, tokenizer.model.tokenize
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         vocab = tokenizer.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
+        # The first stretch is the end id.
         self._at: dict[str, int] = {}
-        self._flat, self._offsets = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self._flat, self._offsets = np.array([END_ID], "<u4"), np.array([0, 1], np.int64)
 
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, ...]:
-        """The keys whose ids make up the chunk's."""
+    def parts(self, chunk: str) -> list[str]:
+        """The keys whose ids make up the chunk's: the tokenizer's own words where
+        the chunk is plain ASCII, else the chunk or its word and the stop after it."""
+        if _PLAIN.fullmatch(chunk):
+            return [chunk] if self._added.search(chunk) else _WORDS.findall(chunk.lower()) or [chunk]
         body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
         if not body.isalpha():
-            return (chunk,)
+            return [chunk]
         if max(body) < "\u0130":  # up to here every capital has one small letter
             body = body.lower()
-        return (body,) if len(body) == len(chunk) else (body, chunk[-1])
+        return [body] if len(body) == len(chunk) else [body, chunk[-1]]
+
+    def keyed(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct keys of all chunks, the numbers of each chunk's keys one
+        after the other, and how many each has. ASCII words go many at a time."""
+        text = pa.array(chunks, pa.string())
+        plain = pc.match_substring_regex(text, "^[A-Za-z]+[.,]?$")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        words = text.filter(plain)
+        bodies = pc.ascii_lower(pc.utf8_rtrim(words, ".,")).dictionary_encode()
+        keys = bodies.dictionary.to_numpy(zero_copy_only=False).tolist() + [".", ","]
+        number = dict(zip(keys, range(len(keys))))
+        rest = [self.parts(chunks[i]) for i in np.flatnonzero(~is_plain)]
+        for k in itertools.chain.from_iterable(rest):
+            number.setdefault(k, len(number))
+        of_each = np.ones(len(chunks), np.int64)
+        stop, comma = (pc.ends_with(words, x).to_numpy(zero_copy_only=False) for x in ".,")
+        of_each[is_plain] += stop | comma
+        of_each[~is_plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        first = np.cumsum(of_each) - of_each
+        which = np.empty(int(of_each.sum()), np.int64)
+        which[first[is_plain]] = bodies.indices.to_numpy(zero_copy_only=False)
+        at = first[is_plain] + 1
+        which[at[stop]], which[at[comma]] = number["."], number[","]
+        others = np.ones(len(which), bool)
+        others[first[is_plain]] = False
+        others[at[stop | comma]] = False
+        which[others] = [number[k] for k in itertools.chain.from_iterable(rest)]
+        return list(number), which, of_each
 
     def ids_of(self, keys) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The keys in a new order, their ids one after the other, and the offsets.
-        Words of letters go through the tokenizer many at a time, as a text: each
-        is one word for it, so its ids reach up to the next word end."""
-        words, rest = [], []
+        ASCII words are merged by the model alone, as nothing is left to cut.
+        Other words of letters go through the tokenizer many at a time, as a text:
+        each is one word for it, so its ids reach up to the next word end."""
+        ready, words, rest = [], [], []
         for k in keys:
-            (words if k.isalpha() else rest).append(k)
-        order, flats, sizes = [], [], []
+            if _WORD.fullmatch(k) and not self._added.search(k):
+                ready.append(k)
+            else:
+                (words if k.isalpha() else rest).append(k)
+        merged_ids = [[t.id for t in self._merge(k)] for k in ready]
+        order = list(ready)
+        flats = [np.fromiter(itertools.chain.from_iterable(merged_ids), "<u4")]
+        sizes = [np.fromiter(map(len, merged_ids), np.int64, len(ready))]
         runs = [words[i:i + 500] for i in range(0, len(words), 500)]
         for run, e in zip(runs, self._encode([" ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -111,34 +161,43 @@ class ChunkIds:
         for e in self._encode(rest, add_special_tokens=False):
             flats.append(np.array(e.ids, "<u4"))
             sizes.append([len(flats[-1])])
-        flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
-        return order + rest, flat, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        return order + rest, np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
-    def learn(self, chunks) -> None:
-        """Add the ids of all chunks that are not known yet, in one call."""
-        new = [c for c in chunks if c not in self._at]
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of distinct chunks that are not known yet, in one call."""
         if not new:
             return
-        parts = [self.parts(c) for c in new]
-        keys, flat, offsets = self.ids_of(set(itertools.chain.from_iterable(parts)))
-        number = dict(zip(keys, range(len(keys))))
-        of_each = np.fromiter(map(len, parts), np.int64, len(parts))
-        which = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(of_each.sum()))
+        keys, which, of_each = self.keyed(new)
+        order, flat, offsets = self.ids_of(keys)
+        place = dict(zip(order, range(len(order))))
+        which = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[which]
         ids, sizes = gathered(flat, offsets, which)
         sizes = np.add.reduceat(sizes, np.cumsum(of_each) - of_each)
-        self._at.update(zip(new, range(len(self._at), len(self._at) + len(new))))
+        self._at.update(zip(new, range(len(self._offsets) - 1, len(self._offsets) - 1 + len(new))))
         self._offsets = np.concatenate([self._offsets, len(self._flat) + np.cumsum(sizes)])
         self._flat = np.concatenate([self._flat, ids])
 
-    def texts(self, texts: list[str]):
-        """The ids of each text with the end id."""
-        split = [t.split(" ") for t in texts]
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after the other, and
+        the offsets of the texts."""
         if len(self._at) > self.LIMIT or len(self._flat) > self.LIMIT_IDS:
             self._forget()
-        self.learn(set(itertools.chain.from_iterable(split)))
-        for chunks in split:
-            which = np.fromiter(map(self._at.__getitem__, chunks), np.int64, len(chunks))
-            yield np.append(gathered(self._flat, self._offsets, which)[0], np.uint32(END_ID))
+        split = pc.split_pattern(texts, " ")
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([c for c in distinct if c not in self._at])
+        at = np.fromiter(map(self._at.__getitem__, distinct), np.int64, len(distinct))
+        ends = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        which = np.insert(at[chunks.indices.to_numpy(zero_copy_only=False)], ends, 0)
+        ids, sizes = gathered(self._flat, self._offsets, which)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.concatenate([[0], upto[ends + np.arange(1, len(ends) + 1)]])
+
+
+@lru_cache(maxsize=1)
+def chunk_ids(path: str) -> ChunkIds:
+    """One per Python worker: its tasks share the tokenizer and the known words."""
+    return ChunkIds(path)
 
 
 _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
@@ -151,10 +210,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataF
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def cut(batches):
-        ids_of = ChunkIds(tokenizer)
+        known = chunk_ids(tokenizer)
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(ids_of.texts(b.column(1).to_pylist())):
+            flat, offsets = known.texts(b.column(1))
+            for i in range(b.num_rows):
+                ids = flat[offsets[i]:offsets[i + 1]]
                 for k, lo in enumerate(range(0, len(ids), size)):
                     part = ids[lo:lo + size]
                     at.append(i)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,19 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_chunk_ids_follow_the_tokenizer():
+    from tokenizers import Tokenizer
+    path = packing.default_tokenizer()
+    tok, known = Tokenizer.from_file(path), packing.ChunkIds(path)
+    texts = ["", "  ", " a", "\n", "It's  don't, 'tis", "Thed.\nAtt 12.5%,", "a.,", "...", "$$$x9Y", "naïve Naïve, ẞ ß, ÀÉ.",
+             "İstanbul e\u0301te\u0301", "a<|endoftext|>b <|ENDOFTEXT|> <s> [UNK] </w>", "\x00a\x1fb\x7f", "\x85a\u00a0b\u2028c",
+             "日本語 и Русский", "x" * 3000, "word Word WORD word, word."]
+    for _ in range(2):  # the second time from memory
+        ids, offsets = known.texts(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[offsets[i]:offsets[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
 def check_places(rows, size):
     by = defaultdict(list)
     for r in rows:
