@@ -34,6 +34,7 @@ ignored.
 from __future__ import annotations
 
 import itertools
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +55,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+# The stretches between sure boundaries: a blank after another character begins one.
+_STRETCHES = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+
+
 class Pieces:
     """The vocabulary as a prefix table, with the words segmented so far."""
 
@@ -69,10 +74,14 @@ class Pieces:
                 self.bytes[int(p[1:-1], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[p], self.scores[p], self.text[i] = i, float(round(sp.get_score(i))), p
+        self.shown = {i: p.replace(BLANK, " ") for i, p in self.text.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores.values()) - 10.0
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # The score of every piece; a prefix that is none leads on but never wins,
+        # and a single character that is none is a step in byte pieces.
+        self.step = {p: self.scores.get(p, -np.inf if len(p) > 1 else self.unknown) for p in self.prefixes}
         self.words_apart = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self._known: dict[str, tuple[float, tuple[int, ...]]] = {}
 
@@ -133,23 +142,23 @@ class Pieces:
 
     def _best(self, w: str) -> tuple[float, tuple[int, ...]]:
         """Best sum and ids of a whole word: ``forward`` and ``traced`` in one loop."""
-        n, scores, prefixes, unknown = len(w), self.scores, self.prefixes, self.unknown
+        n, step, ids, unknown = len(w), self.step.get, self.ids.get, self.unknown
         at, came = [0.0] + [-np.inf] * n, [0] * (n + 1)
         for i in range(n):
-            here, single = at[i], False
+            here = at[i]
             for j in range(i + 1, n + 1):
-                p = w[i:j]
-                s = scores.get(p)
+                s = step(w[i:j])
                 if s is None:
-                    if p not in prefixes:
+                    if j > i + 1:
                         break
-                    continue
-                single = single or j == i + 1
+                    s = unknown
                 if here + s > at[j]:
                     at[j], came[j] = here + s, i
-            if not single and here + unknown > at[i + 1]:
-                at[i + 1], came[i + 1] = here + unknown, i
-        return at[n], tuple(self.traced(w, came, 0, n))
+        out, end = [], n
+        while end:
+            out.append(ids(w[came[end]:end]))
+            end = came[end]
+        return at[n], tuple(self.traced(w, came, 0, n) if None in out else reversed(out))
 
     def cuts(self, t: str, lo: int, hi: int) -> list[int]:
         """Sure boundaries in [lo, hi]: before a blank that follows another character."""
@@ -164,10 +173,10 @@ class Pieces:
 
     def path(self, t: str, start: int, end: int) -> list[int]:
         """Ids of the best way from ``start`` to ``end``."""
-        marks = [start, *[c for c in self.cuts(t, start + 1, end - 1)], end]
-        out: list[int] = []
-        for a, b in zip(marks, marks[1:]):
-            out.extend(self.word(t[a:b])[1])
+        t = t[start:end]
+        known, out = self._known, []
+        for w in _STRETCHES.findall(t) if self.words_apart else [t]:
+            out += (known.get(w) or self.word(w))[1]
         return out
 
     def matrix(self, t: str, stop: int, last: bool) -> np.ndarray:
@@ -191,7 +200,10 @@ class Pieces:
         return m
 
     def decode(self, ids) -> str:
-        out, pending = [], bytearray()
+        try:
+            return "".join([self.shown[i] for i in ids])
+        except KeyError:  # some characters are spelled in bytes
+            out, pending = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
                 pending.append(b)
@@ -199,7 +211,7 @@ class Pieces:
             if pending:
                 out.append(pending.decode("utf-8"))
                 pending.clear()
-            out.append(self.text[i].replace(BLANK, " "))
+            out.append(self.shown[i])
         out.append(pending.decode("utf-8"))
         return "".join(out)
 
