@@ -613,6 +613,11 @@ def _corpus_file(spark, sf_dir, extra_bad: bool = False) -> str:
     return path
 
 
+def write_fixtures(spark, sf_dir) -> None:
+    """Write the file that the file queries share now rather than in the first of them."""
+    _corpus_file(spark, sf_dir)
+
+
 def _write_corpus_file(spark, sf_dir, extra_bad: bool = False) -> str:
     """Write the mixed corpus as JSONL in (kind, key) order: a blank line before
     every conversation record and after every label record. With ``extra_bad``,
