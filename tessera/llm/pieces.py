@@ -1,6 +1,21 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
-
-Encoding is the segmentation of a text into vocabulary pieces with the highest
+"""SentencePiece encoding and decoding in chunks.
+
+``tokenize`` gives the ids of a BPE model, those that the library's ``encode``
+gives for the whole text. Such a model's pieces come from merges, best rank
+first, and its scores are ranks, so no sum of scores tells which pieces win. Two
+neighbouring symbols are merged only into a piece, so a boundary between two
+characters that stand side by side in no piece is never crossed, and the merges
+of the stretches between such sure boundaries do not depend on each other.
+Documents are cut into chunks at the first sure boundary from ``CHUNK`` characters
+on, chunks of long documents are dealt to all tasks, and each is merged by the
+library without its leading blank. A run without any sure boundary (the same
+letter repeated) stays one chunk. The library writes a literal U+2581 like a
+blank, so it comes back as a blank, and gives an empty text no id.
+
+``encode`` is for models whose pieces are chosen by the sum of their scores
+(unigram): a max-plus parallel scan. Its ids are not those of a BPE model.
+
+The scan finds the segmentation of a text into vocabulary pieces with the highest
 sum of piece scores (blanks are written as U+2581 and the text begins with one;
 a character without piece is spelled in byte pieces). Documents are cut into
 chunks of ``CHUNK`` characters. A piece may reach over a chunk's end by up to
@@ -18,15 +33,15 @@ mark after another character (checked when the model is loaded; else the
 shortcut is off), so a segmentation always has a boundary before a blank, and
 the stretches between are remembered.
 
-All scores are whole numbers in double precision, so the scan gives the same
-best sum as one pass over the text; between segmentations of equal sum the
-choice is fixed by the chunking, so equal texts get equal pieces.
+Scores are added in double precision; where they are whole numbers the scan gives
+the same best sum as one pass over the text. Between segmentations of equal sum
+the choice is fixed by the chunking, so equal texts get equal pieces.
 
-Decoding turns the ids of a chunk back into its characters; a literal U+2581 is
-spelled in bytes and so comes back as itself.
+Decoding turns the ids of a chunk back into its characters; the scan spells a
+literal U+2581 in bytes, so from there it comes back as itself.
 
-Defined cases: null text counts as empty; an empty text is one chunk with the
-piece of the leading blank; rows that repeat an id are documents of their own
+Defined cases: null text counts as empty; an empty text is one chunk, in the scan
+with the piece of the leading blank; rows that repeat an id are documents of their own
 (``doc`` numbers them); an empty table gives an empty result; other columns are
 ignored.
 """
@@ -73,9 +88,11 @@ class Pieces:
             if sp.is_byte(i):
                 self.bytes[int(p[1:-1], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.ids[p], self.scores[p], self.text[i] = i, float(round(sp.get_score(i))), p
+                self.ids[p], self.scores[p], self.text[i] = i, sp.get_score(i), p
         self.shown = {i: p.replace(BLANK, " ") for i, p in self.text.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        ascii_bytes = {i: chr(b) for i, b in self.byte_of.items() if b < 128}
+        self.strings = pa.array([self.shown.get(i, ascii_bytes.get(i)) for i in range(sp.get_piece_size())], pa.string())
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores.values()) - 10.0
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
@@ -199,6 +216,23 @@ class Pieces:
             m[i, :len(ways)] = ways
         return m
 
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """The characters of each list of ids; lists without byte pieces above ASCII go in Arrow."""
+        flat, offsets = ids.flatten(), ids.offsets.to_numpy()
+        of_id = self.strings.take(flat)
+        offsets = offsets - offsets[0]
+        spelled = np.diff(np.concatenate([[0], np.cumsum(of_id.is_null().to_numpy(zero_copy_only=False))])[offsets]) > 0
+        # The pieces lie one after the other in memory: a text is where its first begins up to where its last ends.
+        _, at, data = of_id.buffers()
+        at = np.frombuffer(at, np.int32, len(of_id) + 1) if len(of_id) else np.zeros(1, np.int32)
+        texts = pa.StringArray.from_buffers(len(ids), pa.py_buffer(at[offsets]), data or pa.py_buffer(b""))
+        if spelled.any():
+            texts = texts.to_pylist()
+            for k in np.flatnonzero(spelled):
+                texts[k] = self.decode(flat[offsets[k]:offsets[k + 1]].to_pylist())
+            return pa.array(texts, pa.string())
+        return texts
+
     def decode(self, ids) -> str:
         try:
             return "".join([self.shown[i] for i in ids])
@@ -375,15 +409,107 @@ def encode(docs: DataFrame, model: str | None = None, size: int = CHUNK) -> Data
     return short.unionByName(traced)
 
 
+class Merges:
+    """The library's BPE encoder without the leading blank, and the neighbours it can merge."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        rule = proto.normalizer_spec
+        if proto.trainer_spec.model_type != proto.trainer_spec.BPE:
+            raise ValueError("not a BPE model; encode() is for models that choose by the sum of scores")
+        if rule.name != "identity" or rule.remove_extra_whitespaces or not rule.escape_whitespaces \
+                or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("the model rewrites texts before it cuts them")
+        self.lead = " " if rule.add_dummy_prefix else ""
+        rule.add_dummy_prefix = False
+        self._sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        plain = [p.piece for p in proto.pieces if p.type not in (p.BYTE, p.CONTROL, p.UNKNOWN)]
+        self.pairs = {p[i:i + 2] for p in plain for i in range(len(p) - 1)}
+
+    def ids(self, texts: list[str]) -> pa.Array:
+        """The ids of each text, one text after the other in one array."""
+        found = [np.array(self._sp.encode(t), np.int32) for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), np.concatenate([*found, np.empty(0, np.int32)]))
+
+    def chunks(self, text: str, size: int) -> list[tuple[int, str]]:
+        """(start, characters) of the chunks of a text, its leading blank included."""
+        t = self.lead + text if text else ""
+        out, start = [], 0
+        while len(t) - start > size:
+            i = start + size
+            while i < len(t) and t[i - 1:i + 1].replace(" ", BLANK) in self.pairs:
+                i += 1
+            if i == len(t):
+                break
+            out.append((start, t[start:i]))
+            start = i
+        return out + [(start, t[start:])]
+
+
+@lru_cache(maxsize=1)
+def merges(path: str) -> Merges:
+    return Merges(path)
+
+
+def tokenize(docs: DataFrame, model: str | None = None, size: int = CHUNK) -> DataFrame:
+    """The ids of a BPE model, in the columns of ``encode``."""
+    model = model or default_model()
+    merges(model)
+    small_batches(docs.sparkSession)
+    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    cut_type = f"doc_id {id_type}, doc long, chunk int, n_chunks int, start long, text string"
+
+    def encoded(b, ids):
+        return pa.RecordBatch.from_arrays([*b[:4], ids, b[4]],
+                                          names=["doc_id", "chunk", "n_chunks", "start", "ids", "text"])
+
+    def one_chunk(batches):
+        m = merges(model)
+        for b in batches:
+            n = b.num_rows
+            texts = [m.chunks(t, len(t) + 1)[0][1] for t in b.column(1).to_pylist()]
+            yield encoded([b.column(0), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()),
+                           pa.array([0] * n, pa.int64()), pa.array(texts, pa.string())], m.ids(texts))
+
+    def cut(batches):
+        m = merges(model)
+        for b in batches:
+            for k, (doc, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                parts = m.chunks(text, size)
+                for some in itertools.batched(enumerate(parts), 64):
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array([k] * n)), pa.array([doc] * n, pa.int64()),
+                         pa.array([i for i, _ in some], pa.int32()), pa.array([len(parts)] * n, pa.int32()),
+                         pa.array([x[0] for _, x in some], pa.int64()), pa.array([x[1] for _, x in some], pa.string())],
+                        names=["doc_id", "doc", "chunk", "n_chunks", "start", "text"])
+
+    def merge_chunks(batches):
+        m = merges(model)
+        for b in batches:
+            yield encoded(b.columns, m.ids(b.column(4).to_pylist()))
+
+    short = rows.filter(F.length("text") < size).mapInArrow(one_chunk, _RESULT.format(id_type))
+    chunks = rows.filter(F.length("text") >= size).withColumn("doc", F.monotonically_increasing_id()) \
+        .select("doc_id", "doc", "text").mapInArrow(cut, cut_type)
+    dealt = chunks.repartition("doc", "chunk").drop("doc")  # the chunks of one text go to all tasks
+    return short.unionByName(dealt.mapInArrow(merge_chunks, _RESULT.format(id_type)))
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """Adds ``decoded``, the characters of each chunk's ids, to rows of ``encode``."""
+    """Adds ``decoded``, the characters of each chunk's ids, to rows of ``encode`` or ``tokenize``."""
     model = model or default_model()
 
     def back(batches):
         p = pieces(model)
         for b in batches:
-            ids = b.column(b.schema.get_field_index("ids")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.decode(x) for x in ids], pa.string())],
+            yield pa.RecordBatch.from_arrays([*b.columns, p.decode_all(b.column(b.schema.get_field_index("ids")))],
                                              names=[*b.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

@@ -15,7 +15,7 @@ from .licenses import license_oracle, license_scan
 from .lm import lm_scores
 from .near import near_groups
 from .packing import pack
-from .pieces import decode, encode
+from .pieces import decode, tokenize
 from .pii import KINDS, find_pii, span_text
 from .sketch import fingerprints
 from .toxicity import toxicity
@@ -65,13 +65,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per chunk: numbers and digests of its ids, and whether they decode to its text."""
-    rows = decode(encode(_table(spark, sf_dir, "documents")))
+    rows = decode(tokenize(_table(spark, sf_dir, "documents")))
 
     def digest(batches):
         for b in batches:
-            ids = b.column(0).to_pylist()
+            ids, ends = b.column(0).flatten().to_numpy().astype("<u4"), b.column(0).offsets.to_numpy()
+            ends = ends - ends[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()), *b.columns[1:]],
+                [pa.array([zlib.crc32(ids[a:z]) for a, z in zip(ends, ends[1:])], pa.int64()), *b.columns[1:]],
                 names=["ids_crc32", *b.schema.names[1:]])
 
     told = rows.select("ids", "doc_id", "chunk", "n_chunks", "start", F.size("ids").cast("long").alias("n_tokens"),

@@ -427,6 +427,40 @@ def test_pieces_round_trip_and_best_sum(docs, none):
     assert pieces.encode(none).count() == 0
 
 
+def test_pieces_are_the_ids_of_the_library(docs, none):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    quick = "The quick brown fox jumps over the lazy dog; distributed data processing pipeline for training"
+    more = [(100, quick), (101, "日本語とРусский " * 40 + "x" * 300 + "  ▁▁ end "), (102, "ab" * 200), (103, "<s> a</s> ")]
+    texts = [x for x in TEXTS if x[0] is not None and x[0] != 30] + more
+    df = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
+    for size in (40, pieces.CHUNK):
+        by = defaultdict(list)
+        for r in pieces.decode(pieces.tokenize(df, size=size)).collect():
+            by[r.doc_id].append(r)
+        for i, t in texts:
+            parts = sorted(by[i], key=lambda r: r.chunk)
+            assert [x for r in parts for x in r.ids] == sp.encode(t or ""), (i, size)
+            assert [(r.chunk, r.n_chunks) for r in parts] == [(k, len(parts)) for k in range(len(parts))]
+            assert [r.start for r in parts] == [0, *itertools.accumulate(len(r.text) for r in parts)][:-1]
+            assert "".join(r.text for r in parts) == (" " + t if t else "")
+            assert all(r.decoded == r.text.replace("▁", " ") for r in parts)
+        assert size > 40 or len(by[14]) > 100
+        assert size > 40 or len(by[101]) > 5
+    assert sp.encode(quick, out_type=str)[:3] == ["▁The", "▁quick", "▁brown"]
+    assert pieces.tokenize(none).count() == 0
+
+
+def test_op9_gives_the_ids_of_the_library(spark, tmp_path):
+    import sentencepiece
+    from tessera.llm.queries import op9_pieces
+    text = "The quick brown fox jumps over the lazy dog"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()).encode(text)
+    row = op9_pieces(spark, str(tmp_path)).first()
+    assert (row.ids_crc32, row.n_tokens, row.round_trip) == (zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids), True)
+
+
 def test_max_plus_products_are_associative():
     rng = np.random.default_rng(6)
     a, b, c = (rng.integers(-9, 9, (5, 5)).astype(float) for _ in range(3))
