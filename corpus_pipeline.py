@@ -21,6 +21,7 @@ from tessera.session import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 CARRY = tuple(COLUMNS)
+NEAR_WORDS = 5  # words of a shingle; op3's own contract has four
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies its smallest document."""
+    """Of each group of near copies (0.8 by shingles of five words) its smallest document."""
     ship_package(spark)
-    return unzipped(near_groups(docs, carry=CARRY).filter("kept"), COLUMNS)
+    return unzipped(near_groups(docs, carry=CARRY, width=NEAR_WORDS).filter("kept"), COLUMNS)
 
 
 def pii_mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

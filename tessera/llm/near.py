@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import merged, pick, small_batches, written
 
-SHINGLE = 4
+SHINGLE = 4         # words of a shingle, unless the caller asks for another width
 BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
 PERCENT = 80        # links have 100 * intersection >= PERCENT * union
@@ -150,11 +150,11 @@ def _chunks(sets: list[np.ndarray], limit: int = 150_000):
 _SIGNED = "n_shingles long, set_hash binary, sig binary, bands array<long>, ztext binary"
 
 
-def _sign(batches):
+def _sign(batches, width):
     words = WordHashes()
     for b in batches:
         texts = [t or b"" for t in b.column(b.num_columns - 1).to_pylist()]
-        sets = [shingle_set(t, words) for t in texts]
+        sets = [shingle_set(t, words, width) for t in texts]
         sigs, keys = [None] * len(sets), [None] * len(sets)
         full = [i for i, s in enumerate(sets) if len(s)]
         for lo, hi in _chunks([sets[i] for i in full]):
@@ -177,13 +177,13 @@ def _sign(batches):
             names=[*b.schema.names[:-1], "n_shingles", "set_hash", "sig", "bands", "ztext"])
 
 
-def _verify(batches):
+def _verify(batches, width):
     """Rows (a, b, za, zb) -> pairs that are links on their full sets."""
     words = WordHashes()
 
     @lru_cache(maxsize=64)
     def sets(z: bytes) -> np.ndarray:
-        return shingle_set(zlib.decompress(z), words)
+        return shingle_set(zlib.decompress(z), words, width)
 
     for batch in batches:
         a, b = batch.column(0), batch.column(1)
@@ -196,14 +196,14 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
-def _against(batches):
+def _against(batches, width):
     """Rows (uid, center, zu, zc) -> the size of the intersection, whether the pair
     is a link, and the shingles outside the center (32 bits each)."""
     words = WordHashes()
 
     @lru_cache(maxsize=64)
     def sets(z: bytes) -> np.ndarray:
-        return shingle_set(zlib.decompress(z), words)
+        return shingle_set(zlib.decompress(z), words, width)
 
     for batch in batches:
         inter, linked, extras = [], [], []
@@ -313,9 +313,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_groups(docs: DataFrame, carry: tuple[str, ...] = (), width: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``, and
-    ``class_id`` (smallest document with the same set), plus the ``carry`` columns."""
+    ``class_id`` (smallest document with the same set), plus the ``carry`` columns.
+    Shingles are ``width`` words."""
     spark = docs.sparkSession
     small_batches(spark)
     extra = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "text")]
@@ -323,7 +324,7 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     src = src.select("doc_id", *[F.col(c).alias(f"v_{c}") for c in extra],
                      F.col("text").isNull().alias("no_text"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", " + _SIGNED
-    signed = written(src.mapInArrow(_sign, schema).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    signed = written(src.mapInArrow(lambda batches: _sign(batches, width), schema).withColumn("uid", F.monotonically_increasing_id()), "signed")
 
     # Classes of equal sets.
     classes = signed.filter("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("uid").alias("rep"))
@@ -351,7 +352,8 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     texts = written(texts, "bucket-texts")
     rays = stars.join(merged(texts.withColumnRenamed("ztext", "zu")), "uid").join(
         merged(texts.select(F.col("uid").alias("center"), F.col("ztext").alias("zc"))), "center").select(
-        "uid", "center", "zu", "zc").mapInArrow(_against, "uid long, center long, inter long, linked boolean, extras binary")
+        "uid", "center", "zu", "zc").mapInArrow(
+        lambda batches: _against(batches, width), "uid long, center long, inter long, linked boolean, extras binary")
     rays = written(rays, "rays")
     links = rays.filter("linked").select(F.least("center", "uid").alias("a"), F.greatest("center", "uid").alias("b"))
     roots = components(links)
@@ -372,7 +374,7 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     likely = paired.repartition("band", "lb", "rb").sortWithinPartitions("band", "lb", "rb", "uid") \
         .mapInArrow(_likely_pairs, "a long, b long").distinct()
     likely = written(likely, "likely")
-    more = written(_linked(likely, texts), "more-links")
+    more = written(_linked(likely, texts, width), "more-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
@@ -397,12 +399,13 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         *[F.col(f"v_{c}").alias(c) for c in extra], *([F.col("no_text"), F.col("ztext")] if "text" in carry else []))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) that hold on full sets. Texts join twice over one
     shuffle; a hot ``a`` is split by AQE."""
     left = texts.select(F.col("uid").alias("a"), F.col("ztext").alias("za"))
     right = texts.select(F.col("uid").alias("b"), F.col("ztext").alias("zb"))
-    return pairs.join(merged(right), "b").join(merged(left), "a").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long")
+    return pairs.join(merged(right), "b").join(merged(left), "a").select("a", "b", "za", "zb").mapInArrow(
+        lambda batches: _verify(batches, width), "a long, b long")
 
 
 def unzipped(rows: DataFrame, columns: list[str]) -> DataFrame:

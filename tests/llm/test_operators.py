@@ -158,6 +158,20 @@ def test_near_links_without_a_common_center(spark):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in rows], brute_near(texts))
 
 
+def test_pipeline_near_stage_counts_five_words(spark):
+    import corpus_pipeline
+
+    def edited(words, at):
+        return " ".join("changed%d" % i if i in at else w for i, w in enumerate(words))
+    a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    rows = [(1, edited(a, ())), (2, edited(a, (30, 60, 99))),  # 88 / 106 by four words, 85 / 107 by five
+            (3, edited(b, ())), (4, edited(b, (30, 60)))]      # 86 / 106 by five
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in near.near_groups(df).collect() if r.kept} == {1, 3}
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == set(rows[:3])
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 300, dtype=np.uint64)
