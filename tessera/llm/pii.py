@@ -1,9 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are the identifiers of four kinds that regular expressions prove (email,
-ip, card with Luhn check, phone). Every seed, and every other token with a digit
-in it, is an occurrence with lexical patterns: the two words before it, and the
-word before with the word after. Patterns and values form a graph; its scores
+ip, card with Luhn check, phone). Every seed is an occurrence with lexical
+patterns: the two words before it, and the word before with the word after,
+brackets trimmed. So are the candidates that touch no seed: tokens with a digit or
+an @ in them, and numbers written in several groups (``JOINED_PATTERN``) of
+``JOINED_DIGITS`` digits together. A token without a digit can only become an email, a
+number in groups only a card or a phone. Patterns and values form a graph; its scores
 are computed iteratively by aggregations over the distinct (pattern, value)
 edges:
 
@@ -14,7 +17,7 @@ edges:
 After ``ROUNDS`` rounds a pattern is trusted for a kind with ``MIN_SUPPORT``
 distinct seed values or more and a confidence of ``MIN_CONFIDENCE`` or more; an
 unproved token that stands in a trusted pattern and itself scores that high is
-reported as that kind. Seeds always stay.
+reported as that kind, but not inside a longer one of its kind. Seeds always stay.
 
 Everything is DataFrame functions. Positions come without any marker in the
 text: ``split`` gives the stretches between the matches that
@@ -51,7 +54,10 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 _TOKEN = "[A-Za-z0-9._%+@-]"
 _JUNK = "._%+@-"
-TOKEN_PATTERN = rf"(?<!{_TOKEN})[A-Za-z._%+@-]*+[0-9]{_TOKEN}*+"
+TOKEN_PATTERN = rf"(?<!{_TOKEN})[A-Za-z._%+-]*+[0-9@]{_TOKEN}*+"
+# Groups of digits with blanks, dots, hyphens or brackets between them.
+JOINED_PATTERN = rf"(?<!{_TOKEN})[+(]{{0,2}}+[0-9]++(?:[\x20().-]{{1,3}}+[0-9]++)++"
+JOINED_DIGITS = (7, 38)  # a local phone number; two cards in a row
 
 ROUNDS = 3
 MIN_SUPPORT = 5
@@ -108,7 +114,8 @@ def _near_words(stretch: Column, before: Column, last: bool) -> Column:
     """Words of the stretch next to a match, the nearest first, ended by a mark
     for the text's edge or for another match."""
     cut = F.substring(stretch, -CONTEXT_CHARS, CONTEXT_CHARS) if last else F.substring(stretch, 1, CONTEXT_CHARS)
-    words = F.filter(F.split(F.lower(cut), f"[{SPACE}]+"), lambda w: w != "")
+    words = F.transform(F.split(F.lower(cut), f"[{SPACE}]+"), lambda w: F.trim(w, F.lit("()[]{}")))
+    words = F.filter(words, lambda w: w != "")
     return F.concat(F.reverse(words) if last else words, F.array(before))
 
 
@@ -145,7 +152,7 @@ _OCCURRENCE = "array<struct<start:bigint,rank:int,stop:bigint,value:string,patte
 
 def base_occurrences(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, base, others`` and the ``carry`` columns: the seeds, and the
-    tokens with a digit that touch no seed."""
+    candidates that touch no seed."""
     extra = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "text")]
     df = pick(docs, "doc_id", "text", *extra)
     df = df.select("doc_id", *[F.col(c).alias(f"v_{c}") for c in extra], F.col("text").isNull().alias("no_text"),
@@ -155,7 +162,8 @@ def base_occurrences(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         df = _found(df, kind, PATTERNS[kind], F.col("text").rlike(WORTH[kind]))
         parts.append(F.coalesce(F.filter(_occurrences(kind, F.lit(rank)), _checked(kind)), F.array().cast(_OCCURRENCE)))
     df = df.withColumn("base", F.array_sort(F.concat(*parts)))
-    df = _found(df, "token", TOKEN_PATTERN, F.col("text").rlike("[0-9]"))
+    df = _found(df, "token", TOKEN_PATTERN, F.col("text").rlike("[0-9@]"))
+    df = _found(df, "joined", JOINED_PATTERN, F.col("text").rlike(r"[0-9][\x20().-]{1,3}[0-9]"))
 
     def trimmed(o):
         lead = F.length(o["value"]) - F.length(F.ltrim(o["value"], F.lit(_JUNK)))
@@ -164,8 +172,23 @@ def base_occurrences(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                         (o["start"] + lead + F.length(value)).alias("stop"), value.alias("value"),
                         o["patterns"].alias("patterns"))
 
+    def unbracketed(o):
+        alone = (F.substring(o["value"], 1, 1) == "(") & ~F.contains(o["value"], F.lit(")"))
+        return F.struct(F.when(alone, o["start"] + 1).otherwise(o["start"]).alias("start"), o["rank"].alias("rank"),
+                        o["stop"].alias("stop"), F.when(alone, F.ltrim(o["value"], F.lit("("))).otherwise(o["value"]).alias("value"),
+                        o["patterns"].alias("patterns"))
+
+    def in_groups(o, i):
+        digits = F.length(F.regexp_replace(o["value"], "[^0-9]", ""))
+        ended = ~F.get("joined_p", i + 1).rlike("^[A-Za-z_%@]")  # the last group is a whole token
+        return o["value"].rlike(r"[\x20()]") & digits.between(*JOINED_DIGITS) & ended
+
     tokens = F.transform(_occurrences("token", F.lit(None).cast("int")), trimmed)
-    free = F.filter(tokens, lambda o: ~F.exists("base", lambda b: (b["start"] < o["stop"]) & (o["start"] < b["stop"])))
+    tokens = F.coalesce(F.filter(tokens, lambda o: o["value"].rlike("[0-9@]")), F.array().cast(_OCCURRENCE))
+    joined = F.transform(F.filter(_occurrences("joined", F.lit(None).cast("int")), in_groups), unbracketed)
+    joined = F.filter(joined, lambda o: o["value"].rlike(r"[\x20()]"))
+    df = df.withColumn("candidates", F.concat(tokens, F.coalesce(joined, F.array().cast(_OCCURRENCE))))
+    free = F.filter("candidates", lambda o: ~F.exists("base", lambda b: (b["start"] < o["stop"]) & (o["start"] < b["stop"])))
     return df.select("doc_id", *[f"v_{c}" for c in extra], *(["no_text", "text"] if "text" in carry else []), "base",
                      F.coalesce(free, F.array().cast(_OCCURRENCE)).alias("others"))
 
@@ -209,8 +232,14 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.lit(k).alias("rank"), F.col(f"score_{k}").alias("score")) for k in kinds])).alias("t")).select(
             "value", "t.*").filter(F.col("score") >= MIN_CONFIDENCE)
     new = seen.filter("seed is null").join(merged(trusted), "pattern").join(merged(good), ["value", "rank"])
+    in_groups, digit = F.col("value").rlike(r"[\x20()]"), F.col("value").rlike("[0-9]")
+    new = new.filter(F.when(in_groups, F.col("rank").isin(KINDS.index("card"), KINDS.index("phone")))
+                     .otherwise(digit | (F.col("rank") == KINDS.index("email"))))
     found = new.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct(
         F.col("start"), F.col("rank").cast("int").alias("rank"), F.col("stop")))).alias("found"))
+    found = found.withColumn("found", F.filter("found", lambda o: ~F.exists("found", lambda w: (
+        w["rank"] == o["rank"]) & (w["start"] <= o["start"]) & (o["stop"] <= w["stop"])
+        & (w["stop"] - w["start"] > o["stop"] - o["start"]))))
     base = F.transform("base", lambda o: F.struct(o["start"].alias("start"), o["rank"].alias("rank"), o["stop"].alias("stop")))
     held = [c for c in table.columns if c.startswith("v_")] + (["no_text", "text"] if "text" in carry else [])
     return table.join(merged(found), "uid", "left").select(

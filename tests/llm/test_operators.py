@@ -257,6 +257,27 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert not out[901].found and not out[902].found
 
 
+def test_pii_finds_numbers_in_groups_and_addresses_without_digits(spark):
+    rows = [(i, f"filler text number, write to contact phone +1 (2{i:02d}) 555-01{i:02d} during the day") for i in range(20, 60)]
+    rows += [(i, f"please send it by mail to u{i}@host{i % 7}.org before noon") for i in range(100, 140)]
+    unseen = [(900, "write to contact phone ", "212 555 0199", " during the night", 3),
+              (901, "write to contact phone ", "(212) 555-0199", " during the night", 3),
+              (902, "write to (contact) phone (", "213 555.0199", ") during the night", 3),
+              (903, "please send it by mail to ", "alice@intranet", " before noon", 0),
+              (904, "please send it by mail to ", "root@localhost", " before noon", 0)]
+    rows += [(i, a + x + z) for i, a, x, z, _ in unseen]
+    rows += [(950, "the rooms 212 555 0198 are free"), (951, "ask bob@desk for it"), (952, "contact phone 1 2 3 is out"),
+             (953, "write to contact phone alice@intranet2 or @all"), (954, "1 " * 3000), (955, "x@ @ (( 12 (3"), (956, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    for i, a, x, _, kind in unseen:
+        assert [tuple(s) for s in out[i].found] == [(len(a), kind, len(a) + len(x))], (i, out[i])
+    assert not any(out[i].found for i in (950, 951, 954, 955, 956))
+    by_text = dict(rows)
+    for r in pii.masked(pii.find_pii(df, carry=("text",)), F.col("found")).filter("doc_id between 900 and 904").collect():
+        assert not re.search("[0-9@]", r.text) and len(r.text) < len(by_text[r.doc_id])
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
     path = packing.default_tokenizer()
