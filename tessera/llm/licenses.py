@@ -1,7 +1,9 @@
 """Licence scan: Dice similarity of word bigrams against licence templates.
 
-A document is looked at as a whole and line by line, so both a licence file and
-a licence line inside a page are found. A unit of text is normalised (ASCII
+A document is looked at as a whole and line by line, as the registered SQL does, so a
+text or a line that is one of the templates is found. What is not: a notice wrapped over
+several lines of a longer text, a notice within a line of other words, and a whole
+licence file, as the templates are sentences and first paragraphs. A unit of text is normalised (ASCII
 letters lowered, every run of other characters than letters and digits one
 blank) and becomes the set of its word bigrams. A template of b bigrams can
 reach the threshold t only with units whose set has between t/(2-t)*b and
