@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,17 @@ def merged(df: DataFrame) -> DataFrame:
 def crc32_text(col: Column) -> Column:
     """crc32 of the decimal text of an id; a null id counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
+
+
+def slices(batches, column: int, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
+    """Arrow batches cut, without copies, into ones of at most ``rows`` rows and about
+    ``size`` bytes in ``column``; a longer value stays whole, alone. The function that
+    reads them needs no setting of the session."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(lo, hi - lo)
+            lo = hi

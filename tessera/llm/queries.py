@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 from .exact import exact_groups
 from .licenses import license_oracle, license_scan
 from .lm import lm_scores
 from .near import near_groups
+from .online import pack_online
 from .packing import pack
 from .pieces import decode, tokenize
 from .pii import KINDS, find_pii, span_text
 from .sketch import fingerprints
+from .spelling import LEAST_CHARS, LEAST_COUNT, RATIO, spelling_variants
 from .toxicity import toxicity
 from .warc import read_archives, write_archives
 
@@ -87,6 +90,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path, payloads=False).drop("payload", "url")
 
 
+def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_online(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"
 
 EXACT_SQL = f"""
@@ -131,9 +146,77 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM d"""
 
+
+
+def _codes_sql() -> str:
+    """The rounds written out: parts against codebook entries by inner products of
+    doubles, which are exact for integers of this size."""
+    out = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v,
+         row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT r, p, list_slice(v, p * (len(v) // {PARTS}) + 1, (p + 1) * (len(v) // {PARTS})) AS v
+  FROM k, range({PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r AS e, v AS w FROM p WHERE r < {ENTRIES}),"""
+    near = """
+a{i} AS MATERIALIZED (
+  SELECT r, p.p, any_value(v) AS v, min(struct_pack(
+    d := list_inner_product(v, v) - 2 * list_inner_product(v, w) + list_inner_product(w, w), e := e)) AS best
+  FROM p JOIN b{i} b ON p.p = b.p GROUP BY r, p.p),"""
+    for i in range(ROUNDS):
+        out += near.format(i=i) + f"""
+m{i} AS (SELECT p, e, list(floor(s / n) ORDER BY j) AS w
+  FROM (SELECT p, best.e AS e, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, 100000) t(j) WHERE j <= len(v) GROUP BY ALL)
+  GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM b{i} b LEFT JOIN m{i} m ON b.p = m.p AND b.e = m.e),"""
+    return out + near.format(i=ROUNDS) + f"""
+c AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(w, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS h FROM b{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM k JOIN c ON k.r = c.r, h"""
+
+
+CODES_SQL = _codes_sql()
+
+_BYTES = ("flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] "
+          "ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))")
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, " + _BYTES + "), lambda a, b: xor(a >> 8, list_reduce("
+        "list_prepend(xor(a, b) & 255, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+        "lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))), 4294967295)")
+
+SPELLING_SQL = f"""
+WITH RECURSIVE u AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+g AS (SELECT doc_id, run, count(*) AS times FROM u GROUP BY ALL),
+c AS (SELECT run, times, {_CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM g),
+w AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word FROM c)
+  WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(times) >= {LEAST_COUNT}),
+d AS MATERIALIZED (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM w, range(1, 100000) t(i) WHERE i <= length(word)),
+l AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+s AS (SELECT l.a AS word, count(*) AS n_near, arg_max(w.word, (w.n, l.rank)) AS best, max(w.n) AS top
+      FROM (SELECT a, b, -row_number() OVER (ORDER BY b) AS rank FROM l) l JOIN w ON l.b = w.word GROUP BY l.a),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {RATIO} * w.n THEN best END AS form,
+         CASE WHEN top >= {RATIO} * w.n THEN top END AS form_n FROM w LEFT JOIN s ON w.word = s.word),
+r(word, root, step) AS (
+  SELECT word, word, 0 FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n
+FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) t ON f.word = t.word"""
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_exact_dedup, op3_near_dedup, op4_pii, op5_packing, op6_lm_scores, op7_fingerprints,
-    op8_toxicity, op9_pieces, op10_warc)}
+    op8_toxicity, op9_pieces, op10_warc, op11_online_packing, op12_vector_codes, op13_spelling_variants)}
 
 ORACLES = {"op1_license_scan": license_oracle(), "op2_exact_dedup": EXACT_SQL, "op3_near_dedup": NEAR_SQL,
-           "op10_warc": WARC_SQL}
+           "op10_warc": WARC_SQL, "op12_vector_codes": CODES_SQL, "op13_spelling_variants": SPELLING_SQL}
