@@ -8,8 +8,10 @@ Three dialects mirror the three single-process readers being replaced:
 * ``infer``: same detection; JSONL lines are parsed and type-checked in order.
 * ``api``: always JSONL; line numbers are physical lines.
 
-Each line is parsed once into a VARIANT column ``rec`` and written with the ids
-its task gave it; numbers follow from that table. Nothing is coerced.
+One scan parses each line into a VARIANT column ``rec`` and writes all lines with the
+ids their task gave them; every number (position, line, index after a filter) is an
+id's distance from the first of its split plus what the splits before hold. Arrays are
+cut into elements by ``arrays``. Nothing is coerced.
 Lines split at ``\\n``, ``\\r`` and ``\\r\\n`` (so a raw U+2028 inside a string
 survives a round trip); blank lines are skipped.
 
@@ -19,20 +21,23 @@ number, NULL for arrays), ``rec`` and, with ``on_error="report"``, ``_error``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions import variant as V
-from ..functions.text import WHITESPACE, is_nonblank, ustrip
-from ..session import checkpoint_root, scratch_path
-from .ordinals import maybe_broadcast, running_sums
-
-# Error codes (fixed values).
-BAD_JSON = "BAD_JSON"
-NOT_OBJECT = "NOT_OBJECT"
-BAD_UTF8 = "BAD_UTF8"
-NOT_LIST = "NOT_LIST"
+from ..functions.text import WHITESPACE, is_nonblank
+from ..session import checkpoint_root
+from .arrays import array_records
+from .ordinals import maybe_broadcast
+from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, stored
+
+_SAYS = {
+    BAD_JSON: "does not parse as one JSON value",
+    NOT_OBJECT: "an object is needed here",
+    BAD_UTF8: "bytes that no UTF-8 text has",
+    NOT_LIST: "a .json file holds one array of objects",
+}
 
 DIALECTS = ("train", "infer", "api")
 
@@ -46,11 +51,7 @@ class RecordError(ValueError):
 
 
 def _empty_message(dialect: str, path: str) -> str:
-    return {
-        "train": f"No training examples found in {path}",
-        "infer": f"No prompt rows found in {path}",
-        "api": f"No rows found in {path}",
-    }[dialect]
+    return f"{path}: no records ({dialect} reader)"
 
 
 def _files(spark: SparkSession, path: str, dialect: str) -> list[str]:
@@ -58,8 +59,7 @@ def _files(spark: SparkSession, path: str, dialect: str) -> list[str]:
         return sorted(spark.read.text(path).inputFiles())
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            prefix = "Training file not found" if dialect == "train" else "Input file not found"
-            raise FileNotFoundError(f"{prefix}: {path}") from exc
+            raise FileNotFoundError(f"{path}: nothing to read there ({dialect} reader)") from exc
         raise
 
 
@@ -119,111 +119,53 @@ def _line_table(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("_keep", is_nonblank(F.col("value")))
 
 
-_GUARD = "c1d7a0e4-end-of-record"  # any string will do: it must come last in the wrapped line
-
-
-def parse_record(value: Column) -> Column:
-    """The JSON value a line holds, or NULL unless the line is exactly one value.
-
-    ``parse_json`` stops after the first value. Wrapped as ``[line, guard]``, a
-    line with anything after its value, or with several values, no longer parses
-    to the two elements value and guard."""
-    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), ustrip(value), F.lit(f',"{_GUARD}"]'))),
-                             "$", "array<variant>")
-    strict = (F.size(both) == 2) & (F.try_variant_get(F.get(both, F.lit(1)), "$", "string") == F.lit(_GUARD))
-    return F.when(F.coalesce(strict, F.lit(False)), F.get(both, F.lit(0)))
-
-
-class LayoutError(RuntimeError):
-    """The input's splits changed while its lines were being numbered."""
-
-
-def _kept_table(spark: SparkSession, path: str, dialect: str, select) -> DataFrame:
-    """Every non-blank line, parsed once and written with the ids its task gave it:
-    from here on positions are data, whatever splits later scans use."""
+def _line_rows(spark: SparkSession, path: str, select) -> DataFrame:
+    """Every line, blank ones as empty rows, parsed and written by one scan with the ids
+    its task gave it. All numbers follow from this table, whatever splits later scans use."""
+    keep = F.col("_keep")
     err = (F.when(~F.is_valid_utf8(F.col("value")), F.lit(BAD_UTF8))
            .when(F.col("rec").isNull(), F.lit(BAD_JSON))
            .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
-    kept = _line_table(spark, path).where("_keep").withColumn("rec", parse_record(F.col("value"))) \
-        .withColumn("_error", err)
-    chosen = F.col("_error").isNull() & F.coalesce(select(F.col("rec")), F.lit(False)) if select is not None else F.lit(False)
-    kept = kept.select("_file", "_block", "_mid", F.monotonically_increasing_id().alias("_kmid"), "rec", "_error",
-                       chosen.alias("_sel"))
-    where = scratch_path(spark, "records")
-    kept.write.parquet(where)
-    return spark.read.schema(kept.schema).parquet(where)
+    rows = _line_table(spark, path).withColumn("rec", F.when(keep, parse_record(F.col("value")))) \
+        .withColumn("_error", F.when(keep, err))
+    chosen = keep & F.col("_error").isNull() & F.coalesce(select(F.col("rec")), F.lit(False)) if select is not None else F.lit(False)
+    rows = rows.withColumn("_sel", chosen).select(
+        "_file", "_block", "_mid", numbered(keep).alias("_kmid"), numbered(F.col("_sel")).alias("_smid"), "rec", "_error")
+    return stored(rows, "records")
+
+
+def _offsets(rows: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    """Per split: first ids and the numbers of lines, records and chosen records before
+    it; and totals. Reads three narrow columns of the written rows."""
+    gaps = [F.max(c) - F.min(c) + 1 != F.count(c) for c in ("_mid", "_kmid", "_smid")]
+    blocks = stored(rows.groupBy("_file", "_block").agg(
+        F.min("_mid").alias("_mid0"), F.count("_mid").alias("lines"), F.min("_kmid").alias("_kmid0"),
+        F.count("_kmid").alias("kept"), F.min("_smid").alias("_smid0"), F.count("_smid").alias("chosen"),
+        F.min(F.when(F.col("_kmid").isNotNull(), F.col("_mid"))).alias("_first"),
+        F.greatest(*[F.coalesce(g, F.lit(False)) for g in gaps]).alias("broken")), "splits")
+    n = blocks.count()
+    offsets = prefix_sums(blocks, ["_file", "_block"], ["lines", "kept", "chosen"], n)
+    held = F.col("_first").isNotNull()
+    told = offsets.agg(
+        F.count_if("broken").alias("broken"), F.sum("kept").alias("kept"), F.sum("chosen").alias("chosen"),
+        F.min_by(F.col("lines_before") + F.col("_first") - F.col("_mid0") + 1, F.when(held, F.struct("_file", "_block"))).alias("first")).first()
+    if told["broken"]:
+        raise LayoutError(f"the rows of {path} were not numbered in their order")
+    return offsets.drop("lines", "kept", "chosen", "_first", "broken"), {**told.asDict(), "n": n}
 
 
-def _jsonl(spark: SparkSession, path: str, dialect: str, select=None, n_files: int = 1):
+def _jsonl(spark: SparkSession, path: str, dialect: str, select=None):
     checkpoint_root(spark)
-    kept = _kept_table(spark, path, dialect, select)
-    # Numbers of lines and records per split: one row per split and file.
-    seen = _line_table(spark, path).groupBy("_file", "_block").agg(
-        F.min("_mid").alias("_b_mid"), F.count(F.lit(1)).alias("_b_lines"), F.count_if("_keep").alias("_b_seen"))
-    held = kept.groupBy("_file", "_block").agg(
-        F.min("_kmid").alias("_kmid0"), F.count(F.lit(1)).alias("_b_kept"), F.min("_mid").alias("_b_first"))
-    blocks = seen.join(held, ["_file", "_block"], "full_outer").withColumn("_b_kept", F.coalesce("_b_kept", F.lit(0)))
-    offsets = running_sums(blocks.fillna(0, ["_b_lines"]), ["_file", "_block"], ["_b_lines", "_b_kept"]) \
-        .withColumnsRenamed({"_b_lines_before": "_line_off", "_b_kept_before": "_kept_off"}).checkpoint(eager=True)
-    told = offsets.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~F.col("_b_seen").eqNullSafe(F.col("_b_kept"))).alias("changed"),
-        F.min_by(F.col("_line_off") + F.col("_b_first") - F.col("_b_mid") + 1,
-                 F.when(F.col("_b_first").isNotNull(), F.struct("_file", "_block"))).alias("first")).first()
-    if told["changed"]:
-        raise LayoutError(f"the splits of {path} changed while it was read; read it again")
-    first_line = told["first"] if told["first"] is not None else 1
-    offsets_j = maybe_broadcast(offsets.select("_file", "_block", "_b_mid", "_kmid0", "_line_off", "_kept_off"), told["n"])
-    phys = F.col("_line_off") + (F.col("_mid") - F.col("_b_mid")) + 1
-    line = phys if dialect == "api" else phys - F.lit(first_line) + 1
-    j = kept.join(offsets_j, ["_file", "_block"]).withColumn("ord", F.col("_kept_off") + F.col("_kmid") - F.col("_kmid0"))
-    out = j.select("ord", line.alias("line"), "rec", "_error", "_sel")
-    if select is None:
-        return out.drop("_sel"), None
-    counts = kept.agg(F.count(F.lit(1)).alias("n"), F.count_if("_sel").alias("sel")).first()
-    if counts["n"] == counts["sel"]:  # every record was chosen: its position is its index
-        return out.drop("_sel"), out.select("ord", F.col("ord").alias("idx"), "line", "rec")
-    chosen = out.where("_sel").select("ord", "line", "rec")
-    index = running_sums(chosen.select("ord").withColumn("one", F.lit(1)), ["ord"], ["one"]) \
-        .select("ord", F.col("one_before").alias("idx"))
-    return out.drop("_sel"), chosen.join(index, "ord").select("ord", "idx", "line", "rec")
-
-
-def _array(spark: SparkSession, path: str, n_files: int, select=None):
-    docs = (spark.read.text(path, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("_file"), "value")
-            .select("_file", F.is_valid_utf8("value").alias("_utf8"), is_nonblank(F.col("value")).alias("_nb"),
-                    parse_record(F.col("value")).alias("_doc")))
-    arr = V.as_array(F.col("_doc"))
-    sized = docs.select("_file", "_utf8", "_nb", "_doc", arr.alias("_arr"))
-    # (position, element) pairs, then the selected ones, so both numberings
-    # come from one pass over each (unsplittable) file.
-    pairs = F.transform("_arr", lambda e, i: F.struct(i.cast("bigint").alias("p"), e.alias("e")))
-    chosen = (F.filter(pairs, lambda x: F.coalesce(V.is_object(x["e"]) & select(x["e"]), F.lit(False)))
-              if select is not None else F.array())
-    files = sized.select("_file", F.coalesce(F.size("_arr"), F.lit(0)).alias("_n"),
-                         F.coalesce(F.size(chosen), F.lit(0)).alias("_ns"),
-                         F.when(~F.col("_utf8"), F.lit(BAD_UTF8))
-                         .when(~F.col("_nb"), F.lit(None))
-                         .when(F.col("_doc").isNull(), F.lit(BAD_JSON))
-                         .when(F.col("_arr").isNull(), F.lit(NOT_LIST)).alias("_ferr"))
-    summed = running_sums(files, ["_file"], ["_n", "_ns"])
-    offsets = summed.select("_file", "_ferr", F.col("_n_before").alias("_off"), F.col("_ns_before").alias("_soff"))
-    offsets_j = maybe_broadcast(offsets.drop("_ferr"), n_files)
-    elems = sized.select("_file", F.posexplode("_arr").alias("_pos", "rec"))
-    out = elems.join(offsets_j, "_file").select(
-        (F.col("_off") + F.col("_pos")).alias("ord"), F.lit(None).cast("bigint").alias("line"), "rec")
-    out = out.withColumn("_error", F.when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
-    file_errors = offsets.where(F.col("_ferr").isNotNull()).select(
-        F.lit(-1).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("line"),
-        F.lit(None).cast("variant").alias("rec"), F.col("_ferr").alias("_error"))
-    out = out.unionByName(file_errors)
-    if select is None:
-        return out, None
-    sel = sized.select("_file", F.posexplode(chosen).alias("_spos", "_pe")).join(offsets_j, "_file").select(
-        (F.col("_off") + F.col("_pe")["p"]).alias("ord"), (F.col("_soff") + F.col("_spos")).alias("idx"),
-        F.lit(None).cast("bigint").alias("line"), F.col("_pe")["e"].alias("rec"))
-    return out, sel
+    rows = _line_rows(spark, path, select)
+    offsets, told = _offsets(rows, path)
+    j = rows.where("_kmid is not null").join(maybe_broadcast(offsets, told["n"]), ["_file", "_block"])
+    line = F.col("lines_before") + F.col("_mid") - F.col("_mid0") + 1
+    if dialect != "api" and told["first"] is not None:
+        line = line - F.lit(told["first"]) + 1
+    out = j.withColumns({"ord": F.col("kept_before") + F.col("_kmid") - F.col("_kmid0"), "line": line,
+                         "idx": F.col("chosen_before") + F.col("_smid") - F.col("_smid0")})
+    records = out.select("ord", "line", "rec", "_error")
+    return records, None if select is None else out.where("idx is not null").select("ord", "idx", "line", "rec")
 
 
 def check_columns(err: str = "_error", ord_col: str = "ord") -> list:
@@ -253,20 +195,10 @@ def raise_from_stats(stats, df: DataFrame, path: str, dialect: str, fmt: str, er
         return
     r = df.where(F.col("ord") == first).where(F.col(err).isNotNull()).select("ord", "line", err).limit(1).collect()[0]
     code, ord_, line = r[err], r["ord"], r["line"]
-    if code == BAD_UTF8:
-        msg = f"{path} is not valid UTF-8"
-    elif code == NOT_LIST:
-        msg = (f"JSON training file must contain a list of objects: {path}" if dialect == "train"
-               else f"JSON input {path} must be a list of objects.")
-    elif code == BAD_JSON:
-        msg = f"Invalid JSON on line {line} of {path}" if line is not None else f"Invalid JSON in {path}"
-    elif dialect == "train":
-        msg = f"Training example {ord_} in {path} must be a JSON object."
-    elif dialect == "infer":
-        msg = (f"Line {line} in {path} must be a JSON object." if fmt == "jsonl"
-               else f"Input item {ord_} in {path} must be a JSON object.")
-    else:
-        msg = f"Line {line} must be a JSON object."
+    place = f"line {line}" if line is not None and not (code == NOT_OBJECT and dialect == "train") else f"record {ord_}"
+    if code == NOT_LIST or (fmt == "array" and code in (BAD_JSON, BAD_UTF8)):
+        place = "file"
+    msg = f"{path}: {place}: {code} ({_SAYS[code]})"
     raise RecordError(msg, code, ord_, line)
 
 
@@ -287,8 +219,10 @@ def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: st
         raise ValueError("fmt must be 'auto', 'array' or 'jsonl'")
     if not files:
         raise ValueError(_empty_message(dialect, path))
-    df, sel = (_array(spark, path, len(files), select) if fmt == "array"
-               else _jsonl(spark, path, dialect, select, len(files)))
+    if fmt == "array":
+        df, sel = array_records(spark, path, select)
+    else:
+        df, sel = _jsonl(spark, path, dialect, select)
     return df, fmt, sel
 
 

@@ -21,11 +21,11 @@ def test_blank_lines_crlf_no_final_newline(spark, tmp):
 
 def test_leading_blanks_then_non_object(spark, tmp):
     p = write(tmp / "b.jsonl", '\n\n[1]\n{"a":1}\n')
-    with pytest.raises(RecordError, match="Line 1 in"):
+    with pytest.raises(RecordError, match="line 1: NOT_OBJECT"):
         read_records(spark, p, "infer", fmt="jsonl")
-    with pytest.raises(RecordError, match="Line 3 must"):
+    with pytest.raises(RecordError, match="line 3: NOT_OBJECT"):
         read_records(spark, p, "api")
-    with pytest.raises(RecordError, match="example 0"):
+    with pytest.raises(RecordError, match="record 0: NOT_OBJECT"):
         read_records(spark, p, "train", fmt="jsonl")
 
 
@@ -60,23 +60,23 @@ def test_leading_bracket_means_array(spark, tmp):
 
 def test_json_suffix_must_hold_a_list(spark, tmp):
     p = write(tmp / "f.json", '{"a":1}')
-    with pytest.raises(RecordError, match="list of objects"):
+    with pytest.raises(RecordError, match="NOT_LIST"):
         read_records(spark, p, "train")
     assert read_records(spark, p, "api").count() == 1
 
 
 def test_array_non_object_index(spark, tmp):
     p = write(tmp / "g.json", '[1, {}]')
-    with pytest.raises(RecordError, match="example 0"):
+    with pytest.raises(RecordError, match="record 0: NOT_OBJECT"):
         read_records(spark, p, "train")
-    with pytest.raises(RecordError, match="item 0"):
+    with pytest.raises(RecordError, match="record 0: NOT_OBJECT"):
         read_records(spark, p, "infer")
 
 
 @pytest.mark.parametrize("content", ["[]", "", "   \n  "])
 def test_empty_sources(spark, tmp, content):
     p = write(tmp / "h.json", content)
-    with pytest.raises(ValueError, match="No training examples"):
+    with pytest.raises(ValueError, match="no records"):
         read_records(spark, p, "train")
 
 
