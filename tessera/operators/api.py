@@ -2,20 +2,21 @@
 
 Requests are built with column expressions (``messages`` stays VARIANT, so
 extra fields and non-string content are forwarded unchanged). Calls run in
-``mapInPandas`` with a thread pool per task; each row gets a response or a
-captured error, never a failed task. Responses are checkpointed right after the
-calls so no later action repeats a paid request; parsing the response and
-building the result envelope are column expressions again.
+``mapInArrow`` with a sliding window of calls per task; each row gets a response or a
+captured error, never a failed task. Responses are written right after the calls so no
+later action repeats a paid request; parsing the response and building the result
+envelope are column expressions again.
 """
 
 from __future__ import annotations
 
 import os
 import time
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, as_completed, wait
 from typing import Callable
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,52 +60,75 @@ def http_transport(url: str, body: bytes, headers: dict, timeout: float) -> tupl
 RESPONSE_SCHEMA = "ord bigint, status int, body string, exc string, latency_sec double"
 
 
+EMIT_ROWS = 32  # answers that leave a task together, at most
+
+
+def shares(concurrency: int, tasks: int) -> list[int]:
+    """Calls in flight for each task: all of ``concurrency``, one each at least."""
+    tasks = max(1, min(int(tasks), int(concurrency)))
+    return [concurrency // tasks + (i < concurrency % tasks) for i in range(tasks)]
+
+
+def windowed(rows, send: Callable, width: int):
+    """``send(row)`` for all rows with at most ``width`` calls in flight: the next one
+    begins when any of them ends. Yields lists of what the calls return, in the order of
+    their ends, so a slow call holds up nothing but itself."""
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        flying, ready = set(), []
+        for row in rows:
+            if len(flying) >= width:
+                ended, flying = wait(flying, return_when=FIRST_COMPLETED)
+                ready += [f.result() for f in ended]
+            flying.add(pool.submit(send, row))
+            if len(ready) >= EMIT_ROWS:
+                yield ready
+                ready = []
+        for f in as_completed(flying):
+            ready.append(f.result())
+            if len(ready) >= EMIT_ROWS:
+                yield ready
+                ready = []
+        if ready:
+            yield ready
+
+
 def call(requests: DataFrame, url: str, api_key: str | None = None, transport: Transport | None = None,
          timeout: float = 120.0, concurrency: int = 4, checkpoint: bool = True,
          tasks: int | None = None, carry: list[str] | tuple = ()) -> DataFrame:
     """``(ord, body)`` -> ``(ord, status, body, exc, latency_sec)``, one call per row.
 
     ``concurrency`` is the number of calls in flight in all: the requests are
-    spread over ``tasks`` tasks (default: as many as ``concurrency``) and the
-    calls are divided among them, at least one each, so more tasks than calls
-    are not made. No retry: a failure is a row. Checkpointed so the calls happen
-    once per successful task. ``carry`` names string columns passed through
-    unchanged.
+    spread over ``tasks`` tasks (default: as many as ``concurrency``), and each task keeps
+    a sliding window of its share of the calls, the remainder included. No retry: a
+    failure is a row. With ``checkpoint`` the answers are written before anything reads
+    them. ``carry`` names string columns passed through unchanged.
     """
     ship_package(requests.sparkSession)
     send = transport or http_transport
     headers = {"Content-Type": "application/json", "Authorization": f"Bearer {resolve_api_key(api_key)}"}
-    tasks = min(int(tasks or concurrency), max(1, int(concurrency)))
-    requests = requests.repartition(tasks)
-    workers = max(1, int(concurrency) // tasks)
+    widths = shares(int(concurrency), int(tasks or concurrency))
+    requests = requests.coalesce(1) if len(widths) == 1 else requests.repartition(len(widths))
+    carried = list(carry)
 
-    def one(body: str):
+    def one(row: tuple) -> tuple:
+        ord_, body, *rest = row
         started = time.time()
         try:
             status, text = send(url, body.encode("utf-8"), headers, timeout)
-            return int(status), text, None, round(time.time() - started, 4)
+            return (ord_, int(status), text, None, round(time.time() - started, 4), *rest)
         except Exception as exc:  # noqa: BLE001 - every service error becomes a row
-            return None, None, repr(exc), round(time.time() - started, 4)
+            return (ord_, None, None, repr(exc), round(time.time() - started, 4), *rest)
 
-    carried = list(carry)
+    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), *[pa.string()] * len(carried)]
+    names = ["ord", "status", "body", "exc", "latency_sec", *carried]
 
     def run(batches):
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            for pdf in batches:
-                res = list(pool.map(one, pdf["body"].tolist()))
-                out = pd.DataFrame({
-                    "ord": pdf["ord"].to_numpy(),
-                    "status": pd.array([r[0] for r in res], dtype="Int32"),
-                    "body": [r[1] for r in res],
-                    "exc": [r[2] for r in res],
-                    "latency_sec": [r[3] for r in res],
-                })
-                for c in carried:
-                    out[c] = pdf[c].to_numpy()
-                yield out
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+        for answers in windowed(rows, one, widths[TaskContext.get().partitionId() % len(widths)]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*answers), types)], names=names)
 
     schema = RESPONSE_SCHEMA + "".join(f", {c} string" for c in carried)
-    out = requests.select("ord", "body", *carried).mapInPandas(run, schema)
+    out = requests.select("ord", "body", *carried).mapInArrow(run, schema)
     if checkpoint:
         checkpoint_root(requests.sparkSession)
         out = out.checkpoint(eager=True)

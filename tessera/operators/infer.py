@@ -4,8 +4,9 @@
 Everything but the model call is DataFrame expressions. The model runs in
 ``applyInPandas`` grouped by ``batch_id`` (each group is one fixed-size batch,
 so no group can grow with the data), built once per Python worker by a
-user-supplied factory. Generations are checkpointed before the gather, so a
-failure afterwards never repeats model work.
+user-supplied factory. Generations are written before the gather (by the job in
+committed slices, else as a checkpoint), so a failure afterwards never repeats
+model work.
 """
 
 from __future__ import annotations
@@ -57,6 +58,9 @@ def render_prompt(messages: Column, template: chat.Template | str | None = None)
     given, else the template with its generation prompt."""
     if template is None:
         return chat.render_inference(messages)
+    tpl = chat.get_template(template)
+    if tpl.whole:
+        return tpl.render_json(chat.messages_json(messages), True)
     return chat.render(chat.typed_messages(messages), template, True)
 
 
@@ -70,6 +74,14 @@ def generation_config(temperature: float | Column, top_p: float | Column, max_ne
                     F.when(sample, p).alias("top_p"), F.lit(int(max_new_tokens)).alias("max_new_tokens"))
 
 
+def generation_options(temperature: float, top_p: float, max_new_tokens: int, pad_id: int) -> dict:
+    """The same settings as ``generation_config`` for a model's ``generate``, with the id
+    it pads with."""
+    sample = temperature > 0
+    return {"max_new_tokens": int(max_new_tokens), "do_sample": sample, "temperature": temperature if sample else None,
+            "top_p": top_p if sample else None, "pad_token_id": int(pad_id)}
+
+
 def item_seed(seed: int, work_idx: Column) -> Column:
     """A 31-bit seed per work item, from a digest of ``seed:work_idx``: any size of
     ``seed`` is accepted, and neighbouring seeds have nothing in common."""
@@ -111,7 +123,7 @@ def pad_batches(items: DataFrame, tokenizer: K.Tokenizer | str | None = None, si
     n = int(partitions or items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = items.withColumn("_group", F.floor(F.col("batch_id") / int(group_batches)).cast("bigint")) \
         .repartition(n, "_group")
-    ids = grouped.withColumn("input_ids", tok.encode(F.col(text_col)))
+    ids = grouped.withColumn("input_ids", tok.encode_prompt(F.col(text_col)))
     width = F.max(F.size("input_ids")).over(Window.partitionBy("_group", "batch_id"))
     ids = ids.withColumn("_w", width)
     return ids.withColumns({

@@ -7,6 +7,7 @@ they replace and become keyword arguments.
 from __future__ import annotations
 
 import logging
+import math
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ..operators import sft
 from ..sinks import json_sink as S
 from ..sources.ordinals import table_ordinal
 from ..sources.records import check_columns, raise_from_stats, scan_records
+from .durable import WorkDir, input_digest
 
 DEFAULT_SYSTEM_PROMPT = "You are a helpful assistant."
 
@@ -63,13 +65,12 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
     log.info("Loaded %d records from %s; %d selected", stats["_c_n"], path, stats["_n_sel"])
     if stats["_n_sel"] == 0:
         if use_split:
-            raise ValueError(f"No examples found with {split_field}={split!r} in {path}")
-        raise ValueError(f"No training examples found in {path}")
+            raise ValueError(f"{path}: no record has {split!r} in '{split_field}'")
+        raise ValueError(f"{path}: no records to train on")
     if stats["_bad"] is not None:
         bad = proj.where(F.col("ord") == stats["_bad"]).select("idx", "_error").collect()[0]
-        detail = sft.ERROR_TEXT.get(bad["_error"]) or sft._unsupported_text(
-            "response" if response_only_loss else "full", prompt_field, response_field)
-        raise ValueError(f"Invalid SFT example at index {bad['idx']} of {path}: {detail}")
+        raise ValueError(f"{path}: record {stats['_bad']} (index {bad['idx']}): "
+                         + sft.says(bad["_error"], response_only_loss, prompt_field, response_field))
     return proj.select("ord", "idx", *cols)
 
 
@@ -100,7 +101,7 @@ def checked_prompts(spark: SparkSession, path: str, dialect: str, prompt_field:
                     messages_field: str = "messages", system_prompt: str | None = DEFAULT_SYSTEM_PROMPT):
     """Read records and build their messages; bad records and rows without a
     usable prompt are found by one aggregate job, before any model or endpoint
-    call. Returns ``(records, rows with messages)``."""
+    call. Returns the rows ``(ord, rec, messages)`` and their number."""
     recs, fmt, _ = scan_records(spark, path, dialect)
     pm = I.prompt_messages(recs.withColumnRenamed("_error", "_rec_error"), prompt_field, messages_field,
                            system_prompt)
@@ -111,77 +112,130 @@ def checked_prompts(spark: SparkSession, path: str, dialect: str, prompt_field:
     log.info("Loaded %d rows from %s", stats["_c_n"], path)
     if stats["_bad"] is not None:
         code = pm.where(F.col("ord") == stats["_bad"]).select("_error").collect()[0]["_error"]
-        raise ValueError(f"Row {stats['_bad']}: each row must contain a non-empty '{prompt_field}' string "
-                         f"or a '{messages_field}' list ({code}).")
-    return recs.drop("_error"), pm.drop("_rec_error", "_error")
-
-
-def generation_items(records: DataFrame, num_repeats: int = 1, batch_size: int = 4,
-                     template: Template | str | None = None, prompt_field: str = "prompt",
-                     messages_field: str = "messages", system_prompt: str | None = DEFAULT_SYSTEM_PROMPT,
-                     seed: int | None = None) -> DataFrame:
-    """Records -> rendered prompts (once per row) -> repeated, batched work items.
-    Invalid rows abort here, before any model work."""
-    pm = I.prompt_messages(records, prompt_field, messages_field, system_prompt)
-    bad = sft.first_error(pm)
-    if bad is not None:
-        raise ValueError(f"Row {bad['ord']}: each row must contain a non-empty '{prompt_field}' string "
-                         f"or a '{messages_field}' list ({bad['_error']}).")
-    rendered = pm.select("ord", I.render_prompt(F.col("messages"), template).alias("text"))
-    return I.repeat_items(rendered, num_repeats, batch_size, seed)
+        raise ValueError(f"{path}: record {stats['_bad']}: {code} (needs text in '{prompt_field}' or an array in '{messages_field}')")
+    return pm.select("ord", "rec", "messages"), stats["_c_n"]
 
 
 def batch_inference(spark: SparkSession, input_path: str, output_path: str, model_factory: Callable[[], object],
                     tokenizer: K.Tokenizer | str | None = None, num_repeats: int = 1, batch_size: int = 4,
                     always_list_output: bool = False, output_field: str = "output", output_format: str = "auto",
                     max_new_tokens: int = 256, temperature: float = 0.7, top_p: float = 0.9,
-                    seed: int | None = None, overwrite: bool = False, **kw) -> DataFrame:
+                    seed: int | None = None, overwrite: bool = False, template: Template | str | None = None,
+                    prompt_field: str = "prompt", messages_field: str = "messages",
+                    system_prompt: str | None = DEFAULT_SYSTEM_PROMPT, work_dir: str | None = None,
+                    slice_batches: int = 16_384, in_flight: int = 2) -> DataFrame:
     """J2: records -> prompts -> generations -> widened records written in input order.
-    Returns the widened records ``(ord, rec)``."""
+    Returns the widened records ``(ord, rec)``.
+
+    Rendered prompts are written once, in slices of ``slice_batches`` whole batches;
+    generations are committed slice by slice, ``in_flight`` slices at a time. With
+    ``work_dir`` an interrupted run, started again on the same folder by any session,
+    reads no input again and generates only the slices that are missing; batches, seeds
+    and results are those of an uninterrupted run."""
     if num_repeats < 1:
         raise ValueError("num_repeats must be >= 1")
+    if batch_size < 1 or slice_batches < 1:
+        raise ValueError("batch_size and slice_batches must be >= 1")
     S.check_output(spark, output_path, overwrite)
-    template = kw.pop("template", None)
-    records, pm = checked_prompts(spark, input_path, "infer", **kw)
-    rendered = pm.select("ord", I.render_prompt(F.col("messages"), template).alias("text"))
-    items = I.repeat_items(rendered, num_repeats, batch_size, seed)
-    padded = I.pad_batches(items, tokenizer, "left")
-    sample = temperature > 0
-    config = {"max_new_tokens": max_new_tokens, "do_sample": sample,
-              "temperature": temperature if sample else None, "top_p": top_p if sample else None}
-    gen = I.generate(padded, model_factory, config)
-    # Row-major layout: (ord, rep) follow from work_idx, no join back to the items.
-    outs = I.decode_outputs(gen, tokenizer).withColumns({
-        "ord": F.floor(F.col("work_idx") / num_repeats).cast("bigint"),
-        "rep": F.pmod(F.col("work_idx"), F.lit(num_repeats)),
-    })
-    gathered = I.gather(outs.select("ord", "rep", "output"), num_repeats, always_list_output)
-    wide = I.widen(records, gathered.withColumnRenamed("output", output_field), output_field)
+    tok = K.get_tokenizer(tokenizer)
+    config = I.generation_options(temperature, top_p, max_new_tokens, tok.effective_pad_id)
+    # Rows of a slice: a number of items that whole batches make up.
+    rows = slice_batches * batch_size // math.gcd(slice_batches * batch_size, num_repeats)
+    work = WorkDir(spark, work_dir, "batch-inference", {
+        "input": input_digest(spark, input_path), "num_repeats": num_repeats, "batch_size": batch_size, "config": config, "seed": seed,
+        "template": template if isinstance(template, str) else type(template).__name__, "tokenizer": tok.name,
+        "prompt_field": prompt_field, "messages_field": messages_field, "system_prompt": system_prompt, "slice_rows": rows})
+
+    def prompts() -> DataFrame:
+        pm, _ = checked_prompts(spark, input_path, "infer", prompt_field, messages_field, system_prompt)
+        return pm.select("ord", "rec", I.render_prompt(F.col("messages"), template).alias("text"),
+                         F.floor(F.col("ord") / rows).cast("bigint").alias("slice"))
+
+    prompt_schema = "ord bigint, rec variant, text string"
+    work.write_inputs("prompts", prompts)
+
+    def generate(k: int, _: int):
+        texts = work.read_slice("prompts", k, prompt_schema).select("ord", "text")
+        padded = I.pad_batches(I.repeat_items(texts, num_repeats, batch_size, seed), tok, "left")
+        gen = I.generate(padded, model_factory, config, checkpoint=False)
+        # Row-major layout: (ord, rep) follow from work_idx, no join back to the items.
+        return I.decode_outputs(gen, tok).select(
+            F.floor(F.col("work_idx") / num_repeats).cast("bigint").alias("ord"),
+            F.pmod(F.col("work_idx"), F.lit(num_repeats)).cast("bigint").alias("rep"), "output"), []
+
+    work.run("prompts", "outputs", generate, in_flight)
+    outs = work.read("outputs", "ord bigint, rep bigint, output string")
+    gathered = I.gather(outs, num_repeats, always_list_output).withColumnRenamed("output", output_field)
+    wide = I.widen(work.read("prompts", prompt_schema), gathered, output_field)
     S.write_records(wide, output_path, output_format, "rec", "ord", overwrite)
     return wide
 
 
+_REQUEST = "ord bigint, body string, _carry_id string, _carry_prompt string"
+_RESPONSE = A.RESPONSE_SCHEMA + ", _carry_id string, _carry_prompt string"
+
+
 def api_inference(spark: SparkSession, input_path: str, output_path: str | None, base_url: str, model: str,
                   transport: A.Transport | None = None, prompt_field: str = "prompt",
                   messages_field: str = "messages", system_prompt: str | None = DEFAULT_SYSTEM_PROMPT,
                   max_tokens: int = 512, temperature: float = 0.7, top_p: float = 0.9, concurrency: int = 4,
                   timeout: float = 120.0, api_key: str | None = None, id_field: str = "id",
-                  overwrite: bool = False, done: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+                  overwrite: bool = False, done: DataFrame | None = None, tasks: int | None = None,
+                  work_dir: str | None = None, slice_rows: int = 2000, retry_failed: bool = False) -> DataFrame:
     """J3: JSONL -> messages -> one chat completion per row -> results in input order.
 
-    ``done``: results of an interrupted run (with ``index``); those rows are
-    not called again and are unioned into the output.
+    Requests are written once, in slices of at most ``slice_rows``; each slice is one task
+    with its share of ``concurrency``, committed when its calls have ended, and ``tasks``
+    of them (default: one a core, not more than calls) run side by side. With ``work_dir``
+    an interrupted run, started again on the same folder, calls only the rows of slices
+    that are missing; ``retry_failed`` calls once more the rows whose last answer is an
+    error. ``done``: results of an earlier run (with ``index``); those rows are not called
+    and are unioned into the output.
     """
     A.check_field_names(id_field, prompt_field)
     if output_path:
         S.check_output(spark, output_path, overwrite)
-    _, pm = checked_prompts(spark, input_path, "api", prompt_field, messages_field, system_prompt)
-    req = pm.select("ord", A.request_body(F.col("messages"), model, max_tokens, temperature, top_p).alias("body"),
-                    *A.carried_fields(F.col("rec"), id_field, prompt_field))
-    if done is not None:
-        req = req.join(done.select(F.col("index").alias("ord")), "ord", "left_anti")
-    resp = A.call(req, A.endpoint_url(base_url), api_key, transport, timeout, concurrency, tasks=tasks,
-                  carry=["_carry_id", "_carry_prompt"])
+    work = WorkDir(spark, work_dir, "api-inference", {
+        "input": input_digest(spark, input_path), "url": A.endpoint_url(base_url), "model": model, "max_tokens": max_tokens,
+        "temperature": temperature, "top_p": top_p, "prompt_field": prompt_field, "messages_field": messages_field,
+        "system_prompt": system_prompt, "id_field": id_field})
+    widths = A.shares(concurrency, tasks or min(concurrency, spark.sparkContext.defaultParallelism))
+
+    def sliced(req: DataFrame, n: int) -> DataFrame:
+        """So many rows a slice that all calls are in flight even for few rows."""
+        rows = max(1, min(slice_rows, -(-n // (4 * len(widths)))))
+        return req.withColumn("slice", F.floor(F.col("ord") / rows).cast("bigint"))
+
+    def requests() -> DataFrame:
+        pm, n = checked_prompts(spark, input_path, "api", prompt_field, messages_field, system_prompt)
+        req = pm.select("ord", A.request_body(F.col("messages"), model, max_tokens, temperature, top_p).alias("body"),
+                        *A.carried_fields(F.col("rec"), id_field, prompt_field))
+        if done is not None:
+            req = req.join(done.select(F.col("index").alias("ord")), "ord", "left_anti")
+        return sliced(req, n)
+
+    def attempt(i: int) -> DataFrame:
+        """All answers of the ``i``-th round of calls, those not there yet called now."""
+        def ask(k: int, lane: int):
+            resp = A.call(work.read_slice(f"requests-{i}", k, _REQUEST), A.endpoint_url(base_url), api_key, transport, timeout,
+                          widths[lane], checkpoint=False, tasks=1, carry=["_carry_id", "_carry_prompt"])
+            return resp, [F.count_if(F.col("exc").isNull() & (F.col("status") < 400)).alias("answered")]
+        work.run(f"requests-{i}", f"responses-{i}", ask, len(widths))
+        return work.read(f"responses-{i}", _RESPONSE) if work.slices(f"requests-{i}") else spark.createDataFrame([], _RESPONSE)
+
+    work.write_inputs("requests-0", requests)
+    resp, last = attempt(0), 0
+    while work.has(f"requests-{last + 1}"):  # retries of earlier runs, whole or not
+        last += 1
+        resp = resp.join(work.read(f"requests-{last}", _REQUEST).select("ord"), "ord", "left_anti").unionByName(attempt(last))
+    if retry_failed:
+        failed = A.envelope(resp).where("not ok").select("ord")
+        n = failed.count()
+        if n:
+            last += 1
+            again = work.read("requests-0", _REQUEST).join(failed, "ord", "left_semi")
+            work.write_inputs(f"requests-{last}", lambda: sliced(again, n))
+            resp = resp.join(failed, "ord", "left_anti").unionByName(attempt(last))
     # id / prompt travelled with each request: no join back to the input.
     res = A.results_carried(resp, id_field, prompt_field)
     if done is not None:

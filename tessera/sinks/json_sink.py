@@ -7,8 +7,6 @@ across tasks, so every part file is one complete, compact array.
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +35,7 @@ def output_exists(spark: SparkSession, path: str) -> bool:
 def check_output(spark: SparkSession, path: str, overwrite: bool = False) -> None:
     """Refuse an existing output before any work starts, unless ``overwrite``."""
     if output_exists(spark, path) and not overwrite:
-        raise FileExistsError(f"Output exists: {path}. Pass overwrite=True to replace it.")
+        raise FileExistsError(f"{path} is there already (overwrite=True replaces it)")
 
 
 def _json_col(col: Column | str) -> Column:
@@ -87,8 +85,3 @@ def write_records(df: DataFrame, path: str, fmt: str = "auto", record: Column |
 def write_dataset(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """The training dataset (``text`` [, ``prompt_text``]) as Parquet."""
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
-
-
-def dumps(obj) -> str:
-    """Driver-side helper matching the sink's JSON text for small values."""
-    return json.dumps(obj, ensure_ascii=False, separators=(",", ":"))

@@ -12,7 +12,7 @@ def test_load_sft_dataset_paths(spark, tmp):
                                '{"prompt":"p","groundtruth":"g","split":"y"}\n')
     with pytest.raises(ValueError, match="index 1"):
         jobs.load_sft_dataset(spark, p, split_field="split", split="y")
-    with pytest.raises(ValueError, match="No examples found"):
+    with pytest.raises(ValueError, match="no record has"):
         jobs.load_sft_dataset(spark, p, split_field="split", split="z")
     ok = jobs.load_sft_dataset(spark, p, split_field="split", split="x").collect()
     assert [(r.ord, r.text, r.prompt_text) for r in ok] == [(0, "a", "")]
@@ -24,10 +24,10 @@ def test_load_sft_dataset_paths(spark, tmp):
 
 def test_bad_record_aborts_first(spark, tmp):
     p = write(tmp / "e.jsonl", '{"text":"a"}\n[1]\n{"nope":1}\n')
-    with pytest.raises(RecordError, match="example 1"):
+    with pytest.raises(RecordError, match="record 1: NOT_OBJECT"):
         jobs.load_sft_dataset(spark, p)
     q = write(tmp / "f.jsonl", "\n \n")
-    with pytest.raises(ValueError, match="No training examples"):
+    with pytest.raises(ValueError, match="no records"):
         jobs.load_sft_dataset(spark, q)
 
 
