@@ -25,6 +25,7 @@ IGNORE_INDEX = -100  # label value ignored by the loss (fixed value)
 class Tokenizer:
     name = "tokenizer"
     eos_id: int = 0
+    bos_id: int | None = None
     pad_id: int | None = None
     special_ids: Sequence[int] = ()
 
@@ -42,6 +43,16 @@ class Tokenizer:
         """A prefix of ``text`` whose first ``max_length`` tokens equal the text's."""
         return text
 
+    def encode_prompt(self, text: Column) -> Column:
+        """Ids of a prompt for generation: with the start token, which training ids lack."""
+        ids = self.encode(text)
+        return ids if self.bos_id is None else F.concat(F.array(F.lit(int(self.bos_id))), ids)
+
+    def encode_pair(self, text: Column, prompt: Column, max_length: int) -> Column:
+        """``struct(ids, masked)``: the text's ids and the number of the prompt's, both
+        after truncation. An empty prompt has none."""
+        return F.struct(self.encode(text, max_length).alias("ids"), self.count(prompt, max_length).alias("masked"))
+
     @property
     def effective_pad_id(self) -> int:
         """The pad id, defaulting to the end-of-sequence id."""
@@ -51,8 +62,8 @@ class Tokenizer:
 class CodepointTokenizer(Tokenizer):
     name = "codepoint"
 
-    def __init__(self, eos_id: int = 0, pad_id: int | None = None, special_ids: Sequence[int] = (0,)):
-        self.eos_id, self.pad_id, self.special_ids = eos_id, pad_id, tuple(special_ids)
+    def __init__(self, eos_id: int = 0, pad_id: int | None = None, special_ids: Sequence[int] = (0,), bos_id: int | None = None):
+        self.eos_id, self.pad_id, self.special_ids, self.bos_id = eos_id, pad_id, tuple(special_ids), bos_id
 
     def encode(self, text, max_length=None):
         s = text if max_length is None else F.substring(text, 1, int(max_length))
@@ -76,8 +87,8 @@ class CodepointTokenizer(Tokenizer):
 class Utf8Tokenizer(Tokenizer):
     name = "utf8"
 
-    def __init__(self, eos_id: int = 0, pad_id: int | None = None, special_ids: Sequence[int] = (0,)):
-        self.eos_id, self.pad_id, self.special_ids = eos_id, pad_id, tuple(special_ids)
+    def __init__(self, eos_id: int = 0, pad_id: int | None = None, special_ids: Sequence[int] = (0,), bos_id: int | None = None):
+        self.eos_id, self.pad_id, self.special_ids, self.bos_id = eos_id, pad_id, tuple(special_ids), bos_id
 
     def encode(self, text, max_length=None):
         b = F.encode(text, "UTF-8")
@@ -106,7 +117,9 @@ class PandasTokenizer(Tokenizer):
     """A model tokenizer built by ``factory()`` once per Python worker.
 
     ``encode(texts: list[str]) -> list[list[int]]`` must not add special
-    tokens; ``decode(ids: list[list[int]]) -> list[str]`` should skip them.
+    tokens; ``decode(ids: list[list[int]]) -> list[str]`` should skip them;
+    ``encode_prompts(texts)``, where there is one, adds those that the model
+    wants before a prompt (training never does).
     """
 
     name = "pandas"
@@ -118,18 +131,42 @@ class PandasTokenizer(Tokenizer):
     def encode(self, text, max_length=None):
         from ..session import ship_package
         ship_package()
+        return self._ids(text, "encode", max_length)
+
+    def encode_prompt(self, text):
+        from ..session import ship_package
+        ship_package()
+        return self._ids(text, "encode_prompts", None)
+
+    def _ids(self, text, method: str, limit: int | None):
         factory = self.factory
-        limit = None if max_length is None else int(max_length)
 
         @F.pandas_udf("array<int>")
         def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tok = factory()  # once per task
+            encode = getattr(tok, method, tok.encode)
             for s in batches:
-                out = tok.encode([x if x is not None else "" for x in s])
-                yield pd.Series([list(ids[:limit]) if limit is not None else list(ids) for ids in out])
+                yield pd.Series([list(ids[:limit]) for ids in encode([x if x is not None else "" for x in s])])
 
         return _enc(text)
 
+    def encode_pair(self, text, prompt, max_length):
+        from ..session import ship_package
+        ship_package()
+        factory, limit = self.factory, int(max_length)
+
+        @F.pandas_udf("ids array<int>, masked int")
+        def _pair(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            tok = factory()  # once per task
+            for texts, prompts in batches:
+                ids = tok.encode([x if x is not None else "" for x in texts])
+                some = [p for p in prompts if p]
+                sizes = iter(tok.encode(some)) if some else iter(())
+                yield pd.DataFrame({"ids": [list(x[:limit]) for x in ids],
+                                    "masked": [min(len(next(sizes)), limit) if p else 0 for p in prompts]})
+
+        return _pair(text, prompt)
+
     def decode(self, ids):
         from ..session import ship_package
         ship_package()

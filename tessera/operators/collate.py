@@ -1,18 +1,27 @@
 """Tokenize, truncate, mask and pad SFT rows into training tensors.
 
-Plan shape: a narrow projection cuts each text to the prefix that can reach
-``max_length`` tokens, one window keyed by ``batch_id`` finds the batch width
-(each window group is one batch, ``batch_size`` rows), and the arrays are built
-in the final projection, so the shuffle carries bounded text, not id arrays.
+Every text is tokenized once, into ids of at most ``max_length`` beside the number of
+masked labels, and these rows are written. A batch is ``batch_size`` consecutive rows,
+so its width is known to the task that has all of them: a narrow function over
+``(batch_id, n)`` finds it while the rows pass by. Only batches cut by the border of two
+tasks are left, a few a task; their widths are one small aggregate, joined back by
+``batch_id``. No text and no ids go through a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.tokens import Tokenizer
+from ..session import checkpoint_root, ship_package
+from ..sources.ordinals import maybe_broadcast
+from ..sources.rows import stored
 
 NO_RESPONSE_TOKENS = "NO_RESPONSE_TOKENS"
 
@@ -25,19 +34,52 @@ def label_rows(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_leng
     many leading labels are masked; an empty prompt masks nothing. A row whose
     labels are all masked gets ``NO_RESPONSE_TOKENS``.
     """
-    tok = K.get_tokenizer(tokenizer)
-    ids = tok.encode(F.col(text_col), max_length)
-    if prompt_col is not None:
-        p = F.col(prompt_col)
-        n_masked = F.when(F.coalesce(p, F.lit("")) == "", F.lit(0)).otherwise(tok.count(p, max_length))
-    else:
-        n_masked = F.lit(0)
-    # Materialize the prompt length first: a user tokenizer is a Python UDF, which
-    # may not appear inside the masking lambda.
-    out = df.withColumns({"input_ids": ids, "_n_masked": n_masked})
-    out = out.withColumn("labels", K.mask_prefix(F.col("input_ids"), F.col("_n_masked"))).drop("_n_masked")
-    return out.withColumn("_error", F.when(~F.exists("labels", lambda x: x != K.IGNORE_INDEX),
-                                            F.lit(NO_RESPONSE_TOKENS)))
+    out = _encoded(df, K.get_tokenizer(tokenizer), max_length, text_col, prompt_col)
+    out = out.withColumn("labels", K.mask_prefix(F.col("input_ids"), F.col("_n_masked")))
+    return out.withColumn("_error", _no_response()).drop("_n_masked")
+
+
+def _encoded(df: DataFrame, tok: Tokenizer, max_length: int, text_col: str, prompt_col: str | None) -> DataFrame:
+    """Add ``input_ids`` and ``_n_masked`` (the prompt's number of ids), both from one
+    expression, so that a user tokenizer runs once over a batch of rows."""
+    prompt = F.lit("") if prompt_col is None else F.coalesce(F.col(prompt_col), F.lit(""))
+    out = df.withColumn("_e", tok.encode_pair(F.col(text_col), prompt, max_length))
+    return out.withColumns({"input_ids": F.col("_e.ids"), "_n_masked": F.col("_e.masked")}).drop("_e")
+
+
+def _no_response() -> Column:
+    """All labels are masked, or there is none."""
+    return F.when(F.col("_n_masked") >= F.size("input_ids"), F.lit(NO_RESPONSE_TOKENS))
+
+
+def run_widths(batch_id: np.ndarray, n: np.ndarray, batch_size: int) -> np.ndarray:
+    """The greatest ``n`` of each run of equal batch ids, on all its rows; NaN where the
+    run is not a whole batch."""
+    first = np.flatnonzero(np.diff(batch_id, prepend=batch_id[0] - 1 if len(batch_id) else 0) != 0)
+    if not len(first):
+        return np.zeros(0)
+    size = np.diff(np.append(first, len(batch_id)))
+    return np.repeat(np.where(size == batch_size, np.maximum.reduceat(n, first), np.nan), size)
+
+
+def local_widths(batch_id: Column, n: Column, batch_size: int) -> Column:
+    """The widths of batches whose rows follow each other in one task, else NULL."""
+    @F.pandas_udf("int")
+    def widths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b, k in batches:
+            ids, ns = np.concatenate([ids, b.to_numpy(np.int64)]), np.concatenate([ns, k.to_numpy(np.int64)])
+            other = np.flatnonzero(ids != ids[-1]) if len(ids) else []
+            last = int(other[-1]) + 1 if len(other) else 0  # where the last run begins
+            if len(ids) - last >= batch_size:
+                last = len(ids)
+            if last:  # else the run may go on in the next Arrow batch
+                yield pd.Series(run_widths(ids[:last], ns[:last], batch_size)).astype("Int32")
+                ids, ns = ids[last:], ns[last:]
+        if len(ids):
+            yield pd.Series(run_widths(ids, ns, batch_size)).astype("Int32")
+
+    return widths(batch_id, n)
 
 
 def collate(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_length: int = 1024,
@@ -54,6 +96,9 @@ def collate(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_length:
         raise ValueError("batch_size must be >= 1")
     if side not in ("left", "right"):
         raise ValueError("side must be 'left' or 'right'")
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    ship_package(spark)
     tok = K.get_tokenizer(tokenizer)
     keep = [c for c in df.columns if c not in (text_col, prompt_col)]
     narrow = df.select(
@@ -61,15 +106,17 @@ def collate(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_length:
         F.floor(F.col(order_col) / batch_size).cast("bigint").alias("batch_id"),
         tok.prefix(F.col(text_col), max_length).alias("_t"),
         (tok.prefix(F.col(prompt_col), max_length) if prompt_col else F.lit("")).alias("_p"),
-        tok.count(F.col(text_col), max_length).alias("_n"),
     )
-    width = F.max("_n").over(Window.partitionBy("batch_id"))
-    widened = narrow.withColumn("_w", width)
-    labelled = label_rows(widened, tok, max_length, "_t", "_p")
-    pad_id = tok.effective_pad_id
+    rows = _encoded(narrow, tok, max_length, "_t", "_p").drop("_t", "_p")
+    rows = stored(rows.withColumn("_w", local_widths(F.col("batch_id"), F.size("input_ids"), batch_size)), "tokens")
+    cut = stored(rows.where("_w is null").groupBy("batch_id").agg(F.max(F.size("input_ids")).alias("_cut")), "cut-batches")
+    whole = rows.join(maybe_broadcast(cut, cut.count()), "batch_id", "left")
+    labelled = whole.withColumns({
+        "_w": F.coalesce("_w", "_cut"), "_error": _no_response(),
+        "labels": K.mask_prefix(F.col("input_ids"), F.col("_n_masked"))})
     return labelled.select(
         *keep, "batch_id",
-        K.pad(F.col("input_ids"), F.col("_w"), pad_id, side).alias("input_ids"),
+        K.pad(F.col("input_ids"), F.col("_w"), tok.effective_pad_id, side).alias("input_ids"),
         K.attention_mask(F.size("input_ids"), F.col("_w"), side).alias("attention_mask"),
         K.pad(F.col("labels"), F.col("_w"), K.IGNORE_INDEX, side).alias("labels"),
         "_error",
@@ -80,9 +127,7 @@ def check_tensors(df: DataFrame, order_col: str = "ord") -> DataFrame:
     """Fail on the first row whose response did not survive truncation."""
     bad = df.agg(F.min(F.when(F.col("_error").isNotNull(), F.col(order_col))).alias("b")).collect()[0]["b"]
     if bad is not None:
-        raise ValueError(
-            "A training example has no response tokens left after prompt masking/truncation. "
-            f"Increase max_length or shorten the prompt (row {bad}).")
+        raise ValueError(f"row {bad}: {NO_RESPONSE_TOKENS} (every label within max_length is masked)")
     return df.drop("_error")
 
 

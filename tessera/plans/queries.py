@@ -759,11 +759,12 @@ def q_sft_dataset(spark, sf_dir):
 
 @register("training_tensors", _collate_sql(
     _SFT_DATASET_SQL + ", src AS (SELECT p.ord AS pos, d.text, d.prompt_text FROM d JOIN p USING (kr, key))",
-    "pos", 256, 8, "right"))
+    "pos", 1024, 8, "right"))
 def q_training_tensors(spark, sf_dir):
-    """J4: J1's dataset -> code-point ids (256), batches of 8, right padding, masks."""
+    """J4: J1's dataset -> code-point ids (1024, the default), batches of 8, right padding,
+    masks. Prompts longer than that leave rows without labels, reported as errors."""
     ds = jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en")
-    t = jobs.training_tensors(ds, "codepoint", 256, 8, "right", check=False)
+    t = jobs.training_tensors(ds, "codepoint", 1024, 8, "right", check=False)
     return _tensor_cols(t.withColumnRenamed("ord", "pos"), "pos")
 
 
@@ -854,14 +855,15 @@ src AS (SELECT p.ord AS pos, d.text, '' AS prompt_text FROM d JOIN p USING (kr,
 """
 
 
-@register("training_tensors_full", _collate_sql(_SFT_FULL_SRC, "pos", 128, 8, "right"))
+@register("training_tensors_full", _collate_sql(_SFT_FULL_SRC, "pos", 1024, 8, "right"))
 def q_training_tensors_full(spark, sf_dir):
     """J1 full-sequence mode -> J4 with loss on the prompt: labels are the ids,
-    pads masked (code points, 128, batches of 8, right padding)."""
+    pads masked (code points, 1024, batches of 8, right padding); checked, so no row
+    is without labels."""
     ds = jobs.load_sft_dataset(spark, _corpus_file(spark, sf_dir), split_field="lang", split="en",
                                response_only_loss=False)
-    t = jobs.training_tensors(ds, "codepoint", 128, 8, "right", loss_on_prompt=True, check=False)
-    return _tensor_cols(t.withColumnRenamed("ord", "pos"), "pos")
+    t = jobs.training_tensors(ds, "codepoint", 1024, 8, "right", loss_on_prompt=True, check=True)
+    return _tensor_cols(t.withColumn("_error", F.lit(None).cast("string")).withColumnRenamed("ord", "pos"), "pos")
 
 
 @register("sft_response_only_chatml", _CONV_SQL + """
