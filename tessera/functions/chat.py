@@ -8,6 +8,7 @@ turns the number ``1`` into the string ``'1'``.
 
 from __future__ import annotations
 
+import json
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -69,6 +70,7 @@ class Template:
 
     name = "template"
     linear = True
+    whole = False  # takes messages as they stand in the record (``render_json``), unchecked
     separator = ""
     generation_prompt = ""
 
@@ -122,15 +124,20 @@ class InstructionTemplate(Template):
 class PythonTemplate(Template):
     """A user callable ``fn(messages: list[dict], add_generation_prompt) -> str``
     (for example a tokenizer's chat template), run through an Arrow-batched
-    pandas UDF. The callable is built once per Python worker by ``factory``."""
+    pandas UDF. The callable is built once per task by ``factory``.
+
+    It gets the messages whole: other keys, contents that are no text and messages of
+    any make are its own affair, so they travel as JSON and are not checked before."""
 
     name = "python"
     linear = False
+    whole = True
 
     def __init__(self, factory: Callable[[], Callable[[list, bool], str]]):
         self.factory = factory
 
-    def render(self, messages, add_generation_prompt):
+    def render_json(self, messages: Column, add_generation_prompt: bool) -> Column:
+        """Render a JSON array of messages; NULL stays NULL."""
         from ..session import ship_package
         ship_package()
         factory = self.factory
@@ -140,16 +147,18 @@ class PythonTemplate(Template):
         def _render(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             fn = factory()  # once per task
             for col in batches:
-                out = []
-                for msgs in col:
-                    if msgs is None:
-                        out.append(None)
-                    else:
-                        out.append(fn([{"role": m["role"], "content": m["content"]} for m in msgs], gen))
-                yield pd.Series(out, dtype="object")
+                yield pd.Series([None if m is None else fn(json.loads(m), gen) for m in col], dtype="object")
 
         return _render(messages)
 
+    def render(self, messages, add_generation_prompt):
+        return self.render_json(messages_json(messages), add_generation_prompt)
+
+
+def messages_json(messages: Column) -> Column:
+    """An array of messages, typed or VARIANT, as JSON text with its nulls."""
+    return F.to_json(messages, {"ignoreNullFields": "false"})
+
 
 TEMPLATES: dict[str, Template] = {
     t.name: t for t in (RoleContentTemplate(), ChatMLTemplate(), InstructionTemplate())

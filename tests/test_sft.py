@@ -93,7 +93,7 @@ def test_fail_fast_index_counts_kept_rows(spark):
     df = spark.createDataFrame(rows, "ord long, js string").select("ord", F.parse_json("js").alias("rec"))
     with pytest.raises(ValueError, match="index 2"):
         sft.sft_dataset(df, split_field="split", split="y")
-    with pytest.raises(ValueError, match="No examples found"):
+    with pytest.raises(ValueError, match="no record has"):
         sft.sft_dataset(df, split_field="split", split="z")
     rep = sft.sft_dataset(df, on_error="report").orderBy("ord").collect()
     assert [r._error for r in rep] == [None, None, None, "UNSUPPORTED_ROW"]
@@ -146,3 +146,40 @@ def test_python_template_on_records(spark):
     assert ro[0] == ("user=u|>v", "user=u|>")
     pm = I.prompt_messages(df.where("ord = 0"))
     assert pm.select(I.render_prompt(F.col("messages"), tpl).alias("t")).collect()[0].t == "user=u|assistant=v|>"
+
+
+def _json_factory():
+    return lambda msgs, gen: json.dumps(msgs, sort_keys=True) + ("<gen>" if gen else "")
+
+
+def test_templates_get_whole_messages(spark, tmp):
+    """A tool call with null content, other keys and odd messages reach a user template as
+    they stand, in J1 and in J2; built-in templates still refuse them."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    from conftest import write
+    from tessera.functions.chat import PythonTemplate
+    from tessera.operators import infer as I
+    from tessera.plans import jobs
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    tpl = PythonTemplate(_json_factory)
+    call = {"role": "assistant", "content": None, "tool_calls": [{"id": "c1", "function": {"name": "f", "arguments": "{\"x\": 1}"}}]}
+    msgs = [{"role": "user", "content": "é"}, call, {"role": "tool", "content": "7", "tool_call_id": "c1"},
+            {"role": "assistant", "content": "seven", "note": 1.5}]
+    p = write(tmp / "tools.jsonl", json.dumps({"messages": msgs}) + "\n" + json.dumps({"prompt": "p", "groundtruth": "g"}) + "\n"
+              + json.dumps({"text": "plain"}) + "\n")
+    rows = {r.ord: r for r in jobs.load_sft_dataset(spark, p, tpl).collect()}
+    assert json.loads(rows[0].prompt_text.removesuffix("<gen>")) == msgs[:-1]
+    assert rows[0].text == rows[0].prompt_text + "seven"  # the template's texts don't begin alike
+    assert json.loads(rows[1].prompt_text.removesuffix("<gen>")) == [{"role": "user", "content": "p"}]
+    assert (rows[2].text, rows[2].prompt_text) == ("plain", "")
+    full = {r.ord: r.text for r in jobs.load_sft_dataset(spark, p, tpl, response_only_loss=False).collect()}
+    assert json.loads(full[0]) == msgs and full[2] == "plain"
+    assert json.loads(full[1]) == [{"role": "user", "content": "p"}, {"role": "assistant", "content": "g"}]
+    with pytest.raises(ValueError, match="MESSAGE_FIELDS"):
+        jobs.load_sft_dataset(spark, p)
+    q = spark.createDataFrame([(0, json.dumps({"messages": msgs[:3]}))], "ord long, js string").select("ord", F.parse_json("js").alias("rec"))
+    text = I.prompt_messages(q).select(I.render_prompt(F.col("messages"), tpl).alias("t")).first().t
+    assert json.loads(text.removesuffix("<gen>")) == msgs[:3] and text.endswith("<gen>")
