@@ -28,7 +28,7 @@ from ..functions import variant as V
 from ..functions.text import is_nonblank, ustrip
 from ..session import checkpoint_root, ship_package
 from .ordinals import BROADCAST_ROWS, maybe_broadcast
-from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, stored
+from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, stored, sums_in_file
 
 ATTEMPTS = 3     # scans before a layout that keeps changing is an error
 LOOK_INTO = 100  # files without an array that are parsed whole to say what they are
@@ -155,9 +155,9 @@ def _states(spark: SparkSession, path: str, files: DataFrame, n_files: int) -> t
     found = rows.mapInArrow(_transfer, "fid long, block long, n long, size long, parity long, outside long, inside long, utf8 boolean")
     found = stored(found.join(maybe_broadcast(files.select("fid", "file"), n_files), "fid"), "array-splits")
     n = found.count()
-    odd = prefix_sums(found, ["file", "block"], ["parity"], n).withColumn("odd", F.col("parity_before") % 2)
+    odd = sums_in_file(found, ["parity"]).withColumn("odd", F.col("parity_before") % 2)
     moved = odd.withColumn("change", F.when(F.col("odd") == 0, F.col("outside")).otherwise(F.col("inside")))
-    return prefix_sums(moved.select("fid", "file", "block", "n", "size", "odd", "change", "utf8"), ["file", "block"], ["change"], n), n
+    return sums_in_file(moved.select("fid", "file", "block", "n", "size", "odd", "change", "utf8"), ["change"]), n
 
 
 def _chosen(rec: Column, select) -> Column:
@@ -193,7 +193,7 @@ def _scanned(spark: SparkSession, path: str, files: DataFrame, n_files: int, sel
             F.max("n").alias("seen"), F.max("k").alias("ends"), F.min("_smid").alias("_smid0"), F.count("_smid").alias("inner"),
             (F.max("_smid") - F.min("_smid") + 1 != F.count("_smid")).alias("gap"))
         both = states.drop("odd", "change", "change_before").join(seen, ["fid", "block"], "full_outer")
-        splits = stored(prefix_sums(both, ["file", "block"], ["ends"], n), "array-splits")
+        splits = stored(sums_in_file(both, ["ends"]), "array-splits")
         if splits.where(~F.col("n").eqNullSafe(F.col("seen")) | F.coalesce("gap", F.lit(False))).isEmpty():
             return rows, splits.drop("seen", "gap"), n
     raise LayoutError(f"the splits of {path} changed in each of {ATTEMPTS} scans")

@@ -51,6 +51,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def sums_in_file(splits: DataFrame, sums: list[str]) -> DataFrame:
+    """A table of splits with ``<c>_before``, the sum over the file's earlier splits."""
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
+
+
 def prefix_sums(small: DataFrame, order: list[str], sums: list[str], n: int) -> DataFrame:
     """A written table of ``n`` splits or files with ``<c>_before``: one window while a
     broadcast could hold it, beyond that spread over ranges."""
