@@ -12,6 +12,7 @@ model work.
 from __future__ import annotations
 
 import hashlib
+import json
 from typing import Callable
 
 import numpy as np
@@ -210,13 +211,21 @@ def gather(outputs: DataFrame, num_repeats: int, always_list: bool = False,
 
 def widen(records: DataFrame, gathered: DataFrame, output_field: str = "output", rec_col: str = "rec") -> DataFrame:
     """Original record plus ``output_field`` (an existing key of that exact name is
-    replaced); positional re-join on ``ord``."""
-    j = records.select("ord", rec_col).join(gathered, "ord")
+    replaced); positional re-join on ``ord``. Records with a ``raw`` text (integers that
+    no VARIANT holds) get their widened text there too, for the sink: the text as it
+    stands with the field put last, so that it wins over an earlier one."""
+    has_raw = "raw" in records.columns
+    j = records.select("ord", rec_col, *["raw"] * has_raw).join(gathered, "ord")
     as_map = F.col(rec_col).try_cast("map<string,variant>")
     kept = F.map_filter(as_map, lambda k, v: k != F.lit(output_field))
     out_v = F.to_variant_object(F.struct(F.col(output_field).alias("v")))
     added = F.create_map(F.lit(output_field), F.try_variant_get(out_v, "$.v", "variant"))
-    return j.select("ord", F.to_variant_object(F.map_concat(kept, added)).alias(rec_col))
+    wide = F.to_variant_object(F.map_concat(kept, added)).alias(rec_col)
+    if not has_raw:
+        return j.select("ord", wide)
+    field = F.expr("substring(to_json(named_struct('v', {}), map('ignoreNullFields', 'false')), 5)".format(f"`{output_field}`"))
+    text = F.concat(F.expr("left(raw, length(raw) - 1)"), F.lit("," + json.dumps(output_field, ensure_ascii=False)), field)
+    return j.select("ord", wide, text.alias("raw"))
 
 
 def batch_progress(items: DataFrame, batch_size: int) -> DataFrame:

@@ -101,7 +101,7 @@ def checked_prompts(spark: SparkSession, path: str, dialect: str, prompt_field:
                     messages_field: str = "messages", system_prompt: str | None = DEFAULT_SYSTEM_PROMPT):
     """Read records and build their messages; bad records and rows without a
     usable prompt are found by one aggregate job, before any model or endpoint
-    call. Returns the rows ``(ord, rec, messages)`` and their number."""
+    call. Returns the rows ``(ord, rec, messages, raw)`` and their number."""
     recs, fmt, _ = scan_records(spark, path, dialect)
     pm = I.prompt_messages(recs.withColumnRenamed("_error", "_rec_error"), prompt_field, messages_field,
                            system_prompt)
@@ -113,7 +113,7 @@ def checked_prompts(spark: SparkSession, path: str, dialect: str, prompt_field:
     if stats["_bad"] is not None:
         code = pm.where(F.col("ord") == stats["_bad"]).select("_error").collect()[0]["_error"]
         raise ValueError(f"{path}: record {stats['_bad']}: {code} (needs text in '{prompt_field}' or an array in '{messages_field}')")
-    return pm.select("ord", "rec", "messages"), stats["_c_n"]
+    return pm.select("ord", "rec", "messages", "raw"), stats["_c_n"]
 
 
 def batch_inference(spark: SparkSession, input_path: str, output_path: str, model_factory: Callable[[], object],
@@ -148,10 +148,10 @@ def batch_inference(spark: SparkSession, input_path: str, output_path: str, mode
 
     def prompts() -> DataFrame:
         pm, _ = checked_prompts(spark, input_path, "infer", prompt_field, messages_field, system_prompt)
-        return pm.select("ord", "rec", I.render_prompt(F.col("messages"), template).alias("text"),
+        return pm.select("ord", "rec", "raw", I.render_prompt(F.col("messages"), template).alias("text"),
                          F.floor(F.col("ord") / rows).cast("bigint").alias("slice"))
 
-    prompt_schema = "ord bigint, rec variant, text string"
+    prompt_schema = "ord bigint, rec variant, raw string, text string"
     work.write_inputs("prompts", prompts)
 
     def generate(k: int, _: int):
@@ -167,8 +167,8 @@ def batch_inference(spark: SparkSession, input_path: str, output_path: str, mode
     outs = work.read("outputs", "ord bigint, rep bigint, output string")
     gathered = I.gather(outs, num_repeats, always_list_output).withColumnRenamed("output", output_field)
     wide = I.widen(work.read("prompts", prompt_schema), gathered, output_field)
-    S.write_records(wide, output_path, output_format, "rec", "ord", overwrite)
-    return wide
+    S.write_records(wide, output_path, output_format, "rec", "ord", overwrite, text="raw")
+    return wide.drop("raw")
 
 
 _REQUEST = "ord bigint, body string, _carry_id string, _carry_prompt string"

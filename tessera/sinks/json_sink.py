@@ -38,25 +38,27 @@ def check_output(spark: SparkSession, path: str, overwrite: bool = False) -> Non
         raise FileExistsError(f"{path} is there already (overwrite=True replaces it)")
 
 
-def _json_col(col: Column | str) -> Column:
+def _json_col(col: Column | str, text: str | None = None) -> Column:
+    """JSON of a value, or the text that already is its JSON where that column has one."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.to_json(c, {"ignoreNullFields": "false"})
+    made = F.to_json(c, {"ignoreNullFields": "false"})
+    return made if text is None else F.coalesce(F.col(text), made)
 
 
 def write_jsonl(df: DataFrame, path: str, record: Column | str = "rec", order_col: str | None = "ord",
-                overwrite: bool = False) -> None:
+                overwrite: bool = False, text: str | None = None) -> None:
     """One JSON object per line, nulls kept, non-ASCII unescaped, in ``order_col`` order."""
     out = df.orderBy(order_col) if order_col else df
-    out.select(_json_col(record).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+    out.select(_json_col(record, text).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
 def write_json_array(df: DataFrame, path: str, record: Column | str = "rec", order_col: str | None = "ord",
-                     overwrite: bool = False) -> None:
+                     overwrite: bool = False, text: str | None = None) -> None:
     """Each part file is one valid JSON array (compact, one element per line)."""
     from ..session import ship_package
     ship_package(df.sparkSession)
     out = df.orderBy(order_col) if order_col else df
-    lines = out.select(_json_col(record).alias("value"))
+    lines = out.select(_json_col(record, text).alias("value"))
 
     def frame(batches):
         started = False
@@ -75,10 +77,11 @@ def write_json_array(df: DataFrame, path: str, record: Column | str = "rec", ord
 
 
 def write_records(df: DataFrame, path: str, fmt: str = "auto", record: Column | str = "rec",
-                  order_col: str | None = "ord", overwrite: bool = False) -> str:
-    """Write records in input order; returns the format used."""
+                  order_col: str | None = "ord", overwrite: bool = False, text: str | None = None) -> str:
+    """Write records in input order (``text``: a column of ready JSON that goes before
+    the record); returns the format used."""
     kind = output_format(path, fmt)
-    (write_jsonl if kind == "jsonl" else write_json_array)(df, path, record, order_col, overwrite)
+    (write_jsonl if kind == "jsonl" else write_json_array)(df, path, record, order_col, overwrite, text)
     return kind
 
 

@@ -28,7 +28,7 @@ from ..functions import variant as V
 from ..functions.text import is_nonblank, ustrip
 from ..session import checkpoint_root, ship_package
 from .ordinals import BROADCAST_ROWS, maybe_broadcast
-from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, stored, sums_in_file
+from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, raw_text, stored, sums_in_file
 
 ATTEMPTS = 3     # scans before a layout that keeps changing is an error
 LOOK_INTO = 100  # files without an array that are parsed whole to say what they are
@@ -180,7 +180,7 @@ def _elements(spark: SparkSession, path: str, states: DataFrame, n: int, select)
     parsed = cut.withColumn("rec", F.when(~F.col("border"), parse_record(F.col("text"))))
     parsed = parsed.withColumn("chosen", ~F.col("border") & _chosen(F.col("rec"), select))
     return stored(parsed.select("fid", "block", "k", "n", "border", F.when(F.col("border"), F.col("text")).alias("text"), "rec",
-                                numbered(F.col("chosen")).alias("_smid")), "array-elements")
+                                raw_text(F.col("text")).alias("raw"), numbered(F.col("chosen")).alias("_smid")), "array-elements")
 
 
 def _scanned(spark: SparkSession, path: str, files: DataFrame, n_files: int, select) -> tuple[DataFrame, DataFrame, int]:
@@ -219,7 +219,7 @@ def _across(rows: DataFrame, splits: DataFrame, totals: DataFrame, n: int, n_fil
     whole = whole.withColumn("empty", F.col("blank_file") | empty).withColumn("rec", F.when(~F.col("empty"), parse_record(F.col("inner"))))
     bad = ~F.col("empty") & (F.col("no_head") | F.col("no_tail") | F.col("rec").isNull())
     return stored(whole.select("fid", "e", "block", "before", "last", "empty", "no_head", bad.alias("bad"), "rec",
-                               _chosen(F.col("rec"), select).alias("chosen")), "array-borders")
+                               raw_text(F.col("inner")).alias("raw"), _chosen(F.col("rec"), select).alias("chosen")), "array-borders")
 
 
 def _file_errors(spark: SparkSession, rows: DataFrame, across: DataFrame, totals: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _file_errors(spark: SparkSession, rows: DataFrame, across: DataFrame, totals
 
 
 def array_records(spark: SparkSession, path: str, select=None):
-    """``(ord, line, rec, _error)`` of all elements and, with ``select``, the chosen ones
+    """``(ord, line, rec, _error, raw)`` of all elements and, with ``select``, the chosen ones
     with ``idx``; a bad file is one row with ``ord`` -1 and gives no elements."""
     checkpoint_root(spark)
     ship_package(spark)
@@ -273,14 +273,14 @@ def array_records(spark: SparkSession, path: str, select=None):
     blocks = maybe_broadcast(blocks, n)
     before = F.col("chosen_before")
     own = rows.where("not border").join(blocks, ["fid", "block"]).select(
-        (F.col("records_before") + F.col("ends_before") + F.col("k")).alias("ord"), "rec",
+        (F.col("records_before") + F.col("ends_before") + F.col("k")).alias("ord"), "rec", "raw",
         (before + F.col("head") + F.col("_smid") - F.col("_smid0")).alias("idx"))
     border = across.where("not empty").join(blocks, ["fid", "block"]).select(
-        (F.col("records_before") + F.col("e")).alias("ord"), "rec",
+        (F.col("records_before") + F.col("e")).alias("ord"), "rec", "raw",
         F.when(F.col("chosen"), F.when(F.col("before"), before).otherwise(before + F.col("head") + F.col("inner"))).alias("idx"))
     both = own.unionByName(border).withColumn("line", F.lit(None).cast("bigint"))
-    records = both.select("ord", "line", "rec", F.when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)).alias("_error"))
+    records = both.select("ord", "line", "rec", F.when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)).alias("_error"), "raw")
     records = records.unionByName(base.where("error is not null").select(
         F.lit(-1).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("line"),
-        F.lit(None).cast("variant").alias("rec"), F.col("error").alias("_error")))
+        F.lit(None).cast("variant").alias("rec"), F.col("error").alias("_error"), F.lit(None).cast("string").alias("raw")))
     return records, None if select is None else both.where("idx is not null").select("ord", "idx", "line", "rec")

@@ -30,7 +30,7 @@ from ..functions.text import WHITESPACE, is_nonblank
 from ..session import checkpoint_root
 from .arrays import array_records
 from .ordinals import maybe_broadcast
-from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, stored
+from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, raw_text, stored
 
 _SAYS = {
     BAD_JSON: "does not parse as one JSON value",
@@ -130,7 +130,8 @@ def _line_rows(spark: SparkSession, path: str, select) -> DataFrame:
         .withColumn("_error", F.when(keep, err))
     chosen = keep & F.col("_error").isNull() & F.coalesce(select(F.col("rec")), F.lit(False)) if select is not None else F.lit(False)
     rows = rows.withColumn("_sel", chosen).select(
-        "_file", "_block", "_mid", numbered(keep).alias("_kmid"), numbered(F.col("_sel")).alias("_smid"), "rec", "_error")
+        "_file", "_block", "_mid", numbered(keep).alias("_kmid"), numbered(F.col("_sel")).alias("_smid"), "rec", "_error",
+        raw_text(F.col("value")).alias("raw"))
     return stored(rows, "records")
 
 
@@ -164,7 +165,7 @@ def _jsonl(spark: SparkSession, path: str, dialect: str, select=None):
         line = line - F.lit(told["first"]) + 1
     out = j.withColumns({"ord": F.col("kept_before") + F.col("_kmid") - F.col("_kmid0"), "line": line,
                          "idx": F.col("chosen_before") + F.col("_smid") - F.col("_smid0")})
-    records = out.select("ord", "line", "rec", "_error")
+    records = out.select("ord", "line", "rec", "_error", "raw")
     return records, None if select is None else out.where("idx is not null").select("ord", "idx", "line", "rec")
 
 
@@ -203,7 +204,8 @@ def raise_from_stats(stats, df: DataFrame, path: str, dialect: str, fmt: str, er
 
 
 def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: str = "auto", select=None):
-    """``(records with _error, resolved format, selected)`` lazily; no validation action.
+    """``(records with _error and raw, resolved format, selected)`` lazily; no validation
+    action. ``raw`` is the text of records whose integers a VARIANT may not hold.
 
     With ``select`` (a function ``rec -> boolean Column``), ``selected`` holds the
     valid object records it accepts with ``idx``, their dense position among
@@ -237,6 +239,7 @@ def read_records(spark: SparkSession, path: str, dialect: str = "train", on_erro
     if on_error not in ("fail", "report"):
         raise ValueError("on_error must be 'fail' or 'report'")
     df, fmt, _ = scan_records(spark, path, dialect, fmt)
+    df = df.drop("raw")
     if on_error == "report":
         return df
     raise_from_stats(df.agg(*check_columns()).collect()[0], df, path, dialect, fmt)

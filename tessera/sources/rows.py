@@ -32,6 +32,12 @@ def parse_record(value: Column) -> Column:
     return F.when(F.coalesce(strict, F.lit(False)), F.get(both, F.lit(0)))
 
 
+def raw_text(value: Column) -> Column:
+    """The text of a record that may hold an integer too long for a VARIANT (which has 38
+    digits and makes a double of more); NULL for all others."""
+    return F.when(value.rlike("[0-9]{39}"), ustrip(value))
+
+
 class LayoutError(RuntimeError):
     """The input or its splits changed while it was being read."""
 

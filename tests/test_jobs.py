@@ -133,3 +133,22 @@ def test_api_resume_from_results_file(spark, tmp):
     assert [(r.ok, r.response, r.error) for r in resumed] == want
     with open(log) as fh:
         assert len(fh.readlines()) == 8
+
+
+@pytest.mark.parametrize("fmt", ["jsonl", "json"])
+def test_long_integers_come_through_unchanged(spark, tmp, fmt):
+    """Integers beyond 38 digits, nested and negative, through J2 in either format."""
+    import json
+    import os
+
+    from tessera.plans import stubs
+    big = 12345678901234567890123456789012345678901234567890
+    recs = [{"id": big, "prompt": "a"}, {"prompt": "b", "m": {"x": [-big, 1, 10**37]}, "output": "old"}, {"id": 3, "prompt": "c"},
+            {"prompt": "digits " + "7" * 60 + " } in a text"}, {"prompt": "q", "é\"k": big, "z": None}]
+    p = write(tmp / f"in.{fmt}", json.dumps(recs) if fmt == "json" else "\n".join(json.dumps(r, ensure_ascii=False) + " " for r in recs))
+    out = str(tmp / f"out.{fmt}")
+    jobs.batch_inference(spark, p, out, stubs.echo_model_factory, num_repeats=2, output_field="output", seed=1)
+    text = [open(os.path.join(out, f), encoding="utf-8").read() for f in sorted(os.listdir(out)) if f.startswith("part-")]
+    got = [r for t in text for r in (json.loads(t) if fmt == "json" else map(json.loads, t.splitlines()))]
+    assert [{k: v for k, v in r.items() if k != "output"} for r in got] == [{k: v for k, v in r.items() if k != "output"} for r in recs]
+    assert all(len(r["output"]) == 2 and r["output"][0].startswith("gen:") for r in got)
