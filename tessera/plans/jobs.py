@@ -79,9 +79,9 @@ def save_sft_dataset(dataset: DataFrame, path: str, overwrite: bool = False) ->
     S.write_dataset(dataset, path, overwrite)
 
 
-def load_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Backward-compatible loader with every default."""
-    return load_sft_dataset(spark, path)
+def load_sft_jsonl(spark: SparkSession, path: str, template: Template | str | None = None) -> DataFrame:
+    """Backward-compatible loader: a file, a template and every other option's default."""
+    return load_sft_dataset(spark, path, template)
 
 
 def training_tensors(dataset: DataFrame, tokenizer: K.Tokenizer | str | None = None, max_length: int = 1024,

@@ -4,8 +4,7 @@
 checkpointed to the shared folder so that counting and numbering see the same
 partitions, then per-partition offsets (one row per partition) joined back.
 
-``line_positions`` numbers the lines of text files in file order from the
-scan's own ``(file_path, file_block_start)`` splits; see ``records``.
+Lines of files are numbered by ``records``, elements of arrays by ``arrays``.
 """
 
 from __future__ import annotations

@@ -152,3 +152,10 @@ def test_long_integers_come_through_unchanged(spark, tmp, fmt):
     got = [r for t in text for r in (json.loads(t) if fmt == "json" else map(json.loads, t.splitlines()))]
     assert [{k: v for k, v in r.items() if k != "output"} for r in got] == [{k: v for k, v in r.items() if k != "output"} for r in recs]
     assert all(len(r["output"]) == 2 and r["output"][0].startswith("gen:") for r in got)
+
+
+def test_compatible_loader(spark, tmp):
+    p = write(tmp / "old.jsonl", '{"prompt":"ab","groundtruth":"cd"}\n{"text":"xyz"}\n')
+    rows = {r.ord: (r.idx, r.text, r.prompt_text) for r in jobs.load_sft_jsonl(spark, p).collect()}
+    assert rows == {0: (0, "user: ab\nassistant: cd", "user: ab\nassistant:"), 1: (1, "xyz", "")}
+    assert jobs.load_sft_jsonl(spark, p, "chatml").where("ord = 0").first().text.startswith("<|im_start|>user\nab")

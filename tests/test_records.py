@@ -213,3 +213,85 @@ def test_u2028_survives_sink_round_trip(spark, tmp):
     back = read_records(spark, out, "train").collect()
     assert len(back) == 1
     assert _json.loads(str(back[0].rec))["t"] == text
+
+
+def twelve_files(tmp):
+    folder = tmp / "twelve"
+    folder.mkdir()
+    n, want, line = 0, [], 0
+    for k in range(12):
+        body = ""
+        for i in range(50):
+            if (i + k) % 7 == 0:
+                body, line = body + "\n", line + 1
+            body, line = body + '{"i":%d}\n' % n, line + 1
+            want.append((n, line, n))
+            n += 1
+        write(folder / f"{k:02d}.jsonl", body + "\n" * (k % 3))
+        line += k % 3
+    return str(folder), want
+
+
+def _numbers(df):
+    return sorted((r.ord, r.line, r.i) for r in df.select("ord", "line", F.variant_get("rec", "$.i", "int").alias("i")).collect())
+
+
+def test_lines_come_from_one_scan(spark, tmp, monkeypatch):
+    """Many files, packed otherwise at every later step: the input is scanned once, and
+    positions and lines are those of the files."""
+    from tessera.sources import records
+    path, want = twelve_files(tmp)
+    keys = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    scans, real = [], records._line_table
+
+    def counted(*a):
+        scans.append(a)
+        return real(*a)
+    monkeypatch.setattr(records, "_line_table", counted)
+    step, real_sums = [0], records.prefix_sums
+
+    def repacked(*a):
+        spark.conf.set(keys[0], "2")
+        spark.conf.set(keys[1], str(1 << 22))
+        step[0] += 1
+        return real_sums(*a)
+    monkeypatch.setattr(records, "prefix_sums", repacked)
+    spark.conf.set(keys[0], "12")
+    spark.conf.set(keys[1], "0")
+    try:
+        df, _ = records._jsonl(spark, path, "api")
+        spark.conf.set(keys[0], "1")
+        assert _numbers(df) == want
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert len(scans) == 1 and step == [1]
+    assert path not in df._jdf.queryExecution().toString()  # later steps read the written rows alone
+
+
+def test_numbers_beyond_the_broadcast_bound(spark, tmp, monkeypatch):
+    """With more splits than a broadcast may hold, sums are spread and joined by shuffle."""
+    from tessera.plans import jobs
+    from tessera.sources import ordinals
+    path, want = twelve_files(tmp)
+    monkeypatch.setattr(ordinals, "BROADCAST_ROWS", 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert _numbers(read_records(spark, path, "api")) == want
+        p = write(tmp / "sel.jsonl", "\n".join('{"text":"t%d","split":"%s"}' % (i, "ab"[i % 3 == 0]) for i in range(90)))
+        rows = jobs.load_sft_dataset(spark, p, split_field="split", split="b").collect()
+        assert sorted((r.ord, r.idx, r.text) for r in rows) == [(i, i // 3, f"t{i}") for i in range(0, 90, 3)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_index_after_a_filter_needs_no_sort(spark, tmp):
+    """J1's index comes from ids and sums over splits: no sort, no range partitions and no
+    join on positions in its plan."""
+    from test_plans import plan
+    from tessera.plans import jobs
+    p = write(tmp / "plan.jsonl", "\n".join('{"text":"t%d","split":"%s"}' % (i, "ab"[i % 2]) for i in range(50)))
+    told = plan(jobs.load_sft_dataset(spark, p, split_field="split", split="b"))
+    assert "rangepartitioning" not in told and "SortMergeJoin" not in told and "BroadcastHashJoin" in told
