@@ -390,19 +390,22 @@ it AS (SELECT o.*, r.rep::BIGINT AS rep, (ord * {n} + r.rep)::BIGINT AS work_idx
 
 
 @register("prompts_to_messages", """
-SELECT 'bench:' || item_id AS rid, 2::BIGINT AS n_messages, 'system,user' AS roles, NULL AS error FROM benchmark
+SELECT 'bench:' || item_id AS rid, 2::BIGINT AS n_messages, 'system,user' AS roles,
+       'You are a helpful assistant.' || chr(30) || text AS contents, NULL AS error FROM benchmark
 UNION ALL
-SELECT 'conv:' || conv_id, count(*)::BIGINT, string_agg(role, ',' ORDER BY turn), NULL FROM conversations GROUP BY conv_id
+SELECT 'conv:' || conv_id, count(*)::BIGINT, string_agg(role, ',' ORDER BY turn), string_agg(text, chr(30) ORDER BY turn), NULL
+FROM conversations GROUP BY conv_id
 UNION ALL
-SELECT 'label:' || doc_id, NULL, NULL, 'EMPTY_PROMPT' FROM labels
+SELECT 'label:' || doc_id, NULL, NULL, NULL, 'EMPTY_PROMPT' FROM labels
 """)
 def q_prompts_to_messages(spark, sf_dir):
     """Prompt rows gain a system message; message rows pass unchanged; rows with
     neither are errors."""
     pm = _prompts(spark, sf_dir, with_invalid=True)
     roles = F.transform("messages", lambda e: F.try_variant_get(e, "$.role", "string"))
-    return pm.select("rid", F.size("messages").cast("bigint").alias("n_messages"),
-                     F.array_join(roles, ",").alias("roles"), F.col("_error").alias("error"))
+    contents = F.transform("messages", lambda e: F.try_variant_get(e, "$.content", "string"))
+    return pm.select("rid", F.size("messages").cast("bigint").alias("n_messages"), F.array_join(roles, ",").alias("roles"),
+                     F.array_join(contents, "\x1e").alias("contents"), F.col("_error").alias("error"))
 
 
 @register("render_inference", _PROMPTS_CTE + "SELECT rid, text FROM o")
@@ -472,15 +475,17 @@ def q_batch_generate(spark, sf_dir):
 
 
 @register("new_token_ids", _gen_sql(2) + """
-SELECT rid, rep, length(output) + 3 AS n_text FROM (
+SELECT rid, rep, length(output) + 3 AS n_text,
+       array_to_string(list_transform(string_split('  ' || output || chr(10), ''), lambda c: unicode(c)), ',') AS ids FROM (
   SELECT rid, rep, 'gen:' || length(text) || ':' || (('0x' || substr(md5('42000000001:' || work_idx), 1, 8))::BIGINT & 2147483647) || ':' || right(text, 8) AS output
   FROM it)
 """)
 def q_new_token_ids(spark, sf_dir):
-    """Ids after the padded prompt; ``n_text`` counts the non-special ones."""
+    """Ids after the padded prompt: the non-special ones and their number."""
     gen = _generated(spark, sf_dir, 2)
     new = K.new_tokens(F.col("output_ids"), F.col("n_input"))
-    return gen.select("rid", "rep", F.size(F.filter(new, lambda x: x != 0)).alias("n_text"))
+    text = F.filter(new, lambda x: x != 0)
+    return gen.select("rid", "rep", F.size(text).alias("n_text"), K.ids_text(text).alias("ids"))
 
 
 @register("gather_repeats", _gen_sql(2) + """

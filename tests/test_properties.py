@@ -27,7 +27,7 @@ MESSAGES = st.one_of(st.lists(MESSAGE, max_size=4), SCALAR)
 RECORD = st.dictionaries(st.sampled_from(["text", "messages", "prompt", "groundtruth", "other"]),
                          st.one_of(SCALAR, MESSAGES), max_size=4).map(
     lambda d: {k: v for k, v in d.items()})
-SETTINGS = settings(max_examples=int(os.environ.get("PROPERTY_EXAMPLES", "4")), deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=int(os.environ.get("PROPERTY_EXAMPLES", "10")), deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def _is_text(v):
@@ -86,7 +86,7 @@ def _df(spark, recs):
 
 
 @SETTINGS
-@given(st.lists(RECORD, min_size=1, max_size=60))
+@given(st.lists(RECORD, min_size=20, max_size=60))
 def test_full_text_matches_python(spark, recs):
     got = {r.ord: (r.text, r._error) for r in sft.full_text_df(_df(spark, recs)).collect()}
     for i, rec in enumerate(recs):
@@ -94,7 +94,7 @@ def test_full_text_matches_python(spark, recs):
 
 
 @SETTINGS
-@given(st.lists(RECORD, min_size=1, max_size=60))
+@given(st.lists(RECORD, min_size=20, max_size=60))
 def test_response_only_matches_python(spark, recs):
     got = {r.ord: (r.text, r.prompt_text, r._error) for r in sft.response_only_df(_df(spark, recs)).collect()}
     for i, rec in enumerate(recs):
