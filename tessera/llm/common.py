@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@contextmanager
+def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
+    """Arrow batches of at most so many rows and bytes for the actions inside; the
+    session's own limits hold again afterwards."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, (rows, size)):
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared work folder: later steps read data, so a
     lost executor repeats tasks of one step and never changes ids given here."""

@@ -39,9 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, merged, pick, small_batches, written
+from ..session import ship_package
+from .common import arrow_limits, crc32_text, merged, pick, written
 
 BLOCK_TOKENS = 400_000
+BLOCKS_PER_BATCH = 16       # rows of the block tables that a task holds together
 BUCKET_GRAMS = 1_000_000   # tokens of the corpus per bucket
 MU = 4.0
 BASE_ADD = 0.1
@@ -59,7 +61,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def blocks_of(docs: DataFrame) -> DataFrame:
     """``block, doc_ids, train, n_tokens, vocab, tokens``: documents as numbers of
     a block's own vocabulary (number 0 is the end token)."""
-    small_batches(docs.sparkSession, 500)
     rows = pick(docs, "doc_id", "text").select(
         "doc_id", (crc32_text(F.col("doc_id")) % 10 != 0).alias("train"),
         F.coalesce("text", F.lit("")).cast("binary").alias("t"))
@@ -95,7 +96,8 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             yield emit()
 
     schema = f"doc_ids array<{id_type}>, train array<boolean>, n_tokens array<long>, vocab binary, tokens binary"
-    return written(rows.mapInArrow(gather, schema).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
+    with arrow_limits(docs.sparkSession, 500):
+        return written(rows.mapInArrow(gather, schema).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
 
 
 class BlockGrams:
@@ -213,6 +215,7 @@ class Automaton:
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    ship_package(docs.sparkSession)
     blocks = blocks_of(docs)
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     total = blocks.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
@@ -229,12 +232,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                     names=["block", "bucket", "words", "word_n", "pairs", "pair_n"])
 
     wanted = blocks.select("block", "vocab", "tokens", "n_tokens", "train")
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a block
     asked = wanted.mapInArrow(
         ask, "block long, bucket int, words binary, word_n binary, pairs binary, pair_n binary")
-    answers = written(asked.groupBy("bucket").applyInArrow(
-        _answer, "block long, bucket int, words binary, pairs binary, v long, n long, n1 long, n2 long"), "lm-answers")
+    with arrow_limits(docs.sparkSession, BLOCKS_PER_BATCH):
+        answers = written(asked.groupBy("bucket").applyInArrow(
+            _answer, "block long, bucket int, words binary, pairs binary, v long, n long, n1 long, n2 long"), "lm-answers")
     v, n, n1, n2 = (x or 0 for x in answers.agg(F.sum("v"), F.sum("n"), F.sum("n1"), F.sum("n2")).first())
 
     def score(batches):
@@ -258,5 +260,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     # A block's answers are as many bytes as its distinct n-grams: bounded by the block.
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "words", "pairs")).alias("got"))
     joined = blocks.join(merged(per_block), "block").select("vocab", "tokens", "n_tokens", "train", "doc_ids", "got")
-    return joined.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, "
-                                    "train_tokens long, base_score double, score double")
+    with arrow_limits(docs.sparkSession, BLOCKS_PER_BATCH):
+        return written(joined.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, "
+                                                "train_tokens long, base_score double, score double"), "lm-scores")
