@@ -6,11 +6,15 @@ of digests, xor of check values); a digest sits in one cell of each of three
 parts. Two sketches of a size subtract cell by cell, which removes all common
 passages, and peeling recovers the digests of the others: a cell with count +1
 or -1 and a fitting check holds one digest, which is taken out of its other
-cells. If cells stay that cannot be peeled, both sides are sketched again four
-times as large. Likeness is common / all distinct passages, from the numbers
-recovered.
+cells. Likeness is common / all distinct passages, from the numbers recovered.
 
-``fingerprint`` is the smallest sketch in base64 behind the number of passages.
+``fingerprint`` is the number of passages and, in base64, a sketch sized by it: half
+as many cells again, on a ladder of doubling sizes, and twice as many until all its
+digests can be peeled from it alone. So a stored fingerprint can be made again in any
+larger size, and the likeness of two comes from them alone (``alike``): equal sizes
+subtract as they are, else the smaller is made again in the size of the larger; a
+difference that can't be peeled is tried again twice as large, and a fingerprint that
+can't be inverted is reported.
 
 The edited text of the query needs each document's successor by ``doc_id``. Ids
 are cut into ranges at approximate percentiles; the first document of each range
@@ -36,11 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches
+from ..session import ship_package
+from .common import pick, slices
 
 STRIDE = 64
 CELLS = 18       # of the smallest sketch; divisible by three
-GROWTH = 4
 RANGES_PER_PARTITION = 4
 
 _CUT = re.compile(rb"(?<=[.!?]) |\n")
@@ -133,19 +137,94 @@ def peel(diff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     return more, less, clean, recovered
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """Likeness of the sketches of a[i] and b[i], each retried larger on failure."""
-    out = np.ones(len(a))
-    todo = np.arange(len(a))
+def ladder(n: int) -> int:
+    """Cells for a sketch that ``n`` digests can be peeled from: half as many again, on a
+    ladder of doubling sizes, so that texts of like length have sketches of one size."""
+    cells = CELLS
+    while 2 * cells < 3 * n:
+        cells *= 2
+    return cells
+
+
+def _by_size(sizes: list[int]):
+    """The numbers of the sketches of each size."""
+    order = np.argsort(sizes, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(np.asarray(sizes)[order])) + 1):
+        if len(group):
+            yield int(sizes[group[0]]), group
+
+
+def invertible(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A sketch of each set, from which all its digests can be peeled: where they can't
+    be, the sketch is made again twice as large."""
+    out: list = [None] * len(sets)
+    sizes = [ladder(len(s)) for s in sets]
+    todo = list(range(len(sets)))
+    while todo:
+        again = []
+        for cells, group in _by_size([sizes[i] for i in todo]):
+            which = [todo[g] for g in group]
+            made = sketches([sets[i] for i in which], cells)
+            more, less, clean, _ = peel(made)
+            for i, sketch, good in zip(which, made, clean & (less == 0) & (more == [len(sets[i]) for i in which])):
+                if good:
+                    out[i] = sketch
+                else:
+                    sizes[i] *= 2
+                    again.append(i)
+        todo = again
+    return out
+
+
+def inverted(made: list[np.ndarray]) -> list:
+    """The digests that each sketch holds, or None where they can't be peeled."""
+    out: list = [None] * len(made)
+    for cells, group in _by_size([len(m) for m in made]):
+        _, less, clean, found = peel(np.stack([made[i] for i in group]))
+        rows = np.concatenate([r for r, _, _ in found]) if found else np.zeros(0, np.int64)
+        keys = np.concatenate([k for _, k, _ in found]) if found else np.zeros(0, np.uint64)
+        order = np.argsort(rows, kind="stable")
+        parts = np.split(keys[order], np.searchsorted(rows[order], np.arange(1, len(group))))
+        for j, i in enumerate(group):
+            if clean[j] and not less[j]:
+                out[i] = parts[j]
+    return out
+
+
+def likeness(a: list[np.ndarray], b: list[np.ndarray], a_sets: list | None = None, b_sets: list | None = None) -> np.ndarray:
+    """Likeness of the sketches a[i] and b[i]: they are subtracted and the difference is
+    peeled. A smaller sketch is first inverted and made again in the size of the other;
+    where a difference can't be peeled both are, twice as large. NaN where a sketch can't
+    be inverted. The digests, where they are known from inverting already, may be given."""
+    a_sets = inverted(a) if a_sets is None else a_sets
+    b_sets = inverted(b) if b_sets is None else b_sets
+    out = np.full(len(a), np.nan)
+    todo = np.array([i for i in range(len(a)) if a_sets[i] is not None and b_sets[i] is not None], np.int64)
+    sizes = {int(i): max(len(a[i]), len(b[i])) for i in todo}
+
+    def of_size(made, sets, which, cells):
+        rows = np.zeros((len(which), cells), _CELL)
+        other = []
+        for j, i in enumerate(which):
+            if len(made[i]) == cells:
+                rows[j] = made[i]
+            else:
+                other.append(j)
+        if other:
+            rows[other] = sketches([sets[which[j]] for j in other], cells)
+        return rows
+
     while len(todo):
-        x, y = [a[i] for i in todo], [b[i] for i in todo]
-        more, less, clean, _ = peel(subtract(sketches(x, cells), sketches(y, cells)))
-        n = np.array([len(s) for s in x])
-        common = n - more
-        every = n + less
-        out[todo[clean]] = (common / np.maximum(every, 1))[clean]
-        out[todo[clean & (every == 0)]] = 1.0
-        todo, cells = todo[~clean], cells * GROWTH
+        again = []
+        for cells, group in _by_size([sizes[int(i)] for i in todo]):
+            which = todo[group]
+            more, less, clean, _ = peel(subtract(of_size(a, a_sets, which, cells), of_size(b, b_sets, which, cells)))
+            every = np.array([len(a_sets[i]) for i in which]) + less
+            out[which[clean]] = np.where(every == 0, 1.0, (every - less - more) / np.maximum(every, 1))[clean]
+            for i in which[~clean]:
+                sizes[int(i)] = cells * 2
+                again.append(i)
+        todo = np.array(again, np.int64)
     return out
 
 
@@ -153,6 +232,20 @@ def fingerprint(sketch: np.ndarray, n: int) -> str:
     return f"{n}:" + base64.b64encode(sketch.tobytes()).decode("ascii")
 
 
+def alike(first: str, second: str) -> float | None:
+    """Likeness of two stored fingerprints, from nothing but them; None if one is broken."""
+    both = []
+    for text in (first, second):
+        n, _, data = text.partition(":")
+        sketch = np.frombuffer(base64.b64decode(data), _CELL)
+        found = inverted([sketch])[0] if len(sketch) and len(sketch) % 3 == 0 else None
+        if found is None or str(len(found)) != n:
+            return None
+        both.append((sketch, found))
+    (a, x), (b, y) = both
+    return float(likeness([a], [b], [x], [y])[0])
+
+
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -168,13 +261,18 @@ def _compared(ids, texts: list[str], successors: list[str], first_set, id_type)
     for i in range(1, len(texts)):
         sets.append(next_sets[i - 1] if successors[i - 1] == texts[i] else passages(texts[i].encode("utf-8")))
     edited_sets = [passages(e) for e in edited]
-    own, changed = sketches(sets, CELLS), sketches(edited_sets, CELLS)
+    # Sketches from which the sets were peeled: the sets are what inverting them gives.
+    own, changed = invertible(sets), invertible(edited_sets)
+    following = [own[i + 1] if i + 1 < len(own) and next_sets[i] is sets[i + 1] else None for i in range(len(own))]
+    odd = [i for i, f in enumerate(following) if f is None]
+    for i, made in zip(odd, invertible([next_sets[i] for i in odd])):
+        following[i] = made
     batch = pa.RecordBatch.from_arrays(
         [pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()),
          pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
          pa.array([fingerprint(x, len(s)) for x, s in zip(own, sets)]),
          pa.array([fingerprint(x, len(s)) for x, s in zip(changed, edited_sets)]),
-         pa.array(likeness(sets, edited_sets)), pa.array(likeness(sets, next_sets))],
+         pa.array(likeness(own, changed, sets, edited_sets)), pa.array(likeness(own, following, sets, next_sets))],
         names=["doc_id", *[x.split()[0] for x in RESULT.split(", ")]])
     return batch, next_sets[-1]
 
@@ -212,14 +310,14 @@ def ranges(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the columns of ``RESULT`` for every document and its edited text."""
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
     rows = ranges(docs)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def compare(batches):
         last = None      # a document waiting for its successor
         known = None     # and its passages
-        for b in batches:
+        for b in slices(batches, 1):
             arrow = b.column(0).type
             ids, texts, extra = (b.column(i).to_pylist() for i in range(3))
             if last is not None:
