@@ -331,3 +331,49 @@ def test_large_keys_are_split_to_small_zones(spark):
     got = {(r.word, r.near) for r in spelling.links(words, 10).collect()}
     names = [r.word for r in words.collect()]
     assert got == {(x, y) for x in names for y in names if near(x, y)}
+
+
+# --- stored fingerprints
+
+def test_likeness_of_stored_fingerprints(docs):
+    """The likeness in a row is that of the two fingerprints in it, and of the next row's."""
+    from tessera.llm import sketch
+    rows = sorted(sketch.fingerprints(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    by_id = Counter(r.doc_id for r in rows)
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        assert sketch.alike(r.fingerprint, r.edited_fingerprint) == r.near_edited
+        if by_id[r.doc_id] == by_id[after.doc_id] == 1:
+            assert sketch.alike(r.fingerprint, after.fingerprint) == r.near_next
+    assert sketch.alike(rows[0].fingerprint, rows[0].fingerprint) == 1.0
+    broken = "3:" + rows[0].fingerprint.partition(":")[2]
+    assert sketch.alike(broken, rows[0].fingerprint) is None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 400), st.integers(0, 400), st.integers(0, 400), st.integers(0, 2**32))
+def test_fingerprints_of_any_sizes(common_, only_a, only_b, seed):
+    from tessera.llm import sketch
+    keys = np.unique(np.random.default_rng(seed).integers(1, 2**63, common_ + only_a + only_b, dtype=np.uint64))
+    np.random.default_rng(seed + 1).shuffle(keys)
+    x, y = keys[:common_ + only_a], np.concatenate([keys[:common_], keys[common_ + only_a:]])
+    a, b = sketch.invertible([x, y])
+    assert [sorted(s.tolist()) for s in sketch.inverted([a, b])] == [sorted(x.tolist()), sorted(y.tolist())]
+    want = 1.0 if not len(keys) else common_ / len(keys)
+    assert abs(sketch.alike(sketch.fingerprint(a, len(x)), sketch.fingerprint(b, len(y))) - want) < 1e-12
+
+
+# --- the session
+
+@pytest.mark.parametrize("name", ["lm", "fingerprints", "online", "codes", "spelling"])
+def test_settings_of_the_session_stay(spark, docs, name):
+    from tessera.llm import lm, sketch
+    run = {"lm": lambda: lm.lm_scores(docs), "fingerprints": lambda: sketch.fingerprints(docs), "online": lambda: online.pack_online(docs),
+           "codes": lambda: codes.vector_codes(spark.createDataFrame([(1, [0.5] * 4, 1)], "vec_id long, embedding array<double>, label int")),
+           "spelling": lambda: spelling.spelling_variants(docs)}[name]
+    before = dict(spark.conf.getAll)
+    run().count()
+    now = dict(spark.conf.getAll)
+    # A setting that was at its default may be written down, at the same value.
+    assert {k: v for k, v in now.items() if k in before} == before
+    assert all("arrow.max" in k for k in now.keys() - before.keys())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in (before.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "10000")
