@@ -86,7 +86,7 @@ def test_structure_leaves_escapes_out(stretches):
 
 @pytest.fixture()
 def tiny_splits(spark):
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     yield
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -149,11 +149,11 @@ def test_broken_arrays(spark, tmp):
 def test_changed_splits_are_noticed(spark, tmp, monkeypatch):
     """The second scan sees other splits than the first: read again, and an error at last."""
     p = write(tmp / "s.json", json.dumps(records(60, 4)))
-    made, sizes = [0], ["300", "700"]
+    made, sizes = [0], ["1500", "2500"]
     key, real = "spark.sql.files.maxPartitionBytes", arrays._stretches
 
     def changing(spark_, path):
-        spark_.conf.set(key, sizes[made[0] % 2] if made[0] < limit else "500")
+        spark_.conf.set(key, sizes[made[0] % 2] if made[0] < limit else "2000")
         made[0] += 1
         return real(spark_, path)
     monkeypatch.setattr(arrays, "_stretches", changing)
