@@ -25,7 +25,10 @@ partitions that Spark reads, the ids and their number do not.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
+import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -43,12 +46,17 @@ from .packing import gathered
 SIZE = 1024
 OPEN = 32       # open windows of a partition
 FAN = 32        # partitions whose leftovers are merged together
+TEXT_BYTES = 8 << 20  # texts tokenised together: the words of more texts repeat more often
 END_ID = 0
 
-# White space of any kind before a blank: there the tokenizer's words are not sure to
-# begin at the blank.
-_BEFORE_BLANK = (r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
-                 r"\x{3000}] ")
+# White space beside a blank or a line feed: there the tokenizer's words are not sure to
+# begin at it.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNSURE = rf"{_WHITE}[ \n]|\n{_WHITE}"
+_VISIBLE = re.compile(r"\S+")
+_LETTERS = re.compile("[A-Za-z]+")
+_STOPPED = re.compile("[A-Za-z]+[.,]")
+_MAPPED = {" ": "\u0120", "\n": "\u010a"}  # as they stand in the tokens of a byte-level tokenizer
 
 
 def default_tokenizer() -> str:
@@ -60,16 +68,17 @@ class TextIds:
     """Token ids of whole texts, words remembered up to a bound.
 
     A byte-level tokenizer with the usual word pattern begins a new word at every
-    blank that follows a visible character, so a text without other white space
-    before a blank has the ids of its stretches, each with the blank before it, one
-    after the other. Other texts, and tokenizers of any other make, are encoded
-    whole."""
+    blank or line feed that follows a visible character, so a text without two white
+    spaces side by side there has the ids of its stretches, each with the blank or line
+    feed before it, one after the other. ASCII letters and a stop after them are words of
+    their own. Other texts, and tokenizers of any other make, are encoded whole."""
 
-    LIMIT = 800_000        # stretches
-    LIMIT_IDS = 8_000_000
+    LIMIT = 1_500_000      # stretches
+    LIMIT_IDS = 12_000_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks have the cores
+        from tokenizers import Tokenizer, pre_tokenizers
         tokenizer = Tokenizer.from_file(path)
         self._encode = tokenizer.encode_batch_fast
         with open(path, encoding="utf-8") as f:
@@ -79,56 +88,123 @@ class TextIds:
         self._by_word = (
             made.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
             and not cut.get("add_prefix_space", True) and made.get("truncation") is None and made.get("padding") is None
-            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+            and not any(set(" \n") & set(t["content"]) or t["content"].isalpha() or t["lstrip"] or t["rstrip"] or t["single_word"]
+                        or t["normalized"] for t in added)
             and not any((made.get("model") or {}).get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")))
+        self._added = [t["content"] for t in added]
+        vocab = tokenizer.get_vocab()
+        self._begins = {lead: np.zeros(max(vocab.values(), default=0) + 1, bool) for lead in _MAPPED}
+        for lead, mapped in _MAPPED.items():
+            self._begins[lead][[i for t, i in vocab.items() if t.startswith(mapped)]] = True
+        # Words of ASCII letters need no pattern: the same model behind a plain cut.
+        plain = Tokenizer.from_file(path)
+        plain.pre_tokenizer = pre_tokenizers.Split(_MAPPED[" "], "merged_with_next")
+        self._encode_letters = plain.encode_batch_fast
         self._forget()
 
     def _forget(self) -> None:
-        # The first stretch is the end id.
-        self._at: dict[str, int] = {}
+        # The first stretch is the end id. Known stretches by whether a blank is before them.
+        self._at: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self._flat, self._offsets = np.array([END_ID], "<u4"), np.array([0, 1], np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            ids = [e.ids for e in self._encode(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum()))
-            first = len(self._offsets) - 1
-            self._at.update(zip(part, range(first, first + len(part))))
-            self._offsets = np.concatenate([self._offsets, len(self._flat) + np.cumsum(sizes)])
-            self._flat = np.concatenate([self._flat, flat])
-
-    def _numbers(self, stretches: pa.Array, blank: str) -> np.ndarray:
-        found = stretches.dictionary_encode()
-        keys = [blank + s for s in found.dictionary.to_pylist()]
-        self._learn([k for k in keys if k not in self._at])
-        at = np.fromiter(map(self._at.__getitem__, keys), np.int64, len(keys))
+    def _add(self, known: dict[str, int], stretches: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self._offsets) - 1
+        known.update(zip(stretches, range(first, first + len(stretches))))
+        self._offsets = np.concatenate([self._offsets, len(self._flat) + np.cumsum(sizes)])
+        self._flat = np.concatenate([self._flat, flat])
+
+    def _learn_each(self, known: dict[str, int], new: list[str], lead: str) -> None:
+        ids = [e.ids for e in self._encode([lead + s for s in new], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(known, new, np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes)
+
+    def _learn_runs(self, known: dict[str, int], new: list[str], lead: str, letters: bool = False) -> list[str]:
+        """Encode stretches many at a time, as a text: only the first token of each begins
+        with its ``lead`` (a blank, or the line feed that the stretch has itself). Returns
+        those of runs for which that does not hold."""
+        rest = []
+        between = _MAPPED[lead] if letters else lead if lead == " " else ""
+        runs = [new[i:i + 1000] for i in range(0, len(new), 1000)]
+        texts = [between + between.join(r) for r in runs]
+        encode = self._encode_letters if letters else self._encode
+        for run, text, e in zip(runs, texts, encode(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            begins = np.flatnonzero(self._begins[lead][ids])
+            if len(begins) == len(run) and begins[0] == 0 and not any(t in text for t in self._added):
+                self._add(known, run, ids, np.diff(begins, append=len(ids)))
+            else:
+                rest += run
+        return rest
+
+    def _learn(self, known: dict[str, int], new: list[str], lead: str) -> None:
+        """Encode stretches that are not known."""
+        if not lead:
+            lines = [s for s in new if s[:1] == "\n" and _VISIBLE.fullmatch(s, 1)]
+            there = set(lines)
+            self._learn_each(known, self._learn_runs(known, lines, "\n") + [s for s in new if s not in there], "")
+            return
+        words, stopped, visible, rest = {}, [], [], []
+        for s in new:
+            if _LETTERS.fullmatch(s):
+                words[s] = None
+            elif _STOPPED.fullmatch(s):
+                stopped.append(s)
+                if s[:-1] not in known:
+                    words[s[:-1]] = None
+            elif _VISIBLE.fullmatch(s):
+                visible.append(s)
+            else:
+                rest.append(s)
+        rest += self._learn_runs(known, list(words), lead, letters=True) + self._learn_runs(known, visible, lead)
+        self._learn_each(known, rest, lead)
+        if stopped:
+            stops = {c: self._stop(c) for c in ".,"}
+            pairs = np.array([(known[s[:-1]], stops[s[-1]]) for s in stopped], np.int64)
+            flat, sizes = gathered(self._flat, self._offsets, pairs.ravel())
+            self._add(known, stopped, flat, sizes.reshape(-1, 2).sum(1))
+
+    def _stop(self, stop: str) -> int:
+        """The number of a stop without a blank."""
+        known = self._at[False]
+        if stop not in known:
+            self._learn_each(known, [stop], "")
+        return known[stop]
+
+    def _numbers(self, stretches: pa.Array, lead: str) -> np.ndarray:
+        found, known = stretches.dictionary_encode(), self._at[bool(lead)]
+        keys = found.dictionary.to_pylist()
+        at = np.fromiter(map(known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [keys[i] for i in missing]
+            self._learn(known, new, lead)
+            at[missing] = [known[k] for k in new]
         return at[found.indices.to_numpy(zero_copy_only=False)]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, one after the other, and the
         offsets of the texts."""
-        if len(self._at) > self.LIMIT or len(self._flat) > self.LIMIT_IDS:
+        if sum(map(len, self._at)) > self.LIMIT or len(self._flat) > self.LIMIT_IDS:
             self._forget()
         n = len(texts)
         if self._by_word:
-            whole = pc.match_substring_regex(texts, _BEFORE_BLANK).to_numpy(zero_copy_only=False)
+            whole = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False)
         else:
             whole = np.ones(n, bool)
         others = [np.array([*e.ids, END_ID], "<u4")
                   for e in self._encode(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)] if whole.any() else []
         flat, sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if not whole.all():
-            split = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+            # A blank before every line feed, which then begins its stretch.
+            split = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~whole)), "\n", " \n"), " ")
             stretches = split.flatten()
             per_text = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(per_text)
-            first = np.zeros(len(stretches), bool)
-            first[ends - per_text] = True
+            bare = pc.starts_with(stretches, "\n").to_numpy(zero_copy_only=False).copy()
+            bare[ends - per_text] = True
             which = np.empty(len(stretches), np.int64)
-            which[first] = self._numbers(stretches.filter(pa.array(first)), "")
-            which[~first] = self._numbers(stretches.filter(pa.array(~first)), " ")
+            which[bare] = self._numbers(stretches.filter(pa.array(bare)), "")
+            which[~bare] = self._numbers(stretches.filter(pa.array(~bare)), " ")
             which = np.insert(which, ends, 0)
             flat, per_stretch = gathered(self._flat, self._offsets, which)
             upto = np.concatenate([[0], np.cumsum(per_stretch)])
@@ -270,7 +346,7 @@ def pack_online(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE,
 
     def online(batches):
         known, windows, out = text_ids(path), Windows(size, n_open), None
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, rows=TEXT_BYTES, size=TEXT_BYTES):
             if out is None:
                 out = _Rows(b.schema.field(0).type, 0, TaskContext.get().partitionId())
             flat, offsets = known.texts(b.column(1))
