@@ -15,15 +15,17 @@ shingle sets, union-find grouping.
    are grouped: union-find inside each partition, then rounds of large-star and
    small-star over the trees that are left.
 5. Two members of a bucket can be linked although neither is linked with its
-   center. Buckets that still hold several groups are therefore
-   looked at in full: their members meet in blocks, where pairs of different
-   groups are compared in numpy. The signatures must be close, and what both have
-   in common must be able to reach the bound: for the center c two sets x and y
-   share at most min(|x & c|, |y & c|) + |(x - c) & (y - c)| shingles, of which the
-   first part is known from step 4 and the second is counted (never too low) over
-   hashed shingles outside the center. Unlike edits of one text fail this at
-   once. Pairs that are left are verified like the others. No pairs inside a group
-   are ever made.
+   center. The members of buckets that still hold several groups are therefore
+   joined by an exact prefix filter on their full sets. Shingles are put in one
+   order for all: those of a single group first, then the others, rarest first. Two
+   linked sets of x and y shingles share at least a = 0.8 / 1.8 * (x + y), so their
+   first common shingle stands among the first x - a + 1 of one and y - a + 1 of the
+   other. Only rows (shingle, document) at such places are met, and only shingles
+   that stand so early in two groups, in one of them for a partner of its size or
+   longer. A passage that many unlike texts share stands behind their own shingles
+   and makes no rows at all. A shingle's rows meet in blocks: its largest group is
+   not met with itself. Pairs of different groups whose places and signatures allow
+   a link are verified like the others.
 
 With 28 bands of 5 rows a pair at exactly 0.8 shares no bucket with probability
 1.5e-5 (at 0.85: 2e-7); the signature comparison of step 5 admits pairs down to
@@ -45,17 +47,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import merged, pick, small_batches, written
+from .common import arrow_limits, merged, pick, slices, written
 
 SHINGLE = 4         # words of a shingle, unless the caller asks for another width
 BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
 PERCENT = 80        # links have 100 * intersection >= PERCENT * union
-BLOCK = 512         # members of a bucket that are compared with each other at once
-OUTSIDE = 2048      # hashed counters for a member's shingles outside the center
+BLOCK = 512         # documents of a shingle that are compared with each other at once
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -196,77 +197,53 @@ def _verify(batches, width):
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
-def _against(batches, width):
-    """Rows (uid, center, zu, zc) -> the size of the intersection, whether the pair
-    is a link, and the shingles outside the center (32 bits each)."""
+def _elements(batches, width):
+    """Rows (uid, grp, n, ztext) -> a row for each shingle, at most 100,000 or one
+    text's at once."""
     words = WordHashes()
-
-    @lru_cache(maxsize=64)
-    def sets(z: bytes) -> np.ndarray:
-        return shingle_set(zlib.decompress(z), words, width)
-
     for batch in batches:
-        inter, linked, extras = [], [], []
-        for zu, zc in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, c = sets(zu), sets(zc)
-            other = np.setdiff1d(x, c, assume_unique=True)
-            both = len(x) - len(other)
-            inter.append(both)
-            linked.append(100 * both >= PERCENT * (len(x) + len(c) - both))
-            extras.append(other.astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(linked, pa.bool_()),
-             pa.array(extras, pa.binary())], names=["uid", "center", "inter", "linked", "extras"])
-
-
-def _outside_counts(extras: list[bytes]) -> np.ndarray:
-    """A row of ``OUTSIDE`` hashed counters for each set of shingles outside the
-    center; the product of two rows is the size of their intersection or more."""
-    sizes = np.array([len(e) // 4 for e in extras])
-    owner = np.repeat(np.arange(len(extras)), sizes)
-    _, at, times = np.unique(np.frombuffer(b"".join(extras), np.uint32), return_inverse=True, return_counts=True)
-    met = times[at] > 1  # a shingle of one set alone is in no intersection
-    counts = np.zeros((len(extras), OUTSIDE), np.float32)
-    np.add.at(counts, (owner[met], np.cumsum(times > 1)[at[met]] % OUTSIDE), 1)
-    return counts
+        sets = [shingle_set(zlib.decompress(z), words, width) for z in batch.column(3).to_pylist()]
+        for lo, hi in _chunks(sets, 100_000):
+            times = [len(s) for s in sets[lo:hi]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column(i).slice(lo, hi - lo).to_numpy(), times)) for i in range(3)]
+                + [pa.array(np.concatenate(sets[lo:hi]).view(np.int64))], names=["uid", "grp", "n", "el"])
 
 
 def _likely_pairs(batches):
-    """Rows sorted by (bucket, left block, right block, uid): members of a pair of
-    blocks; yields pairs of different groups whose signatures are close and whose
-    intersection can be large enough."""
+    """Rows sorted by (shingle, left block, right block, uid): members of a pair of
+    blocks; yields pairs of different groups for which the places of the shingle allow
+    that it is the first of enough in common, and whose signatures are close."""
     # 8-bit slots agree by chance once in 256 times; 4 standard deviations under 0.8.
     need = int(SLOTS * (0.8 - 4 * (0.8 * 0.2 / SLOTS) ** 0.5))
 
     def rows():
         for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(10)))
+            yield from zip(*(b.column(i).to_pylist() for i in range(9)))
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     out_a, out_b = [], []
     for (_, left, right), run in itertools.groupby(rows(), key=lambda r: r[:3]):
         run = list(run)  # at most two blocks
-        uid = np.array([r[3] for r in run])
-        group = np.array([r[4] for r in run])
-        size = np.array([r[5] for r in run])
-        sig = np.frombuffer(b"".join(r[6] for r in run), np.uint8).reshape(len(run), SLOTS)
-        block = np.array([r[7] for r in run])
-        inter = np.array([r[8] for r in run])
-        outside = _outside_counts([r[9] for r in run])
+        uid, group, size, place, block = (np.array([r[i] for r in run]) for i in (3, 4, 5, 6, 8))
+        sig = np.frombuffer(b"".join(r[7] for r in run), np.uint8).reshape(len(run), SLOTS)
+        last = size - place  # shingles from this one on
         for i in range(len(run)):
             later = np.arange(i + 1, len(run))
+            both = PERCENT * (size[later] + size[i])
             later = later[(group[later] != group[i])
                           & ((block[later] != block[i]) if left != right else True)
-                          & (100 * np.minimum(size[later], size[i]) >= PERCENT * np.maximum(size[later], size[i]))]
+                          & ((100 + PERCENT) * np.minimum(last[later], last[i]) >= both)]
             if len(later):
                 near = later[(sig[later] == sig[i]).sum(axis=1) >= need]
-                most = np.minimum(inter[near], inter[i]) + outside[near] @ outside[i]
-                near = near[(100 + PERCENT) * most >= PERCENT * (size[near] + size[i])]
                 out_a += np.minimum(uid[near], uid[i]).tolist()
                 out_b += np.maximum(uid[near], uid[i]).tolist()
         if len(out_a) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            yield told()
             out_a, out_b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+    yield told()
 
 
 def _forest(batches):
@@ -317,8 +294,11 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = (), width: int = SHING
     """One row per document: ``doc_id, n_shingles, component_id, kept``, and
     ``class_id`` (smallest document with the same set), plus the ``carry`` columns.
     Shingles are ``width`` words."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    with arrow_limits(docs.sparkSession):  # all steps that run Python are written here
+        return _near_groups(docs, carry, width)
+
+
+def _near_groups(docs: DataFrame, carry: tuple[str, ...], width: int) -> DataFrame:
     extra = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "text")]
     src = pick(docs, "doc_id", "text", *extra)
     src = src.select("doc_id", *[F.col(c).alias(f"v_{c}") for c in extra],
@@ -350,28 +330,39 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = (), width: int = SHING
     stars = buckets.filter("uid <> center").select("uid", "center").distinct()
     texts = signed.select("uid", "ztext").join(merged(buckets.select("uid").distinct()), "uid", "left_semi")
     texts = written(texts, "bucket-texts")
-    rays = stars.join(merged(texts.withColumnRenamed("ztext", "zu")), "uid").join(
-        merged(texts.select(F.col("uid").alias("center"), F.col("ztext").alias("zc"))), "center").select(
-        "uid", "center", "zu", "zc").mapInArrow(
-        lambda batches: _against(batches, width), "uid long, center long, inter long, linked boolean, extras binary")
-    rays = written(rays, "rays")
-    links = rays.filter("linked").select(F.least("center", "uid").alias("a"), F.greatest("center", "uid").alias("b"))
+    links = written(_linked(stars.select(F.col("center").alias("a"), F.col("uid").alias("b")), texts, width), "rays")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots = components(links)
 
-    # Buckets that still hold several groups, in blocks.
+    # Members of buckets that still hold several groups: an exact prefix filter on their sets.
     grouped = buckets.join(merged(roots.withColumnRenamed("u", "uid")), "uid", "left").select(
-        "band", "uid", "center", "n", "k", F.coalesce("root", "uid").alias("grp"))
+        "band", "uid", "n", F.coalesce("root", "uid").alias("grp"))
     several = grouped.groupBy("band").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi")
-    open_rows = grouped.join(merged(several.select("band")), "band").join(merged(reps.select("uid", "sig")), "uid")
-    open_rows = open_rows.join(merged(rays.drop("linked")), ["uid", "center"], "left").withColumns({
-        "inter": F.coalesce("inter", "n"), "extras": F.coalesce("extras", F.lit(b""))})  # the center itself has no ray
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    open_rows = open_rows.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
-    paired = open_rows.select(
-        "band", "uid", "grp", "n", "sig", "blk", "inter", "extras", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select(
-        "band", F.least("blk", "other").alias("lb"), F.greatest("blk", "other").alias("rb"), "uid", "grp", "n", "sig", "blk",
-        "inter", "extras")
-    likely = paired.repartition("band", "lb", "rb").sortWithinPartitions("band", "lb", "rb", "uid") \
+    open_rows = grouped.join(merged(several.select("band")), "band").select("uid", "grp", "n").distinct()
+    elements = written(open_rows.join(merged(texts), "uid").select("uid", "grp", "n", "ztext").mapInArrow(
+        lambda batches: _elements(batches, width), "uid long, grp long, n long, el long"), "elements")
+    common = elements.groupBy("el").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("times")) \
+        .filter("lo <> hi").select("el", "times")
+    from_last = Window.partitionBy("uid").orderBy(F.col("times").desc(), F.col("el").desc())
+    first = written(
+        elements.join(merged(common), "el").withColumn("place", F.col("n") - F.row_number().over(from_last))
+        .filter(100 * (F.col("n") - F.col("place")) >= PERCENT * F.col("n")).select("uid", "grp", "n", "el", "place"), "first-elements")
+    # The smaller of a pair has the shingle so early that a partner of its own size can be linked.
+    early = (100 + PERCENT) * (F.col("n") - F.col("place")) >= 2 * PERCENT * F.col("n")
+    posts = first.groupBy("el", "grp").agg(F.count(F.lit(1)).alias("c"), F.max(early).alias("early")).groupBy("el").agg(
+        F.max(F.struct("c", "grp")).alias("top"), F.sum("c").alias("k"), F.max("early").alias("early"))
+    posts = posts.filter("early and k > top.c").select(
+        "el", F.col("top.grp").alias("main"), F.ceil((F.col("k") - F.col("top.c")) / BLOCK).cast("int").alias("p"),
+        F.ceil(F.col("top.c") / BLOCK).cast("int").alias("q"))
+    met_rows = first.join(merged(posts), "el").join(merged(reps.select("uid", "sig")), "uid")
+    # Blocks 0 to p - 1 hold the smaller groups and meet all, p to p + q - 1 the largest group.
+    main = F.col("grp") == F.col("main")
+    met_rows = met_rows.withColumn("blk", F.when(main, F.col("p") + F.pmod(F.xxhash64("uid"), F.col("q")))
+                                   .otherwise(F.pmod(F.xxhash64("uid"), F.col("p"))).cast("int"))
+    paired = met_rows.withColumn("other", F.explode(F.sequence(
+        F.lit(0), F.when(main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)))).select(
+        "el", F.least("blk", "other").alias("lb"), F.greatest("blk", "other").alias("rb"), "uid", "grp", "n", "place", "sig", "blk")
+    likely = paired.repartition("el", "lb", "rb").sortWithinPartitions("el", "lb", "rb", "uid") \
         .mapInArrow(_likely_pairs, "a long, b long").distinct()
     likely = written(likely, "likely")
     more = written(_linked(likely, texts, width), "more-links")
@@ -415,7 +406,7 @@ def unzipped(rows: DataFrame, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in rest) + ", text string"
 
     def unzip(batches):
-        for b in batches:
+        for b in slices(batches, len(rest) + 1):
             texts = [None if none else zlib.decompress(z).decode("utf-8")
                      for none, z in zip(b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
