@@ -1,63 +1,64 @@
-"""SentencePiece encoding and decoding in chunks.
-
-``tokenize`` gives the ids of a BPE model, those that the library's ``encode``
-gives for the whole text. Such a model's pieces come from merges, best rank
-first, and its scores are ranks, so no sum of scores tells which pieces win. Two
-neighbouring symbols are merged only into a piece, so a boundary between two
-characters that stand side by side in no piece is never crossed, and the merges
-of the stretches between such sure boundaries do not depend on each other.
-Documents are cut into chunks at the first sure boundary from ``CHUNK`` characters
-on, chunks of long documents are dealt to all tasks, and each is merged by the
-library without its leading blank. A run without any sure boundary (the same
-letter repeated) stays one chunk. The library writes a literal U+2581 like a
-blank, so it comes back as a blank, and gives an empty text no id.
-
-``encode`` is for models whose pieces are chosen by the sum of their scores
-(unigram): a max-plus parallel scan. Its ids are not those of a BPE model.
-
-The scan finds the segmentation of a text into vocabulary pieces with the highest
-sum of piece scores (blanks are written as U+2581 and the text begins with one;
-a character without piece is spelled in byte pieces). Documents are cut into
-chunks of ``CHUNK`` characters. A piece may reach over a chunk's end by up to
-L - 1 characters (L: the longest piece), so a chunk is an L x L matrix in the
-(max, +) semiring: entry [i][j] is the best score of entering the chunk after
-its first i characters and leaving it j characters beyond its end. Matrices
-combine associatively: first in groups of ``GROUP`` chunks, then the groups of a
-document in order, then back into the groups, which gives every chunk the states
-at its two ends. With these, each chunk is backtraced on its own; a piece
-belongs to the chunk it starts in.
+"""SentencePiece encoding and decoding: a max-plus parallel scan.
+
+``tokenize`` gives the ids of a BPE model, ``encode`` those of a model that chooses
+pieces by the sum of their scores (unigram). Both run the same scan with other weights.
+
+Documents are cut into chunks of ``CHUNK`` characters, dealt to all tasks. A chunk
+becomes a transfer matrix in the (max, +) semiring from the states at its first
+border to those at its last. Matrices combine associatively: first in groups of
+``GROUP`` chunks, then the groups of a document in order, then back into the groups,
+which gives every chunk the states at its two ends. With these, each chunk is
+backtraced on its own; a piece belongs to the chunk it starts in.
+
+*Weights of a BPE model.* Its scores are merge ranks, of which no sum tells which
+pieces win. But a row of pieces is the model's encoding of their text if and only if
+that holds for every two neighbours: a first wrong merge would join symbols of two
+neighbours, and only those two decide when it comes. So a state is the piece that
+reaches over a border or ends there, and stepping from a piece to the next weighs 0
+where the merges of both leave them apart, else minus infinity; exactly one way
+through a document weighs 0. Neighbours are tried with the library once and
+remembered. No merge crosses a boundary between characters that stand side by side in
+no piece: from the first such boundary of a chunk to its last the merges are the
+library's, and only the stretches at the borders are scanned. A run without any
+such boundary (the same letter repeated) is scanned whole, chunk by chunk.
+
+*Weights of scores.* (Blanks are written as U+2581 and the text begins with one; a
+character without piece is spelled in byte pieces.) A piece may reach over a chunk's
+end by up to L - 1 characters (L: the longest piece), so a chunk is an L x L matrix:
+entry [i][j] is the best score of entering the chunk after its first i characters and
+leaving it j characters beyond its end. No piece of the vocabulary holds a blank mark
+after another character (checked when the model is loaded; else the shortcut is
+off), so a segmentation always has a boundary before a blank, and the stretches
+between are remembered. Scores are added in double precision; where they are whole
+numbers the scan gives the same best sum as one pass over the text. Between
+segmentations of equal sum the choice is fixed by the chunking.
 
 Only documents of several chunks take part in the scan; a document of one chunk
-is the case whose two states are known. No piece of the vocabulary holds a blank
-mark after another character (checked when the model is loaded; else the
-shortcut is off), so a segmentation always has a boundary before a blank, and
-the stretches between are remembered.
-
-Scores are added in double precision; where they are whole numbers the scan gives
-the same best sum as one pass over the text. Between segmentations of equal sum
-the choice is fixed by the chunking, so equal texts get equal pieces.
-
-Decoding turns the ids of a chunk back into its characters; the scan spells a
-literal U+2581 in bytes, so from there it comes back as itself.
-
-Defined cases: null text counts as empty; an empty text is one chunk, in the scan
-with the piece of the leading blank; rows that repeat an id are documents of their own
-(``doc`` numbers them); an empty table gives an empty result; other columns are
-ignored.
+is the case whose two states are known.
+
+Decoding turns the ids of a chunk back into its characters. A BPE model's library
+writes a literal U+2581 like a blank, so it comes back as a blank; ``encode`` spells
+it in bytes, so it comes back as itself.
+
+Defined cases: null text counts as empty; an empty text is one chunk, without ids for a
+BPE model, else with the piece of the leading blank; rows that repeat an id are
+documents of their own (``doc`` numbers them); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import operator
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merged, pick, small_batches, written
+from .common import merged, pick, slices, written
 
 CHUNK = 16384
 GROUP = 64
@@ -94,6 +95,7 @@ class Pieces:
         ascii_bytes = {i: chr(b) for i, b in self.byte_of.items() if b < 128}
         self.strings = pa.array([self.shown.get(i, ascii_bytes.get(i)) for i in range(sp.get_piece_size())], pa.string())
         self.longest = max(map(len, self.ids))
+        self.behind, self.ahead = 0, self.longest - 1  # characters around a chunk that it reads
         self.unknown = min(self.scores.values()) - 10.0
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         # The score of every piece; a prefix that is none leads on but never wins,
@@ -196,7 +198,18 @@ class Pieces:
             out += (known.get(w) or self.word(w))[1]
         return out
 
-    def matrix(self, t: str, stop: int, last: bool) -> np.ndarray:
+    def plain(self, t: str) -> str:
+        return t.replace(BLANK, " ").replace(LITERAL, BLANK)
+
+    def whole(self, texts: list[str]) -> pa.Array:
+        """The ids of marked texts of one chunk."""
+        return pa.array([self.path(t, 0, len(t)) for t in texts], pa.list_(pa.int32()))
+
+    def through(self, t: str, behind: int, stop: int, first: bool, last: bool, a: int, z: int):
+        """Where the chunk's pieces begin and end between states ``a`` and ``z``, and their ids."""
+        return a, stop + z, self.path(t, a, stop + z)
+
+    def matrix(self, t: str, behind: int, stop: int, first: bool, last: bool) -> np.ndarray:
         """The chunk ``t[:stop]`` with its look-ahead as a max-plus matrix."""
         size = self.longest
         m = np.full((size, size), -np.inf)
@@ -260,12 +273,13 @@ def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def chunks_of(marked: str, ahead: int, size: int):
-    """(number, number of chunks, chunk with look-ahead, length without)."""
+def chunks_of(marked: str, behind: int, ahead: int, size: int):
+    """(number, number of chunks, chunk with the characters around it, how many of them
+    stand before it, its own length)."""
     n = max(1, -(-len(marked) // size))
     for k in range(n):
-        t = marked[k * size:(k + 1) * size + (ahead if k + 1 < n else 0)]
-        yield k, n, t, min(size, len(marked) - k * size)
+        lo = max(k * size - behind, 0)
+        yield k, n, marked[lo:(k + 1) * size + (ahead if k + 1 < n else 0)], k * size - lo, min(size, len(marked) - k * size)
 
 
 def states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[tuple[int, int]]:
@@ -286,71 +300,59 @@ def states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[tuple[int
 _RESULT = ("doc_id {}, chunk int, n_chunks int, start long, ids array<int>, text string")
 
 
-def encode(docs: DataFrame, model: str | None = None, size: int = CHUNK) -> DataFrame:
-    """``doc_id, chunk, n_chunks, start, ids, text`` per chunk: ``start`` is the
-    chunk's first character in the marked text (which begins with a blank),
-    ``text`` the characters that its pieces cover."""
-    model = model or default_model()
-    longest = pieces(model).longest
-    if size < 2 * longest:
-        raise ValueError(f"chunks need at least {2 * longest} characters")
-    spark = docs.sparkSession
-    small_batches(spark)
+def _scan(docs: DataFrame, load, model: str, size: int) -> DataFrame:
+    """``load(model)`` gives the weights; see ``encode`` for the columns."""
+    weights = load(model)
+    if size < 2 * weights.longest:
+        raise ValueError(f"chunks need at least {2 * weights.longest} characters")
+    behind, ahead = weights.behind, weights.ahead
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     result = _RESULT.format(id_type)
-
-    def plain(t: str) -> str:
-        return t.replace(BLANK, " ").replace(LITERAL, BLANK)
-
-    def batch(rows, id_arrow):
-        c = list(zip(*rows)) or [[]] * 6
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c[0], id_arrow), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()),
-             pa.array(c[4], pa.list_(pa.int32())), pa.array(c[5], pa.string())],
-            names=["doc_id", "chunk", "n_chunks", "start", "ids", "text"])
+    names = ["doc_id", "chunk", "n_chunks", "start", "ids", "text"]
 
     def one_chunk(batches):
-        p = pieces(model)
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = p.marked(text)
-                out.append((doc_id, 0, 1, 0, p.path(t, 0, len(t)), plain(t)))
-            yield batch(out, b.column(0).type)
+        p = load(model)
+        for b in slices(batches, 1):
+            n, texts = b.num_rows, [p.marked(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int64()),
+                 p.whole(texts), pa.array([p.plain(t) for t in texts], pa.string())], names=names)
 
     def cut(batches):
-        p = pieces(model)
-        for b in batches:
-            for k, (doc_id, doc, text) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
-                for part in itertools.batched(chunks_of(p.marked(text), longest - 1, size), 64):
+        p = load(model)
+        for b in slices(batches, 2):
+            for k, (doc, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for part in itertools.batched(chunks_of(p.marked(text), behind, ahead, size), 64):
                     n = len(part)
-                    number, of, t, stop = zip(*part)
+                    number, of, t, before, stop = zip(*part)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array([k] * n)), pa.array([doc] * n, pa.int64()), pa.array(number, pa.int32()),
                          pa.array(of, pa.int32()), pa.array([x.encode("utf-8", "surrogatepass") for x in t], pa.binary()),
-                         pa.array(stop, pa.int32())],
-                        names=["doc_id", "doc", "chunk", "n_chunks", "t", "stop"])
+                         pa.array(before, pa.int32()), pa.array(stop, pa.int32())],
+                        names=["doc_id", "doc", "chunk", "n_chunks", "t", "behind", "stop"])
 
     short = rows.filter(F.length("text") < size).mapInArrow(one_chunk, result)
     long_rows = rows.filter(F.length("text") >= size).withColumn("doc", F.monotonically_increasing_id())
     chunks = written(long_rows.select("doc_id", "doc", "text").mapInArrow(
-        cut, f"doc_id {id_type}, doc long, chunk int, n_chunks int, t binary, stop int"), "chunks")
+        cut, f"doc_id {id_type}, doc long, chunk int, n_chunks int, t binary, behind int, stop int")
+        .repartition("doc", "chunk"), "chunks")  # the chunks of one text go to all tasks
 
     def restored(t: bytes) -> str:
         return t.decode("utf-8", "surrogatepass")
 
     def transfer(batches):
-        p = pieces(model)
-        for b in batches:
-            _, chunk, of, t, stop = (b.column(i).to_pylist() for i in range(5))
-            found = [p.matrix(restored(x), s, c + 1 == n).tobytes() for x, s, c, n in zip(t, stop, chunk, of)]
+        p = load(model)
+        for b in slices(batches, 3):
+            _, chunk, of, t, before, stop = (b.column(i).to_pylist() for i in range(6))
+            found = [p.matrix(restored(x), v, s, c == 0, c + 1 == n) for x, v, s, c, n in zip(t, before, stop, chunk, of)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([c // GROUP for c in chunk], pa.int32()), pa.array(found, pa.binary())],
-                names=["doc", "chunk", "grp", "m"])
+                [b.column(0), b.column(1), pa.array([c // GROUP for c in chunk], pa.int32()),
+                 pa.array([m.tobytes() for m in found], pa.binary()), pa.array([len(m) for m in found], pa.int32())],
+                names=["doc", "chunk", "grp", "m", "height"])
 
-    def square(m: bytes) -> np.ndarray:
-        return np.frombuffer(m).reshape(longest, longest)
+    def table(m: bytes, height: int) -> np.ndarray:
+        return np.frombuffer(m).reshape(height, -1)
 
     def rows_of(batches, n):
         for b in batches:
@@ -363,54 +365,72 @@ def encode(docs: DataFrame, model: str | None = None, size: int = CHUNK) -> Data
 
     def join_group(batches):
         def go():
-            for (doc, grp), run in itertools.groupby(rows_of(batches, 4), key=lambda r: r[:2]):
+            for (doc, grp), run in itertools.groupby(rows_of(batches, 5), key=lambda r: r[:2]):
                 m = None
-                for _, _, _, x in run:
-                    m = square(x) if m is None else combined(m, square(x))
-                yield doc, grp, m.tobytes()
-        yield from emit(go(), ["doc", "grp", "m"], [pa.int64(), pa.int32(), pa.binary()])
+                for _, _, _, *x in run:
+                    m = table(*x) if m is None else combined(m, table(*x))
+                yield doc, grp, m.tobytes(), len(m)
+        yield from emit(go(), ["doc", "grp", "m", "height"], [pa.int64(), pa.int32(), pa.binary(), pa.int32()])
 
     def group_ends(batches):
         def go():
-            for doc, run in itertools.groupby(rows_of(batches, 3), key=lambda r: r[0]):
+            for doc, run in itertools.groupby(rows_of(batches, 4), key=lambda r: r[0]):
                 run = list(run)  # one matrix per GROUP * CHUNK characters of one document
-                for (_, grp, _), (a, z) in zip(run, states([square(m) for _, _, m in run], 0, 0)):
+                for (_, grp, *_), (a, z) in zip(run, states([table(*m) for _, _, *m in run], 0, 0)):
                     yield doc, grp, a, z
         yield from emit(go(), ["doc", "grp", "a", "z"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
 
     def chunk_ends(batches):
         def go():
-            for (doc, _), run in itertools.groupby(rows_of(batches, 6), key=lambda r: r[:2]):
+            for (doc, _), run in itertools.groupby(rows_of(batches, 7), key=lambda r: r[:2]):
                 run = list(run)  # at most GROUP matrices
-                for r, (a, z) in zip(run, states([square(r[3]) for r in run], run[0][4], run[0][5])):
+                for r, (a, z) in zip(run, states([table(*r[3:5]) for r in run], run[0][5], run[0][6])):
                     yield doc, r[2], a, z
         yield from emit(go(), ["doc", "chunk", "a", "z"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
 
     def trace(batches):
-        p = pieces(model)
-        for b in batches:
-            out = []
-            for doc_id, chunk, of, t, stop, a, z in zip(*(b.column(i).to_pylist() for i in range(7))):
+        p = load(model)
+        for b in slices(batches, 3):
+            start, ids, text = [], [], []
+            for chunk, of, t, before, stop, a, z in zip(*(b.column(i).to_pylist() for i in range(1, 8))):
                 t = restored(t)
-                out.append((doc_id, chunk, of, chunk * size + a, p.path(t, a, stop + z), plain(t[a:stop + z])))
-            yield batch(out, b.column(0).type)
-
-    matrices = written(chunks.select("doc", "chunk", "n_chunks", "t", "stop").mapInArrow(
-        transfer, "doc long, chunk int, grp int, m binary"), "matrices")
-    groups = written(matrices.select("doc", "grp", "chunk", "m").repartition("doc", "grp").sortWithinPartitions(
-        "doc", "grp", "chunk").mapInArrow(join_group, "doc long, grp int, m binary"), "group-matrices")
+                lo, hi, found = p.through(t, before, stop, chunk == 0, chunk + 1 == of, a, z)
+                start.append(chunk * size - before + lo)
+                ids.append(np.array(found, np.int32))
+                text.append(p.plain(t[lo:hi]))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array(start, pa.int64()),
+                 pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)])), pa.array(text, pa.string())],
+                names=names)
+
+    matrices = written(chunks.select("doc", "chunk", "n_chunks", "t", "behind", "stop").mapInArrow(
+        transfer, "doc long, chunk int, grp int, m binary, height int"), "matrices")
+    groups = written(matrices.select("doc", "grp", "chunk", "m", "height").repartition("doc", "grp").sortWithinPartitions(
+        "doc", "grp", "chunk").mapInArrow(
+        join_group, "doc long, grp int, m binary, height int"), "group-matrices")
     ends = groups.repartition("doc").sortWithinPartitions("doc", "grp").mapInArrow(
         group_ends, "doc long, grp int, a int, z int")
-    inner = matrices.join(merged(ends), ["doc", "grp"]).select("doc", "grp", "chunk", "m", "a", "z") \
+    inner = matrices.join(merged(ends), ["doc", "grp"]).select("doc", "grp", "chunk", "m", "height", "a", "z") \
         .repartition("doc", "grp").sortWithinPartitions("doc", "grp", "chunk").mapInArrow(
             chunk_ends, "doc long, chunk int, a int, z int")
-    traced = chunks.join(merged(inner), ["doc", "chunk"]).select("doc_id", "chunk", "n_chunks", "t", "stop", "a", "z") \
-        .mapInArrow(trace, result)
+    traced = chunks.join(merged(inner), ["doc", "chunk"]) \
+        .select("doc_id", "chunk", "n_chunks", "t", "behind", "stop", "a", "z").mapInArrow(trace, result)
     return short.unionByName(traced)
 
 
+def encode(docs: DataFrame, model: str | None = None, size: int = CHUNK) -> DataFrame:
+    """``doc_id, chunk, n_chunks, start, ids, text`` per chunk, by the sum of scores:
+    ``start`` is the chunk's first character in the marked text (which begins with a
+    blank), ``text`` the characters that its pieces cover."""
+    return _scan(docs, pieces, model or default_model(), size)
+
+
 class Merges:
-    """The library's BPE encoder without the leading blank, and the neighbours it can merge."""
+    """A BPE model's pieces, which of them the merges leave side by side, and the
+    library's encoder without the leading blank. Texts have blanks for U+2581."""
+
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -418,37 +438,145 @@ class Merges:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        rule = proto.normalizer_spec
-        if proto.trainer_spec.model_type != proto.trainer_spec.BPE:
+        rule, trained = proto.normalizer_spec, proto.trainer_spec
+        if trained.model_type != trained.BPE:
             raise ValueError("not a BPE model; encode() is for models that choose by the sum of scores")
         if rule.name != "identity" or rule.remove_extra_whitespaces or not rule.escape_whitespaces \
-                or proto.trainer_spec.treat_whitespace_as_suffix:
+                or trained.treat_whitespace_as_suffix:
             raise ValueError("the model rewrites texts before it cuts them")
+        if not trained.byte_fallback or any(p.type in (p.USER_DEFINED, p.UNUSED) for p in proto.pieces):
+            raise ValueError("the model needs byte pieces, and pieces that come from merges alone")
         self.lead = " " if rule.add_dummy_prefix else ""
         rule.add_dummy_prefix = False
-        self._sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        plain = [p.piece for p in proto.pieces if p.type not in (p.BYTE, p.CONTROL, p.UNKNOWN)]
-        self.pairs = {p[i:i + 2] for p in plain for i in range(len(p) - 1)}
+        self._encode = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()).encode
+        self.of = {p.piece.replace(BLANK, " "): i for i, p in enumerate(proto.pieces) if p.type == p.NORMAL}
+        self.longest = max(map(len, self.of))
+        self.behind, self.ahead = self.longest, self.longest - 1  # characters around a chunk that it reads
+        self.pairs = {p[i:i + 2] for p in self.of for i in range(len(p) - 1)}
+        self.prefixes = {p[:k] for p in self.of for k in range(2, len(p) + 1)}
+        self._sound: dict[str, bool] = {}
+        self._apart: dict[tuple[str, str], bool] = {}
 
-    def ids(self, texts: list[str]) -> pa.Array:
-        """The ids of each text, one text after the other in one array."""
-        found = [np.array(self._sp.encode(t), np.int32) for t in texts]
+    def marked(self, text: str) -> str:
+        return self.lead + text if text else ""
+
+    def plain(self, t: str) -> str:
+        return t
+
+    def whole(self, texts: list[str]) -> pa.Array:
+        """The ids of texts of one chunk, one text after the other in one array."""
+        found = [np.array(self._encode(t), np.int32) for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), np.concatenate([*found, np.empty(0, np.int32)]))
 
-    def chunks(self, text: str, size: int) -> list[tuple[int, str]]:
-        """(start, characters) of the chunks of a text, its leading blank included."""
-        t = self.lead + text if text else ""
-        out, start = [], 0
-        while len(t) - start > size:
-            i = start + size
-            while i < len(t) and t[i - 1:i + 1].replace(" ", BLANK) in self.pairs:
-                i += 1
-            if i == len(t):
-                break
-            out.append((start, t[start:i]))
-            start = i
-        return out + [(start, t[start:])]
+    def symbol(self, q: str) -> list[int]:
+        """The id of a piece, or the byte pieces of a character."""
+        found = self.of.get(q)
+        return self._encode(q) if found is None else [found]
+
+    def sound(self, q: str) -> bool:
+        """Whether the merges make one piece of ``q``; a character always stands."""
+        if len(q) == 1:
+            return True
+        got = self._sound.get(q)
+        if got is None:
+            got = self._sound[q] = self._encode(q) == [self.of[q]]
+        return got
+
+    def apart(self, p: str | None, q: str) -> bool:
+        """Whether the step from ``p`` to ``q`` weighs 0; ``p`` is None at a boundary
+        that no piece spans."""
+        if p is None or p[-1] + q[0] not in self.pairs:
+            return self.sound(q)
+        got = self._apart.get((p, q))
+        if got is None:
+            if len(self._apart) >= self.LIMIT:
+                self._apart.clear()
+            got = self._apart[p, q] = self._encode(p + q) == self.symbol(p) + self.symbol(q)
+        return got
+
+    def steps(self, u: str, i: int):
+        """Ends of the pieces that start at ``i``; a character without piece is one."""
+        j = i + 1
+        yield j
+        while (j := j + 1) <= len(u) and (q := u[i:j]) in self.prefixes:
+            if q in self.of:
+                yield j
+
+    def over(self, u: str, at: int) -> list[tuple[int, int]]:
+        """The states of a border: pieces that begin before it and end there or behind."""
+        return [(s, e) for s in range(max(at - self.longest, 0), at) for e in self.steps(u, s)
+                if e >= at and self.sound(u[s:e])]
+
+    def sure(self, u: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """First and last boundary in [lo, hi) that no piece spans; a text's begin is one."""
+        def spanned(i):
+            return i > 0 and u[i - 1:i + 1] in self.pairs
+        first = next((i for i in range(lo, hi) if not spanned(i)), None)
+        return None if first is None else (first, next(i for i in range(hi - 1, first - 1, -1) if not spanned(i)))
+
+    def reached(self, u: str, begins: list[tuple], stop: int) -> dict[int, dict]:
+        """Pieces (by end, then start) on ways of weight 0 from the pieces ``begins``, by
+        pieces that start before ``stop``: the bits of the begins they are reached from,
+        and where the piece before starts (one alone for each begin)."""
+        at: dict[int, dict] = {}
+        for k, (s, e) in enumerate(begins):
+            at.setdefault(e, {}).setdefault(s, [0, None])[0] |= 1 << k
+        for e in range(min(at), stop):
+            here = at.get(e)
+            if here is None:
+                continue
+            for end in self.steps(u, e):
+                q = u[e:end]
+                for s, (bits, _) in here.items():
+                    if self.apart(None if s is None else u[s:e], q):
+                        at.setdefault(end, {}).setdefault(e, [0, s])[0] |= bits
+        return at
+
+    def matrix(self, t: str, behind: int, stop: int, first: bool, last: bool) -> np.ndarray:
+        """The chunk ``t[behind:behind + stop]`` as a max-plus matrix of 0 and minus
+        infinity; a document's begin and end are one state each."""
+        u, end = t.replace(BLANK, " "), behind + stop
+        begins = [(None, behind)] if first else self.over(u, behind)
+        exits = [None] if last else self.over(u, end)
+
+        def bits(at, where, start=None):
+            found = at.get(where, {})
+            if start is not None:
+                return found[start][0] if start in found else 0
+            return reduce(operator.or_, (b for b, _ in found.values()), 0)
+
+        inner = self.sure(u, behind, end)
+        at = self.reached(u, begins, inner[0] if inner else end)
+        if inner is None:
+            ways = [bits(at, end) if x is None else bits(at, x[1], x[0]) for x in exits]
+        else:
+            head, tail = bits(at, inner[0]), {} if last else self.reached(u, [(None, inner[1])], end)
+            ways = [head if x is None or bits(tail, x[1], x[0]) else 0 for x in exits]
+        return np.array([[0.0 if w >> k & 1 else -np.inf for w in ways] for k in range(len(begins))])
+
+    def traced(self, u: str, begin: tuple, stop: int, end: int, start: int | None = None) -> list[int]:
+        """Ids after the piece ``begin`` up to ``end``, the last piece starting at ``start``."""
+        at = self.reached(u, [begin], stop)
+        s, e = next(iter(at[end])) if start is None else start, end
+        out = []
+        while (s, e) != begin:
+            out.append(self.symbol(u[s:e]))
+            s, e = at[e][s][1], s
+        return [x for ids in reversed(out) for x in ids]
+
+    def through(self, t: str, behind: int, stop: int, first: bool, last: bool, a: int, z: int):
+        """Where the chunk's pieces begin and end between states ``a`` and ``z``, and their ids."""
+        u, end = t.replace(BLANK, " "), behind + stop
+        begin = (None, behind) if first else self.over(u, behind)[a]
+        start, to = (None, end) if last else self.over(u, end)[z]
+        inner = self.sure(u, behind, end)
+        if inner is None:
+            return begin[1], to, self.traced(u, begin, end, to, start)
+        ids = self.traced(u, begin, inner[0], inner[0])
+        if last:
+            return begin[1], to, ids + self._encode(u[inner[0]:end])
+        return begin[1], to, ids + self._encode(u[inner[0]:inner[1]]) + self.traced(u, (None, inner[1]), end, to, start)
 
 
 @lru_cache(maxsize=1)
@@ -457,49 +585,9 @@ def merges(path: str) -> Merges:
 
 
 def tokenize(docs: DataFrame, model: str | None = None, size: int = CHUNK) -> DataFrame:
-    """The ids of a BPE model, in the columns of ``encode``."""
-    model = model or default_model()
-    merges(model)
-    small_batches(docs.sparkSession)
-    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    cut_type = f"doc_id {id_type}, doc long, chunk int, n_chunks int, start long, text string"
-
-    def encoded(b, ids):
-        return pa.RecordBatch.from_arrays([*b[:4], ids, b[4]],
-                                          names=["doc_id", "chunk", "n_chunks", "start", "ids", "text"])
-
-    def one_chunk(batches):
-        m = merges(model)
-        for b in batches:
-            n = b.num_rows
-            texts = [m.chunks(t, len(t) + 1)[0][1] for t in b.column(1).to_pylist()]
-            yield encoded([b.column(0), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()),
-                           pa.array([0] * n, pa.int64()), pa.array(texts, pa.string())], m.ids(texts))
-
-    def cut(batches):
-        m = merges(model)
-        for b in batches:
-            for k, (doc, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                parts = m.chunks(text, size)
-                for some in itertools.batched(enumerate(parts), 64):
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array([k] * n)), pa.array([doc] * n, pa.int64()),
-                         pa.array([i for i, _ in some], pa.int32()), pa.array([len(parts)] * n, pa.int32()),
-                         pa.array([x[0] for _, x in some], pa.int64()), pa.array([x[1] for _, x in some], pa.string())],
-                        names=["doc_id", "doc", "chunk", "n_chunks", "start", "text"])
-
-    def merge_chunks(batches):
-        m = merges(model)
-        for b in batches:
-            yield encoded(b.columns, m.ids(b.column(4).to_pylist()))
-
-    short = rows.filter(F.length("text") < size).mapInArrow(one_chunk, _RESULT.format(id_type))
-    chunks = rows.filter(F.length("text") >= size).withColumn("doc", F.monotonically_increasing_id()) \
-        .select("doc_id", "doc", "text").mapInArrow(cut, cut_type)
-    dealt = chunks.repartition("doc", "chunk").drop("doc")  # the chunks of one text go to all tasks
-    return short.unionByName(dealt.mapInArrow(merge_chunks, _RESULT.format(id_type)))
+    """The ids of a BPE model, in the columns of ``encode``; ``start`` counts the leading
+    blank that the model gives every text."""
+    return _scan(docs, merges, model or default_model(), size)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
