@@ -25,6 +25,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections import Counter
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import merged, pick, small_batches, written
+from .common import merged, pick, slices, written
 
 SEQUENCE = 4096
 END_ID = 1
@@ -62,6 +63,30 @@ _WORDS = re.compile(r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _WORD = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
+# The normaliser, the cut and the model's options of the tokenizers that
+# the short cuts below are right for.
+_MAKE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None, "padding": None,
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+          "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def by_stretch(path: str) -> bool:
+    """Whether a tokenizer file is of the make whose texts can be encoded stretch by stretch."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model = {k: v for k, v in made.get("model", {}).items() if k not in ("vocab", "merges")}
+    return all(made.get(k) == v for k, v in _MAKE.items()) and model == _MODEL and not any(
+        set(t["content"]) & set(" \t\n\r") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made.get("added_tokens") or [])
+
+
 class ChunkIds:
     """Token ids of the stretches between blanks, remembered up to a bound.
 
@@ -70,6 +95,7 @@ class ChunkIds:
     are those of its stretches one after the other. It also lowers letters and
     cuts between letters and punctuation: an ASCII word shares its ids with its
     other spellings, and a full stop or comma after it is a token of its own.
+    Texts of tokenizers of any other make (``by_stretch``) are encoded whole.
 
     The ids are one array with an offset per stretch, so the texts of a batch are
     put together without a loop over their words."""
@@ -81,6 +107,7 @@ class ChunkIds:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         self._encode, self._merge = tokenizer.encode_batch_fast, tokenizer.model.tokenize
+        self._by_stretch = by_stretch(path)
         added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         vocab = tokenizer.get_vocab()
@@ -180,6 +207,9 @@ class ChunkIds:
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, one after the other, and
         the offsets of the texts."""
+        if not self._by_stretch:
+            found = [np.array([*e.ids, END_ID], "<u4") for e in self._encode(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
         if len(self._at) > self.LIMIT or len(self._flat) > self.LIMIT_IDS:
             self._forget()
         split = pc.split_pattern(texts, " ")
@@ -206,12 +236,11 @@ _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: every document's ids with the
     end id, cut only where a document is longer than a sequence."""
-    small_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def cut(batches):
         known = chunk_ids(tokenizer)
-        for b in batches:
+        for b in slices(batches, 1):
             at, piece, start, length, crc = [], [], [], [], []
             flat, offsets = known.texts(b.column(1))
             for i in range(b.num_rows):
