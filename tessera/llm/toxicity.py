@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_text, pick, small_batches
+from .common import crc32_text, pick, slices
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -218,7 +218,6 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most:
 
 def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per document and the ``carry`` columns."""
-    small_batches(docs.sparkSession)
     texts, y = sample(docs, labels)
     if len(set(y.tolist())) == 2:
         values, bias = train(texts, y)
@@ -230,12 +229,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) ->
     held = [f"v_{c}" for c in extra]
     rows = rows.select("doc_id", (crc32_text(F.col("doc_id")) % 5 == 0).alias("held_out"),
                        *[F.col(c).alias(f"v_{c}") for c in extra], prepared(F.col("text")).alias("t"))
-    table = values.astype(np.float32)
+    table, last = values.astype(np.float32), len(rows.columns) - 1
 
     def judge(batches):
         wide = table.astype(np.float64)
-        for b in batches:
-            last = b.num_columns - 1
+        for b in slices(batches, last):
             s = scores_of(b.column(last).to_pylist(), wide, bias)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(i) for i in range(last)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
