@@ -34,18 +34,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*chosen)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small, unless the session asks for less."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key)
-    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 @contextmanager
 def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
     """Arrow batches of at most so many rows and bytes for the actions inside; the

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, scratch_path
-from .common import merged, pick, small_batches, written
+from .common import arrow_limits, merged, pick, written
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2020-01-01T00:00:00Z"
@@ -155,14 +155,14 @@ def write_archives(pages: DataFrame, path: str | None = None, min_revisit_bytes:
     """Write the pages as archives below ``path`` (default: a new folder in the
     shared work folder) and return it."""
     spark = pages.sparkSession
-    small_batches(spark)
     checkpoint_root(spark)
     rows = pick(pages, "page_id", "url", "html").select(
         "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    first = rows.filter(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(
+    # Equal payloads are those of one SHA-256: payloads that share a SHA-1 alone can be made.
+    rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("same", F.unhex(F.sha2("payload", 256)))
+    first = rows.filter(F.length("payload") >= min_revisit_bytes).groupBy("same").agg(
         F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).filter("n > 1").drop("n")
-    typed = rows.join(merged(first), "sha", "left").withColumn(
+    typed = rows.join(merged(first), "same", "left").withColumn(
         "revisit", (F.length("payload") >= min_revisit_bytes) & F.col("first_id").isNotNull()
         & ~F.col("page_id").eqNullSafe(F.col("first_id")))
 
@@ -175,8 +175,10 @@ def write_archives(pages: DataFrame, path: str | None = None, min_revisit_bytes:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     path = path or scratch_path(spark, "warc")
-    typed.select("page_id", "url", "payload", "sha", "first_id", "revisit").mapInArrow(members, "value binary") \
-        .select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    records = typed.select("page_id", "url", "payload", "sha", "first_id", "revisit").mapInArrow(members, "value binary") \
+        .select(F.col("value").cast("string").alias("value"))
+    with arrow_limits(spark):
+        records.write.option("lineSep", "\0").text(path)
     return path
 
 
@@ -217,7 +219,6 @@ def _record(raw: bytes, payloads: bool) -> tuple | None:
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All response and revisit records below ``path``:
     ``page_id, url, record_type, payload_digest, refers_to, payload_bytes, payload``."""
-    small_batches(spark)
     stretches = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path) \
         .select(F.col("value").cast("binary").alias("stretch"), F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("start"))
@@ -241,8 +242,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if kind == "member" and (row := _record(data, payloads)) is not None:
                     yield row
 
-    parts = written(stretches.select("stretch", "file", "start").mapInArrow(
-        lambda batches: _batches(scan_rows(batches), PARTS), _schema(PARTS)), "warc-members")
+    with arrow_limits(spark):
+        parts = written(stretches.select("stretch", "file", "start").mapInArrow(
+            lambda batches: _batches(scan_rows(batches), PARTS), _schema(PARTS)), "warc-members")
     whole = parts.filter("kind = 'member'").select(*RECORD)
     fragments = parts.filter("kind <> 'member'").select("file", "start", "seq", "kind", "stretch") \
         .repartition("file").sortWithinPartitions("file", "start", "seq")
