@@ -364,12 +364,17 @@ def test_fingerprints_of_any_sizes(common_, only_a, only_b, seed):
 
 # --- the session
 
-@pytest.mark.parametrize("name", ["lm", "fingerprints", "online", "codes", "spelling"])
+@pytest.mark.parametrize("name", ["lm", "fingerprints", "online", "codes", "spelling", "near", "packing", "pieces", "toxicity", "warc"])
 def test_settings_of_the_session_stay(spark, docs, name):
-    from tessera.llm import lm, sketch
+    from tessera.llm import lm, near, packing, pieces, sketch, toxicity, warc
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
     run = {"lm": lambda: lm.lm_scores(docs), "fingerprints": lambda: sketch.fingerprints(docs), "online": lambda: online.pack_online(docs),
            "codes": lambda: codes.vector_codes(spark.createDataFrame([(1, [0.5] * 4, 1)], "vec_id long, embedding array<double>, label int")),
-           "spelling": lambda: spelling.spelling_variants(docs)}[name]
+           "spelling": lambda: spelling.spelling_variants(docs), "near": lambda: near.near_groups(docs),
+           "packing": lambda: packing.pack(docs), "pieces": lambda: pieces.decode(pieces.tokenize(docs)),
+           "toxicity": lambda: toxicity.toxicity(docs, labels),
+           "warc": lambda: warc.read_archives(spark, warc.write_archives(pages))}[name]
     before = dict(spark.conf.getAll)
     run().count()
     now = dict(spark.conf.getAll)

@@ -1,6 +1,7 @@
 """The corpus operators against plain Python on a small hostile table."""
 
 import base64
+import functools
 import hashlib
 import itertools
 import math
@@ -11,6 +12,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import exact, licenses, lm, near, packing, pieces, pii, sketch, toxicity, warc
@@ -158,6 +161,60 @@ def test_near_links_without_a_common_center(spark):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in rows], brute_near(texts))
 
 
+def test_prefix_filter_finds_every_link(spark, monkeypatch):
+    """With the groups of the centers taken away, the open buckets alone give all links,
+    met in many small blocks."""
+    monkeypatch.setattr(near, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    word = [f"w{i}" for i in range(500)]
+    texts = []
+    for family in range(3):
+        start = list(rng.choice(word, 100))
+        for chain in range(4):
+            cur = start[:]
+            for i in range(10):
+                texts.append((len(texts) + 1000 * family, " ".join(cur)))
+                cur = cur[:]
+                for k in rng.integers(0, 100, 2):
+                    cur[k] = f"new{int(rng.integers(0, 40))}"
+    texts = list({t: i for i, t in texts}.items())
+    texts = [(i, t) for t, i in texts]
+    found, kept, grouped = {}, near.written, near.components
+
+    def told(df, name):
+        found[name] = kept(df, name)
+        return found[name]
+
+    def no_groups_at_first(edges):
+        return grouped(edges if "likely" in found else edges.limit(0))
+    monkeypatch.setattr(near, "written", told)
+    monkeypatch.setattr(near, "components", no_groups_at_first)
+    rows = near.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in rows], brute_near(texts))
+    ids = {r.uid: r.doc_id for r in found["signed"].select("uid", "doc_id").collect()}
+    got = [tuple(sorted((ids[r.a], ids[r.b]))) for r in found["more-links"].collect()]
+    sets = {i: {tuple(w[k:k + 4]) for k in range(len(w) - 3)} for i, t in texts for w in [words_of(t)]}
+    want = [(x, y) for x, y in itertools.combinations(sorted(sets), 2)
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    assert len(want) > 50 and sorted(got) == want
+
+
+def test_unlike_texts_around_a_passage_meet_nowhere(spark, monkeypatch):
+    """The work grows with the texts, not with their pairs: a shared passage makes no rows."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(100))
+    texts = [(i, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 20))) for i in range(2000)]
+    counts, kept = {}, near.written
+
+    def told(df, name):
+        out = kept(df, name)
+        counts[name] = out.count()
+        return out
+    monkeypatch.setattr(near, "written", told)
+    assert near.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).filter("kept").count() == 2000
+    assert counts["elements"] > 100_000 and counts["first-elements"] <= 5 * len(texts) and counts["likely"] == 0
+
+
 def test_pipeline_near_stage_counts_five_words(spark):
     import corpus_pipeline
 
@@ -309,6 +366,21 @@ def test_chunk_ids_follow_the_tokenizer():
             assert ids[offsets[i]:offsets[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """Without the step that lowers letters the short cuts would be wrong."""
+    import json
+    from tokenizers import Tokenizer
+    made = json.load(open(packing.default_tokenizer(), encoding="utf-8"))
+    made["normalizer"]["normalizers"].pop()
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made), encoding="utf-8")
+    assert packing.by_stretch(packing.default_tokenizer()) and not packing.by_stretch(str(path))
+    texts = ["Hello World", "", "a. B"]
+    ids, offsets = packing.ChunkIds(str(path)).texts(pa.array(texts))
+    want = [[*Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [ids[a:z].tolist() for a, z in zip(offsets, offsets[1:])] == want
+
+
 def check_places(rows, size):
     by = defaultdict(list)
     for r in rows:
@@ -482,10 +554,47 @@ def test_pieces_are_the_ids_of_the_library(docs, none):
             assert all(r.decoded == r.text.replace("▁", " ") for r in parts)
         assert size > 40 or len(by[14]) > 100
         assert size > 40 or len(by[101]) > 5
+        assert size > 40 or len(by[17]) == 126  # one letter repeated: no boundary is sure
     assert sp.encode(quick, out_type=str)[:3] == ["▁The", "▁quick", "▁brown"]
     assert pieces.tokenize(none).count() == 0
 
 
+def scanned(p, text, size):
+    """The scan of one text, chunk by chunk, without Spark."""
+    chunks = list(pieces.chunks_of(p.marked(text), p.behind, p.ahead, size))
+    around = [(t, behind, stop, k == 0, k + 1 == n) for k, n, t, behind, stop in chunks]
+    matrices = [p.matrix(*c) for c in around]
+    ends = pieces.states(matrices, 0, 0)
+    half = len(matrices) // 2  # the products of both halves allow the same states
+    if half:
+        whole = pieces.combined(*(functools.reduce(pieces.combined, m) for m in (matrices[:half], matrices[half:])))
+        assert whole.shape == (1, 1) and whole[0, 0] == 0
+    found = [p.through(*c, a, z) for c, (a, z) in zip(around, ends)]
+    assert "".join(c[0][lo:hi] for c, (lo, hi, _) in zip(around, found)) == p.marked(text)
+    return [x for *_, ids in found for x in ids]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["the ", "ab", "  ", "x", "xxx", "日本", "é", "▁", "\n", "ing", "er", "a", "s", " ", "0", "12", "-",
+                                 "ation", "\U0001F600", "\x00", "international"]), max_size=120).map("".join), st.integers(32, 50))
+def test_scan_of_merges_gives_the_ids_of_the_library(text, size):
+    import sentencepiece
+    if "sp" not in _library:
+        _library["sp"] = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    sp = _library["sp"]
+    assert scanned(pieces.merges(pieces.default_model()), text, size) == sp.encode(text)
+
+
+_library: dict = {}
+
+
+@pytest.mark.parametrize("text", ["x" * 40_000, "ab" * 20_000, " " * 9000, "internationalization" * 1500, "the end " * 4000])
+def test_runs_without_a_sure_boundary_are_scanned_in_chunks(text):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    assert scanned(pieces.merges(pieces.default_model()), text, 3000) == sp.encode(text)
+
+
 def test_op9_gives_the_ids_of_the_library(spark, tmp_path):
     import sentencepiece
     from tessera.llm.queries import op9_pieces
