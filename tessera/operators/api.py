@@ -10,6 +10,7 @@ envelope are column expressions again.
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, as_completed, wait
@@ -184,11 +185,23 @@ def results(records: DataFrame, responses: DataFrame, id_field: str = "id", prom
     ).orderBy("index")
 
 
-def carried_fields(rec: Column, id_field: str = "id", prompt_field: str = "prompt") -> list[Column]:
+def _field_text(rec: Column, name: str, raw: Column | None) -> Column:
+    """A field as JSON text. Where the record's own text is kept in ``raw``, as a VARIANT
+    has not all digits of its integers, the field stands as it does there; of a key that
+    occurs twice with different values, the last one's as the VARIANT has it."""
+    value = V.field(rec, name)
+    text = F.to_json(value)
+    if raw is None or any(c in name for c in "'?\\"):
+        return text
+    exact = F.get_json_object(raw, f"$['{name}']")
+    agrees = ~V.is_string(value) & (F.to_json(F.try_parse_json(exact)) == text)
+    return F.when(raw.isNotNull() & agrees, exact).otherwise(text)
+
+
+def carried_fields(rec: Column, id_field: str = "id", prompt_field: str = "prompt", raw: Column | None = None) -> list[Column]:
     """``id`` / ``prompt`` as JSON text for ``call(carry=...)``: NULL when the key
     is missing, ``"null"`` when it holds JSON null."""
-    return [F.to_json(V.field(rec, id_field)).alias("_carry_id"),
-            F.to_json(V.field(rec, prompt_field)).alias("_carry_prompt")]
+    return [_field_text(rec, id_field, raw).alias("_carry_id"), _field_text(rec, prompt_field, raw).alias("_carry_prompt")]
 
 
 # Columns of a result besides the copied fields.
@@ -207,12 +220,15 @@ def check_field_names(id_field: str, prompt_field: str) -> None:
 
 def results_carried(responses: DataFrame, id_field: str = "id", prompt_field: str = "prompt") -> DataFrame:
     """The per-row result from responses that carried ``id`` / ``prompt`` along
-    (no join back to the records), in input order."""
+    (no join back to the records), in input order. ``_id_text`` / ``_prompt_text``: the
+    text of a field with an integer that its VARIANT has not all digits of, for the sink."""
     env = envelope(responses)
+    exact = [F.when(F.col(c).rlike("[0-9]{39}") & ~F.col(c).startswith('"'), F.col(c)) for c in ("_carry_id", "_carry_prompt")]
     return env.select(
         F.col("ord").alias("index"), "ok", "response", "raw_response", "error", "latency_sec",
         F.parse_json(F.col("_carry_id")).alias(id_field),
         F.parse_json(F.col("_carry_prompt")).alias(prompt_field),
+        exact[0].alias("_id_text"), exact[1].alias("_prompt_text"),
     ).orderBy("index")
 
 
@@ -238,6 +254,19 @@ def result_record(res: DataFrame, id_field: str = "id", prompt_field: str = "pro
     return F.to_variant_object(F.map_from_entries(present))
 
 
+def result_text(rec: Column, id_field: str = "id", prompt_field: str = "prompt") -> Column:
+    """The JSON of a result whose ``id`` or ``prompt`` goes into the file as its text
+    (``_id_text``, ``_prompt_text``), put last so that it wins; NULL for all others."""
+    def entry(name, text):
+        return F.coalesce(F.concat(F.lit("," + json.dumps(name, ensure_ascii=False) + ":"), F.col(text)), F.lit(""))
+
+    rest = F.map_filter(rec.try_cast("map<string,variant>"), lambda k, _: ~(
+        ((k == F.lit(id_field)) & F.col("_id_text").isNotNull()) | ((k == F.lit(prompt_field)) & F.col("_prompt_text").isNotNull())))
+    made = F.to_json(F.to_variant_object(rest), {"ignoreNullFields": "false"})
+    return F.when(F.col("_id_text").isNotNull() | F.col("_prompt_text").isNotNull(), F.concat(
+        made.substr(F.lit(1), F.length(made) - 1), entry(id_field, "_id_text"), entry(prompt_field, "_prompt_text"), F.lit("}")))
+
+
 def status_summary(res: DataFrame) -> DataFrame:
     """Rows per outcome (``ok`` true / false)."""
     return res.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))

@@ -209,7 +209,7 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
     def requests() -> DataFrame:
         pm, n = checked_prompts(spark, input_path, "api", prompt_field, messages_field, system_prompt)
         req = pm.select("ord", A.request_body(F.col("messages"), model, max_tokens, temperature, top_p).alias("body"),
-                        *A.carried_fields(F.col("rec"), id_field, prompt_field))
+                        *A.carried_fields(F.col("rec"), id_field, prompt_field, F.col("raw")))
         if done is not None:
             req = req.join(done.select(F.col("index").alias("ord")), "ord", "left_anti")
         return sliced(req, n)
@@ -239,11 +239,12 @@ def api_inference(spark: SparkSession, input_path: str, output_path: str | None,
     # id / prompt travelled with each request: no join back to the input.
     res = A.results_carried(resp, id_field, prompt_field)
     if done is not None:
-        res = res.unionByName(done).orderBy("index")
+        res = res.unionByName(done, allowMissingColumns=True).orderBy("index")
     if output_path:
-        out = res.select(F.col("index").alias("ord"), A.result_record(res, id_field, prompt_field).alias("rec"))
-        S.write_jsonl(out, output_path, "rec", "ord", overwrite)
-    return res
+        out = res.select(F.col("index").alias("ord"), A.result_record(res, id_field, prompt_field).alias("rec"), "_id_text", "_prompt_text")
+        out = out.withColumn("text", A.result_text(F.col("rec"), id_field, prompt_field))
+        S.write_jsonl(out, output_path, "rec", "ord", overwrite, text="text")
+    return res.drop("_id_text", "_prompt_text")
 
 
 def read_results(spark: SparkSession, path: str, id_field: str = "id", prompt_field: str = "prompt") -> DataFrame:

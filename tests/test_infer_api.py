@@ -113,6 +113,23 @@ def test_invalid_row_aborts_before_any_call(spark, tmp):
     assert os.path.getsize(log) == 1
 
 
+def test_long_integers_of_copied_fields(spark, tmp):
+    """``id`` and ``prompt`` with integers beyond 38 digits stand in the results file as in the input."""
+    big = 12345678901234567890123456789012345678901234567890
+    user = [{"role": "user", "content": "u"}]
+    rows = [{"id": big, "prompt": "a"}, {"id": [-big, "7" * 60, {"k": big + 1}], "prompt": "b"}, {"id": 5, "prompt": "9" * 50},
+            {"id": "8" * 45, "prompt": "q", "n": big}, {"messages": user, "prompt": big, "id": None}, {"messages": user, "prompt": {"x": big}}]
+    lines = [json.dumps(r) for r in rows] + [f'{{"id":{big},"id":{big}7,"prompt":"twice"}}', f'{{"id":{big},"id":4,"prompt":"twice"}}']
+    out = str(tmp / "res.jsonl")
+    got = jobs.api_inference(spark, write(tmp / "p.jsonl", "\n".join(lines)), out, "http://h/", "m", transport=stubs.stub_transport)
+    assert got.columns == ["index", "ok", "response", "raw_response", "error", "latency_sec", "id", "prompt"]
+    back = [json.loads(line) for f in sorted(os.listdir(out)) if f.startswith("part") for line in open(os.path.join(out, f))]
+    assert [r["index"] for r in back] == list(range(len(lines))) and all(r["ok"] for r in back)
+    for r, want in zip(back, rows):
+        assert {k: v for k, v in r.items() if k in ("id", "prompt")} == {k: v for k, v in want.items() if k in ("id", "prompt")}
+    assert back[7]["id"] == 4 and float(back[6]["id"]) == float(big * 10 + 7)
+
+
 def test_two_factories_of_one_function_are_two_models(spark):
     from tessera.operators import infer as I
 
