@@ -61,8 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii_mask),
           ("packing", packing)]
 
-# A trained classifier and a tokenizer are not SQL. Tests cover the near_dedup stage on one small
-# table; the other stages and run() have no test of their own, only the operators they call.
+# A trained classifier and a tokenizer are not SQL: tests compare every stage and run() with plain Python.
 ORACLE_SQL = None
 
 
