@@ -42,6 +42,7 @@ from .common import merged, pick, slices, written
 SEQUENCE = 4096
 END_ID = 1
 PIECES_PER_SALT = 50_000
+TEXT_ROWS, TEXT_BYTES = 10_000, 8 << 20  # texts tokenised together: the words of more texts repeat more often
 
 
 def default_tokenizer() -> str:
@@ -61,6 +62,7 @@ def gathered(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[
 _PLAIN = re.compile(r"[\t-\r -&(-~]*")
 _WORDS = re.compile(r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _WORD = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_STOPS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 # The normaliser, the cut and the model's options of the tokenizers that
@@ -88,20 +90,21 @@ def by_stretch(path: str) -> bool:
 
 
 class ChunkIds:
-    """Token ids of the stretches between blanks, remembered up to a bound.
+    """Token ids of the stretches between blanks and line feeds, remembered up to a bound.
 
     The tokenizer cuts at white space before it merges and drops it, and neither
-    its normaliser nor its special tokens reach across a blank, so a text's ids
-    are those of its stretches one after the other. It also lowers letters and
+    its normaliser nor its special tokens reach across a blank or line feed, so a text's
+    ids are those of its stretches one after the other. It also lowers letters and
     cuts between letters and punctuation: an ASCII word shares its ids with its
-    other spellings, and a full stop or comma after it is a token of its own.
+    other spellings, and the punctuation after a word has ids of its own.
     Texts of tokenizers of any other make (``by_stretch``) are encoded whole.
 
     The ids are one array with an offset per stretch, so the texts of a batch are
-    put together without a loop over their words."""
+    put together without a loop over their words. The parts of stretches are stretches
+    too: a word that is known is not merged again for its next spelling."""
 
-    LIMIT = 400_000        # stretches
-    LIMIT_IDS = 4_000_000
+    LIMIT = 1_000_000      # stretches
+    LIMIT_IDS = 8_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -122,15 +125,16 @@ class ChunkIds:
 
     def parts(self, chunk: str) -> list[str]:
         """The keys whose ids make up the chunk's: the tokenizer's own words where
-        the chunk is plain ASCII, else the chunk or its word and the stop after it."""
+        the chunk is plain ASCII, else the chunk or its word and the punctuation after it."""
         if _PLAIN.fullmatch(chunk):
             return [chunk] if self._added.search(chunk) else _WORDS.findall(chunk.lower()) or [chunk]
-        body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
-        if not body.isalpha():
+        body = chunk.rstrip(_STOPS)
+        if not body.isalpha() or self._added.search(chunk):
             return [chunk]
+        after = chunk[len(body):]
         if max(body) < "\u0130":  # up to here every capital has one small letter
             body = body.lower()
-        return [body] if len(body) == len(chunk) else [body, chunk[-1]]
+        return [body, after] if after else [body]
 
     def keyed(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The distinct keys of all chunks, the numbers of each chunk's keys one
@@ -190,19 +194,28 @@ class ChunkIds:
             sizes.append([len(flats[-1])])
         return order + rest, np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
+    def _add(self, new: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self._offsets) - 1
+        self._at.update(zip(new, range(first, first + len(new))))
+        self._offsets = np.concatenate([self._offsets, len(self._flat) + np.cumsum(sizes)])
+        self._flat = np.concatenate([self._flat, flat])
+
     def learn(self, new: list[str]) -> None:
-        """Add the ids of distinct chunks that are not known yet, in one call."""
+        """Add the ids of distinct chunks that are not known yet, in one call: first
+        those of the keys not known yet, then those of the chunks of several keys."""
         if not new:
             return
         keys, which, of_each = self.keyed(new)
-        order, flat, offsets = self.ids_of(keys)
-        place = dict(zip(order, range(len(order))))
-        which = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[which]
-        ids, sizes = gathered(flat, offsets, which)
+        order, flat, offsets = self.ids_of([k for k in keys if k not in self._at])
+        self._add(order, flat, np.diff(offsets))
+        rest = np.fromiter((c not in self._at for c in new), bool, len(new))
+        if not rest.any():
+            return
+        place = np.fromiter(map(self._at.__getitem__, keys), np.int64, len(keys))
+        ids, sizes = gathered(self._flat, self._offsets, place[which[np.repeat(rest, of_each)]])
+        of_each = of_each[rest]
         sizes = np.add.reduceat(sizes, np.cumsum(of_each) - of_each)
-        self._at.update(zip(new, range(len(self._offsets) - 1, len(self._offsets) - 1 + len(new))))
-        self._offsets = np.concatenate([self._offsets, len(self._flat) + np.cumsum(sizes)])
-        self._flat = np.concatenate([self._flat, ids])
+        self._add([new[i] for i in np.flatnonzero(rest)], ids, sizes)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, one after the other, and
@@ -212,11 +225,14 @@ class ChunkIds:
             return np.concatenate([np.empty(0, "<u4"), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
         if len(self._at) > self.LIMIT or len(self._flat) > self.LIMIT_IDS:
             self._forget()
-        split = pc.split_pattern(texts, " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         chunks = split.flatten().dictionary_encode()
         distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn([c for c in distinct if c not in self._at])
-        at = np.fromiter(map(self._at.__getitem__, distinct), np.int64, len(distinct))
+        at = np.fromiter(map(self._at.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
+        new = [distinct[i] for i in missing]
+        self.learn(new)
+        at[missing] = [self._at[c] for c in new]
         ends = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         which = np.insert(at[chunks.indices.to_numpy(zero_copy_only=False)], ends, 0)
         ids, sizes = gathered(self._flat, self._offsets, which)
@@ -240,7 +256,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataF
 
     def cut(batches):
         known = chunk_ids(tokenizer)
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, TEXT_ROWS, TEXT_BYTES):
             at, piece, start, length, crc = [], [], [], [], []
             flat, offsets = known.texts(b.column(1))
             for i in range(b.num_rows):

@@ -366,6 +366,22 @@ def test_chunk_ids_follow_the_tokenizer():
             assert ids[offsets[i]:offsets[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_known_words_are_not_merged_again():
+    """Other spellings of a word, punctuation after it and line feeds are no new words."""
+    from tokenizers import Tokenizer
+    path = packing.default_tokenizer()
+    tok, known = Tokenizer.from_file(path), packing.ChunkIds(path)
+    known.texts(pa.array(["word größe ... . , ! other\nlines"]))
+    def never(*_, **__):
+        raise AssertionError("merged again")
+    known._merge = never
+    known._encode = lambda texts, **kw: [never() for t in texts]
+    texts = ["Word. WORD, word! wOrd...", "Größe... größe! GRÖßE,", "word\nother.\n\nLines..."]
+    ids, offsets = known.texts(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i]:offsets[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
 def test_other_tokenizers_encode_whole_texts(tmp_path):
     """Without the step that lowers letters the short cuts would be wrong."""
     import json
