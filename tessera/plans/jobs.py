@@ -45,7 +45,7 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
         raise ValueError("on_error must be 'fail' or 'report'")
     use_split = bool(split_field) and split is not None
     select = (lambda rec: sft.split_condition(rec, split_field, split)) if use_split else (lambda rec: F.lit(True))
-    recs, fmt, sel = scan_records(spark, path, "train", select=select)
+    recs, fmt, sel = scan_records(spark, path, "train", select=select, raw=False)
     cols = ["text", "prompt_text"] if response_only_loss else ["text"]
     proj = sft.project(sel, response_only_loss, template, prompt_field, response_field)
     if on_error == "report":

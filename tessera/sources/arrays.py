@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from ..functions import variant as V
 from ..functions.text import is_nonblank, ustrip
+from ..llm.common import arrow_limits
 from ..session import checkpoint_root, ship_package
 from .ordinals import BROADCAST_ROWS, maybe_broadcast
-from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, raw_text, stored, sums_in_file
+from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, raw_text, stored, sums_in_file, with_record
 
+CUT_ROWS, CUT_BYTES = 10_000, 4 << 20  # of stretches that a task takes up at once, and about so many of elements that it gives
 ATTEMPTS = 3     # scans before a layout that keeps changing is an error
 LOOK_INTO = 100  # files without an array that are parsed whole to say what they are
 
@@ -141,7 +143,7 @@ def _cut(batches):
                 text, begin, k = [], stop + 1, k + 1
             text += values[begin:]
             depth, inside, n = int(level[-1]), int(odd[-1]), n + hi - lo
-            if len(out) > 2000:
+            if len(out) > 2000 or sum(len(x[5] or b"") for x in out) > CUT_BYTES:
                 yield batch()
     if key is not None:
         out.append((*key, k, True, n, b",".join(text) if text else None))
@@ -153,20 +155,25 @@ def _states(spark: SparkSession, path: str, files: DataFrame, n_files: int) -> t
     rows = _stretches(spark, path).select(
         "fid", "block", F.col("value").cast("binary").alias("value"), F.is_valid_utf8("value").alias("utf8"))
     found = rows.mapInArrow(_transfer, "fid long, block long, n long, size long, parity long, outside long, inside long, utf8 boolean")
-    found = stored(found.join(maybe_broadcast(files.select("fid", "file"), n_files), "fid"), "array-splits")
+    with arrow_limits(spark, CUT_ROWS, CUT_BYTES):
+        found = stored(found.join(maybe_broadcast(files.select("fid", "file"), n_files), "fid"), "array-splits")
     n = found.count()
     odd = sums_in_file(found, ["parity"]).withColumn("odd", F.col("parity_before") % 2)
     moved = odd.withColumn("change", F.when(F.col("odd") == 0, F.col("outside")).otherwise(F.col("inside")))
     return sums_in_file(moved.select("fid", "file", "block", "n", "size", "odd", "change", "utf8"), ["change"]), n
 
 
+def _raw(text: Column, raw: bool) -> Column:
+    return (raw_text(text) if raw else F.lit(None).cast("string")).alias("raw")
+
+
 def _chosen(rec: Column, select) -> Column:
     if select is None:
         return F.lit(False)
     return F.coalesce(V.is_object(rec) & select(rec), F.lit(False))
 
 
-def _elements(spark: SparkSession, path: str, states: DataFrame, n: int, select) -> DataFrame:
+def _elements(spark: SparkSession, path: str, states: DataFrame, n: int, select, raw: bool) -> DataFrame:
     """Second scan: whole elements parsed, border stretches as text, all written."""
     start = states.select("fid", "block", F.col("change_before").alias("depth"), "odd")
     rows = _stretches(spark, path)
@@ -177,18 +184,19 @@ def _elements(spark: SparkSession, path: str, states: DataFrame, n: int, select)
     cut = rows.select("fid", "block", F.col("value").cast("binary").alias("value"), "depth", "odd").mapInArrow(
         _cut, "fid long, block long, k long, last boolean, n long, text binary")
     cut = cut.withColumn("text", F.col("text").cast("string")).withColumn("border", (F.col("k") == 0) | F.col("last"))
-    parsed = cut.withColumn("rec", F.when(~F.col("border"), parse_record(F.col("text"))))
+    parsed = with_record(cut, F.col("text"), ~F.col("border"))
     parsed = parsed.withColumn("chosen", ~F.col("border") & _chosen(F.col("rec"), select))
-    return stored(parsed.select("fid", "block", "k", "n", "border", F.when(F.col("border"), F.col("text")).alias("text"), "rec",
-                                raw_text(F.col("text")).alias("raw"), numbered(F.col("chosen")).alias("_smid")), "array-elements")
+    with arrow_limits(spark, CUT_ROWS, CUT_BYTES):
+        return stored(parsed.select("fid", "block", "k", "n", "border", F.when(F.col("border"), F.col("text")).alias("text"), "rec",
+                                    _raw(F.col("text"), raw), numbered(F.col("chosen")).alias("_smid")), "array-elements")
 
 
-def _scanned(spark: SparkSession, path: str, files: DataFrame, n_files: int, select) -> tuple[DataFrame, DataFrame, int]:
+def _scanned(spark: SparkSession, path: str, files: DataFrame, n_files: int, select, raw: bool) -> tuple[DataFrame, DataFrame, int]:
     """Both scans, again if they did not see the same splits: the elements and, per
     split, its element ends (``ends_before``) and chosen elements."""
     for _ in range(ATTEMPTS):
         states, n = _states(spark, path, files, n_files)
-        rows = _elements(spark, path, states, n, select)
+        rows = _elements(spark, path, states, n, select, raw)
         seen = rows.groupBy("fid", "block").agg(
             F.max("n").alias("seen"), F.max("k").alias("ends"), F.min("_smid").alias("_smid0"), F.count("_smid").alias("inner"),
             (F.max("_smid") - F.min("_smid") + 1 != F.count("_smid")).alias("gap"))
@@ -199,7 +207,7 @@ def _scanned(spark: SparkSession, path: str, files: DataFrame, n_files: int, sel
     raise LayoutError(f"the splits of {path} changed in each of {ATTEMPTS} scans")
 
 
-def _across(rows: DataFrame, splits: DataFrame, totals: DataFrame, n: int, n_files: int, select) -> DataFrame:
+def _across(rows: DataFrame, splits: DataFrame, totals: DataFrame, n: int, n_files: int, select, raw: bool) -> DataFrame:
     """Elements that touch a split's border, put together from at most two stretches a
     split, with the file's brackets taken off: ``e`` is the element's place in its file."""
     parts = rows.where("border and text is not null").join(maybe_broadcast(splits.select("fid", "block", "ends_before"), n), ["fid", "block"])
@@ -219,7 +227,7 @@ def _across(rows: DataFrame, splits: DataFrame, totals: DataFrame, n: int, n_fil
     whole = whole.withColumn("empty", F.col("blank_file") | empty).withColumn("rec", F.when(~F.col("empty"), parse_record(F.col("inner"))))
     bad = ~F.col("empty") & (F.col("no_head") | F.col("no_tail") | F.col("rec").isNull())
     return stored(whole.select("fid", "e", "block", "before", "last", "empty", "no_head", bad.alias("bad"), "rec",
-                               raw_text(F.col("inner")).alias("raw"), _chosen(F.col("rec"), select).alias("chosen")), "array-borders")
+                               _raw(F.col("inner"), raw), _chosen(F.col("rec"), select).alias("chosen")), "array-borders")
 
 
 def _file_errors(spark: SparkSession, rows: DataFrame, across: DataFrame, totals: DataFrame) -> DataFrame:
@@ -245,7 +253,7 @@ def _file_errors(spark: SparkSession, rows: DataFrame, across: DataFrame, totals
     return told.join(valid, "file", "left").withColumn("error", F.when(F.col("valid"), F.lit(NOT_LIST)).otherwise(F.col("error"))).drop("valid")
 
 
-def array_records(spark: SparkSession, path: str, select=None):
+def array_records(spark: SparkSession, path: str, select=None, raw: bool = True):
     """``(ord, line, rec, _error, raw)`` of all elements and, with ``select``, the chosen ones
     with ``idx``; a bad file is one row with ``ord`` -1 and gives no elements."""
     checkpoint_root(spark)
@@ -255,11 +263,11 @@ def array_records(spark: SparkSession, path: str, select=None):
     n_files, n_digests = files.agg(F.count(F.lit(1)), F.count_distinct("fid")).first()
     if n_files != n_digests:
         raise ValueError(f"{path}: two files have one digest; read them apart")
-    rows, splits, n = _scanned(spark, path, files, n_files, select)
+    rows, splits, n = _scanned(spark, path, files, n_files, select, raw)
     totals = files.join(splits.groupBy("fid").agg(
         F.sum("ends").alias("total"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("utf8").alias("utf8")), "fid", "left")
     totals = totals.fillna(0, ["total", "n", "size"]).fillna(True, ["utf8"])
-    across = _across(rows, splits, totals.select("fid", "total"), n, n_files, select)
+    across = _across(rows, splits, totals.select("fid", "total"), n, n_files, select, raw)
     told = _file_errors(spark, rows, across, totals)
     told = told.withColumn("records", F.when(F.col("error").isNotNull() | F.col("empty"), 0).otherwise(F.col("total") + 1))
     base = prefix_sums(told.select("fid", "file", "error", "records"), ["file"], ["records"], n_files)

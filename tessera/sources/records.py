@@ -30,7 +30,7 @@ from ..functions.text import WHITESPACE, is_nonblank
 from ..session import checkpoint_root
 from .arrays import array_records
 from .ordinals import maybe_broadcast
-from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, raw_text, stored
+from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, prefix_sums, raw_text, stored, with_record
 
 _SAYS = {
     BAD_JSON: "does not parse as one JSON value",
@@ -72,7 +72,11 @@ def _first_char(spark: SparkSession, file: str) -> str | None:
     jvm = spark.sparkContext._jvm
     # The scan lists its files URL-encoded: only a URI gives the path back.
     hpath = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)) if ":" in file else jvm.org.apache.hadoop.fs.Path(file)
-    stream = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hpath)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stream = hpath.getFileSystem(conf).open(hpath)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hpath)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
     try:
         head = bytearray()
         while len(head) < HEAD_BYTES:
@@ -119,19 +123,18 @@ def _line_table(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("_keep", is_nonblank(F.col("value")))
 
 
-def _line_rows(spark: SparkSession, path: str, select) -> DataFrame:
+def _line_rows(spark: SparkSession, path: str, select, raw: bool) -> DataFrame:
     """Every line, blank ones as empty rows, parsed and written by one scan with the ids
     its task gave it. All numbers follow from this table, whatever splits later scans use."""
     keep = F.col("_keep")
     err = (F.when(~F.is_valid_utf8(F.col("value")), F.lit(BAD_UTF8))
            .when(F.col("rec").isNull(), F.lit(BAD_JSON))
            .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
-    rows = _line_table(spark, path).withColumn("rec", F.when(keep, parse_record(F.col("value")))) \
-        .withColumn("_error", F.when(keep, err))
+    rows = with_record(_line_table(spark, path), F.col("value"), keep).withColumn("_error", F.when(keep, err))
     chosen = keep & F.col("_error").isNull() & F.coalesce(select(F.col("rec")), F.lit(False)) if select is not None else F.lit(False)
     rows = rows.withColumn("_sel", chosen).select(
         "_file", "_block", "_mid", numbered(keep).alias("_kmid"), numbered(F.col("_sel")).alias("_smid"), "rec", "_error",
-        raw_text(F.col("value")).alias("raw"))
+        (raw_text(F.col("value")) if raw else F.lit(None).cast("string")).alias("raw"))
     return stored(rows, "records")
 
 
@@ -155,9 +158,9 @@ def _offsets(rows: DataFrame, path: str) -> tuple[DataFrame, dict]:
     return offsets.drop("lines", "kept", "chosen", "_first", "broken"), {**told.asDict(), "n": n}
 
 
-def _jsonl(spark: SparkSession, path: str, dialect: str, select=None):
+def _jsonl(spark: SparkSession, path: str, dialect: str, select=None, raw: bool = True):
     checkpoint_root(spark)
-    rows = _line_rows(spark, path, select)
+    rows = _line_rows(spark, path, select, raw)
     offsets, told = _offsets(rows, path)
     j = rows.where("_kmid is not null").join(maybe_broadcast(offsets, told["n"]), ["_file", "_block"])
     line = F.col("lines_before") + F.col("_mid") - F.col("_mid0") + 1
@@ -203,9 +206,10 @@ def raise_from_stats(stats, df: DataFrame, path: str, dialect: str, fmt: str, er
     raise RecordError(msg, code, ord_, line)
 
 
-def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: str = "auto", select=None):
+def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: str = "auto", select=None, raw: bool = True):
     """``(records with _error and raw, resolved format, selected)`` lazily; no validation
-    action. ``raw`` is the text of records whose integers a VARIANT may not hold.
+    action. ``raw`` is the text of records whose integers a VARIANT may not hold; callers
+    that do not write records back leave it out (the column is NULL then).
 
     With ``select`` (a function ``rec -> boolean Column``), ``selected`` holds the
     valid object records it accepts with ``idx``, their dense position among
@@ -222,9 +226,9 @@ def scan_records(spark: SparkSession, path: str, dialect: str = "train", fmt: st
     if not files:
         raise ValueError(_empty_message(dialect, path))
     if fmt == "array":
-        df, sel = array_records(spark, path, select)
+        df, sel = array_records(spark, path, select, raw)
     else:
-        df, sel = _jsonl(spark, path, dialect, select)
+        df, sel = _jsonl(spark, path, dialect, select, raw)
     return df, fmt, sel
 
 
@@ -238,7 +242,7 @@ def read_records(spark: SparkSession, path: str, dialect: str = "train", on_erro
     """
     if on_error not in ("fail", "report"):
         raise ValueError("on_error must be 'fail' or 'report'")
-    df, fmt, _ = scan_records(spark, path, dialect, fmt)
+    df, fmt, _ = scan_records(spark, path, dialect, fmt, raw=False)
     df = df.drop("raw")
     if on_error == "report":
         return df

@@ -20,16 +20,33 @@ NOT_LIST = "NOT_LIST"
 _GUARD = "c1d7a0e4-end-of-record"  # any string will do: it must come last in the wrapped line
 
 
+def _with_guard(value: Column) -> Column:
+    # Most lines are objects without white space around them.
+    bare = F.when(F.startswith(value, F.lit("{")) & F.endswith(value, F.lit("}")), value).otherwise(ustrip(value))
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), bare, F.lit(f',"{_GUARD}"]'))),
+                             "$", "array<variant>")
+
+
+def _guarded(both: Column) -> Column:
+    strict = (F.size(both) == 2) & (F.try_variant_get(F.get(both, F.lit(1)), "$", "string") == F.lit(_GUARD))
+    return F.when(F.coalesce(strict, F.lit(False)), F.get(both, F.lit(0)))
+
+
 def parse_record(value: Column) -> Column:
     """The JSON value a line holds, or NULL unless the line is exactly one value.
 
     ``parse_json`` stops after the first value. Wrapped as ``[line, guard]``, a
     line with anything after its value, or with several values, no longer parses
     to the two elements value and guard."""
-    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), ustrip(value), F.lit(f',"{_GUARD}"]'))),
-                             "$", "array<variant>")
-    strict = (F.size(both) == 2) & (F.try_variant_get(F.get(both, F.lit(1)), "$", "string") == F.lit(_GUARD))
-    return F.when(F.coalesce(strict, F.lit(False)), F.get(both, F.lit(0)))
+    return _guarded(_with_guard(value))
+
+
+def with_record(df: DataFrame, value: Column, where: Column | None = None) -> DataFrame:
+    """``df`` with ``rec``, the ``parse_record`` of ``value`` on the rows for which ``where``
+    holds. The parsed line is a column of its own: below a condition, each of its three
+    uses would parse the line again."""
+    both = _with_guard(value)
+    return df.withColumn("_both", both if where is None else F.when(where, both)).withColumn("rec", _guarded(F.col("_both"))).drop("_both")
 
 
 def raw_text(value: Column) -> Column:
@@ -53,7 +70,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back."""
     spark = df.sparkSession
     where = scratch_path(spark, name)
-    df.write.parquet(where)
+    df.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 
 

@@ -88,17 +88,33 @@ def prompt_records(spark: SparkSession, sf_dir: str, with_invalid: bool = False)
     return out.withColumns({"rid": F.concat_ws(":", "kind", F.col("key").cast("string")), "kind_rank": rank})
 
 
+RANGE_BYTES = 16 << 20  # of a table's files that one range of its rows stands for
+
+
+def ranges(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """In how many ranges a table's rows are dealt when they are sorted as a whole."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return (files.agg(F.sum("length")).first()[0] or 0) // RANGE_BYTES + 1
+
+
+def document_json(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The ``doc`` and ``pair`` records of ``sft_corpus`` as JSON text lines ``(kind_rank, key,
+    value)``: every document is moved once, to one of ``n`` ranges of ``doc_id``, and each
+    range is sorted by kind and key."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").repartitionByRange(n, "doc_id")
+    doc = F.to_json(F.struct("doc_id", "text", "lang"))
+    pair = F.to_json(F.struct("doc_id", F.col("text").alias("prompt"), F.col("source").alias("groundtruth"), "lang"))
+    lines = docs.select(F.col("doc_id").alias("key"), F.explode(F.array(*[
+        F.struct(F.lit(KIND_ORDER[kind]).alias("kind_rank"), js.alias("value")) for kind, js in (("doc", doc), ("pair", pair))])).alias("line"))
+    return lines.select("line.kind_rank", "key", "line.value").sortWithinPartitions("kind_rank", "key")
+
+
 def sft_corpus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sft_corpus`` as JSON text lines ``(kind, key, kind_rank, value)``, built
-    straight from structs (no variant round trip) for writing files."""
+    """The ``conv`` and ``label`` records of ``sft_corpus`` as JSON text lines ``(kind, key,
+    kind_rank, value)``, built straight from structs (no variant round trip) for writing files."""
     conv = conversations(spark, sf_dir).select(
         F.lit("conv").alias("kind"), F.col("conv_id").alias("key"), F.to_json(F.struct("conv_id", "messages")).alias("value"))
-    docs = load(spark, sf_dir, "documents")
-    doc = docs.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("key"),
-                      F.to_json(F.struct("doc_id", "text", "lang")).alias("value"))
-    pair = docs.select(F.lit("pair").alias("kind"), F.col("doc_id").alias("key"), F.to_json(F.struct(
-        "doc_id", F.col("text").alias("prompt"), F.col("source").alias("groundtruth"), "lang")).alias("value"))
     label = load(spark, sf_dir, "labels").select(
         F.lit("label").alias("kind"), F.col("doc_id").alias("key"),
         F.to_json(F.struct("doc_id", "quality", "toxic"), {"ignoreNullFields": "false"}).alias("value"))
-    return conv.unionByName(doc).unionByName(pair).unionByName(label).withColumn("kind_rank", kind_rank())
+    return conv.unionByName(label).withColumn("kind_rank", kind_rank())
