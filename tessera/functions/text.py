@@ -41,7 +41,7 @@ def ustrip(col: Column) -> Column:
 
 def is_nonblank(col: Column) -> Column:
     """True when ``col`` has a non-whitespace character (``s.strip() != ''``); NULL-safe false."""
-    return F.coalesce(F.length(ustrip(col)) > 0, F.lit(False))
+    return F.coalesce(F.ltrim(col, F.lit(WHITESPACE)) != F.lit(""), F.lit(False))
 
 
 def sql_whitespace_class() -> str:
