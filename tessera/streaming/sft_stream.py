@@ -16,7 +16,8 @@ from ..functions.chat import Template
 from ..functions.text import is_nonblank
 from ..operators import sft
 from ..session import scratch_path
-from ..sources.records import BAD_JSON, BAD_UTF8, NOT_OBJECT, parse_record
+from ..sources.records import BAD_JSON, BAD_UTF8, NOT_OBJECT
+from ..sources.rows import with_record
 
 
 def sft_stream(spark: SparkSession, input_dir: str, response_only_loss: bool = True,
@@ -28,8 +29,8 @@ def sft_stream(spark: SparkSession, input_dir: str, response_only_loss: bool = T
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(input_dir).select("value", F.col("_metadata.file_path").alias("file"))
-    recs = lines.where(is_nonblank(F.col("value"))).select(
-        "file", F.is_valid_utf8(F.col("value")).alias("_utf8"), parse_record(F.col("value")).alias("rec"))
+    recs = with_record(lines.where(is_nonblank(F.col("value"))), F.col("value")).select(
+        "file", F.is_valid_utf8(F.col("value")).alias("_utf8"), "rec")
     recs = recs.withColumn("rec_error", F.when(~F.col("_utf8"), F.lit(BAD_UTF8))
                            .when(F.col("rec").isNull(), F.lit(BAD_JSON))
                            .when(~V.is_object(F.col("rec")), F.lit(NOT_OBJECT)))
@@ -46,6 +47,6 @@ def run_sft_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpo
     """Write the stream to Parquet; ``available_now`` processes what is there and stops."""
     location = checkpoint_location or scratch_path(spark, "sft-stream-checkpoint")
     writer = (sft_stream(spark, input_dir, **kw).writeStream.format("parquet")
-              .option("checkpointLocation", location).outputMode("append"))
+              .option("compression", "zstd").option("checkpointLocation", location).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start(output_dir)
