@@ -7,10 +7,13 @@ across tasks, so every part file is one complete, compact array.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..llm.common import arrow_limits, slices
+from ..session import ship_package
+
 
 def output_format(path: str, fmt: str = "auto") -> str:
     """Explicit format, else ``.jsonl`` suffix -> ``jsonl``, anything else -> ``json``."""
@@ -54,26 +57,24 @@ def write_jsonl(df: DataFrame, path: str, record: Column | str = "rec", order_co
 
 def write_json_array(df: DataFrame, path: str, record: Column | str = "rec", order_col: str | None = "ord",
                      overwrite: bool = False, text: str | None = None) -> None:
-    """Each part file is one valid JSON array (compact, one element per line)."""
-    from ..session import ship_package
+    """Each part file is one valid JSON array (compact, one element per line). A task holds
+    about a megabyte of records at a time, whatever their length."""
     ship_package(df.sparkSession)
     out = df.orderBy(order_col) if order_col else df
     lines = out.select(_json_col(record, text).alias("value"))
 
     def frame(batches):
         started = False
-        for pdf in batches:
-            vals = pdf["value"].tolist()
-            if not vals:
-                continue
+        for b in slices(batches, 0):
             rows = []
-            for v in vals:
+            for v in b.column(0).to_pylist():
                 rows.append(("[" if not started else ",") + v)
                 started = True
-            yield pd.DataFrame({"value": rows})
-        yield pd.DataFrame({"value": ["]" if started else "[]"]})
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if started else "[]"], pa.string())], names=["value"])
 
-    lines.mapInPandas(frame, "value string").write.mode("overwrite" if overwrite else "errorifexists").text(path)
+    with arrow_limits(df.sparkSession):
+        lines.mapInArrow(frame, "value string").write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
 def write_records(df: DataFrame, path: str, fmt: str = "auto", record: Column | str = "rec",
