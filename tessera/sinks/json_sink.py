@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..llm.common import arrow_limits, slices
+from ..batches import arrow_limits, slices
 from ..session import ship_package
 
 

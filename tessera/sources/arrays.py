@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import arrow_limits
 from ..functions import variant as V
 from ..functions.text import is_nonblank, ustrip
-from ..llm.common import arrow_limits
 from ..session import checkpoint_root, ship_package
 from .ordinals import BROADCAST_ROWS, maybe_broadcast
 from .rows import BAD_JSON, BAD_UTF8, NOT_LIST, NOT_OBJECT, LayoutError, numbered, parse_record, prefix_sums, raw_text, stored, sums_in_file, with_record
