@@ -71,7 +71,7 @@ def test_stream_output_and_stored_tables_are_compressed(spark, tmp):
     (tmp / "in").mkdir()
     (tmp / "in" / "a.jsonl").write_text('{"text": "a"}\n', encoding="utf-8")
     run_sft_stream(spark, str(tmp / "in"), str(tmp / "out"), str(tmp / "ckpt")).awaitTermination()
-    stored = rows.stored(spark.range(3), "any").inputFiles()[0].removeprefix("file:").replace("///", "/")
+    stored = rows.stored(spark.range(0, 3, 1, 1), "any").inputFiles()[0].removeprefix("file:").replace("///", "/")
     for f in [*glob.glob(str(tmp / "out" / "*.parquet")), stored]:
         assert pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD"
 
