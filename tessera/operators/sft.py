@@ -97,9 +97,11 @@ def _texts(df: DataFrame, prompt_msgs: str, answer: str, template, prefix: str,
 
 
 def response_only_df(df: DataFrame, template: Template | str | None = None, prompt_field: str = "prompt",
-                     response_field: str = "groundtruth", rec_col: str = "rec") -> DataFrame:
+                     response_field: str = "groundtruth", rec_col: str = "rec", unchecked: bool = False) -> DataFrame:
     """Add ``text``, ``prompt_text`` and ``_error``: ``messages`` first, then the
-    pair, then legacy ``text`` (which masks nothing)."""
+    pair, then legacy ``text`` (which masks nothing). With ``unchecked`` a row of no
+    usable shape has, beside its error, what its pair or else its text gives as it is,
+    NULL where a field is missing."""
     whole = chat.get_template(template).whole
     st = _stage_fields(df, rec_col, prompt_field, response_field)
     n = F.size("_m")
@@ -122,25 +124,28 @@ def response_only_df(df: DataFrame, template: Template | str | None = None, prom
                        .otherwise(F.lit(UNSUPPORTED_ROW)))
     # Render only what the row uses: prompt messages (typed, or JSON of the whole) and the answer.
     pair = [chat.message("user", F.col("_p")), chat.message("assistant", F.col("_r"))]
+    use_pair = F.col("_pair_ok") | (F.lit(unchecked) & ~F.col("_t_ok") & F.col("_p").isNotNull())
     st = st.withColumns({
-        "_tpm": F.when(F.col("_error").isNull(), F.when(F.col("_m_ok"), chat.messages_json(F.col("_pm")))
-                       .when(F.col("_pair_ok"), chat.messages_json(F.array(pair[0])))),
-        "_tfull": F.when(F.col("_error").isNull(), F.when(F.col("_m_ok"), chat.messages_json(F.col("_m")))
-                         .when(F.col("_pair_ok"), chat.messages_json(F.array(*pair)))),
+        "_tpm": F.when(F.col("_m_ok"), F.when(F.col("_error").isNull(), chat.messages_json(F.col("_pm"))))
+                 .when(use_pair, chat.messages_json(F.array(pair[0]))),
+        "_tfull": F.when(F.col("_m_ok"), F.when(F.col("_error").isNull(), chat.messages_json(F.col("_m"))))
+                   .when(use_pair, chat.messages_json(F.array(*pair))),
         "_ans": F.when(F.col("_m_ok"), F.col("_last_content")).otherwise(F.col("_r")),
     }) if whole else st.withColumns({
-        "_tpm": F.when(F.col("_error").isNull(),
-                       F.when(F.col("_m_ok"), chat.typed_messages(F.col("_pm")))
-                       .when(F.col("_pair_ok"), F.array(chat.message("user", F.col("_p"))))),
+        "_tpm": F.when(F.col("_m_ok"), F.when(F.col("_error").isNull(), chat.typed_messages(F.col("_pm"))))
+                 .when(use_pair, F.array(pair[0])),
         "_ans": F.when(F.col("_m_ok"), F.col("_last_content")).otherwise(F.col("_r")),
     })
     st = _texts(st, "_tpm", "_ans", template, "_x", "_tfull" if whole else None)
     ok = F.col("_error").isNull()
     use = F.col("_m_ok") | F.col("_pair_ok")
-    st = st.withColumns({
-        "text": F.when(ok, F.when(use, F.col("_x_text")).otherwise(F.col("_t"))),
-        "prompt_text": F.when(ok, F.when(use, F.col("_x_prompt")).otherwise(F.lit(""))),
-    })
+    text = F.when(ok, F.when(use, F.col("_x_text")).otherwise(F.col("_t")))
+    prompt = F.when(ok, F.when(use, F.col("_x_prompt")).otherwise(F.lit("")))
+    if unchecked:
+        bare, some = F.col("_error") == UNSUPPORTED_ROW, F.col("_p").isNotNull() | F.col("_r").isNotNull()
+        text = text.when(bare, F.when(some, F.when(F.col("_r").isNotNull(), F.col("_x_text"))).otherwise(F.col("_t")))
+        prompt = prompt.when(bare, F.when(some, F.col("_x_prompt")).otherwise(F.lit("")))
+    st = st.withColumns({"text": text, "prompt_text": prompt})
     return st.drop(*_STAGE_COLS, "_last", "_pm", "_last_obj", "_last_content", "_last_role", "_pm_valid",
                    "_tpm", "_tfull", "_ans", "_x_text", "_x_prompt")
 
@@ -242,10 +247,11 @@ def split_condition(rec: Column, split_field: str, split) -> Column:
 
 
 def project(df: DataFrame, response_only_loss: bool = True, template: Template | str | None = None,
-            prompt_field: str = "prompt", response_field: str = "groundtruth", rec_col: str = "rec") -> DataFrame:
+            prompt_field: str = "prompt", response_field: str = "groundtruth", rec_col: str = "rec",
+            unchecked: bool = False) -> DataFrame:
     """Add ``text`` (+ ``prompt_text``) and ``_error`` columns to a records DataFrame."""
     if response_only_loss:
-        return response_only_df(df, template, prompt_field, response_field, rec_col)
+        return response_only_df(df, template, prompt_field, response_field, rec_col, unchecked)
     return full_text_df(df, template, prompt_field, response_field, rec_col)
 
 

@@ -40,14 +40,18 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
 
     All checks (bad records, empty input, empty split, first bad example) come
     from one aggregate job; the returned DataFrame is lazy.
+
+    ``on_error="keep"`` checks the same, but a record of the split that is no example is
+    only logged: it stays in its place with its code in ``_error`` and what its fields
+    give, unchecked, as texts. ``"report"`` raises for nothing and returns bad records too.
     """
-    if on_error not in ("fail", "report"):
-        raise ValueError("on_error must be 'fail' or 'report'")
+    if on_error not in ("fail", "keep", "report"):
+        raise ValueError("on_error must be 'fail', 'keep' or 'report'")
     use_split = bool(split_field) and split is not None
     select = (lambda rec: sft.split_condition(rec, split_field, split)) if use_split else (lambda rec: F.lit(True))
     recs, fmt, sel = scan_records(spark, path, "train", select=select, raw=False)
     cols = ["text", "prompt_text"] if response_only_loss else ["text"]
-    proj = sft.project(sel, response_only_loss, template, prompt_field, response_field)
+    proj = sft.project(sel, response_only_loss, template, prompt_field, response_field, unchecked=on_error == "keep")
     if on_error == "report":
         bad_recs = recs.where(F.col("_error").isNotNull()).select(
             "ord", F.lit(None).cast("bigint").alias("idx"), *[F.lit(None).cast("string").alias(c) for c in cols],
@@ -58,8 +62,9 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
     flagged = recs.withColumnRenamed("_error", "_rec_error")
     flagged = flagged.withColumn("_sel", F.col("_rec_error").isNull() & select(F.col("rec")))
     checked = sft.project(flagged, response_only_loss, template, prompt_field, response_field)
+    no_example = F.col("_sel") & F.col("_error").isNotNull()
     stats = checked.agg(*check_columns("_rec_error"), F.count_if("_sel").alias("_n_sel"),
-                        F.min(F.when(F.col("_sel") & F.col("_error").isNotNull(), F.col("ord"))).alias("_bad")
+                        F.count_if(no_example).alias("_n_bad"), F.min(F.when(no_example, F.col("ord"))).alias("_bad")
                         ).collect()[0]
     raise_from_stats(stats, recs, path, "train", fmt)
     log.info("Loaded %d records from %s; %d selected", stats["_c_n"], path, stats["_n_sel"])
@@ -67,11 +72,13 @@ def load_sft_dataset(spark: SparkSession, path: str, template: Template | str |
         if use_split:
             raise ValueError(f"{path}: no record has {split!r} in '{split_field}'")
         raise ValueError(f"{path}: no records to train on")
-    if stats["_bad"] is not None:
+    if stats["_bad"] is not None and on_error == "keep":
+        log.warning("%s: %d of %d records are no examples, first record %d", path, stats["_n_bad"], stats["_n_sel"], stats["_bad"])
+    elif stats["_bad"] is not None:
         bad = proj.where(F.col("ord") == stats["_bad"]).select("idx", "_error").collect()[0]
         raise ValueError(f"{path}: record {stats['_bad']} (index {bad['idx']}): "
                          + sft.says(bad["_error"], response_only_loss, prompt_field, response_field))
-    return proj.select("ord", "idx", *cols)
+    return proj.select("ord", "idx", *cols, *(["_error"] if on_error == "keep" else []))
 
 
 def save_sft_dataset(dataset: DataFrame, path: str, overwrite: bool = False) -> None:
