@@ -58,8 +58,9 @@ _STAGE_COLS = ["_m", "_t", "_p", "_r", "_m_ok", "_t_ok", "_pair_ok"]
 
 
 def full_text_df(df: DataFrame, template: Template | str | None = None, prompt_field: str = "prompt",
-                 response_field: str = "groundtruth", rec_col: str = "rec") -> DataFrame:
-    """Add ``text`` and ``_error``: ``text`` first, then ``messages``, then the pair."""
+                 response_field: str = "groundtruth", rec_col: str = "rec", unchecked: bool = False) -> DataFrame:
+    """Add ``text`` and ``_error``: ``text`` first, then ``messages``, then the pair.
+    ``unchecked`` as in ``response_only_df``."""
     tpl = chat.get_template(template)
     st = _stage_fields(df, rec_col, prompt_field, response_field)
     pair = F.array(chat.message("user", F.col("_p")), chat.message("assistant", F.col("_r")))
@@ -76,6 +77,10 @@ def full_text_df(df: DataFrame, template: Template | str | None = None, prompt_f
              .when(F.col("_m_ok"), F.when(~F.col("_m_valid"), F.lit(MESSAGE_FIELDS)))
              .when(F.col("_pair_ok"), F.lit(None))
              .otherwise(F.lit(UNSUPPORTED_ROW)))
+    if unchecked:
+        p, r = F.col("_p").isNotNull(), F.col("_r").isNotNull()
+        bare = ~F.col("_t_ok") & ~F.col("_m_ok") & ~F.col("_pair_ok")
+        text = F.when(bare, F.when(p | r, tpl.render(F.when(bare & p & r, pair), False)).otherwise(F.col("_t"))).otherwise(text)
     return st.withColumns({"text": text, "_error": error}).drop(*_STAGE_COLS, "_m_valid", "_whole")
 
 
@@ -252,7 +257,7 @@ def project(df: DataFrame, response_only_loss: bool = True, template: Template |
     """Add ``text`` (+ ``prompt_text``) and ``_error`` columns to a records DataFrame."""
     if response_only_loss:
         return response_only_df(df, template, prompt_field, response_field, rec_col, unchecked)
-    return full_text_df(df, template, prompt_field, response_field, rec_col)
+    return full_text_df(df, template, prompt_field, response_field, rec_col, unchecked)
 
 
 def first_error(df: DataFrame, order_col: str = "ord"):

@@ -37,7 +37,7 @@ def tables(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["sft_dataset"])
+@pytest.mark.parametrize("name", ["sft_dataset", "sft_dataset_full"])
 def test_documents_without_text_or_source(spark, tables, name):
     df = E.queries()[name](spark, tables)
     res = duck(tables).execute(E.oracle_sql()[name])
@@ -62,6 +62,10 @@ def test_keep_leaves_the_other_checks(spark, tmp):
     assert [(r.text, r.prompt_text) for r in rows] == [
         ("user: q\nassistant: a", "user: q\nassistant:"), ("user:  \nassistant: a", "user:  \nassistant:"), (None, None),
         (None, None), (None, "user: q\nassistant:"), ("", "")]
+    full = jobs.load_sft_dataset(spark, p, response_only_loss=False, split_field="s", split=1, on_error="keep").orderBy("idx").collect()
+    assert [(r.text, r["_error"]) for r in full] == [
+        ("user: q\nassistant: a", None), ("user:  \nassistant: a", sft.UNSUPPORTED_ROW), ("t", None),
+        (None, sft.UNSUPPORTED_ROW), (None, sft.UNSUPPORTED_ROW), ("", sft.UNSUPPORTED_ROW)]
     with pytest.raises(ValueError, match="UNSUPPORTED_ROW"):
         jobs.load_sft_dataset(spark, p, split_field="s", split=1)
     with pytest.raises(ValueError, match="no record has"):
