@@ -90,7 +90,8 @@ def collate(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_length:
 
     Pads use the tokenizer's pad id (the end-of-sequence id when unset); pad
     labels are ``-100`` by position, so a real end-of-sequence id equal to the
-    pad id keeps its label.
+    pad id keeps its label. A row whose text is NULL has NULL for all three and no part
+    in its batch's width.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
@@ -108,7 +109,7 @@ def collate(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_length:
         (tok.prefix(F.col(prompt_col), max_length) if prompt_col else F.lit("")).alias("_p"),
     )
     rows = _encoded(narrow, tok, max_length, "_t", "_p").drop("_t", "_p")
-    rows = stored(rows.withColumn("_w", local_widths(F.col("batch_id"), F.size("input_ids"), batch_size)), "tokens")
+    rows = stored(rows.withColumn("_w", local_widths(F.col("batch_id"), F.coalesce(F.size("input_ids"), F.lit(0)), batch_size)), "tokens")
     cut = stored(rows.where("_w is null").groupBy("batch_id").agg(F.max(F.size("input_ids")).alias("_cut")), "cut-batches")
     whole = rows.join(maybe_broadcast(cut, cut.count()), "batch_id", "left")
     labelled = whole.withColumns({

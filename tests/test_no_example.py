@@ -37,7 +37,7 @@ def tables(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["sft_dataset", "sft_dataset_full"])
+@pytest.mark.parametrize("name", ["sft_dataset", "sft_dataset_full", "training_tensors"])
 def test_documents_without_text_or_source(spark, tables, name):
     df = E.queries()[name](spark, tables)
     res = duck(tables).execute(E.oracle_sql()[name])
