@@ -124,12 +124,14 @@ def collate(df: DataFrame, tokenizer: Tokenizer | str | None = None, max_length:
     )
 
 
-def check_tensors(df: DataFrame, order_col: str = "ord") -> DataFrame:
-    """Fail on the first row whose response did not survive truncation."""
-    bad = df.agg(F.min(F.when(F.col("_error").isNotNull(), F.col(order_col))).alias("b")).collect()[0]["b"]
+def check_tensors(df: DataFrame, order_col: str = "ord", known: str | None = None) -> DataFrame:
+    """Fail on the first row whose response did not survive truncation. Rows for which the
+    column ``known`` is set were reported before; they alone may keep an ``_error``."""
+    failed = F.col("_error").isNotNull() & (F.col(known).isNull() if known else F.lit(True))
+    bad = df.agg(F.min(F.when(failed, F.col(order_col))).alias("b")).collect()[0]["b"]
     if bad is not None:
         raise ValueError(f"row {bad}: {NO_RESPONSE_TOKENS} (every label within max_length is masked)")
-    return df.drop("_error")
+    return df if known else df.drop("_error")
 
 
 def effective_batch_size(per_device: int, accumulation: int = 1, devices: int = 1) -> int:

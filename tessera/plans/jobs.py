@@ -96,14 +96,14 @@ def training_tensors(dataset: DataFrame, tokenizer: K.Tokenizer | str | None = N
                      check: bool = True) -> DataFrame:
     """J4: dataset ``(ord[, idx], text[, prompt_text])`` -> padded ids, mask and labels per row,
     in batches of ``batch_size`` consecutive ``idx``. J1's ``_error``, if it is there, goes
-    along as ``example_error``."""
+    along as ``example_error``; rows that have it pass the check and keep ``_error`` beside it."""
     prompt_col = None if loss_on_prompt or "prompt_text" not in dataset.columns else "prompt_text"
     # Batches are formed over the rows that survived the split filter: J1
     # already numbers them (``idx``); other inputs are numbered by ``ord``.
     dataset = dataset.withColumnRenamed("_error", "example_error")
     dense = dataset if "idx" in dataset.columns else table_ordinal(dataset, "ord", name="idx")
     out = C.collate(dense, tokenizer, max_length, batch_size, side, prompt_col=prompt_col, order_col="idx")
-    return C.check_tensors(out, "idx") if check else out
+    return C.check_tensors(out, "idx", "example_error" if "example_error" in out.columns else None) if check else out
 
 
 def checked_prompts(spark: SparkSession, path: str, dialect: str, prompt_field: str = "prompt",

@@ -37,7 +37,7 @@ def tables(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["sft_dataset", "sft_dataset_full", "training_tensors"])
+@pytest.mark.parametrize("name", ["sft_dataset", "sft_dataset_full", "training_tensors", "training_tensors_full"])
 def test_documents_without_text_or_source(spark, tables, name):
     df = E.queries()[name](spark, tables)
     res = duck(tables).execute(E.oracle_sql()[name])
@@ -72,3 +72,14 @@ def test_keep_leaves_the_other_checks(spark, tmp):
         jobs.load_sft_dataset(spark, p, split_field="s", split=3, on_error="keep")
     with pytest.raises(ValueError, match="line 2"):
         jobs.load_sft_dataset(spark, write(tmp / "b.jsonl", '{"text": "a"}\n{"text": \n'), on_error="keep")
+
+
+def test_check_fails_on_examples_alone(spark, tmp):
+    """J4 passes over rows that J1 has reported, and over no others."""
+    p = _file(tmp, {"text": ""}, {"prompt": "q" * 9, "groundtruth": "a"}, {"text": "ab"})
+    ds = jobs.load_sft_dataset(spark, p, on_error="keep")
+    rows = jobs.training_tensors(ds, "codepoint", 40, 2).orderBy("idx").collect()
+    assert [(r["_error"], r["example_error"]) for r in rows] == [("NO_RESPONSE_TOKENS", sft.UNSUPPORTED_ROW), (None, None), (None, None)]
+    assert list(rows[0].labels) == [-100] * len(rows[1].input_ids) and list(rows[2].labels) == [97, 98]
+    with pytest.raises(ValueError, match="row 1: NO_RESPONSE_TOKENS"):
+        jobs.training_tensors(ds, "codepoint", 8, 2)
